@@ -4,18 +4,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, simhash_dedup, token_store
+from . import chat_format, decontaminate, html_paths, line_dedup, packing, quality_knn, simhash_dedup, token_store, topk_nra, url_filter
 from .common import table
 
 
+def op1_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_nra.search_report(table(spark, sf_dir, "embeddings"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_report(table(spark, sf_dir, "conversations"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract_report(table(spark, sf_dir, "pages"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -24,9 +48,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
 
+_QUERIES = (op1_topk_nra, op2_decontamination, op3_chat_format, op4_html_extraction, op5_token_store, op6_quality, op7_best_fit_packing, op8_url_filter, op9_line_dedup, op10_simhash)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_store, op7_best_fit_packing, op9_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.SQL}
+    return {"op1_topk_nra": topk_nra.SQL, "op9_line_dedup": line_dedup.SQL}
