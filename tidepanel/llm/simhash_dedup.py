@@ -2,7 +2,7 @@
 
 1. Each text gets a 64-bit fingerprint: a bit is 1 if it is set in more than half
    of the XXH64 values of its word shingles.
-2. A fingerprint's 16 four-bit segments map to their popcounts. The Manhattan
+2. A fingerprint's 22 segments (three bits each, the last one) map to their popcounts. The Manhattan
    distance of two such vectors never exceeds the Hamming distance of the
    fingerprints. The grid range-join puts every distinct fingerprint into the
    cells within Manhattan distance 1 of its vector: two vectors within distance 2
@@ -69,20 +69,20 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return df.select(F.col(key).alias("id"), fingerprint_udf(shingle)(F.col(text)).alias("fp"))
 
 
-#: Every fourth bit: the lowest of each segment.
-_LOW_BITS = 0x1111111111111111
+#: Every third bit: the lowest of each of the 21 three-bit segments, and bit 63, a segment by itself.
+_LOW_BITS = sum(1 << i for i in range(0, 63, 3)) - (1 << 63)
 
 
 def _popcounts(fp: str) -> Column:
-    """The popcounts of the 16 four-bit segments, each in four bits of one long."""
-    return F.expr(" + ".join(f"(shiftrightunsigned({fp}, {i}) & {_LOW_BITS}L)" for i in range(4)))
+    """The popcounts of the 22 segments, each in its own segment's bits."""
+    return F.expr(" + ".join(f"(shiftrightunsigned({fp}, {i}) & {_LOW_BITS}L)" for i in range(3)))
 
 
 def _grid_cells(own: str) -> Column:
-    """The cells within Manhattan distance 1 of the vector, itself first; null where a count would leave 0 to 4."""
-    count = f"(shiftrightunsigned({own}, 4 * i) & 15L)"
-    up = f"transform(sequence(0, 15), i -> if({count} < 4, {own} + shiftleft(1L, 4 * i), null))"
-    down = f"transform(sequence(0, 15), i -> if({count} > 0, {own} - shiftleft(1L, 4 * i), null))"
+    """The cells within Manhattan distance 1 of the vector, itself first; null where a count would leave its range."""
+    count = f"(shiftrightunsigned({own}, 3 * i) & 7L)"
+    up = f"transform(sequence(0, 21), i -> if({count} < if(i < 21, 3, 1), {own} + shiftleft(1L, 3 * i), null))"
+    down = f"transform(sequence(0, 21), i -> if({count} > 0, {own} - shiftleft(1L, 3 * i), null))"
     return F.expr(f"concat(array({own}), {up}, {down})")
 
 
