@@ -16,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words and word stems held at once by one worker; a table is emptied beyond that, which changes no result.
-TABLE_WORDS, TABLE_STEMS = 300_000, 1_000_000
+TABLE_WORDS, TABLE_STEMS = 150_000, 350_000
 #: Longer words are encoded anew each time.
 KEPT_CHARS = 64
 
