@@ -38,7 +38,7 @@ WINDOW, MATCHES = 13, 10
 LEAST_ITEM_WORDS = 5
 BLOCK_WORDS = 2_000_000
 #: Bytes hashed at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _U = np.uint64
 
