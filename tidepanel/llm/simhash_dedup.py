@@ -25,7 +25,7 @@ result; only the named columns are read, so clashing names do no harm.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +57,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprint_udf(shingle: int):
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([fingerprint(x, shingle) for x in batch], dtype="int64")
+            yield pa.array([fingerprint(x.as_py(), shingle) for x in batch], pa.int64())
 
-    return F.pandas_udf(of, T.LongType())
+    return F.arrow_udf(of, T.LongType())
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
