@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from .windows import full, lag
 
 FIBONACCI = (0.236, 0.382, 0.5, 0.618, 0.786)
-_SYMBOL = Window.partitionBy("symbol")
+def _symbol():
+    return Window.partitionBy("symbol")
 
 
 def _rows(df: DataFrame, kind: str, values: dict[str, Column], strength: str = "medium") -> DataFrame:
@@ -23,7 +24,7 @@ def _rows(df: DataFrame, kind: str, values: dict[str, Column], strength: str = "
 
 def from_end(bars: DataFrame, most: int | None = None) -> DataFrame:
     """Bars with ``back``, 1 on the symbol's last one."""
-    out = bars.withColumn("back", F.row_number().over(_SYMBOL.orderBy(F.col("date").desc())))
+    out = bars.withColumn("back", F.row_number().over(_symbol().orderBy(F.col("date").desc())))
     return out if most is None else out.filter(F.col("back") <= most)
 
 
@@ -52,7 +53,7 @@ def extremes(bars: DataFrame) -> DataFrame:
 
 def swing_points(bars: DataFrame, reach: int = 5) -> DataFrame:
     """Bars that are the highest (lowest) of the ``reach`` on either side, both sides being there."""
-    w = _SYMBOL.orderBy("date").rowsBetween(-reach, reach)
+    w = _symbol().orderBy("date").rowsBetween(-reach, reach)
     whole = F.count(F.lit(1)).over(w) == 2 * reach + 1
     out = bars.select("symbol", "date", F.when(whole & (F.col("high") == F.max("high").over(w)), F.col("high")).alias("top"), F.when(whole & (F.col("low") == F.min("low").over(w)), F.col("low")).alias("bottom"))
     pick = lambda c: out.filter(F.col(c).isNotNull()).select("symbol", F.lit("swing").alias("type"), F.lit(c).alias("label"), F.col(c).alias("value"), F.lit("medium").alias("strength"))
@@ -128,7 +129,7 @@ def round_numbers(bars: DataFrame, k: int = 8) -> DataFrame:
     first, end = F.ceil(F.col("close") * 0.9 / F.col("step")), F.floor(F.col("close") * 1.1 / F.col("step"))
     rows = last.filter(first <= end).withColumn("m", F.explode(F.sequence(first, end))).withColumn("value", F.col("m") * F.col("step"))
     away = F.abs(F.col("value") - F.col("close"))
-    near = rows.withColumn("rank", F.row_number().over(_SYMBOL.orderBy(away, "value"))).filter(F.col("rank") <= k)
+    near = rows.withColumn("rank", F.row_number().over(_symbol().orderBy(away, "value"))).filter(F.col("rank") <= k)
     return near.filter(away / F.col("close") > 0.01).select("symbol", F.lit("round").alias("type"), F.format_number("value", 2).alias("label"), "value", F.lit("weak").alias("strength"))
 
 
@@ -139,7 +140,7 @@ def chip_distribution(bars: DataFrame, bins: int = 40, least: int = 20) -> DataF
     a suffix sum of logarithms; after a bar with a turnover of 100 % nothing from before
     is left.
     """
-    whole = _SYMBOL
+    whole = _symbol()
     rows = bars.withColumns({"_hi": F.max("high").over(whole), "_lo": F.min("low").over(whole), "_n": F.count(F.lit(1)).over(whole)}).filter(f"_n >= {int(least)} AND _hi > _lo AND _lo > 0")
     t = F.least(F.greatest(F.coalesce("turnover_rate", F.lit(0.0)), F.lit(0.0)), F.lit(100.0)) / 100
     later = whole.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +156,7 @@ def chip_distribution(bars: DataFrame, bins: int = 40, least: int = 20) -> DataF
 def chip_levels(bars: DataFrame, bins: int = 40) -> DataFrame:
     """The densest bin (point of control) and up to two more above the mean."""
     chips = chip_distribution(bars, bins)
-    rows = chips.withColumns({"rank": F.row_number().over(_SYMBOL.orderBy(F.col("chips").desc(), "bin")), "mean": F.avg("chips").over(_SYMBOL)})
+    rows = chips.withColumns({"rank": F.row_number().over(_symbol().orderBy(F.col("chips").desc(), "bin")), "mean": F.avg("chips").over(_symbol())})
     picked = rows.filter("rank = 1 OR (rank <= 3 AND chips > mean)")
     return picked.select("symbol", F.lit("chips").alias("type"), F.when(F.col("rank") == 1, "POC").otherwise("dense").alias("label"), F.round("mid", 2).alias("value"), F.when(F.col("rank") == 1, "strong").otherwise("medium").alias("strength"))
 

@@ -261,11 +261,11 @@ def sweep(panel: DataFrame, trials: DataFrame, start, end, most_hold: int, fold:
 
 
 def rank_trials(trades: DataFrame, objective: str = "avg_pnl", keys: tuple[str, ...] = ("trial_id",)) -> DataFrame:
-    """Trials in order of an objective, nulls last, the least drawdown being the best."""
+    """Trials in order of an objective (to nine digits, so that sums in another order don't part equal trials), nulls last."""
     stats = trade_stats(trades, keys).join(curve_stats(slot_portfolio(trades, keys), keys), list(keys))
     if objective not in OBJECTIVES:
         raise ValueError(f"unknown objective: {objective}")
-    return stats.withColumn("rank", F.row_number().over(Window.partitionBy(*[k for k in keys if k != "trial_id"]).orderBy(F.col(objective).desc_nulls_last(), "trial_id")))
+    return stats.withColumn("rank", F.row_number().over(Window.partitionBy(*[k for k in keys if k != "trial_id"]).orderBy(F.round(objective, 9).desc_nulls_last(), "trial_id")))
 
 
 def walkforward_folds(start: date, end: date, train_days: int, test_days: int, step_days: int) -> list[tuple[int, date, date, date, date]]:
