@@ -98,21 +98,25 @@ def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
-    """How many texts there are and how many hold each term, over all of ``df``."""
+    """How many texts there are and how many hold each term, over all of ``df``.
+
+    Each task gives one row for each term it saw; their sums, ``TERMS`` rows whatever
+    the corpus size, go to the driver.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = 0, np.zeros(TERMS, dtype=np.int64)
+        seen = np.zeros(TERMS + 1, dtype=np.int64)
         for batch in batches:
             for one in batch.column(0):
-                seen += terms(one.as_py()) > 0
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([seen.tobytes()])], names=["n", "seen"])
-
-    parts = df.select(F.col(text)).mapInArrow(of, "n long, seen binary")
-    n, seen = 0, np.zeros(TERMS, dtype=np.int64)
-    for row in parts.toLocalIterator():  # one row of fixed size from each task
-        n, seen = n + row["n"], seen + np.frombuffer(row["seen"], dtype=np.int64)
-    return n, seen
+                seen[:-1] += terms(one.as_py()) > 0
+                seen[-1] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
+
+    seen = np.zeros(TERMS + 1, dtype=np.int64)
+    for row in df.select(F.col(text)).mapInArrow(of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        seen[row["term"]] = row["n"]
+    return int(seen[-1]), seen[:-1]
 
 
 class Voter:
