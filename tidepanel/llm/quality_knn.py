@@ -164,7 +164,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             got = [np.minimum(terms(x.as_py()), 60000).astype(np.float16).tobytes() for x in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(got, pa.binary())], names=["id", "label", "counts"])
 
-    found = rows.mapInArrow(of, "id long, label double, counts binary").dropDuplicates(["id"]).orderBy("id").limit(sample).collect()
+    taught = rows.mapInArrow(of, "id long, label double, counts binary").groupBy("id").agg(F.min("label").alias("label"), F.min("counts").alias("counts"))
+    found = taught.orderBy("id").limit(sample).collect()
     if not found:
         return None
     counts = np.stack([np.frombuffer(r["counts"], dtype=np.float16) for r in found])
