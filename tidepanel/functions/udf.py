@@ -7,7 +7,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
 def sortino(returns: pd.Series) -> float:
     """Mean over downside deviation (against 0, over all steps) times the root of 252; null without a loss, 0 for fewer than two steps."""
     r = returns.dropna()
@@ -17,14 +16,12 @@ def sortino(returns: pd.Series) -> float:
     return float(r.mean() / down * math.sqrt(252)) if down > 0 else None
 
 
-@F.pandas_udf("double")
 def max_drawdown(values: pd.Series) -> float:
     """Least value over the running maximum, less 1, in the order given."""
     v = values.dropna()
     return float((v / v.cummax() - 1).min()) if len(v) else None
 
 
-@F.udtf(returnType="value double, distance double")
 class ExplodeLevels:
     """Round price levels within 10 % of a close, without those within 1 %."""
 
@@ -38,6 +35,6 @@ class ExplodeLevels:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udf.register("sortino", sortino)
-    spark.udf.register("max_drawdown", max_drawdown)
-    spark.udtf.register("explode_levels", ExplodeLevels)
+    spark.udf.register("sortino", F.pandas_udf(sortino, "double"))
+    spark.udf.register("max_drawdown", F.pandas_udf(max_drawdown, "double"))
+    spark.udtf.register("explode_levels", F.udtf(ExplodeLevels, returnType="value double, distance double"))

@@ -79,7 +79,10 @@ def sniff_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str
 
 def read_csv_any_encoding(spark: SparkSession, path: str, symbol_names: tuple[str, ...] = ("symbol", "code", "ts_code", "代码", "股票代码")) -> DataFrame:
     """A CSV file in any of the known encodings; the column that names symbols becomes ``symbol``."""
-    df = clean_column_names(spark.read.csv(path, header=True, encoding=sniff_encoding(spark, path)))
+    encoding = sniff_encoding(spark, path)
+    if encoding != "utf-8":  # Spark reads other character sets only with this setting
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    df = clean_column_names(spark.read.csv(path, header=True, encoding=encoding))
     hit = next((c for c in df.columns for s in symbol_names if c.strip().lower() == s), None) or next((c for c in df.columns for s in symbol_names if s in c.lower()), None)
     return df.withColumnRenamed(hit, "symbol") if hit and hit != "symbol" else df
 
