@@ -1,16 +1,20 @@
 """Indicators whose value depends on their own value a bar before.
 
-``with_recursive`` makes one linear pass over each symbol in Arrow batches, the
-symbol's bars being one group: some thousand rows a symbol, thousands of symbols.
+``with_recursive`` streams bars sorted by symbol and date through Arrow batches. Whole
+symbols are gathered until ``CHUNK`` rows are there and then advance in step, one bar
+of all of them at a time, so that a bar costs a few array operations and no group
+costs a call. A task holds one chunk, or one symbol if that is longer.
 ``ema_fold`` is the same recursion by SQL's ``aggregate`` on the ordered array, for
 short series: it costs the square of a symbol's length but runs no Python.
 
 A bar without a value (KDJ's range being zero) keeps the state and gives null.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,11 @@ from .windows import so_far
 EMA = (5, 10, 20, 30, 60)
 RSI = (6, 14, 24)
 RECURSIVE = (*[f"ema{n}" for n in EMA], "macd_dif", "macd_dea", "macd_hist", "kdj_k", "kdj_d", "kdj_j", "atr_14", *[f"rsi_{n}" for n in RSI])
+#: Rows of whole symbols that are worked on together.
+CHUNK = 1 << 16
+
+_SPANS = (*EMA, 12, 26)
+_ALPHAS = np.array([*[2 / (n + 1) for n in _SPANS], 1 / 14, *[1 / n for n in RSI for _ in (0, 1)]])[:, None]
 
 
 def ewm(values: pd.Series, alpha: float, ignore_na: bool = True) -> pd.Series:
@@ -27,41 +36,92 @@ def ewm(values: pd.Series, alpha: float, ignore_na: bool = True) -> pd.Series:
     return values.ewm(alpha=alpha, adjust=False, ignore_na=ignore_na).mean().where(values.notna() | (not ignore_na))
 
 
-def indicators_of(bars: pd.DataFrame, wanted: Sequence[str]) -> pd.DataFrame:
-    """The recursive columns of one symbol's bars, in the order of their dates."""
-    close, high, low = (bars[c].astype("float64") for c in ("close", "high", "low"))
-    out, mean = {}, lambda x, n: ewm(x, 2 / (n + 1))
-    out |= {f"ema{n}": mean(close, n) for n in EMA if f"ema{n}" in wanted}
-    if any(c.startswith("macd") for c in wanted):
-        dif = mean(close, 12) - mean(close, 26)
-        dea = mean(dif, 9)
-        out |= {"macd_dif": dif, "macd_dea": dea, "macd_hist": 2 * (dif - dea)}
-    if any(c.startswith("kdj") for c in wanted):
-        least, most = low.rolling(9).min(), high.rolling(9).max()
-        spread = (most - least).where(most != least)
-        k = ewm(100 * (close - least) / spread, 1 / 3)
-        d = ewm(k, 1 / 3)
-        out |= {"kdj_k": k, "kdj_d": d, "kdj_j": 3 * k - 2 * d}
-    if "atr_14" in wanted:
-        before = close.shift(1)
-        out["atr_14"] = ewm(pd.concat([high - low, (high - before).abs(), (low - before).abs()], axis=1).max(axis=1), 1 / 14)
-    step = close.diff()
-    for n in RSI:
-        if f"rsi_{n}" in wanted:
-            gain, loss = ewm(step.clip(lower=0).fillna(0), 1 / n), ewm((-step).clip(lower=0).fillna(0), 1 / n)
-            out[f"rsi_{n}"] = 100 - 100 / (1 + gain / loss.where(loss != 0, 1e-12))
-    return pd.DataFrame({c: out[c] for c in wanted}, index=bars.index)
+def _next(state: np.ndarray, x: np.ndarray, alpha) -> np.ndarray:
+    """The means after one more value; a NaN keeps the state."""
+    new = np.where(np.isnan(state), x, state + alpha * (x - state))
+    return np.where(np.isnan(x), state, new)
+
+
+def _inputs(close: np.ndarray, high: np.ndarray, low: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the first means take in (a row for each of ``_ALPHAS``) and KDJ's raw value, for all bars; ``place`` counts a symbol's bars from 0."""
+    before = np.where(place > 0, np.concatenate([[np.nan], close[:-1]]), np.nan)
+    spread = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
+    move = np.nan_to_num(close - before)
+    least, most = low.copy(), high.copy()
+    for k in range(1, 9):
+        least[k:], most[k:] = np.minimum(least[k:], low[:-k]), np.maximum(most[k:], high[:-k])
+    width = np.where((place >= 8) & (most != least), most - least, np.nan)
+    return np.stack([*[close] * len(_SPANS), spread, *[np.maximum(x, 0) for _ in RSI for x in (move, -move)]]), 100 * (close - least) / width
+
+
+def lockstep(close: np.ndarray, high: np.ndarray, low: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """All recursive columns of bars sorted by symbol and date; ``starts``: where each symbol begins."""
+    n = len(close)
+    lengths = np.diff(np.append(starts, n))
+    place = np.arange(n) - np.repeat(starts, lengths)
+    taken, raw = _inputs(close, high, low, place)
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    means, dea, k, d = np.full((len(_ALPHAS), len(starts)), np.nan), *(np.full(len(starts), np.nan) for _ in range(3))
+    out, late = np.empty((len(_ALPHAS), n)), np.empty((3, n))
+    fast, slow = _SPANS.index(12), _SPANS.index(26)
+    for t in range(int(lengths.max(initial=0))):
+        m = int(np.searchsorted(-lengths, -t, "left"))  # symbols with more than t bars
+        at = starts[:m] + t
+        means[:, :m] = now = _next(means[:, :m], taken[:, at], _ALPHAS)
+        dea[:m] = _next(dea[:m], now[fast] - now[slow], 0.2)
+        k[:m] = _next(k[:m], raw[at], 1 / 3)
+        d[:m] = np.where(np.isnan(raw[at]), d[:m], _next(d[:m], k[:m], 1 / 3))
+        out[:, at] = now
+        late[0, at], late[1, at], late[2, at] = dea[:m], k[:m], d[:m]
+    missing = np.isnan(close)
+    hidden = lambda x: np.where(missing, np.nan, x)
+    columns = {f"ema{s}": hidden(out[_SPANS.index(s)]) for s in EMA}
+    dif = hidden(out[fast] - out[slow])
+    columns |= {"macd_dif": dif, "macd_dea": hidden(late[0]), "macd_hist": 2 * (dif - late[0])}
+    kk, dd = np.where(np.isnan(raw), np.nan, late[1]), np.where(np.isnan(raw), np.nan, late[2])
+    columns |= {"kdj_k": kk, "kdj_d": dd, "kdj_j": 3 * kk - 2 * dd, "atr_14": np.where(np.isnan(taken[len(_SPANS)]), np.nan, out[len(_SPANS)])}
+    for r, s in enumerate(RSI):
+        gain, loss = out[len(_SPANS) + 1 + 2 * r], out[len(_SPANS) + 2 + 2 * r]
+        columns[f"rsi_{s}"] = 100 - 100 / (1 + gain / np.where(loss == 0, 1e-12, loss))
+    return columns
 
 
 def with_recursive(df: DataFrame, wanted: Sequence[str] = RECURSIVE) -> DataFrame:
     """``df`` with the ``wanted`` recursive columns."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in wanted]])
 
-    def of(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("date", kind="stable", ignore_index=True)
-        return pd.concat([bars, indicators_of(bars, wanted)], axis=1)
-
-    return df.groupBy("symbol").applyInPandas(of, schema)
+    def worked(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        prices = (table.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy() for c in ("close", "high", "low"))
+        found = lockstep(*prices, starts)
+        for c in wanted:
+            table = table.append_column(c, pa.array(found[c], from_pandas=True))
+        yield from table.combine_chunks().to_batches()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                starts = _starts(table)
+                if len(starts) > 1:
+                    yield from worked(table.slice(0, int(starts[-1])), starts[:-1])
+                    table = table.slice(int(starts[-1]))
+                held, rows = table.to_batches(), table.num_rows
+        if rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from worked(table, _starts(table))
+
+    return df.repartition("symbol").sortWithinPartitions("symbol", "date").mapInArrow(of, schema)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where each symbol begins."""
+    codes = table.column("symbol").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
 
 
 def ewm_gap_decay(df: DataFrame, column: str, alpha: float, name: str) -> DataFrame:
