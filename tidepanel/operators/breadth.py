@@ -129,7 +129,7 @@ def emotion_radar(day: DataFrame) -> DataFrame:
         "breadth": clamp(f("up_share") * 100),
         "limits": clamp(50 + (f("limit_up") - f("limit_down")) * 2),
         "seal": clamp(f("seal_rate") * 100),
-        "trend": clamp((f("above_ma5") + f("above_ma20") + f("above_ma60")) / 3 * 100),
+        "trend": clamp(F.bround(F.round((f("above_ma5") + f("above_ma20") + f("above_ma60")) * 10000) / 30, 0) / 10),  # in whole numbers, so that ties are exact
         "activity": clamp(f("active_share") * 100),
         "height": clamp(f("max_streak") * 15),
     }

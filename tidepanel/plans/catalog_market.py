@@ -154,7 +154,7 @@ _BANDS = ", ".join(f"({k}, '{name}')" for k, (_, name) in enumerate(A.BANDS))
 query("a10_pct_bands", B.with_("bars", more=f"{IND}, c AS (SELECT {_BAND} AS band, count(*) AS n FROM (SELECT change_pct * 100 AS p FROM ind) GROUP BY 1)") + f"SELECT b.band::INTEGER AS band, b.label, coalesce(c.n, 0) AS n, round_even(coalesce(c.n, 0) / (SELECT sum(n) FROM c WHERE band IS NOT NULL)::DOUBLE, 4) AS share FROM (VALUES {_BANDS}) b(band, label) LEFT JOIN c USING (band)")(lambda s, d: A.pct_bands(indicator_frame(s, d, {"change_pct"})))
 _CL = lambda x: f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {x}))"
 _Z = lambda c: f"coalesce({c}::DOUBLE, 0.0)"
-_RADAR = {"breadth": f"{_Z('up_share')} * 100", "limits": f"50 + ({_Z('limit_up')} - {_Z('limit_down')}) * 2", "seal": f"{_Z('seal_rate')} * 100", "trend": f"({_Z('above_ma5')} + {_Z('above_ma20')} + {_Z('above_ma60')}) / 3 * 100", "activity": f"{_Z('active_share')} * 100", "height": f"{_Z('max_streak')} * 15"}
+_RADAR = {"breadth": f"{_Z('up_share')} * 100", "limits": f"50 + ({_Z('limit_up')} - {_Z('limit_down')}) * 2", "seal": f"{_Z('seal_rate')} * 100", "trend": f"round_even(round(({_Z('above_ma5')} + {_Z('above_ma20')} + {_Z('above_ma60')}) * 10000) / 30, 0) / 10", "activity": f"{_Z('active_share')} * 100", "height": f"{_Z('max_streak')} * 15"}
 OVERVIEW = f"""{WIDE},
 {BREADTH.replace('FROM ind', 'FROM wide')},
 {LSTATS.replace('$T', 'wide')},
@@ -215,9 +215,9 @@ query("a20_analysis_template", B.with_("instruments") + "SELECT industry, count(
     lambda s, d: A.analysis_template(dims(s, d), ["industry"], [("n", "count", "symbol"), ("avg_balance", "avg", "balance"), ("most", "max", "total_shares")], ("avg_balance", True), 10)
 )
 _IN = lambda n, c: f"CASE WHEN rn <= {n} THEN {c} END"
-_TAIL = [f"sum({_IN(n, 'close')}) AS sum_close_{n}" for n in (4, 9, 19, 29, 59)] + [f"sum(pow({_IN(19, 'close')}, 2)) AS sum_sq_19", f"max({_IN(59, 'close')}) AS max_close_59", f"min({_IN(59, 'close')}) AS min_close_59"]
+_TAIL = [f"sum({_IN(n, 'close')}) AS sum_close_{n}" for n in (4, 9, 19, 29, 59)] + [f"sqrt(sum(pow({_IN(19, 'close')}, 2))) AS sum_sq_19", f"max({_IN(59, 'close')}) AS max_close_59", f"min({_IN(59, 'close')}) AS min_close_59"]
 _TAIL += [f"max(CASE WHEN rn = {n} THEN close END) AS close_{n}_ago" for n in (1, 5, 10, 20, 30, 60)] + [f"sum({_IN(n, 'volume')}) AS sum_volume_{n}" for n in (4, 5, 9)] + [f"max({_IN(8, 'high')}) AS max_high_8", f"min({_IN(8, 'low')}) AS min_low_8"]
-query("a21_tail_state", B.with_("bars", more="t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars)") + f"SELECT symbol, {', '.join(_TAIL)} FROM t WHERE rn <= 60 GROUP BY symbol")(lambda s, d: A.tail_state(bars(s, d)))
+query("a21_tail_state", B.with_("bars", more="t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars)") + f"SELECT symbol, {', '.join(_TAIL)} FROM t WHERE rn <= 60 GROUP BY symbol")(lambda s, d: A.tail_state(bars(s, d)).withColumn("sum_sq_19", F.sqrt("sum_sq_19")))
 query("a22_minute_vwap", B.with_("minutes") + "SELECT symbol, datetime::DATE AS date, coalesce(sum(amount) / nullif(sum(volume), 0), arg_max(close, datetime)) AS vwap FROM minutes GROUP BY 1, 2")(lambda s, d: A.minute_vwap(B.minutes(s, d)))
 query("a23_minute_completeness", B.with_("minutes") + "SELECT symbol, datetime::DATE AS date, count(*) AS bars, count(*) / 60.0::DOUBLE AS share, count(*) >= 54 AS complete FROM minutes GROUP BY 1, 2")(lambda s, d: A.minute_completeness(B.minutes(s, d), 60))
 _STMT = "st AS (SELECT symbol, last_day(date) AS period_end, sum(amount) AS revenue FROM bars GROUP BY 1, 2)"
