@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .tokens import encoder, tokenizer_path
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -87,6 +88,7 @@ def disassemble(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[str, str,
 def format_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``conv_id, turn, place, ids, loss_mask`` of every turn; ``place`` settles the order of equal turns."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
+    text_batches(df.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

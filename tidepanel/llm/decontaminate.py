@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, text_batches
 
 #: Selected (1) and ignored (0) positions.
 MASKS = ("1101011", "11001011", "101100011", "1110000101")
@@ -214,6 +214,7 @@ def _blocks(benchmark: DataFrame, key: str, text: str, block_words: int):
 
 def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``df`` with ``__leaks``: the items that each row's text overlaps, with the words that match in the best window."""
+    text_batches(df.sparkSession)
     none = F.lit(None).cast(_LEAKS)
     out = df.withColumn("__leaks", F.coalesce(none, F.array().cast(_LEAKS)))
     for k, block in enumerate(_blocks(benchmark, item_key, item_text, block_words)):

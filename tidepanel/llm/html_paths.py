@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Content paths reach this share of the mean fused score; the container holds this share of the content's score.
 REACH, HOLD = 0.3, 0.85
 #: Weights of a node and its neighbours in page order.
@@ -201,6 +203,8 @@ def main_text(source: str | None) -> str:
 def extract(df: DataFrame, source: str = "html", to: str = "text") -> DataFrame:
     """``df`` with the main text of ``source`` in column ``to``."""
 
+    text_batches(df.sparkSession)
+
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
             yield pa.array([main_text(x.as_py()) for x in pages], pa.string())

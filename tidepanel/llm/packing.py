@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -85,6 +86,7 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids with ``end_id`` behind them."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
+    text_batches(df.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).ids

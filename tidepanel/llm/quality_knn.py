@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .decontaminate import word_hashes
 
 SAMPLE = 4096
@@ -155,6 +156,7 @@ def held_out(key: Column) -> Column:
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Voter | None:
     """A voter taught by at most ``sample`` labelled rows that aren't held out."""
+    text_batches(df.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("id")).agg(F.avg(label).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
@@ -176,6 +178,7 @@ def with_scores(df: DataFrame, voter: Voter | None, text: str = "text") -> DataF
     """``df`` with ``__score`` from 0 to 1."""
     if voter is None:
         return df.withColumn("__score", F.lit(0.5))
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(voter)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

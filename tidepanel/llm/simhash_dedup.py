@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, text_batches
 
 SHINGLE_WORDS = 3
 #: Shingles whose bits are counted at once.
@@ -66,6 +66,7 @@ def fingerprint_udf(shingle: int):
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``id, fp`` for every row of ``df``."""
+    text_batches(df.sparkSession)
     return df.select(F.col(key).alias("id"), fingerprint_udf(shingle)(F.col(text)).alias("fp"))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shared_folder
+from .common import cut, shared_folder, text_batches
 from .tokens import encoder, tokenizer_path
 
 #: Documents a shard, about.
@@ -191,6 +191,7 @@ class ShardReader:
 def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """Writes the shards to ``folder``; gives the manifest ``shard, max_id, first, documents, tokens``, ``first`` being the ids before the shard."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
+    text_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     shards = max(1, -(-rows.count() // shard_documents))
 
