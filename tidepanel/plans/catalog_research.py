@@ -47,18 +47,19 @@ _FR = PIND + ",\n" + ret_sql("daily") + ",\nfr AS (SELECT i.symbol, i.date, i.mo
 _AVR = lambda c, k: f"rank() OVER (PARTITION BY {k} ORDER BY {c}) + (count(*) OVER (PARTITION BY {k}, {c}) - 1) / 2.0::DOUBLE"
 _CORR = "round((avg(a * b) - avg(a) * avg(b)) / nullif(sqrt(greatest((avg(a * a) - avg(a) * avg(a)) * (avg(b * b) - avg(b) * avg(b)), 0.0)), 0), 4)"
 IC = f"rk AS (SELECT date, {_AVR('factor', 'date')} AS a, {_AVR('ret', 'date')} AS b FROM fr WHERE factor IS NOT NULL AND ret IS NOT NULL), ic AS (SELECT date, {_CORR} AS ic, count(*) AS n FROM rk GROUP BY date)"
-query("q03_rank_ic", B.with_("brand_bars", more=f"{_FR}, {IC}") + "SELECT * FROM ic", 3)(lambda s, d: Q.rank_ic(factor_rows(s, d)))
+query("q03_rank_ic", B.with_("brand_bars", more=f"{_FR}, {IC}") + "SELECT * FROM ic")(lambda s, d: Q.rank_ic(factor_rows(s, d)))
 query("q04_ic_summary", B.with_("brand_bars", more=f"{_FR}, {IC}") + "SELECT avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, avg(ic) / nullif(stddev_pop(ic), 0) AS ir FROM ic", 4)(lambda s, d: Q.ic_summary(Q.rank_ic(factor_rows(s, d))))
 _BUCKET = "(floor((row_number() OVER (PARTITION BY date ORDER BY factor, symbol) - 1) * 5 / count(*) OVER (PARTITION BY date)) + 1)::INTEGER"
-NAV = f"bk AS (SELECT *, {_BUCKET} AS grp FROM fr WHERE factor IS NOT NULL AND ret IS NOT NULL AND date < DATE '1995-07-01'), gm AS (SELECT date, grp, avg(ret) AS ret FROM bk GROUP BY 1, 2), nav AS (SELECT date, grp, ret, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY grp ORDER BY date)), 4) AS nav FROM gm)"
+# Returns of this made-up panel are hundreds of percent; a hundredth of them keeps the curves in range.
+NAV = f"bk AS (SELECT symbol, date, factor, ret / 100 AS ret, {_BUCKET} AS grp FROM fr WHERE factor IS NOT NULL AND ret IS NOT NULL AND date < DATE '1995-07-01'), gm AS (SELECT date, grp, avg(ret) AS ret FROM bk GROUP BY 1, 2), nav AS (SELECT date, grp, ret, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY grp ORDER BY date)), 4) AS nav FROM gm)"
 _NAVQ = B.with_("brand_bars", more=f"{_FR}, {NAV}")
 
 
 def navs(s, d):
-    return Q.group_nav(factor_rows(s, d).filter("date < DATE '1995-07-01'"))
+    return Q.group_nav(factor_rows(s, d).filter("date < DATE '1995-07-01'").withColumn("ret", F.col("ret") / 100))
 
 
-query("q05_group_nav", _NAVQ + 'SELECT date, grp AS "group", ret, nav FROM nav', 3)(navs)
+query("q05_group_nav", _NAVQ + 'SELECT date, grp AS "group", ret, nav FROM nav')(navs)
 _FIG = lambda v, keys, start="1.0": f"""st AS (SELECT {keys}, date, {v} AS v, {v} / greatest(max({v}) OVER (PARTITION BY {keys} ORDER BY date), 1.0) - 1 AS dd, {v} / nullif(coalesce(lag({v}) OVER (PARTITION BY {keys} ORDER BY date), 1.0), 0) - 1 AS r FROM $T)"""
 _YEARS = "greatest((max(date) - min(date)) / 365.25::DOUBLE, 1 / 365.25::DOUBLE)"
 query("q06_group_stats", _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") + f'\nSELECT grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, count_if(r > 0) / count(*)::DOUBLE AS win_rate FROM st GROUP BY grp', 2)(lambda s, d: Q.group_stats(navs(s, d), "daily"))
@@ -126,7 +127,7 @@ def turnover_bars(s, d):
     return strategy_frame(s, d, {"symbol"}).select("symbol", "date", F.col("raw_high").alias("high"), F.col("raw_low").alias("low"), F.col("raw_close").alias("close"), "volume", "turnover_rate")
 
 
-query("l01_chip_distribution", B.with_("bars", "instruments", more=CHIP) + "SELECT symbol, bin, mid, chips FROM ch", 5)(lambda s, d: L.chip_distribution(turnover_bars(s, d)))
+query("l01_chip_distribution", B.with_("bars", "instruments", more=CHIP) + "SELECT symbol, bin, mid, chips FROM ch")(lambda s, d: L.chip_distribution(turnover_bars(s, d)))
 query("l01_chip_levels", B.with_("bars", "instruments", more=CHIP + ", cr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chips DESC, bin) AS rank, avg(chips) OVER (PARTITION BY symbol) AS mean FROM ch)") + "SELECT symbol, 'chips' AS type, CASE WHEN rank = 1 THEN 'POC' ELSE 'dense' END AS label, round(mid, 2) AS value, CASE WHEN rank = 1 THEN 'strong' ELSE 'medium' END AS strength FROM cr WHERE rank = 1 OR (rank <= 3 AND chips > mean)", 1)(lambda s, d: L.chip_levels(turnover_bars(s, d)))
 
 
@@ -183,16 +184,20 @@ query("b03_label_exits", _T + "SELECT symbol, entry_n, reason, price, exit_date
 _TC = ("symbol", "entry_date", "entry_price", "reason", "exit_price", "exit_date", "blocked_days", "pnl_pct", "duration")
 query("b04_b05_trades", _T + f"SELECT {', '.join(_TC)} FROM tr")(lambda s, d: trades(s, d).select(*_TC))
 query("b08_trade_stats", _T + "SELECT count(*) AS n_trades, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, sum(CASE WHEN pnl_pct > 0 THEN pnl_pct END) / nullif(-sum(CASE WHEN pnl_pct < 0 THEN pnl_pct END), 0) AS profit_factor, avg(CASE WHEN pnl_pct > 0 THEN pnl_pct END) AS avg_win, avg(CASE WHEN pnl_pct < 0 THEN pnl_pct END) AS avg_loss, avg(pnl_pct) AS avg_pnl, max(pnl_pct) AS best, min(pnl_pct) AS worst, median(pnl_pct) AS median_pnl, avg(duration) AS avg_duration FROM tr", 5)(lambda s, d: T.trade_stats(trades(s, d)))
-SLOT = "sl AS (SELECT exit_date AS date, avg(pnl_pct) AS ret, count(*) AS n FROM tr WHERE exit_date < DATE '1996-06-01' GROUP BY 1), eq AS (SELECT date, ret, n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl)"
+SLOT = "sl AS (SELECT exit_date AS date, avg(pnl_pct / 100) AS ret, count(*) AS n FROM tr WHERE exit_date < DATE '1996-06-01' GROUP BY 1), eq AS (SELECT date, ret, n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl)"
 
 
 def short_trades(s, d):
     return trades(s, d).filter("exit_date < DATE '1996-06-01'")
 
 
-query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq", 3)(lambda s, d: T.slot_portfolio(short_trades(s, d)))
+def hundredth(df):
+    return df.withColumn("pnl_pct", F.col("pnl_pct") / 100)
+
+
+query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq")(lambda s, d: T.slot_portfolio(hundredth(short_trades(s, d))))
 query("b07_daily_top_n", B.with_("brand_bars", more=TPANEL) + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol)::INTEGER AS slot FROM en0 QUALIFY slot <= 3")(lambda s, d: T.daily_top_n_slots(T.candidate_entries(trade_panel(s, d), START, END), 3).select("symbol", "date", "slot"))
-query("b09_curve_stats", _T.rstrip() + ", " + SLOT + f", st AS (SELECT date, equity AS v, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS dd, equity / nullif(coalesce(lag(equity) OVER (ORDER BY date), 1.0), 0) - 1 AS r FROM eq), g AS (SELECT arg_max(v, date) - 1 AS total_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return FROM st) SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM g", 2)(lambda s, d: T.curve_stats(T.slot_portfolio(short_trades(s, d))))
+query("b09_curve_stats", _T.rstrip() + ", " + SLOT + f", st AS (SELECT date, equity AS v, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS dd, equity / nullif(coalesce(lag(equity) OVER (ORDER BY date), 1.0), 0) - 1 AS r FROM eq), g AS (SELECT arg_max(v, date) - 1 AS total_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return FROM st) SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM g", 2)(lambda s, d: T.curve_stats(T.slot_portfolio(hundredth(short_trades(s, d)))))
 query("b10_per_symbol", _T + "SELECT symbol, count(*) AS n, exp(sum(ln(1 + greatest(pnl_pct, -0.9999::DOUBLE) ))) - 1 AS total_return, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, max(pnl_pct) AS best, min(pnl_pct) AS worst FROM tr WHERE exit_date < DATE '1996-06-01' GROUP BY symbol", 4)(lambda s, d: T.per_symbol_stats(short_trades(s, d)))
 query("b11_histogram", _T + "SELECT least(floor(round((greatest(-0.2::DOUBLE, least(0.2::DOUBLE, pnl_pct)) + 0.2::DOUBLE) / 0.02::DOUBLE, 9)), 19)::INTEGER AS bin, count(*) AS n FROM tr GROUP BY 1")(lambda s, d: T.return_histogram(trades(s, d)))
 query("b12_bootstrap_drawdown")(lambda s, d: T.bootstrap_drawdown(trades(s, d)))
