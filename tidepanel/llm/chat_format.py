@@ -86,7 +86,7 @@ def disassemble(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[str, str,
 
 
 def format_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``conv_id, turn, place, ids, loss_mask`` of every turn; ``place`` settles the order of equal turns."""
+    """``conv_id, turn, ids, loss_mask`` of every turn, in the order of the rows."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     text_batches(df.sparkSession)
 

@@ -18,8 +18,8 @@ shuffled, whatever the number of hits.
 Cases: a null or empty text overlaps nothing; items of fewer than
 ``LEAST_ITEM_WORDS`` words match nothing; repeated items are all reported, items
 with a null id as null; rows with null or repeated ids are judged one by one;
-either table may be empty; all columns pass through, but the names ``__leaks``
-and ``__row`` must be free.
+either table may be empty; all columns pass through, but the name ``__leaks``
+must be free.
 """
 
 from collections.abc import Iterator
