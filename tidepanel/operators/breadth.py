@@ -40,12 +40,6 @@ def latest_two_quotes(bars: DataFrame, as_of: str | None = None) -> DataFrame:
     return out.withColumns({"change": change, "change_pct": F.try_divide(change, F.col("prev_close"))})
 
 
-def upper_median(column: str) -> Column:
-    """The value at index floor(n / 2) in rising order."""
-    values = F.sort_array(F.filter(F.collect_list(column), lambda x: x.isNotNull()))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def upper_median_by_rank(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """``keys, median``: the value at index floor(n / 2) of each group, by ranks, whatever a group's size."""
     w = Window.partitionBy(*keys)
