@@ -80,3 +80,42 @@ def test_edge_cases(spark):
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("3", "same words here now"), ("8", ""), ("None", "lonely other words apart"), ("1", "x " * 3000)])
     assert S.report(df.limit(0)).count() == 0
     assert S.keep_one(df.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_drops_near_copies_of_similarity_four_fifths(spark):
+    rng, texts = random.Random(5), []
+    for k in range(40):  # each changed word spoils five shingles of 200
+        words = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for i in rng.sample(range(10, 190), rng.choice([1, 2, 3, 4, 6, 9])):
+                other[i] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(other))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i // 4 * 4, i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 50 < len(set(root)) < len(texts) - 50
+    kept = S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(root)
+
+
+def test_stage_drops_a_large_group_and_its_bridges(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(204)]
+    texts = [" ".join(f"v{n}" if i == rng_i else w for i, w in enumerate(words)) for n, rng_i in enumerate(rng.choices(range(20, 180), k=300))]
+    step = list(words)
+    for k in range(5):  # a chain that leads away from the group
+        for i in (20 * k + 100, 20 * k + 110):
+            step[i] = f"x{i}"
+        texts.append(" ".join(step))
+    kept = S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [0]

@@ -15,6 +15,11 @@
 4. Links make components by alternating large-star and small-star steps, with
    checkpoints between the rounds.
 
+The pipeline's stage (``keep_one``) takes five-word shingles and also links texts of
+Jaccard similarity 0.8 or more. Their fingerprints differ in some 10 of 64 bits, a
+distance at which the grid rules out next to nothing; so min-hash bands propose
+those pairs, and each link is verified on the whole shingle sets.
+
 Cases: a null text counts as an empty one; texts without words have fingerprint
 zero and link like any other; equal fingerprints are always linked; repeated rows
 keep their places; a null id keeps its row, and its component's id is the least
@@ -22,7 +27,7 @@ id that is not null, or null if there is none; an empty table gives an empty
 result; only the named columns are read, so clashing names do no harm.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +40,43 @@ from pyspark.sql.window import Window
 from .common import cut, text_batches
 
 SHINGLE_WORDS = 3
+#: Words of a shingle in the pipeline's stage.
+STAGE_WORDS = 5
+#: Bands of min-hashes that propose pairs to the stage: similarity 0.8 is missed with probability 3e-6.
+BANDS, BAND_ROWS = 24, 4
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
-    """Signed 64-bit SimHash of one text."""
+def digests(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 values of the word shingles of one text as rows of eight bytes, ``BLOCK`` shingles at once."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]])
     stops = ends[min(shingle, len(words)) - 1 :] - 1
-    votes = np.zeros(64, dtype=np.int64)
     for at in range(0, n, BLOCK):
         part = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[at : at + BLOCK].tolist(), stops[at : at + BLOCK].tolist())])
-        votes += np.unpackbits(np.frombuffer(part, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(part, dtype=np.uint8).reshape(-1, 8)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Signed 64-bit SimHash of digests; zero if there are none."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for part in parts:
+        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(part)
     return int(np.packbits(2 * votes > n).view(">i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
+    """Signed 64-bit SimHash of one text."""
+    return majority(digests(text, shingle))
+
+
 def fingerprint_udf(shingle: int):
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -149,17 +170,131 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return prints.join(groups_of(prints), "fp").select("id", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the one row of ``df`` with the least id, all columns kept.
+def normal_words(text: str) -> Column:
+    """The lower-case words (ASCII, as in ``digests``) of a column, one blank between them."""
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(low, r"[ \t\n\x0B\f\r]+", " "))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of one text."""
+    parts = [p.view(">u8").ravel() for p in digests(text, shingle)]
+    return np.unique(np.concatenate(parts).astype(np.uint64)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+_rng = np.random.default_rng(10)
+_ODD, _XOR = (_rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+_ODD |= np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One value for each band of ``BAND_ROWS`` min-hashes; two sets of similarity s share at least one with probability 1 - (1 - s^BAND_ROWS)^BANDS."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 10):
+        np.minimum(least, ((hashes[at : at + (1 << 10), None] ^ _XOR) * _ODD).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
 
-    Only rows that repeat a component's least id are grouped; there is no such
-    pass over a table whose ids are unique.
+def sketches(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """``id, node, fp, bands`` of every row; ``node`` names the text's word sequence."""
+    text_batches(df.sparkSession)
+    rows = df.select(F.col(key).alias("id"), F.xxhash64(normal_words(text)).alias("node"), F.col(text).alias("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, values = [], []
+            for x in batch.column(2):
+                parts = list(digests(x.as_py(), shingle))
+                prints.append(majority(parts))
+                flat = np.concatenate(parts).view(">u8").ravel().astype(np.uint64) if parts else np.zeros(0, dtype=np.uint64)
+                values.append(bands(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["id", "node", "fp", "bands"])
+
+    schema = T.StructType([rows.schema["id"], rows.schema["node"], T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(of, schema)
+
+
+def set_udf(shingle: int):
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_set(x.as_py(), shingle).view(np.int64) for x in batch], pa.list_(pa.int64()))
+
+    return F.arrow_udf(of, T.ArrayType(T.LongType()))
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``u, v`` whose shingle sets (``node, grams``) have Jaccard similarity 0.8 or more."""
+    one = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
+    two = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    return cut(pairs.join(one, "u").join(two, "v").filter(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
+
+
+def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], edges: DataFrame) -> DataFrame:
+    """``edges`` and such further links that all similar texts which share a band are connected.
+
+    ``nodes`` has ``node, bands``. Pairs are verified exactly and in three steps, each
+    leaving out what is connected by then: every text with its least leader (the
+    least text of a band's bucket), with the least and the last of all its buckets,
+    and at last with every text of its buckets. Large groups of near copies are
+    connected before the last step, so it does not list their pairs.
+    """
+    slots = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = slots.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
+    members = cut(slots.join(shared, "bucket"))
+    sets = cut(sets_of(members.select("node").distinct()))
+    ordered = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        for end in ("u", "v"):
+            own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        return pairs.filter("root_u <> root_v").select("u", "v")
+
+    first = members.groupBy("node").agg(F.min("lead").alias("u")).filter("node <> u").select("u", F.col("node").alias("v"))
+    edges = cut(edges.union(similar(first, sets)))
+    ends = members.select("node", F.explode(F.array("lead", "last")).alias("other")).filter("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    edges = cut(edges.union(similar(apart(ends.select(*ordered).distinct(), components(edges)), sets)))
+    roots = components(edges)
+    main = roots.select(F.col("node").alias("lead"), F.col("root").alias("main"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(main, "lead", "left").withColumn("main", F.coalesce("main", "lead")).select("bucket", "node", "root", "main")
+    placed = cut(placed)
+    strays = placed.filter("root <> main").select("bucket", F.col("node").alias("u"), F.col("root").alias("root_u"))
+    rest = strays.join(placed.join(strays.select("bucket").distinct(), "bucket").select("bucket", F.col("node").alias("v"), "root"), "bucket").filter("root_u <> root")
+    return edges.union(similar(rest.select(*ordered).distinct(), sets))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = STAGE_WORDS) -> DataFrame:
+    """Of each group of near copies the one row of ``df`` with the least id, all columns kept.
+
+    Texts are linked if their fingerprints differ in at most 2 bits or their
+    shingle sets have Jaccard similarity 0.8 or more. Only rows that repeat a
+    group's least id are grouped; there is no such pass over a table whose ids are
+    unique.
     """
-    prints = cut(fingerprints(df, key, text))
-    groups = groups_of(prints).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
+    sketch = cut(sketches(df, key, text, shingle))
+    nodes = cut(sketch.groupBy("node").agg(F.min("id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    near = links(heads.select("fp"))
+    for end in ("u", "v"):
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
+    near = near.select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    named = F.xxhash64(normal_words(text))
+    texts = df.select(named.alias("node"), F.col(text).alias("text"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node").select("node", set_udf(shingle)("text").alias("grams"))
+
+    roots = components(near_links(nodes.select("node", "bands"), sets_of, cut(same.union(near))))
+    placed = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    groups = cut(placed.select("node", "root").join(placed.groupBy("root").agg(F.min("first_id").alias("component")), "root"))
+    groups = groups.select(F.col("node").alias("__node"), F.col("root").alias("__root"), F.col("component").alias("__component"))
     first = F.col("id").eqNullSafe(F.col("__component"))
-    tied = cut(prints.join(groups, prints["fp"] == groups["__fp"]).filter(first).groupBy("__root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__root"))
-    rows = df.withColumn("__fp", fingerprint_udf(SHINGLE_WORDS)(F.col(text))).join(groups, "__fp").filter(F.col(key).eqNullSafe(F.col("__component")))
+    tied = cut(sketch.select("id", "node").join(groups, F.col("node") == F.col("__node")).filter(first).groupBy("__root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__root"))
+    rows = df.withColumn("__node", named).join(groups, "__node").filter(F.col(key).eqNullSafe(F.col("__component")))
     if not tied.isEmpty():
         rows = rows.join(tied, "__root", "left_anti").unionByName(rows.join(tied, "__root", "left_semi").dropDuplicates(["__root"]))
     return rows.select(*[rows[c] for c in df.columns])
