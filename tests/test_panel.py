@@ -255,3 +255,14 @@ def test_names_and_breadth(spark):
 def test_finite_or_null(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,), (None,)], "x double")
     assert [r[0] for r in windows.finite_or_null(df).collect()] == [None, None, 1.0, None]
+
+
+def test_blocked_exit_waits_more_than_sixty_bars(spark):
+    one = (8.1, 8.1, 8.1, 8.1, 100.0, False, False, True)
+    (t,) = labelled(trade_case(spark, [flat(entry=True), (9.0, 9.0, 9.0, 9.0, 100.0, False, True, True), *[one] * 70, flat(9.5), flat()]), stop=-0.5)
+    assert (t["exit_price"], t["exit_n"], t["blocked_days"]) == (9.5, 73, 71)
+
+
+def test_exit_that_never_sells_keeps_its_bar(spark):
+    (t,) = labelled(trade_case(spark, [flat(entry=True), (9.0, 9.0, 9.0, 9.0, 100.0, False, True, True), (8.1, 8.1, 8.1, 8.1, 100.0, False, False, True)]), stop=-0.5)
+    assert (t["exit_price"], t["exit_n"], t["blocked_days"]) == (9.0, 2, 0)

@@ -84,12 +84,14 @@ def label_exits(entries: DataFrame, panel: DataFrame, hold: int, stop: float = -
     return first.select(*keys, "x.*")
 
 
-def defer_blocked(exits: DataFrame, panel: DataFrame, most: int = 60) -> DataFrame:
-    """Exits on bars that can't sell move to the first later bar that can, at its close; the reason stays and the days are counted."""
-    blocked = exits.filter("NOT sellable")
-    sell = panel.filter(F.col("_tradable") & ~F.col("_stuck_down")).select("symbol", "n", F.col("date").alias("_date"), F.col("close").alias("_close"))
-    moves = entry_exit_range_join(blocked.drop("entry_n").withColumn("entry_n", F.col("exit_n")).withColumn("_n0", F.lit(0)), sell, most)
-    found = moves.groupBy("symbol", F.col("entry_n").alias("exit_n")).agg(F.min(F.struct("n", "_date", "_close")).alias("m"))
+def defer_blocked(exits: DataFrame, panel: DataFrame) -> DataFrame:
+    """Exits on bars that can't sell move to the first later bar that can, however late, at its close; the reason stays and the days are counted.
+
+    Where no later bar can sell, the exit keeps its bar and price, with no blocked days.
+    """
+    w = Window.partitionBy("symbol").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sell = F.when(F.col("_tradable") & ~F.col("_stuck_down"), F.struct("n", F.col("date").alias("_date"), F.col("close").alias("_close")))
+    found = panel.select("symbol", F.col("n").alias("exit_n"), F.last(sell, ignorenulls=True).over(w).alias("m"))
     out = exits.join(found, ["symbol", "exit_n"], "left")
     late = ~F.col("sellable") & F.col("m").isNotNull()
     return out.select("symbol", "entry_n", "entry_date", "entry_price", "reason", F.when(late, F.col("m._close")).otherwise(F.col("price")).alias("exit_price"), F.when(late, F.col("m._date")).otherwise(F.col("exit_date")).alias("exit_date"), F.when(late, F.col("m.n")).otherwise(F.col("exit_n")).alias("exit_n"), F.when(late, F.col("m.n") - F.col("exit_n")).otherwise(0).cast("int").alias("blocked_days"))
