@@ -1,14 +1,23 @@
 """Main-text extraction by tag-path ratios.
 
-A page becomes its text nodes in order, each with its path of tags from the root.
-Per path, over the whole page, the text length and the punctuation are summed and
-divided by the path's number of nodes; both ratios are smoothed over neighbouring
-nodes in page order and fused into one score, which links lower. Paths whose score
-reaches a share of the page's mean are content paths; the container is the
-deepest element whose content paths hold most of all content score, and every
-block in it is kept but for what stands in boilerplate elements (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments), which the
-paths name by tag, class, id and role.
+A page becomes its text blocks in order, each on the path of block elements, with
+their classes, from the root to it.
+
+1. Per path, over the whole page, the text length, the punctuation and the text in
+   links are summed and divided by the path's number of blocks.
+2. Length and punctuation ratios are measured against the ratios at which the page's
+   text typically stands, at most 1, and smoothed over neighbouring blocks.
+3. Both are fused into one score, which links lower, and which sinks to a twentieth
+   on a path whose classes or ids speak of adverts, notices, sidebars, comments and
+   the like. Paths whose mean score reaches ``REACH`` are content paths; their blocks
+   are selected.
+4. Short blocks can't reach the threshold by themselves (headings, captions, list
+   items, cells): they are kept where they stand in the ``article`` or ``main``, or
+   in the innermost box, of selected blocks; a heading also before such a box. Links
+   alone are kept in an article only.
+
+What the HTML itself declares to be no article never counts: navigation, headers of
+the page, footers, asides, forms, dialogs, scripts, styles, and what is hidden.
 
 Inside a block white space becomes one space; a ``<br>`` counts as white space.
 Blocks are joined in page order by a line end.
@@ -34,17 +43,17 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-#: Content paths reach this share of the mean fused score; the container holds this share of the content's score.
-REACH, HOLD = 0.3, 0.85
-#: Weights of a node and its neighbours in page order.
-KERNEL = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
+#: Least score of a content path, and what a telling name leaves of a score.
+REACH, NAMED = 0.25, 0.05
+#: Weight of a block itself and of each neighbour in page order.
+OWN, BESIDE = 0.7, 0.15
 
 # Elements by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
 NEVER = frozenset("script style noscript iframe template svg math head title textarea select button input nav footer aside form menu dialog object canvas audio video xmp noembed noframes search".split())
-BOILERPLATE = re.compile(
+NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|notice\w*|cookies?|consent|gdpr|alert|popup|modal|overlay|"
     r"comments?|disqus|replies|reply|respond|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|copyright|disclaimer|skip)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -52,148 +61,212 @@ BOILERPLATE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；！？]")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))|([^\s=\"'/]+)")
+_MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?]")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_GAP = re.compile(r"[\s/]*")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that group blocks.
+_BOXES = frozenset("html body article main section div center details fieldset".split())
+#: Words that, inside an article, name its own parts.
+_OF_ARTICLE = re.compile(r"(?:^|(?<=[\s_-]))(?:header|footer|masthead)(?=$|[\s_-])", re.IGNORECASE)
 #: What an opening tag closes, up to the bound given.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element and all in it is boilerplate by its name or attributes."""
-    if tag in NEVER or tag == "header" and not in_article:
-        return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
-    found = {m[1].lower() if m[1] else m[5].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
-        return True
-    if found.get("role", "").lower() in ROLES:
-        return True
-    return bool(BOILERPLATE.search(found.get("class", "")) or BOILERPLATE.search(found.get("id", "")))
+class Element:
+    __slots__ = ("box", "leaf", "named", "never", "parent", "path", "tag")
+
+    def __init__(self, parent: "Element | None", tag: str, path: int, named: bool, never: bool):
+        self.parent, self.tag, self.path, self.named, self.never = parent, tag, path, named, never
+        self.box = self if parent is None or tag in _BOXES else parent.box
+        self.leaf = self if parent is None or tag in BLOCKS else parent.leaf
+
+
+class Block:
+    __slots__ = ("at", "marks", "n", "n_linked", "number", "parts")
+
+    def __init__(self, number: int, at: Element):
+        self.number, self.at, self.parts, self.n, self.n_linked, self.marks = number, at, [], 0, 0, 0
 
 
 class Page:
-    """The text nodes of a page: block number, path of element numbers, path of names, text, and whether each stands in a link or in boilerplate."""
+    """A page's text blocks, and which of them are its main text."""
 
     def __init__(self, source: str):
-        self.names: list[str] = []
-        self.nodes: list[tuple[int, tuple[int, ...], str, str, bool, bool]] = []
-        self.stack: list[tuple[int, str, bool]] = []
-        self.block = 0
-        self.depth: defaultdict[str, int] = defaultdict(int)
+        self.blocks: list[Block] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.root = Element(None, "", 0, False, False)
+        self.stack = [self.root]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.block_places: list[int] = []
+        self.number = 0
         at, end = 0, len(source)
         while at < end:
-            m = _TOKEN.search(source, at)
+            m = _MARKUP.search(source, at)
             self._text(source[at : m.start() if m else end])
             if not m:
                 break
+            if m[0] == "<!--":
+                stop = source.find("-->", m.end())
+                at = end if stop < 0 else stop + 3
+            elif not m[2]:
+                stop = source.find(">", m.end())
+                at = end if stop < 0 else stop + 1
+            else:
+                found, at = self._attributes(source, m.end())
+                if at > end:  # cut off inside a tag
+                    break
+                tag = m[2].lower()
+                if m[1]:
+                    self._close(tag)
+                    continue
+                self._open(tag, found)
+                if tag in RAW and source[at - 2] != "/":
+                    stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
+                    at = stop.start() if stop else end
+
+    @staticmethod
+    def _attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+        """A tag's attributes and the place behind it; beyond the end if the tag never ends."""
+        found: dict[str, str] = {}
+        while True:
+            at = _GAP.match(source, at).end()
+            if at >= len(source):
+                return found, len(source) + 1
+            if source[at] == ">":
+                return found, at + 1
+            m = _ATTRIBUTE.match(source, at)
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
             at = m.end()
-            slash, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not tag:
-                continue
-            tag = tag.lower()
-            if slash:
-                self._close(tag)
-                continue
-            self._open(tag, rest or "")
-            if tag in RAW and not (rest or "").rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
-                at = stop.start() if stop else end
-
-    def _open(self, tag: str, rest: str) -> None:
-        if tag in BLOCKS and tag not in VOID:
+
+    def _open(self, tag: str, found: dict[str, str]) -> None:
+        if tag in BLOCKS:
             self._pop_until("p", ("td", "th", "button", "table"))
         if tag in _CLOSES:
             own, bounds = _CLOSES[tag]
             for name in own.split()[::-1]:
                 self._pop_until(name, bounds)
         if tag in BLOCKS:
-            self.block += 1
+            self.number += 1
         if tag in VOID:
             if tag == "br":
                 self._text(" ")
             return
-        self.names.append(tag)
-        dropped = bool(self.stack) and self.stack[-1][2] or _dropped(tag, rest, bool(self.depth["article"]))
-        self.stack.append((len(self.names) - 1, tag, dropped))
-        self.depth[tag] += 1
+        up = self.stack[-1]
+        names = f"{found.get('class', '')} {found.get('id', '')}" if found and tag not in ("html", "body", "article", "main") else ""
+        in_article = bool(self.places["article"])
+        never = up.never or tag in NEVER or tag == "header" and not in_article
+        if found and not never:
+            never = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE) is not None
+        named = up.named or bool(names.strip()) and NAMES.search(_OF_ARTICLE.sub("", names) if in_article else names) is not None
+        path = up.path
+        if tag in BLOCKS:
+            path = self.paths.setdefault((path, f"{tag}.{found.get('class', '')}"), len(self.paths) + 1)
+            self.block_places.append(len(self.stack))
+        self.places[tag].append(len(self.stack))
+        self.stack.append(Element(up, tag, path, named, never))
 
     def _pop_until(self, tag: str, bounds: tuple[str, ...]) -> None:
-        if not self.depth[tag]:
-            return
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][1]
-            if name == tag:
-                self._cut(k)
-                return
-            if name in bounds:
-                return
+        if self.places[tag] and not any(self.places[b] and self.places[b][-1] > self.places[tag][-1] for b in bounds):
+            self._cut(self.places[tag][-1])
 
     def _cut(self, k: int) -> None:
-        for _, name, _ in self.stack[k:]:
-            self.depth[name] -= 1
-        del self.stack[k:]
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.block_places.pop()
 
     def _close(self, tag: str) -> None:
         if tag in BLOCKS:
-            self.block += 1
-        if self.depth[tag]:
-            k = max(k for k, x in enumerate(self.stack) if x[1] == tag)
+            self.number += 1
+        if self.places[tag]:
+            k = self.places[tag][-1]
             # An inline end tag closes no block.
-            if tag in BLOCKS or tag in RAW or not any(x[1] in BLOCKS for x in self.stack[k + 1 :]):
+            if tag in BLOCKS or tag in RAW or not self.block_places or self.block_places[-1] < k:
                 self._cut(k)
 
     def _text(self, text: str) -> None:
         if not text:
             return
-        if not text.isspace() or self.nodes and self.nodes[-1][0] == self.block:
-            names = "/".join(x[1] for x in self.stack)
-            self.nodes.append((self.block, tuple(x[0] for x in self.stack), names, html.unescape(text), self.depth["a"] > 0, bool(self.stack) and self.stack[-1][2]))
-
-    def scores(self) -> np.ndarray:
-        """Each node's fused path score."""
-        length, marks, count, linked = (defaultdict(float) for _ in range(4))
-        for _, _, path, text, link, _ in self.nodes:
-            n = len(text.strip())
-            length[path] += n
-            marks[path] += len(PUNCTUATION.findall(text))
-            linked[path] += n if link else 0
-            count[path] += 1
-        ratios = np.array([[length[p] / count[p], marks[p] / count[p], 1 - linked[p] / max(length[p], 1)] for _, _, p, _, _, _ in self.nodes]).reshape(-1, 3)
-        smooth = [np.convolve(ratios[:, k], KERNEL, mode="full")[2 : 2 + len(ratios)] if len(ratios) else ratios[:, k] for k in (0, 1)]
-        return smooth[0] * (1 + smooth[1]) * ratios[:, 2]
-
-    def container(self) -> int | None:
-        """The deepest element that holds most of the content's score."""
-        scores = self.scores()
-        usable = np.array([not x[5] for x in self.nodes], dtype=bool)
-        if not usable.any():
-            return None
-        mass = scores * np.array([len(x[3].strip()) > 0 for x in self.nodes])
-        content = usable & (scores >= REACH * mass[usable].mean())
-        held: defaultdict[int, float] = defaultdict(float)
-        total = 0.0
-        for k in np.flatnonzero(content).tolist():
-            total += mass[k]
-            for element in self.nodes[k][1]:
-                held[element] += mass[k]
-        blocks = [e for e, x in held.items() if self.names[e] in BLOCKS and self.names[e] not in ("p", "li", "td", "th", "tr", *_HEADINGS)]
-        for name in ("article", "main"):
-            own = [e for e in blocks if self.names[e] == name and held[e] >= 0.5 * total]
-            if own:
-                return max(own, key=lambda e: (held[e], e))
-        most = [e for e in blocks if held[e] >= HOLD * total]
-        return max(most) if most else None
+        last = self.blocks[-1] if self.blocks and self.blocks[-1].number == self.number else None
+        if last is None:
+            if text.isspace():
+                return
+            last = Block(self.number, self.stack[-1].leaf)
+            self.blocks.append(last)
+        text, up = html.unescape(text), self.stack[-1]
+        n = len(text.strip())
+        last.n += n
+        last.marks += len(PUNCTUATION.findall(text))
+        last.n_linked += n if self.places["a"] else 0
+        last.parts.append((text, up.never, up.named))
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's path score, and the share of its path's text that is in links."""
+        path = np.array([b.at.path for b in self.blocks])
+        n, marks, linked = (np.array([getattr(b, name) for b in self.blocks], dtype=float) for name in ("n", "marks", "n_linked"))
+        prior = np.where([b.at.named for b in self.blocks], NAMED, 1.0)
+        usual = np.where([b.at.never for b in self.blocks], 0.0, n * prior)
+        count, whole = np.bincount(path), np.bincount(path, n)
+        links = np.bincount(path, linked) / np.maximum(whole, 1)
+        fused = (1 - links[path]) ** 2 * prior
+        for values, least in ((n, 0.0), (marks, 0.5)):
+            ratio = (np.bincount(path, values) / np.maximum(count, 1))[path]
+            typical = (usual * ratio).sum() / max(usual.sum(), 1)
+            x = np.minimum(1, ratio / typical) if typical else np.ones(len(ratio))
+            near = np.convolve(x, [BESIDE, OWN, BESIDE])[1:-1] / np.convolve(np.ones(len(x)), [BESIDE, OWN, BESIDE])[1:-1]
+            fused *= least + (1 - least) * np.sqrt(x * near)
+        return (np.bincount(path, fused) / np.maximum(count, 1))[path], links[path]
+
+    def kept(self) -> list[bool]:
+        """Whether each block is main text."""
+        if not self.blocks:
+            return []
+        scores, links = self.scores()
+        usable = [not b.at.never for b in self.blocks]
+        selected = [u and s >= REACH for u, s in zip(usable, scores.tolist())]
+        boxes, around, articles = set(), set(), {"article": set(), "main": set()}
+        for b, own in zip(self.blocks, selected):
+            if own and b.at.box not in boxes:
+                boxes.add(b.at.box)
+                up = b.at.box
+                while up is not None and up not in around:
+                    around.add(up)
+                    if up.tag in articles:
+                        articles[up.tag].add(up)
+                    up = up.parent
+        whole = articles["article"] or articles["main"]
+        inside: dict[Element, tuple[bool, bool]] = {}
+
+        def where(e: Element) -> tuple[bool, bool]:
+            """Whether an element stands in an article, and whether in a box, of selected blocks."""
+            chain = []
+            while e is not None and e not in inside:
+                chain.append(e)
+                e = e.parent
+            own = inside[e] if e is not None else (False, False)
+            for x in reversed(chain):
+                own = inside[x] = (own[0] or x in whole, own[1] or x in boxes and x.tag not in ("", "html", "body"))
+            return own
+
+        out = []
+        for b, own, fine, link in zip(self.blocks, selected, usable, links.tolist()):
+            if not own and fine and not b.at.named:
+                in_article, in_box = where(b.at)
+                heading, box = b.at.tag in _HEADINGS, b.at.box
+                beside = in_box or box in boxes
+                own = in_article or beside and (heading or link < 0.5) or heading and box in around and box.tag not in ("", "html", "body")
+            out.append(own)
+        return out
 
     def text(self) -> str:
-        root = self.container()
-        blocks: dict[int, list[str]] = {}
-        for block, path, _, text, _, dropped in self.nodes:
-            if not dropped and (root is None or root in path):
-                blocks.setdefault(block, []).append(text)
-        joined = (" ".join("".join(parts).split()) for parts in blocks.values())
-        return "\n".join(x for x in joined if x)
+        lines = []
+        for block, own in zip(self.blocks, self.kept()):
+            if own:
+                parts = "".join(text for text, never, named in block.parts if not never and (block.at.named or not named))
+                lines.append(" ".join(parts.split()))
+        return "\n".join(x for x in lines if x)
 
 
 def main_text(source: str | None) -> str:
