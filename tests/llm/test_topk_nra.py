@@ -32,21 +32,38 @@ def test_matches_all_pairs(spark, monkeypatch):
         assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
-def test_bounds_spare_most_candidates():
+def test_reading_stops_before_the_lists_end():
+    """Entries are counted: skewed components let the bounds close early; the bar of earlier blocks helps later ones."""
     rng = np.random.default_rng(1)
-    centres = rng.normal(0, 8, (10, 64))
-    vectors = np.floor(centres[rng.integers(0, 10, 4000)] + rng.normal(0, 2, (4000, 64))).astype(np.int64)
+    vectors = np.floor(64 * rng.standard_t(1.5, (8000, 24)).clip(-60, 60)).astype(np.int64)
     best = N.Aggregator(np.arange(50), vectors[:50], 20)
-    for at in range(0, 4000, 500):
-        best.add(np.arange(at, at + 500), vectors[at : at + 500])
-    assert best.scored < 0.5 * best.pairs
+    shares = []
+    for at in range(0, 8000, 1000):
+        before = best.read, best.entries
+        best.add(np.arange(at, at + 1000), vectors[at : at + 1000])
+        shares.append((best.read - before[0]) / (best.entries - before[1]))
+    assert best.read < 0.5 * best.entries and best.scored < 0.06 * 50 * 8000 and shares[-1] < shares[0]
     exact = vectors[:50] @ vectors.T
-    exact[np.arange(50), np.arange(50)] = -(10**9)
+    exact[np.arange(50), np.arange(50)] = -(10**12)
     want = np.sort(exact, axis=1)[:, -20:]
     got = np.sort(best.score[np.argsort(best.query, kind="stable")].reshape(50, 20), axis=1)
     assert (got == want).all()
 
 
+def test_bounds_hold_at_every_step(monkeypatch):
+    """The k-th lower bound never exceeds the k-th final score, whatever the step; so no candidate of the answer is left out."""
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-90, 90, (300, 7))
+    want = np.sort(vectors[:9] @ vectors[9:].T, axis=1)[:, -5:]
+    for steps in (1, 3, 50, 300):
+        monkeypatch.setattr(N, "STEPS", steps)
+        monkeypatch.setattr(N, "RESOLVED", 5)
+        best = N.Aggregator(np.arange(9), vectors[:9], 5)
+        best.add(np.arange(9, 300), vectors[9:])
+        assert (np.sort(best.score[np.argsort(best.query, kind="stable")].reshape(9, 5), axis=1) == want).all()
+        assert (best.bar == want[:, 0]).all()
+
+
 def test_edge_cases(spark):
     rows = [(0, [0.5, 1.0]), (0, [0.5, 1.0]), (20, [float("nan"), 1.0]), (40, None), (60, [None, 1.0]), (80, []), (100, [float("inf")]), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0]), (3, [1e6, 1e6])]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in N.search_report(table(spark, rows)).collect())

@@ -1,19 +1,21 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Every dimension is a list of the candidates, sorted by what they add to a query's
-score (falling components for a positive query component, rising for a negative
-one). The lists are read in step from the top, one band of component values at a
-time; a band's entries are added for a whole block of queries by matrix products.
-What is seen of a candidate gives its lower and upper bound: an unseen entry lies
-below the band's edge and above the list's end. A candidate whose upper bound
-falls short of the k-th best score known is an outsider, and reading goes on for
-the others alone; once few are left, the rest of their entries are read and give
-the final scores. Nothing is approximate.
-
-Scale: queries go to the tasks in blocks of at most ``QUERIES`` vectors, each block
-being one pass over the candidates; a task holds one block of ``CANDIDATES``
-vectors and k rows for each query. The tasks' rows meet in one window over the
-query's id.
+Every dimension is a list of the candidates, sorted by their components. A query
+reads a list from the top if its own component is positive and from the bottom if
+it is negative, so that entries come in falling order of what they add to the
+score. All lists are read in step, a ``STEPS``-th of their length at a time, each from where its
+cursor stands. What is seen of a candidate gives its bounds: an entry not seen yet
+adds at most what stands at its list's cursor and at least what stands at the
+list's end. The k-th largest lower bound is the bar; a candidate whose upper bound
+falls short of it is an outsider. A query stops reading once no more than
+``RESOLVED`` candidates can still qualify (or the lists end), and then the final
+scores of those are resolved. Nothing is approximate.
+
+Scale: queries go to the tasks in blocks of at most ``QUERIES`` vectors; each block
+is one pass over the candidates and is finished, merged and written by itself, so
+neither the plan nor the driver grows with the number of blocks. A task holds one
+block of queries, lists of ``CANDIDATES`` vectors, and k rows for each query, which
+is also what it gives on; the bar of what it has read before spares later lists.
 
 Cases: vectors that are null, empty, or hold a null or non-finite component take
 no part; missing components of a shorter vector count as zero; rows that repeat a
@@ -31,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import shared_folder
 
 K = 20
 QUERIES = 16_384
 CANDIDATES = 2048
 #: Queries whose bounds are held at once in a task.
-QUERY_ROWS = 1024
-#: Reading bands stops once so small a share of the candidates is left; their final scores are taken so many at once.
-FEW, PAIRS = 0.02, 1 << 18
+QUERY_ROWS = 256
+#: Lists are read in so many steps at most.
+STEPS = 8
+#: A query stops reading at so many candidates that can still qualify; final scores are resolved so many at once.
+RESOLVED, PAIRS = 4 * K, 1 << 18
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -62,64 +66,81 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+class Lists:
+    """A block of candidates as one sorted list a dimension: rising components, and whose they are."""
+
+    def __init__(self, vectors: np.ndarray, kind: type):
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(kind)
+        self.dims, self.n = self.order.shape
+        self.low, self.high = self.values[:, :1], self.values[:, -1:]
+
+
 class Aggregator:
-    """The best k of each query so far, and the bounds that keep outsiders from being scored."""
+    """The best k of each query so far."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
         self.query = np.zeros(0, np.int64)
         self.score, self.candidate = self.query.copy(), self.query.copy()
         self.bar = np.full(len(ids), np.iinfo(np.int64).min)
-        self.scored = self.pairs = 0
+        self.entries = self.read = self.scored = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Takes in a block of candidates."""
         if not len(ids):
             return
-        most = float(max(np.abs(self.queries).max(initial=1), 1)) * float(max(np.abs(vectors).max(initial=1), 1)) * self.queries.shape[1]
-        kind, exact = (np.float32 if most < 1 << 23 else np.float64), most < 1 << 52
-        # A band ends where entries stop to add anything, the next ones where they take away more than half and four fifths of them do.
-        size = np.abs(vectors)
-        edges = [1, -int(np.quantile(size, 0.5)), -int(np.quantile(size, 0.8))] if exact else []
-        bands: dict[int, tuple] = {}
+        most = 4.0 * max(np.abs(self.queries).max(initial=1), 1) * max(np.abs(vectors).max(initial=1), 1) * self.queries.shape[1]
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        lists = Lists(vectors, kind)
         for at in range(0, len(self.ids), QUERY_ROWS):
-            own = slice(at, at + QUERY_ROWS)
-            q = self.queries[own].astype(kind)
-            up, down = np.maximum(q, 0), np.minimum(q, 0)
-            total = np.abs(q).sum(axis=1, keepdims=True)
-            open_ = self.ids[own, None] != ids[None, :]
-            self.pairs += open_.size
-            for edge in edges:
-                if edge not in bands:
-                    high, low = vectors >= edge, vectors <= -edge
-                    bands[edge] = tuple(x.T.astype(kind) for x in (vectors * high, vectors * low, high, low))
-                high, low, is_high, is_low = bands[edge]
-                seen = up @ high + down @ low
-                upper = seen + (total - up @ is_high + down @ is_low) * (edge - 1)
-                bar = np.maximum(self.bar[own], self._bar(self.queries[own], vectors, np.where(open_, seen, -np.inf)))
-                open_ &= upper >= bar[:, None]
-                if open_.mean() < FEW:
-                    break
-            i, j = np.nonzero(open_)
-            self.scored += len(i)
-            for s in range(0, len(i), PAIRS):
-                a, b = i[s : s + PAIRS], j[s : s + PAIRS]
-                x, y = self.queries[at + a], vectors[b]
-                scores = np.einsum("ij,ij->i", x.astype(kind), y.astype(kind)) if exact else (x * y).sum(axis=1)
-                self._merge(at + a, scores.astype(np.int64), ids[b])
-
-    def _bar(self, queries: np.ndarray, vectors: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """The least final score of the k candidates of which most is seen; nothing below it can be among the best k."""
-        k = self.k
-        if seen.shape[1] <= k:
-            return np.full(len(queries), np.iinfo(np.int64).min)
-        top = np.argpartition(seen, -k, axis=1)[:, -k:]
-        out = np.empty(len(queries), dtype=np.int64)
-        for s in range(0, len(queries), 256):
-            scores = np.einsum("ij,ikj->ik", queries[s : s + 256].astype(np.float64), vectors[top[s : s + 256]].astype(np.float64))
-            usable = np.isfinite(np.take_along_axis(seen[s : s + 256], top[s : s + 256], axis=1)).all(axis=1)
-            out[s : s + 256] = np.where(usable, scores.min(axis=1), np.iinfo(np.int64).min)
-        return out
+            self._read(np.arange(at, min(at + QUERY_ROWS, len(self.ids))), lists, ids, vectors)
+
+    def _read(self, own: np.ndarray, lists: Lists, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Reads the lists for some queries until no outsider can qualify, and resolves the rest."""
+        kind, n = lists.values.dtype.type, lists.n
+        q = self.queries[own].T.astype(kind)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        other = ids[:, None] != self.ids[None, own]
+        # Lower bounds, from every entry at its list's end: what an entry adds beyond that is never negative.
+        lower = np.repeat(lists.low.T @ up + lists.high.T @ down, n, axis=0)
+        bar = self.bar[own]
+        unseen_up, unseen_down = np.ones((n, lists.dims), dtype=kind), np.ones((n, lists.dims), dtype=kind)
+        step, start, each = -(-n // STEPS), 0, np.arange(lists.dims)[:, None]
+        self.entries += n * lists.dims * len(own)
+        while len(own):
+            end = min(n, start + step)
+            # The entries read in this step, by candidate, so that one product adds them for all queries.
+            tops, bottoms = lists.order[:, n - end : n - start], lists.order[:, start:end]
+            new_up, new_down = np.zeros((n, lists.dims), dtype=kind), np.zeros((n, lists.dims), dtype=kind)
+            new_up[tops, each] = lists.values[:, n - end : n - start] - lists.low
+            new_down[bottoms, each] = lists.values[:, start:end] - lists.high
+            unseen_up[tops, each] = unseen_down[bottoms, each] = 0
+            lower += new_up @ up
+            lower += new_down @ down
+            self.read += (end - start) * lists.dims * len(own)
+            rest = unseen_up @ ((lists.values[:, n - end, None] - lists.low) * up) + unseen_down @ ((lists.values[:, end - 1, None] - lists.high) * down)
+            # The k-th lower bound counts where at least k candidates lie beyond the bar.
+            above = np.flatnonzero((other & (lower > bar)).sum(axis=0) >= self.k)
+            if len(above):
+                known = np.where(other[:, above], lower[:, above], np.iinfo(np.int64).min).T.copy()
+                bar[above] = np.partition(known, n - self.k, axis=1)[:, n - self.k].astype(np.int64)
+            rest += lower
+            open_ = other & (rest >= bar)
+            done = np.full(len(own), end == n) | (open_.sum(axis=0) <= RESOLVED)
+            if done.any():
+                self._resolve(own[done], open_[:, done], ids, vectors, kind)
+                go = ~done
+                own, bar, up, down, lower, other = own[go], bar[go], up[:, go], down[:, go], lower[:, go], other[:, go]
+            start = end
+
+    def _resolve(self, own: np.ndarray, open_: np.ndarray, ids: np.ndarray, vectors: np.ndarray, kind: type) -> None:
+        """Final scores of the candidates that can still qualify."""
+        i, j = np.nonzero(open_.T)
+        self.scored += len(i)
+        for s in range(0, len(i), PAIRS):
+            a, b = own[i[s : s + PAIRS]], j[s : s + PAIRS]
+            self._merge(a, np.einsum("ij,ij->i", self.queries[a].astype(kind), vectors[b].astype(kind)).astype(np.int64), ids[b])
 
     def _merge(self, query: np.ndarray, score: np.ndarray, candidate: np.ndarray) -> None:
         fine = score >= self.bar[query]
@@ -136,11 +157,15 @@ class Aggregator:
         self.query, self.score, self.candidate = (np.concatenate([a[~held], b[keep]]) for a, b in ((self.query, q), (self.score, s), (self.candidate, c)))
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``; both inputs as :func:`quantised` gives them."""
     spark = candidates.sparkSession
-    blocks = max(1, -(-queries.count() // block))
-    out = None
+    blocks, folder = max(1, -(-queries.count() // block)), None
     for n in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).dropDuplicates().toArrow()
         if not own.num_rows:
@@ -158,13 +183,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = QU
                 rows = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.query[rows]]), pa.array(best.candidate[rows]), pa.array(best.score[rows])], names=["query_id", "vec_id", "score"])
 
-        found = candidates.mapInArrow(of, "query_id long, vec_id long, score long")
-        found = cut(found) if blocks > 1 else found
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = candidates.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = _best(candidates.mapInArrow(of, "query_id long, vec_id long, score long"), k)
+        if blocks == 1:
+            return found
+        folder = folder or shared_folder(spark, "top-k")
+        found.write.mode("append").parquet(folder)
+    if folder is None:
+        return _best(candidates.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0), k)
+    return spark.read.parquet(folder)
 
 
 def search_report(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20) -> DataFrame:
