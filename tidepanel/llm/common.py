@@ -36,6 +36,18 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, TEXT_ROWS)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made of ``names``; upper and lower case count as equal."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     checkpoint_root(df.sparkSession)

@@ -15,28 +15,47 @@ Scale: the hash index over the test items goes to the tasks in blocks of at most
 any size is joined whole while a task's memory stays bounded. The texts are never
 shuffled, whatever the number of hits.
 
-Cases: a null or empty text overlaps nothing; items of fewer than
-``LEAST_ITEM_WORDS`` words match nothing; repeated items are all reported, items
-with a null id as null; rows with null or repeated ids are judged one by one;
-either table may be empty; all columns pass through, but the name ``__leaks``
-must be free.
+The masks of a window length cover every pattern of substitutions that the rule
+admits there, so nothing it accepts is missed: 13 words with 3 substituted, 9 to
+12 with 2, 5 to 8 with 1; shorter items must occur word by word.
+
+Cases: a null or empty text overlaps nothing, an item without words matches
+nothing; an item of few words matches wherever they occur, unless ``least_words``
+sets a least number; repeated items are all reported, items with a null id as
+null; rows with null or repeated ids are judged one by one; texts and items of one
+word over and over take memory in proportion to their length; either table may be
+empty; all columns pass through, whatever their names.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_batches
+from .common import cut, free_names, text_batches
 
-#: Selected (1) and ignored (0) positions.
-MASKS = ("1101011", "11001011", "101100011", "1110000101")
 WINDOW, MATCHES = 13, 10
-LEAST_ITEM_WORDS = 5
+#: Selected (1) and ignored (0) positions, by the length of the window.
+MASKS = (
+    {n: ("1" * n,) for n in range(1, 5)}
+    | {5: ("1111", "11011", "10111", "11101")}
+    | {n: ("1111", "11011") for n in (6, 7, 8)}
+    | {
+        9: ("110111", "1111001", "110001011", "101000111"),
+        10: ("110111", "111000101", "101011101"),
+        11: ("1101011", "11100000111"),
+        12: ("1101011", "1110001001"),
+        13: ("110111", "1101000011", "1100000100011"),
+    }
+)
+#: Items of fewer words match nothing.
+LEAST_WORDS = 1
 BLOCK_WORDS = 2_000_000
+#: Hits held at once.
+PAIRS = 1 << 18
 #: Bytes hashed at once.
 SLICE = 1 << 20
 
@@ -103,15 +122,14 @@ def seed_keys(words: np.ndarray, mask: str) -> np.ndarray:
 class Index:
     """Keys of a block of test items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int | None, str | None]], least_words: int = LEAST_WORDS):
         self.ids, self.words, first = [], [], 0
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for id_, text in items:
             words, _ = word_hashes(np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8))
-            if len(words) < LEAST_ITEM_WORDS:
+            if len(words) < max(1, least_words):
                 continue
-            fitting = [m for m in masks if len(m) <= len(words)] or ["1" * len(words)]
-            for m in fitting:
+            for m in MASKS[min(WINDOW, len(words))]:
                 keys = seed_keys(words, m)
                 found.setdefault(m, []).append((keys, first + np.arange(len(keys))))
             self.ids.append(id_)
@@ -128,51 +146,63 @@ class Index:
             seen[(keys >> _U(64 - bits)).astype(np.int64)] = True
             self.seeds[m] = (keys[order], places[order], seen, _U(64 - bits))
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``words`` and in the items' words whose keys are equal."""
-        ours, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in ``words`` and in the items' words whose keys are equal, about ``PAIRS`` at once."""
         for m, (keys, places, seen, shift) in self.seeds.items():
             own = seed_keys(words, m)
             at = np.flatnonzero(seen[(own >> shift).astype(np.int64)])
             low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-            n = high - low
-            ours.append(np.repeat(at, n))
-            theirs.append(places[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return np.concatenate(ours), np.concatenate(theirs)
+            at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(n)
+            for first in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+                pair = np.arange(first, min(first + PAIRS, int(ends[-1])))
+                one = np.searchsorted(ends, pair, "right")
+                yield at[one], places[low[one] + pair - (ends[one] - n[one])]
 
     def overlaps(self, words: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int | None, int]]]:
         """For each text (``words[bounds[k]:bounds[k + 1]]``) the items it overlaps, with the most matching words of a window."""
         out: list[list[tuple[int | None, int]]] = [[] for _ in range(len(bounds) - 1)]
-        ours, theirs = self.hits(words)
-        if not len(ours):
-            return out
-        text, item = np.searchsorted(bounds, ours, "right") - 1, np.searchsorted(self.firsts, theirs, "right") - 1
-        diagonal = ours - (theirs - self.firsts[item])
         best: dict[tuple[int, int], int] = {}
-        for t, i, d in np.unique(np.stack([text, item, diagonal], axis=1), axis=0).tolist():
-            length = len(self.words[i])
-            low, high = max(d, int(bounds[t])), min(d + length, int(bounds[t + 1]))
-            window = min(WINDOW, length)
-            equal = words[low:high] == self.words[i][low - d : high - d]
-            if len(equal) < window:
-                continue
-            total = np.concatenate([[0], np.cumsum(equal)])
-            most = int((total[window:] - total[:-window]).max())
-            if most * WINDOW >= MATCHES * window:
-                best[t, i] = max(best.get((t, i), 0), most)
+        verified: set[tuple[int, int, int]] = set()
+        done = np.zeros(0, dtype=np.int64)
+        span = len(words) + max(map(len, self.words)) + 1
+        for ours, theirs in self.hits(words):
+            text, item = np.searchsorted(bounds, ours, "right") - 1, np.searchsorted(self.firsts, theirs, "right") - 1
+            both = text * len(self.words) + item
+            code = (both * span + ours - (theirs - self.firsts[item]) + span - len(words))[~np.isin(both, done)]
+            for both, d in np.stack(np.divmod(np.unique(code), span), axis=1).tolist():
+                (t, i), d = divmod(both, len(self.words)), d - (span - len(words))
+                window = min(WINDOW, len(self.words[i]))
+                if best.get((t, i)) == window or (t, i, d) in verified:
+                    continue
+                verified.add((t, i, d))
+                most = self._matches(words, int(bounds[t]), int(bounds[t + 1]), i, d, window)
+                if most * WINDOW >= MATCHES * window:
+                    best[t, i] = max(best.get((t, i), 0), most)
+                    if most == window:
+                        done = np.append(done, both)
         for (t, i), most in sorted(best.items()):
             out[t].append((self.ids[i], most))
         return out
 
+    def _matches(self, words: np.ndarray, first: int, last: int, i: int, d: int, window: int) -> int:
+        """The most equal words of a window of item ``i`` laid at ``d`` over the text ``words[first:last]``."""
+        length = len(self.words[i])
+        low, high = max(d, first), min(d + length, last)
+        if high - low < window:
+            return 0
+        total = np.concatenate([[0], np.cumsum(words[low:high] == self.words[i][low - d : high - d])])
+        return int((total[window:] - total[:-window]).max())
+
 
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("matches", T.IntegerType())]))
 
 
-def _leaks_udf(spark, items):
+def _leaks_udf(spark: SparkSession, items: list[tuple[int | None, str | None]], least_words: int):
     shared = spark.sparkContext.broadcast(items)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(shared.value)
+        index = Index(shared.value, least_words)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("matches", pa.int32())]))
         for texts in batches:
             found: list[list[tuple[int | None, int]]] = []
@@ -212,26 +242,37 @@ def _blocks(benchmark: DataFrame, key: str, text: str, block_words: int):
         yield block
 
 
-def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``df`` with ``__leaks``: the items that each row's text overlaps, with the words that match in the best window."""
+def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS, to: str = "leaks") -> DataFrame:
+    """``df`` with ``to``: the items that each row's text overlaps, with the words that match in the best window.
+
+    A benchmark of more than ``block_words`` words takes several passes, between
+    which the rows are written to the shared folder.
+    """
     text_batches(df.sparkSession)
     none = F.lit(None).cast(_LEAKS)
-    out = df.withColumn("__leaks", F.coalesce(none, F.array().cast(_LEAKS)))
+    out = df.withColumn(to, F.coalesce(none, F.array().cast(_LEAKS)))
     for k, block in enumerate(_blocks(benchmark, item_key, item_text, block_words)):
         if k:
             out = cut(out)
-        own = _leaks_udf(df.sparkSession, block)(F.col(text))
-        out = df.withColumn("__leaks", own) if not k else out.withColumn("__leaks", F.concat("__leaks", own))
+        own = _leaks_udf(df.sparkSession, block, least_words)(F.col(text))
+        out = df.withColumn(to, own) if not k else out.withColumn(to, F.concat(to, own))
     return out
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``df`` whose text overlaps no item."""
-    return with_leaks(df, benchmark, text, block_words=block_words).filter(F.size("__leaks") == 0).drop("__leaks")
+    (leaks,) = free_names(df, "leaks")
+    return with_leaks(df, benchmark, text, block_words=block_words, least_words=least_words, to=leaks).filter(F.size(leaks) == 0).drop(leaks)
 
 
-def leak_report(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, item_id, matches`` of every text and item that overlap."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    found = with_leaks(rows, benchmark).select("doc_id", F.explode("__leaks").alias("leak"))
-    return found.select("doc_id", "leak.item_id", "leak.matches")
+def leak_report(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id, item_id, matches`` of every text and item that overlap; a pass over ``df`` for each block of items."""
+    text_batches(df.sparkSession)
+    rows, out = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), None
+    for block in _blocks(benchmark, "item_id", "text", block_words):
+        leaks = _leaks_udf(df.sparkSession, block, least_words)(F.col("text"))
+        found = rows.select("doc_id", F.explode(leaks).alias("leak")).select("doc_id", "leak.item_id", "leak.matches")
+        out = found if out is None else out.union(found)
+    if out is None:
+        out = rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("matches")).limit(0)
+    return out
