@@ -43,18 +43,39 @@ def brute_best_fit(lengths, capacity):
     return len(left), sorted(left)
 
 
+def placed(lengths, capacity):
+    """Bins and offsets of ``lengths``, each with its number within its length, and the runs."""
+    counts, ranks = defaultdict(int), []
+    for x in lengths.tolist():
+        ranks.append(counts[x])
+        counts[x] += 1
+    runs, n = P.best_fit_decreasing(counts, capacity)
+    return *P.places(runs, lengths, np.array(ranks, dtype=np.int64)), runs, n
+
+
 def test_best_fit_matches_a_linear_search():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 5, 300):
-        lengths = rng.integers(1, 65, n)
-        bins, offsets = P.best_fit_decreasing(lengths, 64)
+    for n, most in ((0, 65), (1, 65), (5, 65), (300, 65), (300, 9), (600, 20), (400, 33)):
+        lengths = rng.integers(1, most, n)
+        bins, offsets, _, number = placed(lengths, 64)
         used = np.bincount(bins, weights=lengths) if n else np.zeros(0)
-        assert (len(used), sorted(64 - used)) == brute_best_fit(lengths.tolist(), 64)
+        assert len(used) == number and (len(used), sorted(64 - used)) == brute_best_fit(lengths.tolist(), 64)
         for b in range(len(used)):
             own = sorted((offsets[i], lengths[i]) for i in np.flatnonzero(bins == b))
             assert [o for o, _ in own] == np.cumsum([0, *[x for _, x in own][:-1]]).tolist()
 
 
+def test_runs_do_not_grow_with_the_corpus():
+    """Ten million documents take about as many runs as a hundred thousand, and next to no room is lost."""
+    rng, sizes = np.random.default_rng(4), []
+    for n in (100_000, 10_000_000):
+        values, counts = np.unique((rng.pareto(1.2, n) * 150 + 5).astype(np.int64).clip(1, 2048), return_counts=True)
+        runs, number = P.best_fit_decreasing(dict(zip(values.tolist(), counts.tolist())), 2048)
+        assert number <= 1.001 * (values * counts).sum() / 2048 + 1
+        sizes.append(len(runs))
+    assert sizes[1] < 1.5 * sizes[0] < 40_000
+
+
 ROWS = [(3, "a long " * 3000), (1, "short one"), (None, "no id"), (2, None), (1, "short one"), (7, ""), (None, "no id either"), (-(1 << 62), "least"), (1 << 62, "most")]
 
 
@@ -79,6 +100,15 @@ def test_packing_places_every_piece_once(spark):
     assert P.pack_documents(rows(spark).limit(0)).count() == 0
 
 
+def test_partitions_do_not_change_the_number_of_sequences(spark):
+    lengths = np.random.default_rng(6).integers(1, 65, 2000)
+    df = spark.createDataFrame([(None if k % 3 else k, 0, 0, int(x), 1) for k, x in enumerate(lengths)], P._PIECE)
+    for parts in (1, 7, 40):
+        out = P.pack(df.repartition(parts), 64).toPandas()
+        assert sorted(64 - out.groupby("sequence_id")["length"].sum()) == brute_best_fit(lengths.tolist(), 64)[1]
+        assert (out.groupby(["sequence_id", "offset"]).size() == 1).all() and (out["offset"] + out["length"]).max() <= 64
+
+
 def test_store_reads_back_what_it_wrote(spark, tmp_path):
     encode = Tokenizer.from_file(K.tokenizer_path(NAMES[0])).encode
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
