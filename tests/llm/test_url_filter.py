@@ -43,3 +43,17 @@ def test_one_verdict_no_labels_and_empty(spark):
     assert {r["verdict"] for r in U.url_report(make(["http://x.com/de/1", "http://x.net/"])).collect()} == {"block"}
     assert {r["verdict"] for r in U.url_report(make(["http://x.net/", None])).collect()} == {"allow"}
     assert U.url_report(make(["a"]).limit(0)).count() == 0
+
+
+def test_trees_judge_held_out_urls_rightly(spark):
+    right, base, n = U.held_out_accuracy(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    assert n > 100 and base < 0.9 and right > 0.95, (right, base, n)
+
+
+def test_no_label_reaches_its_own_features(spark):
+    """One URL's label changes neither its own share of blocked URLs nor that of its fold."""
+    rows = U.lexical(U.judged(spark.createDataFrame([(k, f"http://h{k}.com/{'de' if k < 30 else 'fr'}/{k}") for k in range(60)], "page_id long, url string")))
+    flipped = rows.withColumn("ruled", U.F.when(U.F.col("page_id") == 7, "allow").otherwise(U.F.col("ruled")))
+    shares = [{r["page_id"]: (r["suffix_blocked"], r["section_blocked"]) for r in U._with_statistics(x, U.suffix_sums(x), True).collect()} for x in (rows, flipped)]
+    fold = {r["page_id"]: r["fold"] for r in rows.select("page_id", "fold").collect()}
+    assert {k for k in fold if shares[0][k] == shares[1][k]} == {k for k in fold if fold[k] == fold[7]}

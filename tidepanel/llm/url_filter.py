@@ -8,11 +8,15 @@ bounded sample of them (``SAMPLE``, least hashes first) and judge the rest.
 Features: lengths of URL, host and path, depth, digit ratio, entropy of the
 characters, numbers of parameters, labels, hyphens and dots, and statistics of
 the host's suffix over all URLs (how many, mean depth, mean digit ratio, and the
-share of labelled URLs that a rule blocks).
+share of labelled URLs that a rule blocks), and the same share for the first path
+segment where it is a code of at most three letters (``de``, ``fr``). A URL that
+teaches sees these shares without the URLs of its own fold, so no label reaches its
+own features.
 
-Scale: everything but the training is one narrow pass over the URLs; the suffix
-statistics are pre-aggregated where the rows lie. The suffix table is joined by
-whatever way its measured size asks for.
+Scale: two passes over the URLs, one that sums the suffix statistics where the rows
+lie and one that judges; the features of a URL never leave its row but to meet the
+suffix table, which is joined in whatever way its measured size asks for. The
+sample, at most ``SAMPLE`` rows of figures, is what the trees' training moves.
 
 Cases: a null URL or one without ``://`` has empty host and path and no rule; A to Z
 in the host become lower case, nothing else does; repeated rows stay; if the
@@ -37,8 +41,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 SAMPLE = 20_000
-TREES, DEPTH = 12, 4
-FEATURES = ("url_len", "host_len", "path_len", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "has_fragment", "is_https", "suffix_len", "suffix_n", "suffix_depth", "suffix_digits", "suffix_blocked")
+TREES, DEPTH, FOLDS = 12, 4, 5
+FEATURES = ("url_len", "host_len", "path_len", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "has_fragment", "is_https", "suffix_len", "suffix_n", "suffix_depth", "suffix_digits", "suffix_blocked", "section_blocked")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,6 +93,8 @@ def lexical(rows: DataFrame) -> DataFrame:
     return rows.select(
         "*",
         suffix.alias("suffix"),
+        F.regexp_extract("path", r"^/([a-z]{1,3})(?:/|$)", 1).alias("section"),
+        F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold"),
         n.alias("url_len"),
         F.length("host").cast("double").alias("host_len"),
         F.length("path").cast("double").alias("path_len"),
@@ -104,29 +110,77 @@ def lexical(rows: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """One row for each host suffix, over all URLs."""
-    blocked, known = F.sum((F.col("ruled") == "block").cast("double")), F.count("ruled")
-    return rows.groupBy("suffix").agg(
-        F.log1p(F.count(F.lit(1))).alias("suffix_n"),
-        F.avg("depth").alias("suffix_depth"),
-        F.avg("digit_ratio").alias("suffix_digits"),
-        ((F.coalesce(blocked, F.lit(0.0)) + 0.5) / (known + 1)).alias("suffix_blocked"),
+_SUMS = ("n", "depths", "digits", "blocked", "known")
+
+
+def suffix_sums(rows: DataFrame) -> DataFrame:
+    """Sums over all URLs for each host suffix, section and fold."""
+    return rows.groupBy("suffix", "section", "fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("depth").alias("depths"),
+        F.sum("digit_ratio").alias("digits"),
+        F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
+        F.count("ruled").alias("known"),
+    )
+
+
+def _with_statistics(rows: DataFrame, sums: DataFrame, out_of_fold: bool) -> DataFrame:
+    """``rows`` with the figures of their suffixes; the shares of blocked URLs without the row's own fold, if asked for."""
+    out = rows.join(sums.groupBy("suffix").agg(*[F.sum(c).alias(f"all_{c}") for c in _SUMS]), "suffix", "left")
+    shares = []
+    for key in ("suffix", "section"):
+        blocked, known = f"{key}_b", f"{key}_k"
+        part = lambda *keys, end, key=key: sums.groupBy(key, *keys).agg(F.sum("blocked").alias(f"{key}_b{end}"), F.sum("known").alias(f"{key}_k{end}"))
+        out = out.join(part(end=""), key, "left")
+        b, k = F.coalesce(blocked, F.lit(0)), F.coalesce(known, F.lit(0))
+        if out_of_fold:
+            out = out.join(part("fold", end="_own"), [key, "fold"])
+            b, k = b - F.col(f"{blocked}_own"), k - F.col(f"{known}_own")
+        shares.append(((b + 0.5) / (k + 1)).alias(f"{key}_blocked"))
+    return out.select(
+        *[F.col(c) for c in rows.columns],
+        F.log1p(F.coalesce("all_n", F.lit(0))).alias("suffix_n"),
+        (F.col("all_depths") / F.col("all_n")).alias("suffix_depth"),
+        (F.col("all_digits") / F.col("all_n")).alias("suffix_digits"),
+        *shares,
     )
 
 
+def train(labelled: DataFrame, sums: DataFrame, sample: int = SAMPLE):
+    """The trees, taught by at most ``sample`` of the rows that a rule decides; a constant where all have one verdict."""
+    chosen = cut(labelled.filter("ruled IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(sample))
+    taught = cut(_with_statistics(chosen, sums, True).withColumn("label", (F.col("ruled") == "block").cast("double")).select("label", *FEATURES))
+    seen = sorted(r["label"] for r in taught.select("label").distinct().collect())
+    if len(seen) < 2:
+        return seen[0] if seen else 0.0
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(_assembler().transform(taught.coalesce(4)))
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
+
+
+def with_probability(rows: DataFrame, sums: DataFrame, model) -> DataFrame:
+    """``rows`` with the probability ``p_block`` that the trees give."""
+    if isinstance(model, float):
+        return rows.withColumn("p_block", F.lit(model))
+    return model.transform(_assembler().transform(_with_statistics(rows, sums, False))).withColumn("p_block", vector_to_array("probability")[1])
+
+
+def held_out_accuracy(df: DataFrame, key: str = "page_id", url: str = "url") -> tuple[float, float, int]:
+    """Of the rule-labelled URLs of fold 0: the share that trees taught by the other folds judge rightly, the larger verdict's share, and how many."""
+    rows = lexical(judged(df, key, url)).filter("ruled IS NOT NULL")
+    others = rows.filter("fold <> 0")
+    sums = cut(suffix_sums(others))
+    tested = with_probability(rows.filter("fold = 0"), sums, train(others, sums)).select((F.col("p_block") >= 0.5).alias("says"), (F.col("ruled") == "block").alias("is"))
+    got = tested.agg(F.avg(F.expr("int(says = is)")), F.avg(F.col("is").cast("int")), F.count(F.lit(1))).first()
+    return got[0], max(got[1], 1 - got[1]), got[2]
+
+
 def url_report(df: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every URL, and the trees' ``p_block``, null where a rule decides."""
     rows = lexical(judged(df, key, url))
-    rows = rows.join(cut(suffix_statistics(rows)), "suffix")
-    sample = cut(rows.filter("ruled IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(SAMPLE).withColumn("label", (F.col("ruled") == "block").cast("double")).select("label", *FEATURES))
-    seen = sorted(r["label"] for r in sample.select("label").distinct().collect())
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-    if len(seen) < 2:
-        p = F.lit(seen[0] if seen else 0.0)
-        out = rows.withColumn("p_block", p)
-    else:
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(assembler.transform(sample.coalesce(4)))
-        out = model.transform(assembler.transform(rows)).withColumn("p_block", vector_to_array("probability")[1])
+    sums = cut(suffix_sums(rows))
+    out = with_probability(rows, sums, train(rows, sums))
     says = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", says).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("p_block")).alias("p_block"))
