@@ -18,13 +18,14 @@ def brute(rows):
         own.sort()
         learnt = "".join(t for _, _, r, t in own if r == "assistant")
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        out.append((conv, len(own), sha("".join(f"{r}\n{t}\n" for _, _, r, t in own)), len(learnt), sha(learnt)))
+        formatted = "".join(f"<|im_start|>{C.escape_role(r)}\n{C.escape(t)}<|im_end|>\n" for _, _, r, t in own)
+        out.append((conv, len(own), sha("".join(f"{r}\n{t}\n" for _, _, r, t in own)), len(learnt), sha(learnt), len(formatted)))
     return sorted(out, key=str)
 
 
 def test_reads_back_what_was_said(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in ROWS], "conv_id long, turn long, role string, text string, ids int, loss_mask int")
-    got = sorted((tuple(r)[:5] for r in C.chat_report(df).collect()), key=str)
+    got = sorted((tuple(r) for r in C.chat_report(df).collect()), key=str)
     assert got == brute(ROWS)
     only = C.chat_report(df.limit(0)).collect()
     assert [r["conv_id"] for r in only] == [-1] and only[0]["formatted_chars"] == 133
@@ -41,3 +42,13 @@ def test_mask_covers_the_assistants_text_alone():
     ids, mask = C.assemble("assistant", "the answer", path)
     assert mask.sum() == len(C.encoder(path).ids("the answer")) and mask[0] == 0 and mask[-1] == 0
     assert C.assemble("user", "the answer", path)[1].sum() == 0
+
+
+def test_lengths_come_from_the_ids():
+    """What is read back follows the ids, not what was put in."""
+    path = C.tokenizer_path("byte_bpe_50k.json")
+    ids, mask = C.assemble("assistant", "one two", path)
+    more = C.encoder(path).ids(" three")
+    at = int(mask.nonzero()[0][-1]) + 1
+    longer, its_mask = C.np.insert(ids, at, more), C.np.insert(mask, at, [1] * len(more))
+    assert C.disassemble(longer, its_mask, path) == ("assistant", "one two three", "one two three", C.disassemble(ids, mask, path)[3] + 6)

@@ -24,6 +24,15 @@ def test_ids_equal_the_library(name):
         assert ours.ids(text).tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_text_equals_the_library(name):
+    path = K.tokenizer_path(name)
+    ours, theirs, rng = K.Encoder(path), Tokenizer.from_file(path), np.random.default_rng(5)
+    for _ in range(300):
+        ids = rng.integers(0, ours.vocabulary, rng.integers(0, 12))
+        assert ours.text(ids) == theirs.decode(ids.tolist(), skip_special_tokens=False)
+
+
 def test_a_full_table_changes_nothing(monkeypatch):
     monkeypatch.setattr(K, "TABLE_WORDS", 3)
     monkeypatch.setattr(K, "TABLE_STEMS", 2)

@@ -62,7 +62,7 @@ def assemble(role: str, text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """A turn's ids and its loss mask."""
     one = encoder(path)
     base = one.vocabulary
-    line = one.ids("\n")
+    line = one.line
     role_ids, text_ids = one.ids(escape_role(role)), one.ids(escape(text))
     ids = np.concatenate([[base + _START], role_ids, line, text_ids, [base + _END], line]).astype(np.int32)
     steps = np.zeros(len(ids) + 1, dtype=np.int32)
@@ -73,16 +73,22 @@ def assemble(role: str, text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.cumsum(steps[:-1])
 
 
-def disassemble(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[str, str, str]:
-    """A turn's role, its text and its text under the mask, all unescaped."""
+def disassemble(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[str, str, str, int]:
+    """A turn's role, its text, its text under the mask, all unescaped, and the characters of the whole turn as formatted.
+
+    Each part is read from the ids alone. Parts are decoded one by one: the mask
+    begins and ends where segments do.
+    """
     one = encoder(path)
-    base, line = one.vocabulary, one.ids("\n")
-    if ids[0] != base + _START or ids[-1 - len(line)] != base + _END or (ids[1 : -1 - len(line)] >= base).any():
+    base, end = one.vocabulary, len(ids) - 1 - len(one.line)
+    body = ids[1:end]
+    if ids[0] != base + _START or ids[end] != base + _END or not np.array_equal(ids[end + 1 :], one.line) or (body >= base).any():
         raise ValueError("not a formatted turn")
-    body = ids[1 : -1 - len(line)]
-    role, _, text = one.tokenizer.decode(body.tolist(), skip_special_tokens=False).partition("\n")
-    learnt = one.tokenizer.decode(ids[mask == 1].tolist(), skip_special_tokens=False) if mask.any() else ""
-    return unescape_role(role), unescape(text), unescape(learnt)
+    cuts = [1, *np.flatnonzero(np.diff(mask)) + 1, end]
+    parts = [one.text(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+    whole = "".join(parts)
+    role, _, text = whole.partition("\n")
+    return unescape_role(role), unescape(text), unescape("".join(parts[1::2])), len(START) + len(whole) + len(END) + len(one.text(ids[end + 1 :]))
 
 
 def format_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -103,8 +109,6 @@ def format_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
 def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per conversation what its formatted turns say: digests and lengths."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    marks = len(START) + len(END) + 2
-
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         done: list[tuple] = []
@@ -120,7 +124,7 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
         for batch in batches:
             for conv, ids, mask in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                role, text, learnt = disassemble(ids.values.to_numpy(), mask.values.to_numpy(), path)
+                role, text, learnt, n_chars = disassemble(ids.values.to_numpy(), mask.values.to_numpy(), path)
                 if state is None or state[0] != conv:
                     close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -128,7 +132,7 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 state[2].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
                 state[3] += len(learnt)
                 state[4].update(learnt.encode("utf-8", "replace"))
-                state[5] += marks + len(escape_role(role)) + len(escape(text))
+                state[5] += n_chars
             if done:
                 yield flush()
                 done.clear()

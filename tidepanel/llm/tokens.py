@@ -72,6 +72,8 @@ class Encoder:
         self.heads = _Words(lambda word: self._word(word, ""), TABLE_WORDS)
         self.words = _Words(lambda word: self._word(word, " " if self.kind == "byte" else ""), TABLE_WORDS)
         self.line_end = self._whole("\n") if self.kind == "byte" else b""
+        self.line = self.ids("\n")
+        self.pieces: list[bytes] | None = None
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -114,6 +116,16 @@ class Encoder:
         return np.frombuffer(self._whole(text), dtype=np.uint32)
 
 
+    def text(self, ids: np.ndarray) -> str:
+        """What the ids say, as ``decode(ids, skip_special_tokens=False)`` gives it."""
+        if self.kind != "byte":
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        if self.pieces is None:
+            letters, added = {c: b for b, c in _LETTERS.items()}, self.tokenizer.get_added_tokens_decoder()
+            self.pieces = [added[k].content.encode() if k in added else bytes(letters[ord(c)] for c in self.tokenizer.id_to_token(k) or "") for k in range(self.vocabulary)]
+        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
