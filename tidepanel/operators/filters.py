@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .limits import SPECIAL, classify_board
-from .windows import lag
+from .windows import by_symbol, lag
 
 OPERATORS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 MOST_CONDITIONS, MOST_LAG = 8, 60
@@ -25,8 +25,20 @@ def filter_true_suspension(df: DataFrame) -> DataFrame:
     return df.filter((zero("volume") > 0) | (zero("change_pct") != 0))
 
 
+# The bounds that hold where a strategy sets none and the caller asks for them.
+DEFAULT_BASIC = {
+    "price_min": 3,
+    "price_max": 300,
+    "market_cap_min": 10e8,
+    "amount_min": 0.2e8,
+    "exclude_st": True,
+    "exclude_new_days": 30,
+    "boards": ["沪主板", "深主板", "创业板", "科创板", "北交所"],
+}
+
+
 def basic_filter(spec: dict) -> Column:
-    """Bounds on price, capitalisation, amount and turnover; ST names and boards."""
+    """Bounds on price, capitalisation, amount and turnover; ST names, boards, and a symbol's first bars."""
     cap = {"market_cap": F.col("close") * F.col("total_shares"), "float_cap": F.col("close") * F.col("float_shares")}
     columns = {"price": F.col("close"), "amount": F.col("amount"), "turnover": F.col("turnover_rate")} | cap
     out = [F.lit(True)]
@@ -35,6 +47,8 @@ def basic_filter(spec: dict) -> Column:
         out += [c <= spec[f"{name}_max"]] if spec.get(f"{name}_max") is not None else []
     if spec.get("exclude_st"):
         out.append(~F.coalesce(F.col("name").rlike(SPECIAL), F.lit(False)))
+    if spec.get("exclude_new_days"):
+        out.append(F.row_number().over(by_symbol()) > spec["exclude_new_days"])
     if spec.get("boards"):
         out.append(classify_board(F.col("symbol")).isin(list(spec["boards"])))
     return F.coalesce(reduce(lambda a, b: a & b, out), F.lit(False))

@@ -56,6 +56,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars_of(_lines(spark, sf_dir).withColumn("symbol", symbol_of(F.col("l_suppkey"))))
 
 
+def newest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``newest``: the last day with a bar, from the date column alone."""
+    return table(spark, sf_dir, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("newest"))
+
+
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     return _bars_of(_lines(spark, sf_dir).join(parts, "l_partkey"))

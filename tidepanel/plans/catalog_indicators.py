@@ -160,7 +160,7 @@ adj0 AS (SELECT b.*, coalesce(c.cum, 1.0::DOUBLE) / coalesce(t.total, 1.0::DOUBL
 adj AS (SELECT symbol, date, open * adj_ratio AS open, high * adj_ratio AS high, low * adj_ratio AS low, close * adj_ratio AS close, volume, amount, close AS raw_close, high AS raw_high, low AS raw_low, adj_ratio, ex_rights FROM adj0)"""
 _CENTS = lambda p, k: f"((floor({p} * 100 + 0.5)::BIGINT * ({k}) + 50) // 100)::DOUBLE / 100"
 _SHARE = "CASE WHEN left(symbol, 3) IN ('300', '301', '688', '689') THEN 20 WHEN symbol LIKE '%.BJ' THEN 30 WHEN regexp_matches(name, '(?i)ST|退') THEN 5 ELSE 10 END"
-LIM = f"""lim0 AS (SELECT a.*, i.name, i.float_shares, i.total_shares, i.dim_limit_up, i.dim_limit_down FROM adj a LEFT JOIN instruments i USING (symbol)),
+LIM = f"""lim0 AS (SELECT a.*, i.name, i.type, i.float_shares, i.total_shares, i.dim_limit_up, i.dim_limit_down FROM adj a LEFT JOIN instruments i USING (symbol)),
 lim1 AS (SELECT *, CASE WHEN abs(adj_ratio - {lag_sql('adj_ratio')}) > 1e-6 THEN {lag_sql('close')} ELSE {lag_sql('raw_close')} END AS prev_ref_close, {_SHARE} AS pct FROM lim0),
 lim2 AS (SELECT *, date = max(date) OVER () AND dim_limit_up < 10000 AS use_up, date = max(date) OVER () AND dim_limit_down < 10000 AS use_down FROM lim1),
 lim3 AS (SELECT * EXCLUDE (pct, use_up, use_down), CASE WHEN use_up THEN dim_limit_up ELSE {_CENTS('prev_ref_close', '100 + pct')} END AS limit_up, CASE WHEN use_down THEN dim_limit_down ELSE {_CENTS('prev_ref_close', '100 - pct')} END AS limit_down FROM lim2),
@@ -177,8 +177,8 @@ def adjusted(spark, sf_dir):
 
 
 def limit_frame(spark, sf_dir):
-    dims = B.instruments(spark, sf_dir).select("symbol", "name", "float_shares", "total_shares", "dim_limit_up", "dim_limit_down")
-    return limits.with_limits(adjusted(spark, sf_dir).join(dims, "symbol", "left"))
+    dims = B.instruments(spark, sf_dir).select("symbol", "name", "type", "float_shares", "total_shares", "dim_limit_up", "dim_limit_down")
+    return limits.with_limits(adjusted(spark, sf_dir).join(dims, "symbol", "left"), newest=B.newest_date(spark, sf_dir))
 
 
 query("j01_adjust_prices", B.with_("bars", "factors", more=ADJ) + "SELECT symbol, date, open, high, low, close, raw_close, adj_ratio, ex_rights FROM adj")(
@@ -248,34 +248,52 @@ wide1 AS (SELECT *, CASE WHEN float_shares > 0 THEN volume * 10000 / float_share
 wide AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in DERIVED_SQL.items())} FROM wide1)"""
 _BD = under_sql("close", "ma20")
 _DEAD = under_sql("ma5", "ma20")
-_NEAR = "abs(close - ma20) / nullif(ma20, 0) <= 0.02"
-_NLP = "CASE WHEN left(symbol, 3) IN ('300', '301', '688') THEN 0.20::DOUBLE WHEN symbol LIKE '%.BJ' THEN 0.30::DOUBLE ELSE 0.10::DOUBLE END - 0.03::DOUBLE"
+_VOL, _CHG, _CANDLE, _RISING = "vol_ratio_5d >= {vol_ratio_min}::DOUBLE", "change_pct > {min_change}::DOUBLE / 100", "close > open", "momentum_20d > 0"
+_NEAR = "(close > ma20 * (1 - {{ma_proximity}}::DOUBLE{0}) AND close < ma20 * (1 + {{ma_proximity}}::DOUBLE{0}))"
+_OWN = "CASE WHEN left(symbol, 3) IN ('300', '301', '688') THEN 0.20::DOUBLE WHEN symbol LIKE '%.BJ' THEN 0.30::DOUBLE WHEN contains(upper(coalesce(name, '')), 'ST') THEN 0.05::DOUBLE ELSE 0.10::DOUBLE END"
+_BOARDS = "consecutive_limit_ups >= {min_boards}"
+#: Per strategy: the condition that each parameter switches, and the exit.
 STRATEGY_SQL = {
-    "boll_breakout": ("close > boll_upper AND vol_ratio_5d >= 1.5", "close < boll_lower"),
-    "broken_board_recovery": ("signal_limit_up AND vol_ratio_5d >= 1.5 AND change_pct > 0.03", _BD),
-    "bullish_alignment": ("ma5 > ma10 AND ma10 > ma20 AND ma20 > ma60 AND momentum_20d > 0", f"({_DEAD} OR {_BD})"),
-    "consecutive_limit_ups": ("signal_limit_up AND consecutive_limit_ups >= 2", "false"),
-    "high_turnover_surge": ("turnover_rate > 5 AND change_pct > 0.03", _BD),
-    "limit_up_momentum": ("change_pct > 0.05 AND consecutive_limit_ups >= 1", "false"),
-    "low_volatility_leader": ("momentum_20d > 0 AND annual_vol_20d < 0.30 AND close > ma20", _BD),
-    "ma_golden_cross": (f"{over_sql('ma5', 'ma20')} AND vol_ratio_5d >= 1.2 AND close > ma60", _DEAD),
-    "macd_golden": (f"{over_sql('macd_dif', 'macd_dea')} AND vol_ratio_5d >= 1.5", under_sql("macd_dif", "macd_dea")),
-    "n_day_low_reversal": ("close <= low_60d AND close > open AND vol_ratio_5d >= 1.5", _BD),
-    "near_limit_up": (f"change_pct > 0.07 AND change_pct < {_NLP}", _BD),
-    "oversold_bounce": ("rsi_14 < 30 AND close > open AND vol_ratio_5d >= 1.2", _BD),
-    "oversold_reversal": ("rsi_14 < 30 AND change_pct > 0.01 AND close > ma5", _BD),
-    "pullback_ma20_bounce": (f"{_NEAR} AND ma5 > ma20 AND ma20 > ma60 AND change_pct > 0", f"({_BD} OR {_DEAD})"),
-    "pullback_to_support": (f"{_NEAR} AND vol_ratio_5d < 0.8 AND close > ma60 AND momentum_20d > 0", _BD),
-    "strong_open": (f"open > {lag_sql('close')} * 1.03 AND close > open AND change_pct > 0.03", _BD),
-    "trend_breakout": ("close > ma60 AND close >= high_60d AND vol_ratio_5d >= 2.0 AND close >= 5 AND close <= 200 AND close * total_shares >= 2e9 AND amount >= 1e8 AND NOT regexp_matches(name, '(?i)ST|退')", _BD),
-    "volume_price_surge": (f"{over_sql('close', 'ma20')} AND vol_ratio_5d >= 2.0 AND close > open", _BD),
+    "boll_breakout": ({"require_boll_breakout": "close > boll_upper", "use_volume_filter": _VOL}, "close < boll_lower"),
+    "broken_board_recovery": ({"require_limit_up": "signal_limit_up", "use_volume_filter": _VOL, "use_change_filter": "change_pct > {change_pct_min}::DOUBLE"}, _BD),
+    "bullish_alignment": ({"require_ma_alignment": "(ma5 > ma10 AND ma10 > ma20 AND ma20 > ma60)", "require_positive_momentum": _RISING}, f"({_DEAD} OR {_BD})"),
+    "consecutive_limit_ups": ({"require_limit_up": "signal_limit_up", "use_boards_filter": _BOARDS}, "false"),
+    "high_turnover_surge": ({"use_turnover_filter": "turnover_rate > {min_turnover}::DOUBLE", "use_change_filter": _CHG}, _BD),
+    "limit_up_momentum": ({"use_change_filter": _CHG, "use_boards_filter": _BOARDS}, "false"),
+    "low_volatility_leader": ({"require_positive_momentum": _RISING, "use_volatility_filter": "annual_vol_20d < {vol_max}::DOUBLE", "require_above_ma20": "close > ma20"}, _BD),
+    "ma_golden_cross": ({"require_ma_golden": over_sql("ma5", "ma20"), "use_volume_filter": _VOL, "require_above_ma60": "close > ma60"}, _DEAD),
+    "macd_golden": ({"require_macd_golden": over_sql("macd_dif", "macd_dea"), "use_volume_filter": _VOL}, under_sql("macd_dif", "macd_dea")),
+    "n_day_low_reversal": ({"require_n_day_low": "close <= low_60d", "require_bullish_candle": _CANDLE, "use_volume_filter": _VOL}, _BD),
+    "near_limit_up": ({"use_change_filter": _CHG, "use_limit_gap_filter": f"change_pct < {_OWN} - {{limit_gap}}::DOUBLE / 100"}, _BD),
+    "oversold_bounce": ({"use_rsi_filter": "rsi_14 < {rsi_max}::DOUBLE", "require_bullish_candle": _CANDLE, "use_volume_filter": _VOL}, _BD),
+    "oversold_reversal": ({"use_rsi_filter": "rsi_14 < {rsi_max}::DOUBLE", "use_change_filter": _CHG, "require_above_ma5": "close > ma5"}, _BD),
+    "pullback_ma20_bounce": ({"use_ma20_proximity": _NEAR.format(" * 0.01::DOUBLE"), "require_ma_alignment": "(ma5 > ma20 AND ma20 > ma60)", "require_positive_change": "change_pct > 0"}, f"({_BD} OR {_DEAD})"),
+    "pullback_to_support": ({"use_ma20_proximity": _NEAR.format(""), "use_volume_filter": "vol_ratio_5d < {vol_ratio_max}::DOUBLE", "require_above_ma60": "close > ma60", "require_positive_momentum": _RISING}, _BD),
+    "strong_open": ({"use_open_gap_filter": f"open > {lag_sql('close')} * (1 + {{min_open_gap}}::DOUBLE / 100)", "require_close_above_open": _CANDLE, "use_change_filter": _CHG}, _BD),
+    "trend_breakout": ({"require_above_ma60": "close > ma60", "require_n_day_high": "close >= high_60d", "use_volume_filter": _VOL}, _BD),
+    "volume_price_surge": ({"require_ma20_breakout": over_sql("close", "ma20"), "use_volume_filter": _VOL, "require_bullish_candle": _CANDLE}, _BD),
 }
+#: The panel's prices and amounts lie outside the default bounds, so queries give bounds of its own size, by strategy.
+PANEL_BASIC = {"trend_breakout": {"price_min": 1100, "price_max": 2000, "market_cap_min": 20e8, "amount_min": 2e4, "exclude_st": True, "exclude_new_days": 60}}
+_BASIC_SQL = {"trend_breakout": f"close >= 1100 AND close <= 2000 AND close * total_shares >= 2e9 AND amount >= 20000 AND NOT regexp_matches(name, '(?i)ST|退') AND row_number() OVER ({W}) > 60"}
+
+
+def entry_sql(id_: str, params: dict | None = None) -> str:
+    """A strategy's entry with these parameters instead of its defaults."""
+    s = K.REGISTRY[id_]
+    p = s.params | (params or {})
+    own = [rule.format(**p) for switch, rule in STRATEGY_SQL[id_][0].items() if p[switch]]
+    own += [_BASIC_SQL[id_]] if id_ in _BASIC_SQL else []
+    return " AND ".join([*own, f"type IN ({', '.join(repr(x) for x in s.asset_types)})"])
+
+
 _RECURSIVE = {"macd_golden", "oversold_bounce", "oversold_reversal"}
-_DIMS = ["symbol", "date", "name", "total_shares", "float_shares", "open", "close", "amount", "turnover_rate", "signal_limit_up", "consecutive_limit_ups"]
+_DIMS = ["symbol", "date", "name", "type", "total_shares", "float_shares", "open", "close", "amount", "turnover_rate", "signal_limit_up", "consecutive_limit_ups"]
 
 
 def strategy_needs(s: K.Strategy) -> set[str]:
-    text = STRATEGY_SQL[s.id][0] + STRATEGY_SQL[s.id][1]
+    """What a strategy reads, whatever its parameters."""
+    text = " ".join([*STRATEGY_SQL[s.id][0].values(), STRATEGY_SQL[s.id][1]])
     return {c for c in I.ALL if c in text} | set(s.scoring) | set(_DIMS)
 
 
@@ -286,16 +304,30 @@ def _with_rec(sql_tail: str, rec: bool) -> str:
     return B.with_("bars", "factors", "instruments", more=f"{WIDE},\n{chain},\nboth_ AS (SELECT w.*, r.macd_dif, r.macd_dea, r.rsi_14 FROM wide w JOIN recind r USING (symbol, date))", recursive=True) + sql_tail.replace("$WIDE", "both_")
 
 
-for _k, (_id, (_entry, _exit)) in enumerate(STRATEGY_SQL.items(), 1):
-    _s = K.REGISTRY[_id]
-    _tail = f"SELECT symbol, date, score, exit FROM (SELECT *, {minmax_sql(_s.scoring, 'entry')} AS score FROM (SELECT *, coalesce({_entry}, false) AS entry, coalesce({_exit}, false) AS exit FROM $WIDE) AS e) AS x WHERE entry"
-    query(f"k{_k:02d}_{_id}", _with_rec(_tail, _id in _RECURSIVE), 4)(
-        lambda s, d, st=_s: K.apply(strategy_frame(s, d, strategy_needs(st)), st).filter("entry").select("symbol", "date", "score", "exit")
+def _register(name: str, s: K.Strategy, params: dict | None) -> None:
+    entry, basic = entry_sql(s.id, params), PANEL_BASIC.get(s.id, {})
+    tail = (
+        f"SELECT symbol, date, score, exit FROM (SELECT *, {minmax_sql(s.scoring, 'entry')} AS score FROM "
+        f"(SELECT *, coalesce({entry}, false) AS entry, coalesce({STRATEGY_SQL[s.id][1]}, false) AS exit FROM $WIDE) AS e) AS x WHERE entry"
+    )
+    query(name, _with_rec(tail, s.id in _RECURSIVE), 4)(
+        lambda spark, d: K.picks(strategy_frame(spark, d, strategy_needs(s)), s, params, basic).select("symbol", "date", "score", "exit")
     )
 
-_PLAIN = [i for i in STRATEGY_SQL if i not in _RECURSIVE]
-query("k19_run_all", _with_rec("SELECT strategy, symbol, date FROM (" + " UNION ALL ".join(f"SELECT '{i}' AS strategy, symbol, date FROM (SELECT *, ({STRATEGY_SQL[i][0]}) AS entry FROM $WIDE) AS q WHERE entry" for i in _PLAIN) + ") AS u", False))(
-    lambda s, d: K.run_all(strategy_frame(s, d, set().union(*[strategy_needs(K.REGISTRY[i]) for i in _PLAIN])), _PLAIN)
+
+def other_params(s: K.Strategy) -> dict:
+    """A strategy's parameters with its first condition switched off and its numbers moved."""
+    moved = {k: v * (2 if isinstance(v, int) else 0.75) for k, v in s.params.items() if not isinstance(v, bool)}
+    return {next(iter(s.entry)): False, **moved}
+
+
+for _k, _s in enumerate(K.REGISTRY.values(), 1):
+    _register(f"k{_k:02d}_{_s.id}", _s, None)
+    _register(f"k{_k:02d}_{_s.id}_params", _s, other_params(_s))
+
+_EACH = " UNION ALL ".join(f"SELECT '{i}' AS strategy, symbol, date FROM (SELECT *, ({entry_sql(i)}) AS entry FROM $WIDE) AS q WHERE entry" for i in STRATEGY_SQL)
+query("k19_run_all", _with_rec(f"SELECT strategy, symbol, date FROM ({_EACH}) AS u", True))(
+    lambda s, d: K.run_all(strategy_frame(s, d, set().union(*[strategy_needs(x) for x in K.REGISTRY.values()])), basic=PANEL_BASIC)
 )
 
 
@@ -309,4 +341,4 @@ def _user(spark, sf_dir):
 def flagship(spark, sf_dir):
     """The newest day's golden crosses, scored and ranked."""
     s = K.REGISTRY["ma_golden_cross"]
-    return K.rank_result(K.apply(strategy_frame(spark, sf_dir, strategy_needs(s)), s), s).select("symbol", "date", "close", "score")
+    return K.rank_result(K.picks(strategy_frame(spark, sf_dir, strategy_needs(s)), s, basic={}), s).select("symbol", "date", "close", "score")

@@ -31,9 +31,9 @@ query("f01_filter_halt_days", B.with_("bars", more=_HALT) + "SELECT symbol, date
 query("f02_true_suspension", B.with_("bars", more=f"{_HALT}, p AS (SELECT *, close / nullif({lag_sql('close')}, 0) - 1 AS change_pct FROM h)") + "SELECT symbol, date FROM p WHERE coalesce(volume, 0) > 0 OR coalesce(change_pct, 0) <> 0")(
     lambda s, d: X.filter_true_suspension(halted(s, d).withColumn("change_pct", F.try_divide(F.col("close"), lag("close")) - 1)).select("symbol", "date")
 )
-_BASIC = {"price_min": 1000, "price_max": 2500, "market_cap_min": 5e9, "float_cap_max": 4e10, "amount_min": 10000, "turnover_min": 0.01, "exclude_st": True, "boards": ["创业板", "沪主板", "北交所"]}
-query("f03_basic_filter", WIDE_ALL + f"SELECT symbol, date FROM wide WHERE close >= 1000 AND close <= 2500 AND close * total_shares >= 5e9 AND close * float_shares <= 4e10 AND amount >= 10000 AND turnover_rate >= 0.01 AND NOT regexp_matches(name, '(?i)ST|退') AND {BOARD} IN ('创业板', '沪主板', '北交所')")(
-    lambda s, d: strategy_frame(s, d, {"symbol", "date", "close", "amount"}).filter(X.basic_filter(_BASIC)).select("symbol", "date")
+_BASIC = {"price_min": 1000, "price_max": 2500, "market_cap_min": 5e9, "float_cap_max": 4e10, "amount_min": 10000, "turnover_min": 0.01, "exclude_st": True, "exclude_new_days": 20, "boards": ["创业板", "沪主板", "北交所"]}
+query("f03_basic_filter", WIDE_ALL + f"SELECT symbol, date FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS nth FROM wide) AS n WHERE nth > 20 AND close >= 1000 AND close <= 2500 AND close * total_shares >= 5e9 AND close * float_shares <= 4e10 AND amount >= 10000 AND turnover_rate >= 0.01 AND NOT regexp_matches(name, '(?i)ST|退') AND {BOARD} IN ('创业板', '沪主板', '北交所')")(
+    lambda s, d: strategy_frame(s, d, {"symbol", "date", "close", "amount"}).withColumn("fits", X.basic_filter(_BASIC)).filter("fits").select("symbol", "date")
 )
 query("f04_screen_sql", B.with_("bars", more=IND) + "SELECT symbol, date, amount FROM ind WHERE close > ma20 AND vol_ratio_5d >= 1.5 ORDER BY amount DESC, symbol LIMIT 50")(
     lambda s, d: X.screen_sql(indicator_frame(s, d, {"ma20", "vol_ratio_5d"}), ["close > ma20", "vol_ratio_5d >= 1.5"], "amount desc", 50).select("symbol", "date", "amount")

@@ -11,7 +11,7 @@ from ..operators.indicators import with_indicators
 from . import bindings as B
 from . import strategies as K
 from .catalog import query
-from .catalog_indicators import IND, REC, STRATEGY_SQL, W, WIDE, full_sql, indicator_frame, lag_sql, minmax_sql, strategy_frame
+from .catalog_indicators import IND, REC, W, WIDE, entry_sql, full_sql, indicator_frame, lag_sql, minmax_sql, strategy_frame, strategy_needs
 
 bars = B.bars
 
@@ -231,7 +231,7 @@ query("b17_folds", B.with_("brand_bars", more=_FOLD_SQL) + "SELECT fold, count(*
 query("b18_walkforward", _SW.rstrip() + f", {_FOLD_SQL}, tn AS (SELECT fold, trial_id, avg(pnl_pct) AS train_value FROM sp JOIN fd ON entry_date >= train_start AND exit_date <= train_end GROUP BY 1, 2), bt AS (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(train_value, 9) DESC NULLS LAST, trial_id) = 1), ts AS (SELECT fold, trial_id, count(*) AS n_trades, avg(pnl_pct) AS avg_pnl FROM sp JOIN fd ON entry_date >= test_start AND exit_date <= test_end GROUP BY 1, 2) SELECT b.fold, b.trial_id, b.train_value, t.n_trades, t.avg_pnl, t.avg_pnl - b.train_value AS degradation FROM bt b LEFT JOIN ts t USING (fold, trial_id)")(
     lambda s, d: T.walkforward(swept(s, d), T.fold_frame(s, FOLDS)).select("fold", "trial_id", "train_value", "n_trades", "avg_pnl", "degradation")
 )
-query("t02_rank_strategy", B.with_("bars", "factors", "instruments", more=WIDE) + f"SELECT symbol, date, score FROM (SELECT *, {minmax_sql(K.REGISTRY['strong_open'].scoring, 'entry')} AS score FROM (SELECT *, coalesce({STRATEGY_SQL['strong_open'][0]}, false) AS entry FROM wide) e) x WHERE entry AND date = DATE '1998-06-30' ORDER BY score DESC, symbol LIMIT 50")(
-    lambda s, d: K.rank_result(K.apply(strategy_frame(s, d, {"symbol", "date", "change_pct", "amplitude", "amount", "open", "close", "ma20"}), K.REGISTRY["strong_open"]).filter("date = DATE '1998-06-30'"), K.REGISTRY["strong_open"]).select("symbol", "date", "score")
+query("t02_rank_strategy", B.with_("bars", "factors", "instruments", more=WIDE) + f"SELECT symbol, date, score FROM (SELECT *, {minmax_sql(K.REGISTRY['strong_open'].scoring, 'entry')} AS score FROM (SELECT *, coalesce({entry_sql('strong_open')}, false) AS entry FROM wide) e) x WHERE entry AND date = DATE '1998-06-30' ORDER BY score DESC, symbol LIMIT 50")(
+    lambda s, d: K.rank_result(K.apply(strategy_frame(s, d, strategy_needs(K.REGISTRY["strong_open"])), K.REGISTRY["strong_open"], basic={}).filter("date = DATE '1998-06-30'"), K.REGISTRY["strong_open"]).select("symbol", "date", "score")
 )
 query("t05_daily_slots", B.with_("bars") + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol)::INTEGER AS slot FROM bars QUALIFY slot <= 2")(lambda s, d: T.daily_top_n_slots(bars(s, d).withColumn("score", F.col("amount")), 2).select("symbol", "date", "slot"))
