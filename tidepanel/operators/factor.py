@@ -10,7 +10,10 @@ from .joins import next_rebalance_price
 
 #: Rebalancing periods of a year.
 PERIODS = {"daily": 252, "weekly": 52, "monthly": 12}
-FACTORS = ("momentum_5d", "momentum_10d", "momentum_20d", "momentum_30d", "momentum_60d", "change_pct", "amplitude", "annual_vol_20d", "turnover_rate", "vol_ratio_5d", "rsi_6", "rsi_14", "rsi_24", "macd_hist", "kdj_j", "atr_14")
+FACTORS = (
+    "momentum_5d", "momentum_10d", "momentum_20d", "momentum_30d", "momentum_60d", "rsi_6", "rsi_14", "rsi_24",
+    "annual_vol_20d", "atr_14", "vol_ratio_5d", "turnover_rate", "macd_hist", "kdj_k", "change_pct", "amplitude",
+)
 
 
 def rebalance_calendar(dates: DataFrame, freq: str) -> DataFrame:
@@ -110,8 +113,18 @@ def long_short(nav: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("drawdown", F.col("nav") / F.greatest(F.max("nav").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1)
 
 
-def factor_catalog(df: DataFrame, factors: tuple[str, ...], freq: str, n: int = 5) -> DataFrame:
-    """IC summary of all factors in one job: factors become rows and a grouping key."""
+def factor_rows(df: DataFrame, factors: tuple[str, ...], freq: str) -> DataFrame:
+    """``factor_name, symbol, date, factor, ret``: factors become rows and a grouping key."""
     returns = period_return(df.select("symbol", "date", "close"), freq).select("symbol", "date", "ret")
-    long = df.select("symbol", "date", *factors).unpivot(["symbol", "date"], list(factors), "factor_name", "factor").join(returns, ["symbol", "date"])
-    return ic_summary(rank_ic(long, keys=("factor_name", "date")), ("factor_name",))
+    return df.select("symbol", "date", *factors).unpivot(["symbol", "date"], list(factors), "factor_name", "factor").join(returns, ["symbol", "date"])
+
+
+def factor_catalog(df: DataFrame, factors: tuple[str, ...] = FACTORS, freq: str = "daily") -> DataFrame:
+    """IC summary of all factors in one job."""
+    return ic_summary(rank_ic(factor_rows(df, factors, freq), keys=("factor_name", "date")), ("factor_name",))
+
+
+def factor_groups(df: DataFrame, factors: tuple[str, ...] = FACTORS, freq: str = "daily", n: int = 5, scale: float = 1.0) -> DataFrame:
+    """Figures of the ``n`` groups of all factors in one job; returns are multiplied by ``scale``."""
+    rows = factor_rows(df, factors, freq).withColumn("ret", F.col("ret") * scale)
+    return group_stats(group_nav(rows, n, keys=("factor_name",)), freq, ("factor_name",))

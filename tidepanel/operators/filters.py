@@ -91,20 +91,29 @@ def inject_signals(df: DataFrame, signals: dict[str, list[dict]]) -> DataFrame:
     return df.withColumns({k: custom_signal(cs, fields) for k, cs in signals.items() if has(cs)})
 
 
-def match_conditions(df: DataFrame, conditions: list[dict], logic: str = "and") -> DataFrame:
-    """Rows for which all (any) conditions ``{field, op, value}`` hold, ``op`` being ``truth`` or a comparison; a missing field matches nothing."""
-    if not conditions or any(c["field"] not in df.columns for c in conditions):
-        return df.limit(0)
+def matches(conditions: list[dict], logic: str, fields: list[str]) -> Column:
+    """Whether all (any) conditions ``{field, op, value}`` hold, ``op`` being ``truth`` or a comparison; a missing field matches nothing."""
+    if not conditions or any(c["field"] not in fields for c in conditions):
+        return F.lit(False)
     one = lambda c: F.col(c["field"]) if c["op"] == "truth" else OPERATORS[c["op"]](F.col(c["field"]), F.lit(c["value"]))
     parts = [F.coalesce(one(c), F.lit(False)) for c in conditions]
-    return df.filter(reduce((lambda a, b: a & b) if logic == "and" else (lambda a, b: a | b), parts))
+    return reduce((lambda a, b: a & b) if logic == "and" else (lambda a, b: a | b), parts)
 
 
-def apply_scope(df: DataFrame, scope: str, symbols: list[str] | None = None) -> DataFrame:
+def match_conditions(df: DataFrame, conditions: list[dict], logic: str = "and") -> DataFrame:
+    """The rows that match."""
+    return df.filter(matches(conditions, logic, df.columns))
+
+
+def in_scope(scope: str, symbols: list[str] | None = None) -> Column:
     """``all``, ``symbols``; any other scope matches nothing."""
     if scope == "all":
-        return df
-    return df.filter(F.col("symbol").isin(symbols)) if scope == "symbols" and symbols else df.limit(0)
+        return F.lit(True)
+    return F.coalesce(F.col("symbol").isin(symbols), F.lit(False)) if scope == "symbols" and symbols else F.lit(False)
+
+
+def apply_scope(df: DataFrame, scope: str, symbols: list[str] | None = None) -> DataFrame:
+    return df.filter(in_scope(scope, symbols))
 
 
 def last_trading_days(df: DataFrame, n: int, as_of=None) -> DataFrame:

@@ -135,7 +135,13 @@ def ewm_gap_decay(df: DataFrame, column: str, alpha: float, name: str) -> DataFr
     return df.groupBy("symbol").applyInPandas(of, schema)
 
 
-def ema_fold(column: str, n: int) -> Column:
-    """EMA by a fold over the bars so far."""
-    alpha, values = 2 / (n + 1), F.collect_list(column).over(so_far())
-    return F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1), lambda a, x: x * alpha + a * (1 - alpha))
+def ema_fold(df: DataFrame, column: str, n: int) -> DataFrame:
+    """``symbol, date, ema{n}`` of each symbol's last bar: one fold over its bars in order.
+
+    A symbol's bars, some thousands at most, stand in one array.
+    """
+    alpha = 2 / (n + 1)
+    bars = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", F.col(column).alias("x")))).alias("bars"))
+    values = F.transform("bars", lambda b: b["x"])
+    out = F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1), lambda a, x: x * alpha + a * (1 - alpha))
+    return bars.select("symbol", F.element_at("bars", -1)["date"].alias("date"), out.alias(f"ema{n}"))

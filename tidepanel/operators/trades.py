@@ -183,13 +183,16 @@ def bootstrap_drawdown(trades: DataFrame, simulations: int = 200, seed: int = 42
     """Median and 95th percentile of the worst drawdown over resampled trade orders; null with fewer than three trades.
 
     Each draw names a trade by a seeded hash, so the same input gives the same result.
+    Trades are numbered within their symbols, and symbols by the trades before them: a
+    row a symbol is all that one task sees.
     """
     simulations = min(simulations, 1000)
-    rows = trades.select(F.greatest("pnl_pct", F.lit(-0.9999)).alias("r"), F.row_number().over(Window.orderBy("symbol", "entry_date", "exit_date")).alias("k"))
-    n = rows.count()
-    if n < 3:
-        return trades.sparkSession.createDataFrame([(None, None)], "p50 double, p95 double")
-    draws = rows.select("k").withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "sim", "k"), F.lit(n)) + 1)
+    own = Window.partitionBy("symbol").orderBy("entry_date", "exit_date")
+    before = Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).select("symbol", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("n"))
+    rows = trades.select("symbol", F.greatest("pnl_pct", F.lit(-0.9999)).alias("r"), F.row_number().over(own).alias("k")).join(firsts, "symbol").select("r", (F.col("k") + F.col("first")).alias("k"), "n")
+    digest = F.substring(F.md5(F.concat_ws("-", F.lit(seed), "sim", "k").cast("binary")), 1, 8)
+    draws = rows.filter("n >= 3").select("k", "n", F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim")).withColumn("pick", F.conv(digest, 16, 10).cast("bigint") % F.col("n") + 1)
     drawn = draws.join(rows.select(F.col("k").alias("pick"), "r"), "pick")
     by = Window.partitionBy("sim").orderBy("k")
     nav = drawn.withColumn("nav", compound(F.col("r"), by)).withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1)
@@ -262,11 +265,21 @@ def sweep(panel: DataFrame, trials: DataFrame, start, end, most_hold: int, fold:
     return trade_costs(picked.select("trial_id", "symbol", "entry_n", "x.*"))
 
 
-def rank_trials(trades: DataFrame, objective: str = "avg_pnl", keys: tuple[str, ...] = ("trial_id",)) -> DataFrame:
-    """Trials in order of an objective (to nine digits, so that sums in another order don't part equal trials), nulls last."""
-    stats = trade_stats(trades, keys).join(curve_stats(slot_portfolio(trades, keys), keys), list(keys))
+#: Objectives that the curve of realised trades gives; the others come from the trades.
+OF_CURVE = ("total_return", "annual_return", "sharpe", "sortino", "calmar", "max_drawdown")
+
+
+def trial_stats(trades: DataFrame, objective: str, keys: tuple[str, ...]) -> DataFrame:
+    """The trades' figures per key, with those of the curve where the objective is one of them."""
     if objective not in OBJECTIVES:
         raise ValueError(f"unknown objective: {objective}")
+    stats = trade_stats(trades, keys)
+    return stats.join(curve_stats(slot_portfolio(trades, keys), keys), list(keys)) if objective in OF_CURVE else stats
+
+
+def rank_trials(trades: DataFrame, objective: str = "avg_pnl", keys: tuple[str, ...] = ("trial_id",)) -> DataFrame:
+    """Trials in order of an objective (to nine digits, so that sums in another order don't part equal trials), nulls last."""
+    stats = trial_stats(trades, objective, keys)
     return stats.withColumn("rank", F.row_number().over(Window.partitionBy(*[k for k in keys if k != "trial_id"]).orderBy(F.round(objective, 9).desc_nulls_last(), "trial_id")))
 
 
@@ -293,7 +306,10 @@ def walkforward(trades: DataFrame, folds: DataFrame, objective: str = "avg_pnl")
     lies in. Folds without train trades are left out.
     """
     f = F.broadcast(folds)  # some dozens of rows
-    train = trades.join(f, (F.col("entry_date") >= F.col("train_start")) & (F.col("exit_date") <= F.col("train_end")))
-    best = rank_trials(train, objective, ("fold", "trial_id")).filter("rank = 1").select("fold", "trial_id", F.col(objective).alias("train_value"))
-    test = trades.join(f, (F.col("entry_date") >= F.col("test_start")) & (F.col("exit_date") <= F.col("test_end"))).join(best, ["fold", "trial_id"])
-    return best.join(trade_stats(test, ("fold", "trial_id")), ["fold", "trial_id"], "left").withColumn("degradation", F.col("avg_pnl") - F.col("train_value"))
+    within = lambda part: (F.col("entry_date") >= F.col(f"{part}_start")) & (F.col("exit_date") <= F.col(f"{part}_end"))
+    # A trade lies in a fold's train window or in its test window, never in both.
+    tagged = trades.join(f, within("train") | within("test")).withColumn("tested", within("test"))
+    stats = trial_stats(tagged, objective, ("fold", "tested", "trial_id"))
+    order = Window.partitionBy("fold").orderBy(F.round(objective, 9).desc_nulls_last(), "trial_id")
+    best = stats.filter("NOT tested").withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("fold", "trial_id", F.col(objective).alias("train_value"))
+    return best.join(stats.filter("tested").drop("tested"), ["fold", "trial_id"], "left").withColumn("degradation", F.col(objective) - F.col("train_value"))

@@ -114,10 +114,7 @@ for _name, _cols in _R.items():
 query("r1_recursive_map", B.with_("bars", more=REC, recursive=True) + f"SELECT symbol, date, {', '.join(recursive.RECURSIVE)} FROM recind")(lambda s, d: recursive.with_recursive(B.bars(s, d)).select("symbol", "date", *recursive.RECURSIVE))
 
 
-@query("r2_recursive_fold", B.with_("bars", more="b2 AS (SELECT * FROM bars WHERE date < DATE '1996-01-01'),\n" + REC.replace("FROM bars)", "FROM b2)"), recursive=True) + "SELECT symbol, date, ema10 FROM recind")
-def _fold(spark, sf_dir):
-    short = B.bars(spark, sf_dir).filter("date < DATE '1996-01-01'")
-    return short.select("symbol", "date", recursive.ema_fold("close", 10).alias("ema10"))
+query("r2_recursive_fold", B.with_("bars", more=REC, recursive=True) + "SELECT symbol, max(date) AS date, arg_max(ema10, date) AS ema10 FROM recind GROUP BY symbol")(lambda s, d: recursive.ema_fold(B.bars(s, d), "close", 10))
 
 
 # Signals.
@@ -331,7 +328,7 @@ query("k19_run_all", _with_rec(f"SELECT strategy, symbol, date FROM ({_EACH}) AS
 )
 
 
-@query("k20_user_strategy")
+@query("k20_user_strategy", B.with_("bars", more=IND) + "SELECT * EXCLUDE (prev_close) FROM (SELECT symbol, date, open, high, low, close, volume, amount, amplitude, prev_close FROM ind) AS t WHERE amplitude > 0.3")
 def _user(spark, sf_dir):
     K.register("wide_range", lambda df, p: df.filter(F.col("amplitude") > p.get("least", 0.2)))
     return K.run_user("wide_range", indicator_frame(spark, sf_dir, {"amplitude"}), {"least": 0.3})

@@ -7,19 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udf as V
+from ..operators.filters import match_conditions
+from ..operators.joins import labels_of
 from ..operators.recursive import RECURSIVE
 from ..operators.windows import full
 from ..sources import io as S
 from ..streaming import stream as Z
 from . import bindings as B
 from .catalog import query
-from .catalog_indicators import REC, full_sql, indicator_frame, limit_frame
+from .catalog_indicators import IND, LIMITS, REC, SIG, full_sql, indicator_frame, limit_frame
 from .catalog_market import depth
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one where that isn't set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidepanel-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-tidepanel-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -64,8 +70,12 @@ query("s05_all_assets", B.with_("bars", "brand_bars", more=EB) + "SELECT symbol,
 @query("s06_csv_any_encoding", B.with_("instruments") + "SELECT symbol, '名称' || name AS name FROM instruments")
 def _s06(s, d):
     path = scratch(s, "csv")
-    s.conf.set("spark.sql.legacy.javaCharsets", "true")
-    B.instruments(s, d).select(F.col("symbol").alias("股票代码"), F.concat(F.lit("名称"), "name").alias("name(x)")).coalesce(1).write.csv(path, header=True, encoding="GB18030")
+    before = s.conf.get("spark.sql.legacy.javaCharsets")
+    s.conf.set("spark.sql.legacy.javaCharsets", "true")  # the writer knows GB18030 under this setting alone
+    try:
+        B.instruments(s, d).select(F.col("symbol").alias("股票代码"), F.concat(F.lit("名称"), "name").alias("name(x)")).coalesce(1).write.csv(path, header=True, encoding="GB18030")
+    finally:
+        s.conf.set("spark.sql.legacy.javaCharsets", before)
     return S.read_csv_any_encoding(s, path + "/*.csv").select("symbol", "name")
 
 
@@ -152,8 +162,15 @@ def event_stream(spark, sf_dir):
 
 
 def run(spark, stream, mode="append"):
-    name = f"t{uuid.uuid4().hex[:12]}"
-    return Z.run_to_table(spark, stream, name, scratch(spark, "query"), mode)
+    with Z.rocksdb(spark):
+        return Z.run_to_table(spark, stream, scratch(spark, "result"), scratch(spark, "query"), mode)
+
+
+def streamed(spark, df, **options):
+    """A table written to the shared folder and read as a stream."""
+    path = scratch(spark, "stream")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).options(**options).parquet(path)
 
 
 _TB = lambda w, key="": f"SELECT event_type AS symbol, date_trunc('{w}', ts) AS start{key}, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, sum(value) AS amount FROM events GROUP BY ALL"
@@ -185,16 +202,11 @@ def _z01(s, d):
 @query("z02_stateful_indicators", "WITH RECURSIVE " + EB.replace("eb AS", "bars AS", 1) + ",\n" + REC + f"\nSELECT symbol, date, {', '.join(RECURSIVE)} FROM recind")
 def _z02(s, d):
     """Bars written and streamed by file, each symbol's bars in order; equal to the batch indicators."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = scratch(s, "bars")
-    bars = eb(s, d)
-    bars.repartition(2, "symbol").write.parquet(path)
-    out = run(s, Z.streaming_indicators(s.readStream.schema(s.read.parquet(path).schema).parquet(path)))
-    return out.select("symbol", "date", *RECURSIVE)
+    return run(s, Z.streaming_indicators(streamed(s, eb(s, d).repartition(2, "symbol")))).select("symbol", "date", *RECURSIVE)
 
 
 query("z03_volume_scaling", "SELECT event_id, value * 240.0::DOUBLE / greatest(CASE WHEN m < 570 THEN 0 WHEN m <= 690 THEN m - 570 WHEN m < 780 THEN 120 WHEN m <= 900 THEN m - 660 ELSE 240 END, 1) AS vol_ratio FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM events) e")(
-    lambda s, d: Z.scaled_volume_ratio(B.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("vol_ratio"))).select("event_id", "vol_ratio")
+    lambda s, d: run(s, Z.scaled_volume_ratio(event_stream(s, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("vol_ratio"))).select("event_id", "vol_ratio"))
 )
 _RULES = [{"id": "big", "scope": "all", "conditions": [{"field": "value", "op": ">", "value": 150}]}, {"id": "some", "scope": "symbols", "symbols": ["click"], "conditions": [{"field": "value", "op": "<", "value": 1}]}, {"id": "never", "scope": "sector", "conditions": [{"field": "value", "op": ">", "value": 0}]}]
 _RULE_HITS = "hits AS (SELECT 'big' AS rule, event_type AS symbol, ts, event_id FROM events WHERE value > 150 UNION ALL SELECT 'some', event_type, ts, event_id FROM events WHERE event_type = 'click' AND value < 1)"
@@ -213,30 +225,55 @@ def _hits(s, d):
     return rule_hits(B.table(s, d, "events").withColumn("symbol", F.col("event_type")))
 
 
-query("z07_cooldown_batch")(lambda s, d: Z.cooldown_batch(_hits(s, d), 3600))
+#: Each firing is the first hit an hour or more after the one before.
+_COOL = f"""WITH RECURSIVE {_RULE_HITS},
+f AS (SELECT rule, symbol, min(ts) AS ts FROM hits GROUP BY 1, 2
+  UNION ALL SELECT h.rule, h.symbol, min(h.ts) AS ts FROM f JOIN hits h ON h.rule = f.rule AND h.symbol = f.symbol AND h.ts >= f.ts + INTERVAL 1 HOUR GROUP BY 1, 2)
+SELECT rule, symbol, date_trunc('second', ts) AS at FROM f"""
 
 
-@query("z07_cooldown_stream")
-def _z07(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return run(s, Z.cooldown(rule_hits(event_stream(s, d)), 3600))
+def _seconds(df):
+    return df.select("rule", "symbol", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"))
 
 
-@query("z08_pool_changes")
-def _z08(s, d):
-    """The pools of even and odd days follow each other as files of a stream."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = scratch(s, "pools")
-    for k in (0, 1):
-        eb(s, d).filter(f"dayofmonth(date) % 2 = {k} AND volume > 3").select(F.lit("busy").alias("strategy"), "symbol").distinct().coalesce(1).write.mode("append").parquet(path)
-    files = s.readStream.schema("strategy string, symbol string").option("maxFilesPerTrigger", 1).parquet(path)
-    return run(s, Z.pool_changes(files))
+query("z07_cooldown_batch", _COOL)(lambda s, d: _seconds(Z.cooldown_batch(_hits(s, d), 3600)))
+query("z07_cooldown_stream", _COOL)(lambda s, d: _seconds(run(s, Z.cooldown(rule_hits(event_stream(s, d)), 3600))))
 
+#: The pools of odd and even days: busy users, users with a large value on one of the first odd days (none on even ones), and few of them.
+_POOLS = f"""WITH {EB}, h AS (SELECT 'busy' AS strategy, day(date) % 2 AS k, symbol FROM eb WHERE volume > 3 UNION SELECT 'gone', 1, symbol FROM eb WHERE day(date) = 3 AND high > 150 UNION SELECT 'few', day(date) % 2, symbol FROM eb WHERE symbol IN ('1', '2', '3', '4') AND day(date) IN (4, 5)),
+p AS (SELECT strategy, symbol FROM h WHERE k = 1), q AS (SELECT strategy, symbol FROM h WHERE k = 0),
+c AS (SELECT *, 'new' AS change FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT *, 'dropped' FROM (SELECT * FROM p EXCEPT SELECT * FROM q)),
+n AS (SELECT *, count(*) OVER (PARTITION BY strategy) AS n FROM c)
+SELECT strategy, symbol, change FROM n WHERE n <= 5 UNION ALL SELECT DISTINCT strategy, n || ' symbols', 'batch' FROM n WHERE n > 5"""
 
-query("z09_seal_alerts", None)(lambda s, d: Z.seal_alerts(limit_frame(s, d).filter("signal_limit_up").join(depth(s, d).select("symbol", F.try_element_at("bid_volumes", F.lit(1)).alias("bid1_vol")), "symbol"), 10).select("symbol", "date", "bid1_vol"))
-query("z10_any_signal_alerts")(lambda s, d: Z.any_signal_alerts(indicator_frame(s, d, {"signal_volume_surge", "signal_n_day_high"}), ["signal_volume_surge", "signal_n_day_high"]).select("symbol", "date"))
+
+@query("z08_pool_changes", _POOLS)
+def _z08(s, d):
+    """Two runs of three strategies follow each other as files of a stream; a pool without symbols is a pool too."""
+    b, day = eb(s, d), F.dayofmonth("date")
+    picks = b.filter("volume > 3").select(F.lit("busy").alias("strategy"), (day % 2).alias("k"), "symbol")
+    picks = picks.unionByName(b.filter((day == 3) & (F.col("high") > 150)).select(F.lit("gone").alias("strategy"), F.lit(1).alias("k"), "symbol"))
+    picks = picks.unionByName(b.filter(day.isin(4, 5) & F.col("symbol").isin("1", "2", "3", "4")).select(F.lit("few").alias("strategy"), (day % 2).alias("k"), "symbol"))
+    strategies, path = s.createDataFrame([("busy",), ("gone",), ("few",)], "strategy string"), scratch(s, "pools")
+    for n, k in enumerate((1, 0)):
+        Z.pool_rows(picks.filter(F.col("k") == k), strategies, n).coalesce(1).write.mode("append").parquet(path)
+    files = s.readStream.schema("strategy string, symbol string, run int").option("maxFilesPerTrigger", 1).parquet(path)
+    return run(s, Z.pool_changes(files)).select("strategy", "symbol", "change")
+
+
+_BID1 = "CASE (total_shares / 1e6)::BIGINT % 4 WHEN 0 THEN 9 ELSE (total_shares / 1e6)::BIGINT % 4 * 4 END"
+query("z09_seal_alerts", LIMITS + f"SELECT symbol, date, {_BID1} AS bid1_vol FROM lim WHERE signal_limit_up AND {_BID1} BETWEEN 1 AND 10")(
+    lambda s, d: run(s, Z.seal_alerts(streamed(s, limit_frame(s, d).filter("signal_limit_up").select("symbol", "date", "close")).join(depth(s, d).select("symbol", F.try_element_at("bid_volumes", F.lit(1)).alias("bid1_vol")), "symbol"), 10).select("symbol", "date", "bid1_vol"))
+)
+query("z10_any_signal_alerts", B.with_("bars", more=f"{IND},\n{SIG}") + "SELECT symbol, date FROM sig WHERE coalesce(signal_volume_surge, false) OR coalesce(signal_n_day_high, false)")(
+    lambda s, d: run(s, Z.any_signal_alerts(streamed(s, indicator_frame(s, d, {"signal_volume_surge", "signal_n_day_high"}).select("symbol", "date", "signal_volume_surge", "signal_n_day_high")), ["signal_volume_surge", "signal_n_day_high"]).select("symbol", "date"))
+)
+_THRESHOLDS = [{"field": "change_pct", "op": ">=", "value": 1.0}, {"field": "vol_ratio_5d", "op": ">=", "value": 3.0}]
+query("z10_threshold_alerts", B.with_("bars", more=IND) + "SELECT symbol, date FROM ind WHERE coalesce(change_pct >= 1, false) OR coalesce(vol_ratio_5d >= 3, false)")(
+    lambda s, d: run(s, match_conditions(streamed(s, indicator_frame(s, d, {"change_pct", "vol_ratio_5d"}).select("symbol", "date", "change_pct", "vol_ratio_5d")), _THRESHOLDS, "or").select("symbol", "date"))
+)
 _MIN = "hour(ts) * 60 + minute(ts)"
-query("z11_session_gate", f"SELECT event_id FROM events WHERE isodow(ts) < 6 AND ({_MIN} BETWEEN 570 AND 690 OR {_MIN} BETWEEN 780 AND 900)")(lambda s, d: Z.session_gate(B.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("snapshot", F.col("ts"))).select("event_id"))
+query("z11_session_gate", f"SELECT event_id FROM events WHERE isodow(ts) < 6 AND ({_MIN} BETWEEN 570 AND 690 OR {_MIN} BETWEEN 780 AND 900)")(lambda s, d: run(s, Z.session_gate(event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("snapshot", F.col("ts"))).select("event_id")))
 
 
 @query("z12_dedup_watermark", "SELECT event_id, event_type AS symbol FROM events")
@@ -246,10 +283,16 @@ def _z12(s, d):
     return run(s, Z.ticks(both.unionByName(both), "40 days").select("event_id", "symbol"))
 
 
-@query("z13_alert_enrichment", f"WITH {_RULE_HITS}, n AS (SELECT event_type AS symbol, count(*) AS events FROM events GROUP BY 1) SELECT rule, symbol, date_trunc('second', ts) AS at, events FROM hits JOIN n USING (symbol)")
+#: Events of users who are suppliers too, with the supplier's name, concepts and industry.
+_ALERTS = f"hits AS (SELECT 'big' AS rule, {B._symbol_sql('user_id')} AS symbol, ts FROM events WHERE value > 150)"
+
+
+@query("z13_alert_enrichment", B.with_("instruments", more=_ALERTS) + "SELECT rule, symbol, date_trunc('second', ts) AS at, name, industry, list_filter(string_split(labels, ';'), lambda x: x <> 'nan') AS concepts FROM hits LEFT JOIN instruments USING (symbol)")
 def _z13(s, d):
-    static = B.table(s, d, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("events"))
-    return run(s, Z.enrich_alerts(rule_hits(event_stream(s, d)), static)).select("rule", "symbol", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"), "events")
+    """A stream joined to the static dimension, whose concept strings are split once."""
+    static = B.instruments(s, d).select("symbol", "name", "industry", labels_of(F.col("labels")).alias("concepts"))
+    hits = Z.evaluate_rules(event_stream(s, d).withColumns({"ts": F.col("ts").cast("timestamp"), "symbol": B.symbol_of(F.col("user_id"))}), _RULES[:1])
+    return run(s, Z.enrich_alerts(hits, static)).select("rule", "symbol", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"), "name", "industry", "concepts")
 
 
 # Functions callable from SQL.

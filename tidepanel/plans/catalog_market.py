@@ -107,18 +107,25 @@ query("j10_pool_diff", B.with_("bars", more="a AS (SELECT DISTINCT symbol FROM b
 
 
 def depth(s, d):
-    k = F.crc32(F.col("symbol").cast("binary")) % 4
-    return dims(s, d).select("symbol", F.when(k == 0, F.array(F.lit(0), F.lit(5))).when(k == 1, F.array(F.lit(7))).when(k == 2, F.array().cast("array<int>")).cast("array<bigint>").alias("ask_volumes"), F.array(F.lit(9), F.lit(1)).cast("array<bigint>").alias("bid_volumes"))
+    """An order book: what stands on the ask and bid side follows the shares."""
+    k = (F.col("total_shares") / 1e6).cast("bigint") % 4
+    asks = F.when(k == 0, F.array(F.lit(0), F.lit(5))).when(k == 1, F.array(F.lit(7))).when(k == 2, F.array().cast("array<int>")).cast("array<bigint>")
+    return dims(s, d).select("symbol", asks.alias("ask_volumes"), F.array(F.when(k == 0, 9).otherwise(k * 4), F.lit(1)).cast("array<bigint>").alias("bid_volumes"))
 
 
-query("j11_seal_overlay")(lambda s, d: J.seal_overlay(limit_frame(s, d), J.depth_seals(depth(s, d))).filter("signal_limit_up").select("symbol", "date", "seal_status", "is_limit_up", "bid1_vol"))
+_SEALS = "dp AS (SELECT symbol, (total_shares / 1e6)::BIGINT % 4 AS k FROM instruments), sl AS (SELECT symbol, CASE k WHEN 0 THEN true WHEN 1 THEN false END AS sealed_up, CASE k WHEN 0 THEN 9 ELSE k * 4 END AS bid1_vol FROM dp)"
+query("j11_seal_overlay", LIMITS.rstrip() + f""",
+{_SEALS}
+SELECT symbol, date, CASE WHEN sealed_up IS NULL THEN 'pending' WHEN sealed_up THEN 'real' ELSE 'fake' END AS seal_status, coalesce(sealed_up, true) AS is_limit_up, bid1_vol FROM lim LEFT JOIN sl USING (symbol) WHERE signal_limit_up""")(
+    lambda s, d: J.seal_overlay(limit_frame(s, d), J.depth_seals(depth(s, d))).filter("signal_limit_up").select("symbol", "date", "seal_status", "is_limit_up", "bid1_vol")
+)
 query("j12_fill_missing_names", B.with_("instruments") + "SELECT symbol, name FROM instruments")(
     lambda s, d: J.fill_missing_names(dims(s, d).select("symbol", F.when(F.col("balance") > 0, "").otherwise(F.col("name")).alias("name")), dims(s, d).select("symbol", "name")).select("symbol", "name")
 )
 query("j13_asset_type", B.with_("bars", "instruments") + "SELECT DISTINCT symbol, type AS asset_type FROM bars JOIN instruments USING (symbol)")(
     lambda s, d: J.resolve_asset_type(bars(s, d).select("symbol").distinct(), dims(s, d).filter("type = 'etf'"), dims(s, d).filter("type = 'index'"))
 )
-query("j14_range_join", B.with_("bars", more=f"n AS (SELECT *, row_number() OVER ({W}) AS n FROM bars)") + "SELECT e.symbol, e.n AS entry_n, b.n, b.close FROM n e JOIN n b ON b.symbol = e.symbol AND b.n > e.n AND b.n <= e.n + 5 WHERE e.amount > 100000")(
+query("j14_range_join", B.with_("bars", more=f"n AS (SELECT *, row_number() OVER ({W}) AS n FROM bars)") + "SELECT e.symbol, e.n AS entry_n, b.n, b.close FROM n e CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(step) JOIN n b ON b.symbol = e.symbol AND b.n = e.n + v.step WHERE e.amount > 100000")(
     lambda s, d: (lambda nb: J.entry_exit_range_join(nb.filter("amount > 100000").select("symbol", F.col("n").alias("entry_n")), nb.select("symbol", "n", "close"), 5))(J.numbered(bars(s, d))).select("symbol", "entry_n", F.col("n").cast("bigint").alias("n"), "close")
 )
 query("j15_dedup_last", B.with_("bars") + "SELECT symbol, max(date) AS date, arg_max(close, date) AS close FROM bars GROUP BY symbol")(lambda s, d: J.dedup_last(bars(s, d), ["symbol"], ["date"]).select("symbol", "date", "close"))

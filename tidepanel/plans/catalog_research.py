@@ -8,6 +8,7 @@ from ..operators import factor as Q
 from ..operators import levels as L
 from ..operators import trades as T
 from ..operators.indicators import with_indicators
+from ..operators.limits import turnover_rate
 from . import bindings as B
 from . import strategies as K
 from .catalog import query
@@ -50,13 +51,13 @@ IC = f"rk AS (SELECT date, {_AVR('factor', 'date')} AS a, {_AVR('ret', 'date')}
 query("q03_rank_ic", B.with_("brand_bars", more=f"{_FR}, {IC}") + "SELECT * FROM ic")(lambda s, d: Q.rank_ic(factor_rows(s, d)))
 query("q04_ic_summary", B.with_("brand_bars", more=f"{_FR}, {IC}") + "SELECT avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, avg(ic) / nullif(stddev_pop(ic), 0) AS ir FROM ic", 4)(lambda s, d: Q.ic_summary(Q.rank_ic(factor_rows(s, d))))
 _BUCKET = "(floor((row_number() OVER (PARTITION BY date ORDER BY factor, symbol) - 1) * 5 / count(*) OVER (PARTITION BY date)) + 1)::INTEGER"
-# Returns of this made-up panel are hundreds of percent; a hundredth of them keeps the curves in range.
-NAV = f"bk AS (SELECT symbol, date, factor, ret / 100 AS ret, {_BUCKET} AS grp FROM fr WHERE factor IS NOT NULL AND ret IS NOT NULL AND date < DATE '1995-07-01'), gm AS (SELECT date, grp, avg(ret) AS ret FROM bk GROUP BY 1, 2), nav AS (SELECT date, grp, ret, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY grp ORDER BY date)), 4) AS nav FROM gm)"
+# Returns of this made-up panel are hundreds of percent; a ten-thousandth of them keeps the curves in range.
+NAV = f"bk AS (SELECT symbol, date, factor, ret / 10000 AS ret, {_BUCKET} AS grp FROM fr WHERE factor IS NOT NULL AND ret IS NOT NULL), gm AS (SELECT date, grp, avg(ret) AS ret FROM bk GROUP BY 1, 2), nav AS (SELECT date, grp, ret, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY grp ORDER BY date)), 4) AS nav FROM gm)"
 _NAVQ = B.with_("brand_bars", more=f"{_FR}, {NAV}")
 
 
 def navs(s, d):
-    return Q.group_nav(factor_rows(s, d).filter("date < DATE '1995-07-01'").withColumn("ret", F.col("ret") / 100))
+    return Q.group_nav(factor_rows(s, d).withColumn("ret", F.col("ret") / 10000))
 
 
 query("q05_group_nav", _NAVQ + 'SELECT date, grp AS "group", ret, nav FROM nav')(navs)
@@ -64,9 +65,30 @@ _FIG = lambda v, keys, start="1.0": f"""st AS (SELECT {keys}, date, {v} AS v, {v
 _YEARS = "greatest((max(date) - min(date)) / 365.25::DOUBLE, 1 / 365.25::DOUBLE)"
 query("q06_group_stats", _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") + f'\nSELECT grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, count_if(r > 0) / count(*)::DOUBLE AS win_rate FROM st GROUP BY grp', 2)(lambda s, d: Q.group_stats(navs(s, d), "daily"))
 query("q07_long_short", _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") + ", p AS (SELECT date, (max(CASE WHEN grp = 5 THEN r END) - max(CASE WHEN grp = 1 THEN r END)) / 2 AS ret FROM st GROUP BY date), q AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS nav FROM p WHERE ret IS NOT NULL)\nSELECT *, nav / greatest(max(nav) OVER (ORDER BY date), 1.0) - 1 AS drawdown FROM q", 4)(lambda s, d: Q.long_short(navs(s, d), 5))
-_CAT = ("momentum_20d", "change_pct", "amplitude", "vol_ratio_5d")
-query("q08_factor_catalog", B.with_("brand_bars", more=PIND + ",\n" + ret_sql("weekly") + f", lg AS (UNPIVOT (SELECT symbol, date, {', '.join(_CAT)} FROM ind) ON {', '.join(_CAT)} INTO NAME factor_name VALUE factor), fr AS (SELECT l.factor_name, l.date, l.factor, p.ret FROM lg l JOIN pr p USING (symbol, date) WHERE ret IS NOT NULL AND factor IS NOT NULL), rk AS (SELECT factor_name, date, {_AVR('factor', 'factor_name, date')} AS a, {_AVR('ret', 'factor_name, date')} AS b FROM fr), ic AS (SELECT factor_name, date, {_CORR} AS ic FROM rk GROUP BY 1, 2)") + "SELECT factor_name, avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, avg(ic) / nullif(stddev_pop(ic), 0) AS ir FROM ic WHERE ic IS NOT NULL GROUP BY factor_name", 3)(
-    lambda s, d: Q.factor_catalog(panel(s, d), _CAT, "weekly")
+_CAT = ", ".join(Q.FACTORS)
+PREC = REC.replace("FROM bars)", "FROM brand_bars)")
+
+
+def factor_panel(s, d):
+    """Brand bars with all factors; every brand has a million shares."""
+    bars = B.brand_bars(s, d).withColumn("turnover_rate", turnover_rate(F.col("volume"), F.lit(1e6)))
+    return with_indicators(bars, set(Q.FACTORS) - {"turnover_rate"})
+
+
+_ALL_FACTORS = f"""{PIND},
+{PREC},
+af AS (SELECT i.*, volume * 10000 / 1e6::DOUBLE AS turnover_rate, r.* EXCLUDE (symbol, date) FROM ind i JOIN recind r USING (symbol, date)),
+{ret_sql("weekly")},
+lg AS (UNPIVOT (SELECT symbol, date, {_CAT} FROM af) ON {_CAT} INTO NAME factor_name VALUE factor),
+fr AS (SELECT l.factor_name, l.symbol, l.date, l.factor, p.ret FROM lg l JOIN pr p USING (symbol, date) WHERE ret IS NOT NULL AND factor IS NOT NULL)"""
+_FQ = B.with_("brand_bars", more=_ALL_FACTORS, recursive=True).rstrip()
+_FIC = f"""rk AS (SELECT factor_name, date, {_AVR('factor', 'factor_name, date')} AS a, {_AVR('ret', 'factor_name, date')} AS b FROM fr), ic AS (SELECT factor_name, date, {_CORR} AS ic FROM rk GROUP BY 1, 2)"""
+_SUMMARY = "avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, avg(ic) / nullif(stddev_pop(ic), 0) AS ir"
+query("q08_factor_catalog", f"{_FQ},\n{_FIC}\nSELECT factor_name, {_SUMMARY} FROM ic WHERE ic IS NOT NULL GROUP BY factor_name", 3)(lambda s, d: Q.factor_catalog(factor_panel(s, d), freq="weekly"))
+_FNAV = f"""bk AS (SELECT factor_name, date, ret / 10000 AS ret, {_BUCKET.replace("PARTITION BY date", "PARTITION BY factor_name, date")} AS grp FROM fr), gm AS (SELECT factor_name, date, grp, avg(ret) AS ret FROM bk GROUP BY ALL),
+nav AS (SELECT factor_name, date, grp, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY factor_name, grp ORDER BY date)), 4) AS nav FROM gm)"""
+query("q08_factor_groups", f"{_FQ},\n{_FNAV}, " + _FIG("nav", "factor_name, grp").replace("$T", "nav") + f'\nSELECT factor_name, grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(52) AS sharpe, count_if(r > 0) / count(*)::DOUBLE AS win_rate FROM st GROUP BY ALL', 2)(
+    lambda s, d: Q.factor_groups(factor_panel(s, d), freq="weekly", scale=1e-4)
 )
 
 # Levels.
@@ -165,7 +187,7 @@ jl AS (SELECT *, greatest(entry_price * (1 + {STOP}::DOUBLE), CASE WHEN peak >=
 jr AS (SELECT *, CASE WHEN low <= line THEN 'stop' WHEN high >= entry_price * (1 + 1.5::DOUBLE) THEN 'take_profit' WHEN exit THEN 'signal' WHEN n - entry_n >= {HOLD} THEN 'max_hold' WHEN n = last_n THEN 'end' END AS reason FROM jl),
 js AS (SELECT *, CASE reason WHEN 'stop' THEN least(open, line) WHEN 'take_profit' THEN greatest(open, entry_price * (1 + 1.5::DOUBLE)) ELSE close END AS price FROM jr WHERE reason IS NOT NULL),
 ex AS (SELECT symbol, entry_n, entry_date, entry_price, reason, price, date AS exit_date, n AS exit_n, sellable FROM js QUALIFY row_number() OVER (PARTITION BY symbol, entry_n ORDER BY n) = 1)"""
-DEFER = """dm AS (SELECT e.symbol, e.entry_n, min(b.n) AS m FROM ex e JOIN tp b ON b.symbol = e.symbol AND b.n > e.exit_n AND b.n <= e.exit_n + 60 AND b.tradable AND NOT b.stuck_dn WHERE NOT e.sellable GROUP BY 1, 2),
+DEFER = """dm AS (SELECT e.symbol, e.entry_n, min(b.n) AS m FROM ex e JOIN tp b ON b.symbol = e.symbol AND b.n > e.exit_n AND b.tradable AND NOT b.stuck_dn WHERE NOT e.sellable GROUP BY 1, 2),
 td AS (SELECT e.symbol, e.entry_n, e.entry_date, e.entry_price, e.reason, coalesce(b.close, e.price) AS exit_price, coalesce(b.date, e.exit_date) AS exit_date, coalesce(b.n, e.exit_n) AS exit_n, coalesce(b.n - e.exit_n, 0)::INTEGER AS blocked_days FROM ex e LEFT JOIN dm USING (symbol, entry_n) LEFT JOIN tp b ON b.symbol = e.symbol AND b.n = dm.m),
 tr AS (SELECT *, exit_price * (1 - 0.0003::DOUBLE - 0.0005::DOUBLE - 0.0005::DOUBLE) / (entry_price * (1 + 0.0003::DOUBLE + 0.0005::DOUBLE)) - 1 AS pnl_pct, (exit_n - entry_n)::INTEGER AS duration FROM td)"""
 _T = B.with_("brand_bars", more=f"{TPANEL},\n{LABEL},\n{DEFER}")
@@ -184,23 +206,23 @@ query("b03_label_exits", _T + "SELECT symbol, entry_n, reason, price, exit_date
 _TC = ("symbol", "entry_date", "entry_price", "reason", "exit_price", "exit_date", "blocked_days", "pnl_pct", "duration")
 query("b04_b05_trades", _T + f"SELECT {', '.join(_TC)} FROM tr")(lambda s, d: trades(s, d).select(*_TC))
 query("b08_trade_stats", _T + "SELECT count(*) AS n_trades, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, sum(CASE WHEN pnl_pct > 0 THEN pnl_pct END) / nullif(-sum(CASE WHEN pnl_pct < 0 THEN pnl_pct END), 0) AS profit_factor, avg(CASE WHEN pnl_pct > 0 THEN pnl_pct END) AS avg_win, avg(CASE WHEN pnl_pct < 0 THEN pnl_pct END) AS avg_loss, avg(pnl_pct) AS avg_pnl, max(pnl_pct) AS best, min(pnl_pct) AS worst, median(pnl_pct) AS median_pnl, avg(duration) AS avg_duration FROM tr", 5)(lambda s, d: T.trade_stats(trades(s, d)))
-SLOT = "sl AS (SELECT exit_date AS date, avg(pnl_pct / 100) AS ret, count(*) AS n FROM tr WHERE exit_date < DATE '1996-06-01' GROUP BY 1), eq AS (SELECT date, ret, n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl)"
+SLOT = "sl AS (SELECT exit_date AS date, avg(pnl_pct / 10000) AS ret, count(*) AS n FROM tr GROUP BY 1), eq AS (SELECT date, ret, n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl)"
 
 
-def short_trades(s, d):
-    return trades(s, d).filter("exit_date < DATE '1996-06-01'")
+def small_trades(s, d):
+    return trades(s, d).withColumn("pnl_pct", F.col("pnl_pct") / 10000)
 
 
-def hundredth(df):
-    return df.withColumn("pnl_pct", F.col("pnl_pct") / 100)
-
-
-query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq")(lambda s, d: T.slot_portfolio(hundredth(short_trades(s, d))))
+query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq")(lambda s, d: T.slot_portfolio(small_trades(s, d)))
 query("b07_daily_top_n", B.with_("brand_bars", more=TPANEL) + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol)::INTEGER AS slot FROM en0 QUALIFY slot <= 3")(lambda s, d: T.daily_top_n_slots(T.candidate_entries(trade_panel(s, d), START, END), 3).select("symbol", "date", "slot"))
-query("b09_curve_stats", _T.rstrip() + ", " + SLOT + f", st AS (SELECT date, equity AS v, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS dd, equity / nullif(coalesce(lag(equity) OVER (ORDER BY date), 1.0), 0) - 1 AS r FROM eq), g AS (SELECT arg_max(v, date) - 1 AS total_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return FROM st) SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM g", 2)(lambda s, d: T.curve_stats(T.slot_portfolio(hundredth(short_trades(s, d)))))
-query("b10_per_symbol", _T + "SELECT symbol, count(*) AS n, exp(sum(ln(1 + greatest(pnl_pct, -0.9999::DOUBLE) ))) - 1 AS total_return, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, max(pnl_pct) AS best, min(pnl_pct) AS worst FROM tr WHERE exit_date < DATE '1996-06-01' GROUP BY symbol", 4)(lambda s, d: T.per_symbol_stats(short_trades(s, d)))
+query("b09_curve_stats", _T.rstrip() + ", " + SLOT + f", st AS (SELECT date, equity AS v, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS dd, equity / nullif(coalesce(lag(equity) OVER (ORDER BY date), 1.0), 0) - 1 AS r FROM eq), g AS (SELECT arg_max(v, date) - 1 AS total_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return FROM st) SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM g", 2)(lambda s, d: T.curve_stats(T.slot_portfolio(small_trades(s, d))))
+query("b10_per_symbol", _T + "SELECT symbol, count(*) AS n, exp(sum(ln(1 + greatest(pnl_pct, -0.9999::DOUBLE)))) - 1 AS total_return, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, max(pnl_pct) AS best, min(pnl_pct) AS worst FROM (SELECT symbol, pnl_pct / 10000 AS pnl_pct FROM tr) AS t GROUP BY symbol", 4)(lambda s, d: T.per_symbol_stats(small_trades(s, d)))
 query("b11_histogram", _T + "SELECT least(floor(round((greatest(-0.2::DOUBLE, least(0.2::DOUBLE, pnl_pct)) + 0.2::DOUBLE) / 0.02::DOUBLE, 9)), 19)::INTEGER AS bin, count(*) AS n FROM tr GROUP BY 1")(lambda s, d: T.return_histogram(trades(s, d)))
-query("b12_bootstrap_drawdown")(lambda s, d: T.bootstrap_drawdown(trades(s, d)))
+BOOT = """tk AS (SELECT greatest(pnl_pct, -0.9999::DOUBLE) AS r, row_number() OVER (ORDER BY symbol, entry_date, exit_date) AS k, count(*) OVER () AS n FROM tr),
+dr AS (SELECT sim, a.k, ('0x' || substr(md5('42-' || sim || '-' || a.k), 1, 8))::BIGINT % a.n + 1 AS pick FROM tk a CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS sim) AS s WHERE a.n >= 3),
+nv AS (SELECT sim, dr.k, exp(sum(ln(1 + r)) OVER (PARTITION BY sim ORDER BY dr.k)) AS nav FROM dr JOIN tk ON tk.k = pick),
+wd AS (SELECT sim, min(dd) AS dd FROM (SELECT sim, least(nav / greatest(max(nav) OVER (PARTITION BY sim ORDER BY k), 1.0) - 1, 0.0) AS dd FROM nv) AS x GROUP BY sim)"""
+query("b12_bootstrap_drawdown", _T.rstrip() + f",\n{BOOT}\nSELECT quantile_cont(dd, 0.5) AS p50, quantile_cont(dd, 0.05) AS p95 FROM wd", 5)(lambda s, d: T.bootstrap_drawdown(trades(s, d)))
 query("b13_forward_eval", B.with_("brand_bars", more=TPANEL + f", fw AS (SELECT *, lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 AS fwd FROM tp)") + "SELECT date, avg(fwd) AS ret, count(*) AS n FROM fw WHERE entry AND fwd IS NOT NULL GROUP BY date")(lambda s, d: T.forward_eval(trade_panel(s, d), 5))
 query("b14_signal_backtest", B.with_("bars", more=IND) + "SELECT symbol, date, coalesce(close > boll_upper, false) OR coalesce(vol_ratio_5d >= 2.0, false) AS entry, coalesce(close < boll_lower, false) AS exit FROM ind")(
     lambda s, d: T.signal_panel(indicator_frame(s, d, {"signal_boll_breakout_upper", "signal_volume_surge", "signal_boll_breakdown_lower"}), ["signal_boll_breakout_upper", "signal_volume_surge"], ["signal_boll_breakdown_lower"]).select("symbol", "date", "entry", "exit")

@@ -5,14 +5,17 @@ later ones are dropped. Order is the event's, not the arrival's.
 """
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalar import continuous_trading, intraday_volume_ratio, session_phase
-from ..operators.filters import apply_scope, match_conditions
+from ..operators.filters import in_scope, match_conditions, matches
 from ..sources.io import upsert_by_date
 
 LATENESS = "10 minutes"
@@ -66,12 +69,11 @@ def upsert_stream(quotes: DataFrame, path: str, checkpoint: str):
 
 
 def evaluate_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """``rule, symbol, ts`` of every row that matches a rule, within the rule's scope."""
-    out = None
-    for r in rules:
-        hits = match_conditions(apply_scope(df, r["scope"], r.get("symbols")), r["conditions"], r.get("logic", "and")).select(F.lit(r["id"]).alias("rule"), "symbol", "ts")
-        out = hits if out is None else out.unionByName(hits)
-    return df.select(F.lit("").alias("rule"), "symbol", "ts").limit(0) if out is None else out
+    """``rule, symbol, ts`` of every row that matches a rule, within the rule's scope; one pass for all rules."""
+    if not rules:
+        return df.select(F.lit("").alias("rule"), "symbol", "ts").limit(0)
+    hits = [F.when(in_scope(r["scope"], r.get("symbols")) & matches(r["conditions"], r.get("logic", "and"), df.columns), F.lit(r["id"])) for r in rules]
+    return df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("rule"), "symbol", "ts")
 
 
 def seal_alerts(quotes: DataFrame, threshold: float, by_amount: bool = False) -> DataFrame:
@@ -89,6 +91,15 @@ def enrich_alerts(alerts: DataFrame, dimension: DataFrame) -> DataFrame:
     return alerts.join(dimension, "symbol", "left")
 
 
+def firings(at: np.ndarray, last: np.datetime64 | None, seconds: int) -> list[int]:
+    """Which of the sorted times fire, each at least ``seconds`` after the one before; ``last`` fired before them."""
+    wait, out, k = np.timedelta64(seconds, "s"), [], 0 if last is None else int(np.searchsorted(at, last + np.timedelta64(seconds, "s")))
+    while k < len(at):
+        out.append(k)
+        k = max(k + 1, int(np.searchsorted(at, at[k] + wait)))
+    return out
+
+
 class Cooldown(StatefulProcessor):
     """Lets a (rule, symbol) fire again after so many seconds of event time."""
 
@@ -99,16 +110,12 @@ class Cooldown(StatefulProcessor):
         self.last = handle.getValueState("last", "ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        every = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        fired = []
-        for ts in every["ts"]:
-            if last is None or (ts - pd.Timestamp(last)).total_seconds() >= self.seconds:
-                fired.append(ts)
-                last = ts
-        if fired:
-            self.last.update((pd.Timestamp(last).to_pydatetime(),))
-            yield pd.DataFrame({"rule": [key[0]] * len(fired), "symbol": [key[1]] * len(fired), "ts": fired})
+        at = np.sort(np.concatenate([part["ts"].to_numpy("datetime64[us]") for part in rows]))
+        last = np.datetime64(self.last.get()[0], "us") if self.last.exists() else None
+        fired = at[firings(at, last, self.seconds)]
+        if len(fired):
+            self.last.update((pd.Timestamp(fired[-1]).to_pydatetime(),))
+            yield pd.DataFrame({"rule": key[0], "symbol": key[1], "ts": fired})
 
     def close(self) -> None:
         pass
@@ -120,21 +127,32 @@ def cooldown(hits: DataFrame, seconds: int = 3600) -> DataFrame:
 
 
 def cooldown_batch(hits: DataFrame, seconds: int = 3600) -> DataFrame:
-    """The same for a table."""
-
-    def of(key, rows: pd.DataFrame) -> pd.DataFrame:
-        fired, last = [], None
-        for ts in rows["ts"].sort_values():
-            if last is None or (ts - last).total_seconds() >= seconds:
-                fired.append(ts)
-                last = ts
-        return pd.DataFrame({"rule": [key[0]] * len(fired), "symbol": [key[1]] * len(fired), "ts": fired})
-
-    return hits.groupBy("rule", "symbol").applyInPandas(of, "rule string, symbol string, ts timestamp")
+    """The same for a table: hits stream through in order, and a (rule, symbol) carries its last firing from batch to batch."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            at, fired = batch.column(2).cast(pa.timestamp("us")).to_numpy(zero_copy_only=False), []
+            edges = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
+            for a, b in zip(edges, edges[1:]):
+                if names[a] != key:
+                    key, last = names[a], None
+                own = [a + k for k in firings(at[a:b], last, seconds)]
+                last = at[own[-1]] if own else last
+                fired += own
+            yield batch.take(pa.array(fired, pa.int64()))
+
+    rows = hits.select("rule", "symbol", "ts").filter("ts IS NOT NULL").repartition("rule", "symbol").sortWithinPartitions("rule", "symbol", "ts")
+    return rows.mapInArrow(of, "rule string, symbol string, ts timestamp")
 
 
 class PoolDiff(StatefulProcessor):
-    """What a strategy's pool gained and lost against its last pool; the first pool is silent, more than ``most`` changes make one row."""
+    """What a strategy's pool gained and lost against its last pool; the first pool is silent, more than ``most`` changes make one row.
+
+    Rows are ``strategy, run, symbol``. A run of a strategy has a row without a symbol,
+    so that an empty pool is a pool too; runs that arrive together are taken in order.
+    """
 
     def __init__(self, most: int = 5):
         self.most = most
@@ -143,22 +161,34 @@ class PoolDiff(StatefulProcessor):
         self.pool = handle.getValueState("pool", "symbols array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = sorted(set(pd.concat(list(rows))["symbol"]))
-        if self.pool.exists():
-            before = set(self.pool.get()[0])
-            found = [(s, "new") for s in now if s not in before] + [(s, "dropped") for s in sorted(before - set(now))]
-            if len(found) > self.most:
-                found = [(f"{len(found)} symbols", "batch")]
-            if found:
-                yield pd.DataFrame({"strategy": [key[0]] * len(found), "symbol": [s for s, _ in found], "change": [c for _, c in found]})
-        self.pool.update((now,))
+        pools: dict[int, set[str]] = {}
+        for part in rows:
+            for run, symbols in part.groupby("run")["symbol"]:
+                pools.setdefault(run, set()).update(symbols.dropna())
+        before = set(self.pool.get()[0]) if self.pool.exists() else None
+        for run in sorted(pools):
+            now = pools[run]
+            if before is not None:
+                found = [(s, "new") for s in sorted(now - before)] + [(s, "dropped") for s in sorted(before - now)]
+                if len(found) > self.most:
+                    found = [(f"{len(found)} symbols", "batch")]
+                if found:
+                    yield pd.DataFrame({"strategy": key[0], "run": run, "symbol": [s for s, _ in found], "change": [c for _, c in found]})
+            before = now
+        self.pool.update((sorted(before or ()),))
 
     def close(self) -> None:
         pass
 
 
-def pool_changes(hits: DataFrame, most: int = 5) -> DataFrame:
-    return hits.groupBy("strategy").transformWithStateInPandas(PoolDiff(most), "strategy string, symbol string, change string", "Append", "None")
+def pool_rows(hits: DataFrame, strategies: DataFrame, run: int) -> DataFrame:
+    """``strategy, run, symbol`` of one run: the hits, and a row without a symbol for every strategy that ran."""
+    marks = strategies.select("strategy", F.lit(None).cast("string").alias("symbol"))
+    return hits.select("strategy", "symbol").distinct().unionByName(marks).withColumn("run", F.lit(run))
+
+
+def pool_changes(pools: DataFrame, most: int = 5) -> DataFrame:
+    return pools.groupBy("strategy").transformWithStateInPandas(PoolDiff(most), "strategy string, run int, symbol string, change string", "Append", "None")
 
 
 #: Exponential means kept as state: name and weight of the new value.
@@ -224,14 +254,28 @@ def step(s: dict | None, high: float, low: float, close: float) -> tuple[dict, d
 def streaming_indicators(bars: DataFrame) -> DataFrame:
     """The recursive indicators of a stream of daily bars; equal to the batch ones while a symbol's bars come in order.
 
-    The state store must be RocksDB
-    (``spark.sql.streaming.stateStore.providerClass``).
+    The state store must be RocksDB (``rocksdb``).
     """
     return bars.groupBy("symbol").transformWithStateInPandas(Indicators(), Indicators.OUT, "Append", "None")
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a query over all that is available and returns its memory table; for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a query over all that is available and gives its result, which the tasks write to ``path`` as Parquet."""
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+    else:
+        writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).outputMode(mode)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that custom state needs, for the queries started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
