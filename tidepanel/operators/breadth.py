@@ -12,9 +12,10 @@ from pyspark.sql.window import Window
 
 from .joins import join_symbol_or_code, labels_of
 from .limits import classify_board
+from .windows import by_date
 
-#: Lower bounds and labels of the return bands, in percent.
-BANDS = ((None, "<-7"), (-7, "-7~-5"), (-5, "-5~-2"), (-2, "-2~0"), (0, "0~2"), (2, "2~5"), (5, "5~7"), (7, ">=7"))
+# Lower bounds (shares) and labels of the return bands.
+BANDS = ((None, "<-5%"), (-0.05, "-5~-3%"), (-0.03, "-3~-1%"), (-0.01, "-1~0%"), (0, "0~1%"), (0.01, "1~3%"), (0.03, "3~5%"), (0.05, ">5%"))
 
 
 def count_if(c: Column) -> Column:
@@ -97,17 +98,17 @@ def activity_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("date").agg(F.avg(t).alias("avg_turnover"), count_if(t >= 5).alias("high_turnover"), F.avg(v).alias("avg_vol_ratio"), ratio(count_if(v >= 1.5), F.count(v)).alias("active_share"))
 
 
-def band_of(percent: Column) -> Column:
-    out = F.when(percent.isNotNull(), F.lit(0))
+def band_of(change: Column) -> Column:
+    out = F.when(change.isNotNull(), F.lit(0))
     for k, (low, _) in enumerate(BANDS):
-        out = out if low is None else F.when(percent >= low, k).otherwise(out)
+        out = out if low is None else F.when(change >= low, k).otherwise(out)
     return out
 
 
 def pct_bands(df: DataFrame) -> DataFrame:
     """Counts and shares of the eight half-open return bands, empty ones included."""
     table = df.sparkSession.createDataFrame([(k, name) for k, (_, name) in enumerate(BANDS)], "band int, label string")
-    counts = df.withColumn("band", band_of(F.col("change_pct") * 100)).filter("band IS NOT NULL").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.withColumn("band", band_of(F.col("change_pct"))).filter("band IS NOT NULL").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy())
     return table.join(counts, "band", "left").select("band", "label", F.coalesce("n", F.lit(0)).alias("n"), ratio(F.coalesce("n", F.lit(0)), total).alias("share"))
 
@@ -116,22 +117,35 @@ def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def scored(value: Column, low: float, high: float) -> Column:
+    """0 to 100 between two bounds, as a whole number, half to even; figures count to nine digits."""
+    return clamp(F.bround(F.round((value - low) / (high - low) * 100, 9), 0))
+
+
+def mixed(*parts: tuple[Column, float]) -> Column:
+    """The weighted sum of scores as a whole number, half to even."""
+    return F.bround(F.round(reduce(lambda a, b: a + b, [c * w for c, w in parts]), 9), 0)
+
+
 def emotion_radar(day: DataFrame) -> DataFrame:
-    """Six scores from 0 to 100 of a date's figures, their mean and its label."""
-    f = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    """``day`` with six scores from 0 to 100 of each date's figures, their mean and its label."""
+    f = lambda name, none=0.0: F.coalesce(F.col(name).cast("double"), F.lit(none))
+    of_all = lambda c: F.when(f("total") > 0, c / f("total") * 100).otherwise(0.0)
+    profit = mixed((scored(f("up_pct"), 20, 80), 0.45), (scored(f("avg_pct"), -0.02, 0.02), 0.25), (scored(f("median_pct"), -0.02, 0.02), 0.20), (scored(of_all(f("strong_up") - f("strong_down")), -8, 8), 0.10))
+    hot = mixed((scored(f("limit_up"), 5, 90), 0.25), (scored(f("seal_rate"), 30, 85), 0.35), (scored(f("max_boards"), 1, 8), 0.25), (scored(f("tier2"), 0, 30), 0.15))
+    mainline = mixed((scored(f("mainline_avg"), -0.005, 0.03), 0.65), (scored(f("mainline_cover_pct"), 1, 12), 0.35))
     scores = {
-        "breadth": clamp(f("up_share") * 100),
-        "limits": clamp(50 + (f("limit_up") - f("limit_down")) * 2),
-        "seal": clamp(f("seal_rate") * 100),
-        "trend": clamp(F.bround(F.round((f("above_ma5") + f("above_ma20") + f("above_ma60")) * 10000) / 30, 0) / 10),  # in whole numbers, so that ties are exact
-        "activity": clamp(f("active_share") * 100),
-        "height": clamp(f("max_streak") * 15),
+        "radar_index": scored(f("avg_index_pct"), -2.5, 2.5),
+        "radar_profit": profit,
+        "radar_money": mixed((scored(f("vol_ratio", 1.0), 0.6, 1.8), 0.70), (scored(f("high_vol_pct"), 2, 12), 0.30)),
+        "radar_speculation": hot,
+        "radar_resilience": 100 - mixed((scored(f("down_pct"), 20, 80), 0.55), (scored(of_all(f("strong_down")), 1, 12), 0.45)),
+        "radar_mainline": F.when(F.col("mainline_avg").isNull(), 50.0).otherwise(mainline),
     }
-    out = day.select("date", *[F.bround(v, 1).alias(k) for k, v in scores.items()])
-    # The mean of tenths as whole numbers, so that ties are exact.
-    out = out.withColumn("emotion", F.bround(reduce(lambda a, b: a + b, [F.round(F.col(k) * 10) for k in scores]) / len(scores), 0) / 10)
+    out = day.withColumns(scores)
+    out = out.withColumn("emotion", F.bround(F.round(reduce(lambda a, b: a + b, [F.col(k) for k in scores]) / len(scores), 9), 0))
     e = F.col("emotion")
-    return out.withColumn("mood", F.when(e >= 80, "euphoric").when(e >= 60, "warm").when(e >= 40, "neutral").when(e >= 20, "cool").otherwise("frozen"))
+    return out.withColumn("mood", F.when(e >= 70, "strong").when(e >= 55, "warm").when(e >= 45, "swinging").when(e >= 30, "cool").otherwise("frozen"))
 
 
 def industry_level(text: Column, level: int) -> Column:
@@ -237,12 +251,32 @@ def status_order(df: DataFrame, boards: str = "boards", status: str = "status")
     return df.orderBy(F.col(boards).desc(), F.when(F.col(status) == "main", 0).when(F.col(status) == "broken", 1).otherwise(2), "symbol")
 
 
-def limit_ladder(df: DataFrame) -> DataFrame:
-    """Symbols on the ladder of a day: at the limit, fallen from it, or failed after a limit-up the bar before; needs ``prev_streak``."""
-    up, broken = F.col("signal_limit_up"), F.col("signal_broken_limit_up")
-    status = F.when(up, "main").when(broken, "broken").when(F.col("prev_streak") >= 1, "failed")
-    boards = F.when(up, F.col("consecutive_limit_ups")).otherwise(F.coalesce("prev_streak", F.lit(0)) + 1)
-    return df.withColumns({"status": status, "boards": boards.cast("int")}).filter("status IS NOT NULL")
+def limit_ladder(df: DataFrame, direction: str = "up", depth: DataFrame | None = None) -> DataFrame:
+    """Symbols on the ladder of a day: at the limit, fallen from it, or failed after a limit the bar before.
+
+    ``direction`` is ``up`` or ``down``; ``df`` has ``prev_streak``, that direction's
+    streak at the bar before. ``depth`` (:func:`~tidepanel.operators.joins.depth_seals`)
+    adds what the order book says of the seal.
+    """
+    up = direction == "up"
+    hit = F.coalesce(f"signal_limit_{direction}", F.lit(False))
+    left = F.coalesce("signal_broken_limit_up" if up else "signal_limit_down_recovery", F.lit(False))
+    streak = F.col(f"consecutive_limit_{direction}s")
+    status = F.when(hit, "main").when(left, "broken").when(F.col("prev_streak") >= 1, "failed")
+    boards = F.when(hit, streak).otherwise(F.coalesce("prev_streak", F.lit(0)) + 1)
+    out = df.withColumns({"status": status, "boards": boards.cast("int")}).filter("status IS NOT NULL")
+    if depth is None:
+        return out
+    seals = depth.select("symbol", F.col(f"sealed_{direction}").alias("_sealed"), F.col("bid1_vol" if up else "ask1_vol").alias("seal_volume"))
+    seal = F.when(F.col("status") != "main", None).when(F.col("_sealed").isNull(), "pending").when(F.col("_sealed"), "real").otherwise("fake")
+    return out.join(seals, "symbol", "left").withColumn("seal_status", seal).drop("_sealed")
+
+
+def ladder_tiers(ladder: DataFrame) -> DataFrame:
+    """Per date and number of boards: how many stand, fell, failed, and how the standing ones are sealed."""
+    status, seal = F.col("status"), F.col("seal_status")
+    parts = {k: count_if(status == k) for k in ("main", "broken", "failed")} | {k: count_if(seal == k) for k in ("real", "fake", "pending")}
+    return ladder.groupBy("date", "boards").agg(*[v.alias(k) for k, v in parts.items()])
 
 
 def market_snapshot(df: DataFrame) -> DataFrame:
@@ -250,11 +284,83 @@ def market_snapshot(df: DataFrame) -> DataFrame:
 
 
 def market_overview(df: DataFrame) -> DataFrame:
-    """Every date's breadth, limits, trend, activity and mood in one row."""
-    day = market_breadth(df).join(limit_stats(df), "date").join(trend_counts(df), "date").join(activity_stats(df), "date")
-    return day.join(emotion_radar(day), "date")
+    """Every date's breadth, amounts, limits, bands, trend, activity, radar and mood in one row.
+
+    ``df`` has a row a symbol and date, its ``type`` (``index`` rows count for the index
+    score alone) and ``concepts`` (array) and ``industry`` of the symbol. One pass: a row
+    counts for the market, for its industry and for each of its concepts, and the
+    leading labels of a date reach the market's row by a window over the few sums.
+    """
+    p, n, c = F.col("change_pct"), F.count(F.lit(1)), F.col
+    live = (F.coalesce("volume", F.lit(0)) > 0) | (F.coalesce(p, F.lit(0.0)) != 0)
+    key = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("label"))
+    labels = F.concat(
+        F.array(key("market", F.lit(""))),
+        F.when(c("industry").isNotNull(), F.array(key("industry", c("industry")))).otherwise(F.array()),
+        F.transform(F.coalesce("concepts", F.array().cast("array<string>")), lambda x: key("concept", x)),
+    )
+    keys = F.when(F.coalesce(c("type") == "index", F.lit(False)), F.array(key("index", F.lit("")))).when(live, labels)
+    rows = df.withColumn("_key", F.explode(keys)).select("*", "_key.*")
+    up, broken = count_if(F.coalesce("signal_limit_up", F.lit(False)) | (c("consecutive_limit_ups") > 0)), count_if(c("signal_broken_limit_up"))
+    percent = lambda a, b: F.coalesce(F.try_divide(a * 100.0, b.cast("double")), F.lit(0.0))
+    above = {f"above_ma{k}": count_if(c("close") >= c(f"ma{k}")) for k in (5, 20, 60)}
+    sums = rows.groupBy("date", "kind", "label").agg(
+        n.alias("total"),
+        count_if(p > 0).alias("up"),
+        count_if(p < 0).alias("down"),
+        F.avg(p).alias("avg_pct"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY change_pct DESC)").alias("median_pct"),
+        count_if(p >= 0.03).alias("strong_up"),
+        count_if(p <= -0.03).alias("strong_down"),
+        F.sum("amount").alias("total_amount"),
+        (F.sum("amount") / n).alias("avg_amount"),
+        up.alias("limit_up"),
+        broken.alias("broken"),
+        count_if(c("signal_limit_down")).alias("limit_down"),
+        F.max(F.coalesce("consecutive_limit_ups", F.lit(0))).alias("max_boards"),
+        count_if(c("consecutive_limit_ups") >= 2).alias("tier2"),
+        percent(up, up + broken).alias("seal_rate"),
+        *[v.alias(k) for k, v in above.items()],
+        *[percent(v, n).alias(f"{k}_pct") for k, v in above.items()],
+        count_if(F.coalesce("signal_n_day_high", F.lit(False))).alias("new_high"),
+        count_if(F.coalesce("signal_n_day_low", F.lit(False))).alias("new_low"),
+        F.avg("turnover_rate").alias("avg_turnover"),
+        count_if(c("turnover_rate") >= 5).alias("high_turnover"),
+        F.coalesce(F.avg("vol_ratio_5d"), F.lit(1.0)).alias("vol_ratio"),
+        percent(count_if(c("vol_ratio_5d") >= 1.5), n).alias("high_vol_pct"),
+        *[count_if(band_of(p) == k).alias(f"band{k}") for k in range(len(BANDS))],
+    )
+    order = F.row_number().over(Window.partitionBy("date", "kind").orderBy(F.round("avg_pct", 9).desc_nulls_last(), "label"))
+    leading = c("kind").isin("concept", "industry") & c("avg_pct").isNotNull() & (c("_order") <= 3)
+    day = by_date()
+    found = {
+        "mainline_avg": F.max(F.when(leading, c("avg_pct"))).over(day),
+        "mainline_n": F.max(F.when(leading, c("total"))).over(day),
+        "avg_index_pct": F.coalesce(F.max(F.when(c("kind") == "index", c("avg_pct"))).over(day) * 100, F.lit(0.0)),
+    }
+    market = sums.withColumn("_order", order).withColumns(found).filter("kind = 'market'").drop("kind", "label", "_order")
+    market = market.withColumns({"flat": c("total") - c("up") - c("down"), "up_pct": percent(c("up"), c("total")), "down_pct": percent(c("down"), c("total")), "mainline_cover_pct": percent(c("mainline_n"), c("total"))})
+    return emotion_radar(market.drop("mainline_n"))
+
+
+def overview_lists(day: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ranked blocks of one day as ``block, rank, name, n, value``: boards, tiers, top rows, leading and lagging labels.
+
+    ``labels``: ``kind, symbol, label``, each once.
+    """
+    shape = ["block", "rank", "name", "n", "value"]
+    order = lambda *by: F.row_number().over(Window.partitionBy("block").orderBy(*by))
+    boards = day.groupBy(F.lit("boards").alias("block"), classify_board(F.col("symbol")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value")).withColumn("rank", order(F.col("value").desc_nulls_last(), "name"))
+    tiers = day.filter("consecutive_limit_ups > 0").groupBy(F.lit("tiers").alias("block"), F.col("consecutive_limit_ups").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value")).withColumn("rank", order(F.col("name").cast("int").desc()))
+    kinds = {"top_gainers": ("change_pct", True), "top_losers": ("change_pct", False), "turnover_leaders": ("amount", True), "active_leaders": ("turnover_rate", True)}
+    listed = [top_rows(day, key, desc).select(F.lit(k).alias("block"), F.col("symbol").alias("name"), F.lit(1).cast("bigint").alias("n"), F.col(key).alias("value"), F.lit(1 if desc else -1).alias("_way")) for k, (key, desc) in kinds.items()]
+    tops = reduce(lambda a, b: a.unionByName(b), listed).withColumn("rank", order((F.col("value") * F.col("_way")).desc(), "name"))
+    means = day.filter("change_pct IS NOT NULL").join(labels, "symbol").groupBy("kind", F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg("change_pct").alias("value"))
+    ends = means.withColumn("_way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("block", F.concat("kind", F.when(F.col("_way") > 0, "_leading").otherwise("_lagging")))
+    ends = ends.withColumn("rank", order(F.round(F.col("value") * F.col("_way"), 9).desc(), "name")).filter("rank <= 5")
+    return reduce(lambda a, b: a.unionByName(b), [x.select(*shape) for x in (boards, tiers, tops, ends)])
 
 
 def recap_blocks(overview: DataFrame) -> DataFrame:
     """The numbers of the daily recap."""
-    return overview.select("date", "total", "up", "down", "up_share", "total_amount", "limit_up", "limit_down", "max_streak", "seal_rate", "emotion", "mood")
+    return overview.select("date", "total", "up", "down", "up_pct", "avg_pct", "total_amount", "limit_up", "broken", "limit_down", "max_boards", "seal_rate", "emotion", "mood")

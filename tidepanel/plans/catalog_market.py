@@ -156,39 +156,92 @@ query("a08_trend_counts", B.with_("bars", more=f"{IND},\n{TREND.replace('$T', 'i
 ACTIVE = f"ac AS (SELECT date, avg(turnover_rate) AS avg_turnover, count_if(turnover_rate >= 5) AS high_turnover, avg(vol_ratio_5d) AS avg_vol_ratio, {_RATIO('count_if(vol_ratio_5d >= 1.5)', 'count(vol_ratio_5d)')} AS active_share FROM wide GROUP BY date)"
 _OVER_COLS = _TREND_COLS | {"vol_ratio_5d", "change_pct", "symbol", "date"}
 query("a09_activity_stats", WIDE_ALL.rstrip() + f",\n{ACTIVE}\nSELECT * FROM ac")(lambda s, d: A.activity_stats(strategy_frame(s, d, _OVER_COLS)))
-_BAND = "CASE WHEN p >= 7 THEN 7 WHEN p >= 5 THEN 6 WHEN p >= 2 THEN 5 WHEN p >= 0 THEN 4 WHEN p >= -2 THEN 3 WHEN p >= -5 THEN 2 WHEN p >= -7 THEN 1 WHEN p IS NOT NULL THEN 0 END"
+_BAND = "CASE WHEN p >= 0.05::DOUBLE THEN 7 WHEN p >= 0.03::DOUBLE THEN 6 WHEN p >= 0.01::DOUBLE THEN 5 WHEN p >= 0 THEN 4 WHEN p >= -0.01::DOUBLE THEN 3 WHEN p >= -0.03::DOUBLE THEN 2 WHEN p >= -0.05::DOUBLE THEN 1 WHEN p IS NOT NULL THEN 0 END"
 _BANDS = ", ".join(f"({k}, '{name}')" for k, (_, name) in enumerate(A.BANDS))
-query("a10_pct_bands", B.with_("bars", more=f"{IND}, c AS (SELECT {_BAND} AS band, count(*) AS n FROM (SELECT change_pct * 100 AS p FROM ind) GROUP BY 1)") + f"SELECT b.band::INTEGER AS band, b.label, coalesce(c.n, 0) AS n, round_even(coalesce(c.n, 0) / (SELECT sum(n) FROM c WHERE band IS NOT NULL)::DOUBLE, 4) AS share FROM (VALUES {_BANDS}) b(band, label) LEFT JOIN c USING (band)")(lambda s, d: A.pct_bands(indicator_frame(s, d, {"change_pct"})))
+query("a10_pct_bands", B.with_("bars", more=f"{IND}, c AS (SELECT {_BAND} AS band, count(*) AS n FROM (SELECT change_pct AS p FROM ind) GROUP BY 1)") + f"SELECT b.band::INTEGER AS band, b.label, coalesce(c.n, 0) AS n, round_even(coalesce(c.n, 0) / (SELECT sum(n) FROM c WHERE band IS NOT NULL)::DOUBLE, 4) AS share FROM (VALUES {_BANDS}) b(band, label) LEFT JOIN c USING (band)")(lambda s, d: A.pct_bands(indicator_frame(s, d, {"change_pct"})))
 _CL = lambda x: f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {x}))"
 _Z = lambda c: f"coalesce({c}::DOUBLE, 0.0)"
-_RADAR = {"breadth": f"{_Z('up_share')} * 100", "limits": f"50 + ({_Z('limit_up')} - {_Z('limit_down')}) * 2", "seal": f"{_Z('seal_rate')} * 100", "trend": f"round_even(round(({_Z('above_ma5')} + {_Z('above_ma20')} + {_Z('above_ma60')}) * 10000) / 30, 0) / 10", "activity": f"{_Z('active_share')} * 100", "height": f"{_Z('max_streak')} * 15"}
-OVERVIEW = f"""{WIDE},
-{BREADTH.replace('FROM ind', 'FROM wide')},
-{LSTATS.replace('$T', 'wide')},
-{TREND.replace('$T', 'wide')},
-{ACTIVE},
-day0 AS (SELECT * FROM br JOIN ls USING (date) JOIN tr USING (date) JOIN ac USING (date)),
-rad0 AS (SELECT date, {', '.join(f'round_even({_CL(v)}, 1) AS {k}' for k, v in _RADAR.items())} FROM day0),
-rad1 AS (SELECT *, round_even(({' + '.join(f'round({k} * 10)' for k in _RADAR)}) / 6, 0) / 10 AS emotion FROM rad0),
-rad AS (SELECT *, CASE WHEN emotion >= 80 THEN 'euphoric' WHEN emotion >= 60 THEN 'warm' WHEN emotion >= 40 THEN 'neutral' WHEN emotion >= 20 THEN 'cool' ELSE 'frozen' END AS mood FROM rad1)"""
+_SC = lambda v, low, high: f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, round_even(round(({v} - ({low})::DOUBLE) / (({high})::DOUBLE - ({low})::DOUBLE) * 100, 9), 0)))"
+_MX = lambda *parts: f"round_even(round({' + '.join(f'{_SC(*p)} * {w}::DOUBLE' for p, w in parts)}, 9), 0)"
+_ALL100 = lambda v: f"({v}) / total::DOUBLE * 100"
+_RADAR = {
+    "radar_index": _SC("avg_index_pct", -2.5, 2.5),
+    "radar_profit": _MX((("up_pct", 20, 80), 0.45), ((_Z("avg_pct"), -0.02, 0.02), 0.25), ((_Z("median_pct"), -0.02, 0.02), 0.20), ((_ALL100("strong_up - strong_down"), -8, 8), 0.10)),
+    "radar_money": _MX((("vol_ratio", 0.6, 1.8), 0.70), (("high_vol_pct", 2, 12), 0.30)),
+    "radar_speculation": _MX((("limit_up", 5, 90), 0.25), (("seal_rate", 30, 85), 0.35), (("max_boards", 1, 8), 0.25), (("tier2", 0, 30), 0.15)),
+    "radar_resilience": "100 - " + _MX((("down_pct", 20, 80), 0.55), ((_ALL100("strong_down"), 1, 12), 0.45)),
+    "radar_mainline": "CASE WHEN mainline_avg IS NULL THEN 50.0::DOUBLE ELSE " + _MX((("mainline_avg", -0.005, 0.03), 0.65), (("mainline_cover_pct", 1, 12), 0.35)) + " END",
+}
+_PC = lambda a, b: f"coalesce(({a}) * 100.0::DOUBLE / nullif({b}, 0), 0.0::DOUBLE)"
+_LUP = "count(*) FILTER (WHERE coalesce(signal_limit_up, false) OR consecutive_limit_ups > 0)"
+_BRK = "count(*) FILTER (WHERE signal_broken_limit_up)"
+_AB = ", ".join(f"count(*) FILTER (WHERE close >= ma{k}) AS above_ma{k}, {_PC(f'count(*) FILTER (WHERE close >= ma{k})', 'count(*)')} AS above_ma{k}_pct" for k in (5, 20, 60))
+_BN = ", ".join(f"count(*) FILTER (WHERE ({_BAND.replace('p >=', 'change_pct >=').replace('p IS', 'change_pct IS')}) = {k}) AS band{k}" for k in range(len(A.BANDS)))
+OVERVIEW = f"""{WIDE}, {EXPLODED},
+live AS (SELECT * FROM wide WHERE coalesce(type, '') <> 'index' AND (coalesce(volume, 0) > 0 OR coalesce(change_pct, 0.0) <> 0)),
+lb AS (SELECT 'concept' AS kind, symbol, label FROM lab UNION SELECT 'industry', symbol, split_part(industry, '-', 2) FROM instruments),
+lm AS (SELECT date, kind, label, avg(change_pct) AS avg_pct, count(*) AS n FROM live JOIN lb USING (symbol) GROUP BY ALL),
+ml AS (SELECT date, max(avg_pct) AS mainline_avg, max(n) AS mainline_n FROM (SELECT * FROM lm WHERE avg_pct IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date, kind ORDER BY round(avg_pct, 9) DESC, label) <= 3) AS t GROUP BY date),
+ix AS (SELECT date, avg(change_pct) * 100 AS avg_index_pct FROM wide WHERE type = 'index' GROUP BY date),
+sm AS (SELECT date, count(*) AS total, {_UP} AS up, {_DOWN} AS down, avg(change_pct) AS avg_pct, list_sort(list(change_pct) FILTER (change_pct IS NOT NULL))[count(change_pct) // 2 + 1] AS median_pct,
+  count_if(change_pct >= 0.03) AS strong_up, count_if(change_pct <= -0.03) AS strong_down, sum(amount) AS total_amount, avg(amount) AS avg_amount,
+  {_LUP} AS limit_up, {_BRK} AS broken, count_if(signal_limit_down) AS limit_down, max(coalesce(consecutive_limit_ups, 0)) AS max_boards, count_if(consecutive_limit_ups >= 2) AS tier2, {_PC(_LUP, f'({_LUP} + {_BRK})')} AS seal_rate,
+  {_AB}, count(*) FILTER (WHERE close >= high_60d) AS new_high, count(*) FILTER (WHERE close <= low_60d) AS new_low,
+  avg(turnover_rate) AS avg_turnover, count_if(turnover_rate >= 5) AS high_turnover, coalesce(avg(vol_ratio_5d), 1.0::DOUBLE) AS vol_ratio, {_PC('count(*) FILTER (WHERE vol_ratio_5d >= 1.5)', 'count(*)')} AS high_vol_pct, {_BN} FROM live GROUP BY date),
+ov0 AS (SELECT sm.*, mainline_avg, coalesce(avg_index_pct, 0.0::DOUBLE) AS avg_index_pct, total - up - down AS flat, {_PC('up', 'total')} AS up_pct, {_PC('down', 'total')} AS down_pct, {_PC('mainline_n', 'total')} AS mainline_cover_pct FROM sm LEFT JOIN ml USING (date) LEFT JOIN ix USING (date)),
+ov1 AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _RADAR.items())} FROM ov0),
+ov2 AS (SELECT *, round_even(round(({' + '.join(_RADAR)}) / 6, 9), 0) AS emotion FROM ov1),
+ov AS (SELECT *, CASE WHEN emotion >= 70 THEN 'strong' WHEN emotion >= 55 THEN 'warm' WHEN emotion >= 45 THEN 'swinging' WHEN emotion >= 30 THEN 'cool' ELSE 'frozen' END AS mood FROM ov2)"""
 _OVER = B.with_("bars", "factors", "instruments", more=OVERVIEW)
 
 
-def overview(s, d):
-    return A.market_overview(strategy_frame(s, d, _OVER_COLS))
+def overview_frame(s, d):
+    """The wide frame with each symbol's concepts and second-level industry."""
+    own = dims(s, d).select("symbol", F.array_distinct(J.labels_of(F.col("labels"))).alias("concepts"), A.industry_level(F.col("industry"), 2).alias("industry"))
+    return strategy_frame(s, d, _OVER_COLS).join(own, "symbol", "left")
 
 
-query("a11_emotion_radar", _OVER + "SELECT * FROM rad", 4)(lambda s, d: A.emotion_radar(overview(s, d).drop(*_RADAR, "emotion", "mood")))
-query("d01_market_overview", _OVER + "SELECT * FROM day0 JOIN rad USING (date)")(overview)
-query("d04_recap_blocks", _OVER + "SELECT date, total, up, down, up_share, total_amount, limit_up, limit_down, max_streak, seal_rate, emotion, mood FROM day0 JOIN rad USING (date)")(lambda s, d: A.recap_blocks(overview(s, d)))
+def overview(s, d):
+    return A.market_overview(overview_frame(s, d))
+
+
+query("a11_emotion_radar", _OVER + f"SELECT date, {', '.join(_RADAR)}, emotion, mood FROM ov", 4)(lambda s, d: overview(s, d).select("date", *_RADAR, "emotion", "mood"))
+query("d01_market_overview", _OVER + "SELECT * FROM ov")(overview)
+query("d04_recap_blocks", _OVER + "SELECT date, total, up, down, up_pct, avg_pct, total_amount, limit_up, broken, limit_down, max_boards, seal_rate, emotion, mood FROM ov")(lambda s, d: A.recap_blocks(overview(s, d)))
+_TOPS = {"top_gainers": ("change_pct", "DESC"), "top_losers": ("change_pct", "ASC"), "turnover_leaders": ("amount", "DESC"), "active_leaders": ("turnover_rate", "DESC")}
+_TOP_SQL = " UNION ALL ".join(f"SELECT '{k}' AS block, row_number() OVER (ORDER BY {c} {way}, symbol)::INTEGER AS rank, symbol AS name, 1::BIGINT AS n, {c}::DOUBLE AS value FROM dy WHERE {c} IS NOT NULL QUALIFY rank <= 8" for k, (c, way) in _TOPS.items())
+_END_SQL = " UNION ALL ".join(f"SELECT kind || '_{end}' AS block, row_number() OVER (PARTITION BY kind ORDER BY round(value, 9) {way}, name)::INTEGER AS rank, name, n, value FROM dm QUALIFY rank <= 5" for end, way in (("leading", "DESC"), ("lagging", "ASC")))
+query("d01_overview_lists", _OVER.rstrip() + f""",
+dy AS (SELECT * FROM live WHERE date = (SELECT max(date) FROM live WHERE date <= DATE '1998-06-30')),
+dm AS (SELECT kind, label AS name, count(*) AS n, avg(change_pct) AS value FROM dy JOIN lb USING (symbol) WHERE change_pct IS NOT NULL GROUP BY ALL),
+bd AS (SELECT {BOARD} AS name, count(*) AS n, sum(amount) AS value FROM dy GROUP BY 1), ti AS (SELECT consecutive_limit_ups AS k, count(*) AS n, sum(amount) AS value FROM dy WHERE consecutive_limit_ups > 0 GROUP BY 1)
+SELECT 'boards' AS block, row_number() OVER (ORDER BY value DESC, name)::INTEGER AS rank, name, n, value FROM bd UNION ALL SELECT 'tiers', row_number() OVER (ORDER BY k DESC)::INTEGER, k::VARCHAR, n, value FROM ti UNION ALL {_TOP_SQL} UNION ALL {_END_SQL}""")(
+    lambda s, d: (lambda day, own: A.overview_lists(day, own.select(F.lit("concept").alias("kind"), "symbol", F.explode(F.array_distinct(J.labels_of(F.col("labels")))).alias("label")).unionByName(own.select(F.lit("industry").alias("kind"), "symbol", A.industry_level(F.col("industry"), 2).alias("label")))))(
+        one_day(strategy_frame(s, d, _OVER_COLS | {"type"}).filter("type <> 'index'"), "1998-06-30"), dims(s, d)
+    )
+)
 query("d02_market_snapshot", B.with_("bars", "instruments", more=IND) + "SELECT symbol, date, change_pct, amount, close * total_shares AS market_cap, close * float_shares AS float_cap FROM ind LEFT JOIN instruments USING (symbol)", 2)(
     lambda s, d: A.market_snapshot(J.with_instruments(indicator_frame(s, d, {"change_pct"}), dims(s, d), ["total_shares", "float_shares"])).drop("close")
 )
-query("d03_limit_ladder", LIMITS.rstrip() + f""",
-l AS (SELECT symbol, date, signal_limit_up AS u, signal_broken_limit_up AS b, consecutive_limit_ups AS c, {lag_sql('consecutive_limit_ups')} AS p FROM lim)
-SELECT symbol, date, status, boards FROM (SELECT symbol, date, CASE WHEN u THEN 'main' WHEN b THEN 'broken' WHEN p >= 1 THEN 'failed' END AS status, (CASE WHEN u THEN c ELSE coalesce(p, 0) + 1 END)::INTEGER AS boards FROM l) x WHERE status IS NOT NULL""")(
-    lambda s, d: A.limit_ladder(limit_frame(s, d).withColumn("prev_streak", lag("consecutive_limit_ups"))).select("symbol", "date", "status", "boards")
-)
+def ladder_sql(way: str) -> str:
+    left, sealed, volume = ("signal_broken_limit_up", "sealed_up", "bid1") if way == "up" else ("signal_limit_down_recovery", "sealed_down", "ask1")
+    return LIMITS.rstrip() + f""",
+dp AS (SELECT symbol, (total_shares / 1e6)::BIGINT % 4 AS k FROM instruments), bk AS (SELECT symbol, CASE k WHEN 0 THEN 0 WHEN 1 THEN 7 END AS ask1, CASE k WHEN 0 THEN 9 ELSE k * 4 END AS bid1 FROM dp),
+sl AS (SELECT *, CASE WHEN ask1 IS NOT NULL THEN ask1 = 0 AND bid1 > 0 END AS sealed_up, CASE WHEN ask1 IS NOT NULL THEN bid1 = 0 AND ask1 > 0 END AS sealed_down FROM bk),
+l AS (SELECT symbol, date, coalesce(signal_limit_{way}, false) AS u, coalesce({left}, false) AS b, consecutive_limit_{way}s AS c, {lag_sql(f'consecutive_limit_{way}s')} AS p FROM lim),
+x AS (SELECT symbol, date, CASE WHEN u THEN 'main' WHEN b THEN 'broken' WHEN p >= 1 THEN 'failed' END AS status, (CASE WHEN u THEN c ELSE coalesce(p, 0) + 1 END)::INTEGER AS boards FROM l),
+ladder AS (SELECT x.*, {volume} AS seal_volume, CASE WHEN status <> 'main' THEN NULL WHEN {sealed} IS NULL THEN 'pending' WHEN {sealed} THEN 'real' ELSE 'fake' END AS seal_status FROM x LEFT JOIN sl USING (symbol) WHERE status IS NOT NULL)
+"""
+
+
+def ladder(s, d, way):
+    return A.limit_ladder(limit_frame(s, d).withColumn("prev_streak", lag(f"consecutive_limit_{way}s")), way, J.depth_seals(depth(s, d))).select("symbol", "date", "status", "boards", "seal_volume", "seal_status")
+
+
+for _way, _name in (("up", "d03_limit_ladder"), ("down", "d03_limit_down_ladder")):
+    query(_name, ladder_sql(_way) + "SELECT * FROM ladder")(lambda s, d, way=_way: ladder(s, d, way))
+_TIERS = ", ".join([f"count(*) FILTER (WHERE status = '{k}') AS {k}" for k in ("main", "broken", "failed")] + [f"count(*) FILTER (WHERE seal_status = '{k}') AS \"{k}\"" for k in ("real", "fake", "pending")])
+query("d03_ladder_tiers", ladder_sql("up") + f"SELECT date, boards, {_TIERS} FROM ladder GROUP BY 1, 2")(lambda s, d: A.ladder_tiers(ladder(s, d, "up")))
 _DAY_IND = "day AS (SELECT * FROM ind WHERE date = (SELECT max(date) FROM ind WHERE date <= DATE '1998-06-30'))"
 DRANK = "dr AS (SELECT label, count(*) AS n, avg(change_pct) AS avg_pct, count_if(change_pct > 0) AS up, count_if(change_pct < 0) AS down, sum(amount) AS amount, arg_max(symbol, (change_pct, symbol)) AS leader FROM day JOIN lab USING (symbol) WHERE change_pct IS NOT NULL GROUP BY label), dk AS (SELECT *, row_number() OVER (ORDER BY avg_pct DESC, label)::INTEGER AS rank_top, row_number() OVER (ORDER BY avg_pct, label)::INTEGER AS rank_low FROM dr)"
 query("a12_dimension_rank", B.with_("bars", "instruments", more=f"{IND}, {_DAY_IND}, {EXPLODED}, {DRANK}") + "SELECT * FROM dk WHERE rank_top <= 5 OR rank_low <= 5")(lambda s, d: A.dimension_rank(one_day(indicator_frame(s, d, {"change_pct"})), dims(s, d), "labels"))
