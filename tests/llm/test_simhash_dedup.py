@@ -56,6 +56,10 @@ def test_components_match_all_pairs(spark):
     want = brute_components(prints)
     groups = {r["fp"]: r["component_id"] for r in S.groups_of(df).collect()}
     assert [groups[x] for x in signed] == want
+    near = {(a, b) for a in prints for b in prints if a < b and bin(a ^ b).count("1") <= 2}
+    for cell in (0, 3, 10**6):  # every cell refined, some, none
+        got = {tuple(sorted((r["u"] & (1 << 64) - 1, r["v"] & (1 << 64) - 1))) for r in S.links(df.select("fp"), cell).collect()}
+        assert near and (got == near if cell > 3 else {x for p in got for x in p} == {x for p in near for x in p})
 
 
 def test_star_of_thousands_has_linear_links(spark):
@@ -82,6 +86,11 @@ def test_edge_cases(spark):
     assert S.keep_one(df.limit(0)).count() == 0
 
 
+def test_stage_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", 7, 8, 9), (2, "a b c d e f g", 7, 8, 9)], "doc_id long, text string, __NODE int, __root int, __component int")
+    assert [tuple(r) for r in S.keep_one(df).collect()] == [(1, "a b c d e f g", 7, 8, 9)]
+
+
 def jaccard(a, b):
     x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
     return len(x & y) / len(x | y)
@@ -108,6 +117,25 @@ def test_stage_drops_near_copies_of_similarity_four_fifths(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(root)
 
 
+def test_stage_groups_copies_edited_more_and_less_as_brute_force_does(spark):
+    """A group in which many texts aren't similar to its leader, some only to each other."""
+    rng, texts = random.Random(9), []
+    words = [f"w{k}" for k in range(204)]
+    for k in range(120):
+        other = list(words)
+        for i in rng.sample(range(0, 200, 5), rng.randint(1, 9)):
+            other[i] = rng.choice([f"v{i}", f"u{k}", f"t{rng.randrange(4)}"])
+        texts.append(" ".join(other))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert len(set(root)) > 10 and max(map(root.count, set(root))) > 20
+    kept = S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(root)
+
+
 def test_stage_drops_a_large_group_and_its_bridges(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(204)]

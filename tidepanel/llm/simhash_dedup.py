@@ -6,12 +6,13 @@
    distance of two such vectors never exceeds the Hamming distance of the
    fingerprints. The grid range-join puts every distinct fingerprint into the
    cells within Manhattan distance 1 of its vector: two vectors within distance 2
-   meet in a cell, and vectors farther apart do not. Fingerprints that meet no
-   other go.
-3. The survivors are verified exactly: each stands at its own value and at the 64
-   values one bit away. Two fingerprints meet at such a value if and only if they
-   differ in at most 2 bits, and at most 65 fingerprints can meet at one, so a
-   link needs no list of all pairs, however large a group of copies is.
+   meet in a cell, and vectors farther apart do not.
+3. Fingerprints that share a cell make pairs, and each pair is verified: at most 2
+   bits of ``a ^ b`` are set. A cell of more than ``CELL`` fingerprints is refined
+   instead of paired: its fingerprints are embedded again with 64 segments of one
+   bit. That vector is the fingerprint itself, so two share one of its cells if and
+   only if they differ in at most 2 bits, at most 65 share one, and each is linked
+   to the least. No group makes all its pairs, however large it is.
 4. Links make components by alternating large-star and small-star steps, with
    checkpoints between the rounds.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, text_batches
+from .common import cut, free_names, text_batches
 
 SHINGLE_WORDS = 3
 #: Words of a shingle in the pipeline's stage.
@@ -95,6 +96,12 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 _LOW_BITS = sum(1 << i for i in range(0, 63, 3)) - (1 << 63)
 
 
+#: Fingerprints of one cell that are paired; a cell of more is refined.
+CELL = 24
+#: The exact test of a pair.
+VERIFIED = "bit_count(u ^ v) <= 2"
+
+
 def _popcounts(fp: str) -> Column:
     """The popcounts of the 22 segments, each in its own segment's bits."""
     return F.expr(" + ".join(f"(shiftrightunsigned({fp}, {i}) & {_LOW_BITS}L)" for i in range(3)))
@@ -108,20 +115,19 @@ def _grid_cells(own: str) -> Column:
     return F.expr(f"concat(array({own}), {up}, {down})")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """``u, v``: fingerprints (column ``fp``, distinct) with a chain of direct links between them wherever two differ in at most 2 bits.
-
-    Every fingerprint that has a partner is linked to the least one at each value
-    both are within one bit of; equal components follow, with at most 65 links a
-    fingerprint.
-    """
+def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
+    """``u, v``: fingerprints (column ``fp``, distinct) with a chain of direct links between them wherever two differ in at most 2 bits."""
     cells = fps.select("fp", _popcounts("fp").alias("own")).select("fp", F.explode(_grid_cells("own")).alias("cell")).filter("cell IS NOT NULL")
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("cell")
-    found = cut(cells.join(shared, "cell", "left_semi").select("fp").distinct())
+    shared = cut(cells.groupBy("cell").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    several = cut(cells.join(shared.filter("n > 2").select("cell", "n"), "cell"))
+    one, two = (several.filter(F.col("n") <= cell).select("cell", F.col("fp").alias(end)) for end in ("u", "v"))
+    pairs = one.join(two, (one["cell"] == two["cell"]) & (F.col("u") < F.col("v")) & F.expr(VERIFIED)).select("u", "v")
+    direct = shared.filter("n = 2").select("u", "v").filter(VERIFIED).union(pairs)
+    crowded = several.filter(F.col("n") > cell).select("fp").distinct()
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    meets = found.select("fp", F.explode(flips).alias("value"))
     least = F.min("fp").over(Window.partitionBy("value"))
-    return meets.select("fp", least.alias("least")).filter("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v")).distinct()
+    refined = crowded.select("fp", F.explode(flips).alias("value")).select("fp", least.alias("least")).filter("fp <> least")
+    return direct.union(refined.select(F.col("least").alias("u"), F.col("fp").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -134,7 +140,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        return both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
+        return both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v")
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -224,46 +230,69 @@ def set_udf(shingle: int):
     return F.arrow_udf(of, T.ArrayType(T.LongType()))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``u, v`` whose shingle sets (``node, grams``) have Jaccard similarity 0.8 or more."""
+def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, v, common``: how many shingles (``node, grams``) the texts of each pair share."""
     one = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     two = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return cut(pairs.join(one, "u").join(two, "v").filter(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"))
+
+
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """``node, n, lone`` of every set: its shingles, and those that no other set has."""
+    owners = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    lone = owners.filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    return sets.select("node", F.size("grams").alias("n")).join(lone, "node", "left").select("node", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+#: Similarity 0.8 or more: common / (n + n_v - common) >= 4 / 5.
+SIMILAR = "9 * common >= 4 * (n + n_v)"
+#: What two sets can have in common at most: within the leader, and among what neither has alone. Below it the pair isn't similar.
+POSSIBLE = "9 * (least(held, held_v) + least(extra, extra_v)) >= 4 * (n + n_v)"
 
 
 def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], edges: DataFrame) -> DataFrame:
     """``edges`` and such further links that all similar texts which share a band are connected.
 
-    ``nodes`` has ``node, bands``. Pairs are verified exactly and in three steps, each
-    leaving out what is connected by then: every text with its least leader (the
-    least text of a band's bucket), with the least and the last of all its buckets,
-    and at last with every text of its buckets. Large groups of near copies are
-    connected before the last step, so it does not list their pairs.
+    ``nodes`` has ``node, bands``. The leader of a band's bucket is its text with the
+    least share of shingles that no other text has, the one nearest to what its near
+    copies were made of. Every text is measured exactly against its leaders; most are
+    connected by that. What remains are texts apart from their leader. Such a text
+    and another of its bucket share at most what both share with the leader and what
+    both have besides, shingles of one text alone left out; pairs that could still be
+    similar by that bound, few even in a large group of near copies, are verified.
     """
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
-    members = cut(slots.join(shared, "bucket"))
-    sets = cut(sets_of(members.select("node").distinct()))
-    ordered = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        for end in ("u", "v"):
-            own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-            pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        return pairs.filter("root_u <> root_v").select("u", "v")
-
-    first = members.groupBy("node").agg(F.min("lead").alias("u")).filter("node <> u").select("u", F.col("node").alias("v"))
-    edges = cut(edges.union(similar(first, sets)))
-    ends = members.select("node", F.explode(F.array("lead", "last")).alias("other")).filter("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v"))
-    edges = cut(edges.union(similar(apart(ends.select(*ordered).distinct(), components(edges)), sets)))
+    shared = slots.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("last")).filter("least <> last").select("bucket")
+    members = cut(slots.join(shared, "bucket", "left_semi"))
+    sets = cut(sets_of(cut(members.select("node").distinct())))
+    sizes = cut(lone_shingles(sets))
+    sized = members.join(sizes, "node")
+    leads = sized.groupBy("bucket").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("share"), F.col("node").alias("lead"), F.col("n").alias("n_v"))).alias("first"))
+    led = cut(sized.join(leads.select("bucket", "first.lead", "first.n_v"), "bucket"))
+    ends = led.filter("node <> lead").groupBy(F.col("node").alias("u"), F.col("lead").alias("v")).agg(F.min("n").alias("n"), F.min("n_v").alias("n_v"))
+    measured = cut(common(ends.select("u", "v"), sets).join(ends, ["u", "v"]))
+    edges = cut(edges.union(measured.filter(SIMILAR).select("u", "v")))
     roots = components(edges)
     main = roots.select(F.col("node").alias("lead"), F.col("root").alias("main"))
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(main, "lead", "left").withColumn("main", F.coalesce("main", "lead")).select("bucket", "node", "root", "main")
-    placed = cut(placed)
-    strays = placed.filter("root <> main").select("bucket", F.col("node").alias("u"), F.col("root").alias("root_u"))
-    rest = strays.join(placed.join(strays.select("bucket").distinct(), "bucket").select("bucket", F.col("node").alias("v"), "root"), "bucket").filter("root_u <> root")
-    return edges.union(similar(rest.select(*ordered).distinct(), sets))
+    own = measured.select(F.col("u").alias("node"), F.col("v").alias("lead"), "common")
+    placed = led.join(own, ["node", "lead"], "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(main, "lead", "left")
+    placed = placed.select("bucket", "node", "root", F.coalesce("main", "lead").alias("main"), "n", F.coalesce("common", F.col("n") - F.col("lone")).alias("held"), "lone")
+    placed = cut(placed.select("bucket", "node", "root", "main", "n", "held", (F.col("n") - F.col("lone") - F.col("held")).alias("extra")))
+    strays = placed.filter("root <> main AND 5 * (held + extra) >= 4 * n").drop("main")
+    others = placed.join(strays.select("bucket").distinct(), "bucket", "left_semi").select(*[F.col(c).alias(f"{c}_v") for c in ("bucket", "node", "root", "n", "held", "extra")])
+    rest = strays.join(others, F.expr(f"bucket = bucket_v AND root <> root_v AND {POSSIBLE}"))
+    rest = cut(rest.select(F.least("node", "node_v").alias("u"), F.greatest("node", "node_v").alias("v")).distinct())
+    counted = common(rest, sets).join(sizes.select(F.col("node").alias("u"), "n"), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
+    return edges.union(counted.filter(SIMILAR).select("u", "v"))
+
+
+#: Rows of three numbers at most that are broadcast to the texts.
+FEW = 200_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (written already), marked for a broadcast if they are at most ``FEW``."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = STAGE_WORDS) -> DataFrame:
@@ -272,10 +301,11 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     Texts are linked if their fingerprints differ in at most 2 bits or their
     shingle sets have Jaccard similarity 0.8 or more. Only rows that repeat a
     group's least id are grouped; there is no such pass over a table whose ids are
-    unique.
+    unique. Texts meet only what is known of groups of two rows or more, which is
+    broadcast while it has at most ``FEW`` rows and joined by a shuffle beyond that.
     """
     sketch = cut(sketches(df, key, text, shingle))
-    nodes = cut(sketch.groupBy("node").agg(F.min("id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = cut(sketch.groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     near = links(heads.select("fp"))
@@ -286,17 +316,18 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     texts = df.select(named.alias("node"), F.col(text).alias("text"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node").select("node", set_udf(shingle)("text").alias("grams"))
+        return texts.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", set_udf(shingle)("text").alias("grams"))
 
     roots = components(near_links(nodes.select("node", "bands"), sets_of, cut(same.union(near))))
-    placed = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    groups = cut(placed.select("node", "root").join(placed.groupBy("root").agg(F.min("first_id").alias("component")), "root"))
-    groups = groups.select(F.col("node").alias("__node"), F.col("root").alias("__root"), F.col("component").alias("__component"))
-    first = F.col("id").eqNullSafe(F.col("__component"))
-    tied = cut(sketch.select("id", "node").join(groups, F.col("node") == F.col("__node")).filter(first).groupBy("__root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__root"))
-    rows = df.withColumn("__node", named).join(groups, "__node").filter(F.col(key).eqNullSafe(F.col("__component")))
+    node, root, component = free_names(df, "node", "root", "component")
+    placed = nodes.join(roots, "node", "left").select("node", "rows", "first_id", F.coalesce("root", "node").alias("root"))
+    groups = placed.groupBy("root").agg(F.min("first_id").alias("component"), F.sum("rows").alias("rows")).filter("rows > 1")
+    groups = cut(placed.select("node", "root").join(groups, "root").select(F.col("node").alias(node), F.col("root").alias(root), F.col("component").alias(component)))
+    first = F.col("id").eqNullSafe(F.col(component))
+    tied = cut(sketch.select("id", F.col("node").alias(node)).join(few(groups), node).filter(first).groupBy(root).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(root))
+    rows = df.withColumn(node, named).join(few(groups), node, "left").filter(F.col(root).isNull() | F.col(key).eqNullSafe(F.col(component)))
     if not tied.isEmpty():
-        rows = rows.join(tied, "__root", "left_anti").unionByName(rows.join(tied, "__root", "left_semi").dropDuplicates(["__root"]))
+        rows = rows.join(tied, root, "left_anti").unionByName(rows.join(tied, root, "left_semi").dropDuplicates([root]))
     return rows.select(*[rows[c] for c in df.columns])
 
 
