@@ -13,7 +13,7 @@ def brute(rows, ratio, least):
 def test_matches_brute_force_and_passes_columns(spark):
     rows = [(i, f"top\nown {i}\n\ntop\nend", "a") for i in range(9)] + [(20 + i, f"top\nown {i}", "b") for i in range(3)]
     rows += [(40, None, "a"), (41, "", "a"), (42, "top", None), (None, "top\nx", "a"), (0, "top\nown 0\n\ntop\nend", "a"), (50, "y\n" * 5000, "c")]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, host long, key long")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, __lines long, __host long")
     for ratio, least, broadcast in ((0.5, 3, 100), (0.5, 3, 0), (0.95, 2, 100), (0.05, 5, 100)):
         out = L.drop_lines(df, ratio=ratio, min_pages=least, broadcast_lines=broadcast)
         assert out.columns == df.columns

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, local use) gets a temporary
-    folder of its own.
+    Only a local session without that setting (tests) gets a temporary folder of
+    its own; on a cluster such a folder would be seen by one machine alone.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -21,6 +21,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 

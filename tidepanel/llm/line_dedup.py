@@ -16,16 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 
 #: Shares and counts from which a line is boilerplate.
 RATIO, MIN_PAGES = 0.05, 5
 #: Boilerplate lines up to this many (about 16 bytes each) are broadcast; more go through a shuffled join.
 BROADCAST_LINES = 100_000
 
-_FLAGGED = "__boilerplate_lines"
-_HOST = "__boilerplate_host"
-
 
 def _key(line: Column) -> Column:
     """128 bits in place of the line, so that no text is shuffled for counting."""
@@ -54,13 +51,14 @@ def drop_lines(df: DataFrame, text: str = "text", host: str = "source", ratio: f
     at most ``broadcast_lines`` lines in all; beyond that the join is shuffled,
     where adaptive execution splits a hot host.
     """
+    lines, own_host = free_names(df, "lines", "host")
     flagged = cut(boilerplate_lines(df, text, host, ratio, min_pages))
-    arrays = flagged.groupBy("host").agg(F.collect_list("key").alias(_FLAGGED)).withColumnRenamed("host", _HOST)
+    arrays = flagged.groupBy("host").agg(F.collect_list("key").alias(lines)).withColumnRenamed("host", own_host)
     if flagged.count() <= broadcast_lines:
         arrays = F.broadcast(arrays)
-    joined = df.join(arrays, df[host].eqNullSafe(arrays[_HOST]), "left").drop(_HOST)
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: (x == "") | ~F.array_contains(F.col(_FLAGGED), _key(x))), "\n")
-    return joined.withColumn(text, F.when(F.col(_FLAGGED).isNull(), F.col(text)).otherwise(kept)).drop(_FLAGGED)
+    joined = df.join(arrays, df[host].eqNullSafe(arrays[own_host]), "left").drop(own_host)
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: (x == "") | ~F.array_contains(F.col(lines), _key(x))), "\n")
+    return joined.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(kept)).drop(lines)
 
 
 def line_report(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -17,7 +17,7 @@ Cases: a null text counts as empty; an empty text has its own bucketed terms and
 scored like any other; several labels of one id average; labels that are null or
 have no document teach nothing; without any taught label each score is 0.5; rows
 repeat as they come; an empty table gives an empty result; all columns pass
-through ``with_scores``, but the name ``__score`` must be free.
+through, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import free_names, text_batches
 from .decontaminate import word_hashes
 
 SAMPLE = 4096
@@ -90,7 +90,9 @@ def terms(text: str | None) -> np.ndarray:
 
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Each group's log counts times inverse document frequencies, scaled to length 1."""
-    out, at = np.log1p(counts) * idf, 0
+    out, at = counts.astype(np.float32), 0
+    np.log1p(out, out=out)
+    out *= idf
     for k, size in enumerate(GROUPS):
         norm = np.linalg.norm(out[:, at : at + size], axis=1, keepdims=True)
         out[:, at : at + size] *= (1.0 if k < 2 else 0.6) / np.maximum(norm, 1e-9)
@@ -125,7 +127,9 @@ class Voter:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, n: int, seen: np.ndarray):
         self.idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-        weighed = _weigh(counts.astype(np.float32), self.idf)
+        weighed = np.empty((len(counts), TERMS), dtype=np.float32)
+        for at in range(0, len(counts), ROWS):
+            weighed[at : at + ROWS] = _weigh(counts[at : at + ROWS], self.idf)
         rng = np.random.default_rng(11)
         k = min(DIMENSIONS, len(weighed))
         basis = np.linalg.qr(weighed.T @ (weighed @ rng.standard_normal((TERMS, min(k + 16, TERMS))).astype(np.float32)))[0]
@@ -133,11 +137,14 @@ class Voter:
             basis = np.linalg.qr(weighed.T @ (weighed @ basis))[0]
         axes = np.linalg.svd(weighed @ basis, full_matrices=False)[2][:k]
         self.axes = (basis @ axes.T).astype(np.float32)
-        self.vectors, self.labels = self.latent(counts), labels.astype(np.float32)
+        self.vectors, self.labels = self._unit(weighed @ self.axes), labels.astype(np.float32)
+
+    @staticmethod
+    def _unit(vectors: np.ndarray) -> np.ndarray:
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        out = _weigh(counts.astype(np.float32), self.idf) @ self.axes
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return self._unit(_weigh(counts, self.idf) @ self.axes)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         near = self.latent(counts) @ self.vectors.T
@@ -170,14 +177,16 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found = taught.orderBy("id").limit(sample).collect()
     if not found:
         return None
-    counts = np.stack([np.frombuffer(r["counts"], dtype=np.float16) for r in found])
-    return Voter(counts, np.array([r["label"] for r in found]), *document_frequencies(df, text))
+    counts, taught_labels = np.empty((len(found), TERMS), dtype=np.float16), np.array([r["label"] for r in found])
+    for k in range(len(found)):
+        counts[k], found[k] = np.frombuffer(found[k]["counts"], dtype=np.float16), None
+    return Voter(counts, taught_labels, *document_frequencies(df, text))
 
 
-def with_scores(df: DataFrame, voter: Voter | None, text: str = "text") -> DataFrame:
-    """``df`` with ``__score`` from 0 to 1."""
+def with_scores(df: DataFrame, voter: Voter | None, text: str = "text", to: str = "score") -> DataFrame:
+    """``df`` with a score from 0 to 1 in column ``to``."""
     if voter is None:
-        return df.withColumn("__score", F.lit(0.5))
+        return df.withColumn(to, F.lit(0.5))
     text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(voter)
 
@@ -188,16 +197,17 @@ def with_scores(df: DataFrame, voter: Voter | None, text: str = "text") -> DataF
                 out.append(shared.value.scores(np.stack([terms(x.as_py()) for x in texts[at : at + ROWS]])))
             yield pa.array(np.concatenate(out).clip(0, 1), pa.float64())
 
-    return df.withColumn("__score", F.arrow_udf(of, "double")(F.col(text)))
+    return df.withColumn(to, F.arrow_udf(of, "double")(F.col(text)))
 
 
 def quality_report(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     scored = with_scores(rows, train(rows, labels), "text")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` with a score of at least one half."""
-    return with_scores(df, train(df, labels, key, text), text).filter(F.col("__score") >= 0.5).drop("__score")
+    (score,) = free_names(df, "score")
+    return with_scores(df, train(df, labels, key, text), text, score).filter(F.col(score) >= 0.5).drop(score)
