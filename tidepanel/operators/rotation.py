@@ -15,39 +15,49 @@ def concept_daily_mean(rows: DataFrame) -> DataFrame:
     return rows.filter(p.isNotNull() & ~F.isnan(p)).groupBy("date", "label").agg(F.avg(p).alias("avg_pct"))
 
 
-def rotation_ranks(means: DataFrame, days: int) -> DataFrame:
-    """Ranks of labels on each of the last ``days`` dates (7 to 30)."""
-    days = max(7, min(30, days))
-    last = means.select("date").distinct().orderBy(F.col("date").desc()).limit(days)
+def last_dates(dates: DataFrame, days: int) -> DataFrame:
+    """The last ``days`` dates (7 to 30) of ``dates``."""
+    return dates.select("date").distinct().orderBy(F.col("date").desc()).limit(max(7, min(30, days)))
+
+
+def rotation_ranks(means: DataFrame, days: int, dates: DataFrame | None = None) -> DataFrame:
+    """Ranks of labels on each of the last dates; ``dates`` is where those come from, by default ``means``, which is then evaluated twice."""
+    last = last_dates(means if dates is None else dates, days)
     w = Window.partitionBy("date").orderBy(F.col("avg_pct").desc(), "label")
     return means.join(F.broadcast(last), "date", "left_semi").withColumn("rank", F.row_number().over(w))  # at most 30 rows
 
 
-def rotation_matrix(means: DataFrame, days: int) -> DataFrame:
+def rotation_matrix(means: DataFrame, days: int, dates: DataFrame | None = None) -> DataFrame:
     """Per date the labels in falling order of their means."""
-    ranked = rotation_ranks(means, days)
+    ranked = rotation_ranks(means, days, dates)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"])
     return ranked.groupBy("date").agg(listed.alias("labels"))
 
 
-def rotation_signals(means: DataFrame, days: int, top: int = 3) -> DataFrame:
-    """Per label over the dates: mean rank, first and last rank, spread, days in the top, and what that makes it."""
-    ranked = rotation_ranks(means, days)
-    spine = ranked.select("date").distinct().join(ranked.select("label").distinct(), how="cross")  # at most 30 dates
-    filled = spine.join(ranked, ["date", "label"], "left").select("date", "label", F.coalesce("rank", F.lit(ABSENT)).alias("rank"), F.coalesce("avg_pct", F.lit(0.0)).alias("avg_pct"))
-    r = F.col("rank").cast("double")
-    out = filled.groupBy("label").agg(
-        F.avg(r).alias("mean_rank"),
-        F.min_by("rank", "date").alias("first_rank"),
-        F.max_by("rank", "date").alias("last_rank"),
-        F.stddev_pop(r).alias("rank_std"),
-        count_if(r <= top).alias("top_days"),
-        F.avg("avg_pct").alias("mean_pct"),
-        F.count(F.lit(1)).alias("days"),
+def rotation_signals(means: DataFrame, days: int, top: int = 3, dates: DataFrame | None = None) -> DataFrame:
+    """Per label over the dates: mean rank, first and last rank, spread, days in the top, and what that makes it.
+
+    On a date without it a label has the rank ``ABSENT`` and a mean of 0; these are
+    added to the sums, so no row is made for them.
+    """
+    span = last_dates(means if dates is None else dates, days).agg(F.count(F.lit(1)).alias("days"), F.min("date").alias("_first"), F.max("date").alias("_last"))
+    ranked = rotation_ranks(means, days, dates).join(F.broadcast(span))  # one row
+    r, n = F.col("rank").cast("double"), F.col("days")
+    at = lambda day: F.coalesce(F.max(F.when(F.col("date") == F.col(day), F.col("rank"))), F.lit(ABSENT))
+    sums = ranked.groupBy("label", "days").agg(
+        (n - F.count(F.lit(1))).alias("_absent"),
+        F.sum(r).alias("_ranks"),
+        F.sum(r * r).alias("_squares"),
+        at("_first").alias("first_rank"),
+        at("_last").alias("last_rank"),
+        F.count_if(r <= top).alias("top_days"),
+        (F.sum("avg_pct") / n).alias("mean_pct"),
     )
+    mean, square = (F.col("_ranks") + F.col("_absent") * ABSENT) / n, (F.col("_squares") + F.col("_absent") * ABSENT**2) / n
+    out = sums.withColumns({"mean_rank": mean, "rank_std": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))})
     gain = F.col("first_rank") - F.col("last_rank")
-    kind = F.when(F.col("top_days") * 2 >= F.col("days"), "persistent").when(gain >= top, "rising").when(gain <= -top, "fading").when(F.col("rank_std") <= 1.5, "stable").otherwise("volatile")
-    return out.withColumns({"gain": gain, "signal": kind})
+    kind = F.when(F.col("top_days") * 2 >= n, "persistent").when(gain >= top, "rising").when(gain <= -top, "fading").when(F.col("rank_std") <= 1.5, "stable").otherwise("volatile")
+    return out.withColumns({"gain": gain, "signal": kind}).select("label", "mean_rank", "first_rank", "last_rank", "rank_std", "top_days", "mean_pct", "days", "gain", "signal")
 
 
 def concept_heat(rows: DataFrame) -> DataFrame:

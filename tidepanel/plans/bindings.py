@@ -56,6 +56,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars_of(_lines(spark, sf_dir).withColumn("symbol", symbol_of(F.col("l_suppkey"))))
 
 
+def bar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days with a bar, from the date column alone."""
+    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+
+
 def newest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``newest``: the last day with a bar, from the date column alone."""
     return table(spark, sf_dir, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("newest"))

@@ -86,8 +86,8 @@ def _s07(s, d):
 
 
 query("s08_map_fields", B.with_("instruments") + "SELECT symbol AS sym, total_shares AS shares FROM instruments")(lambda s, d: S.map_fields(B.instruments(s, d), {"symbol": "sym", "total_shares": "shares", "absent": "x"}))
-query("s09_transforms", B.with_("instruments", more="x AS (SELECT symbol, balance FROM instruments)") + "SELECT symbol, balance * 100 AS a, balance / 100 AS b, balance / 10000 AS c, DATE '2024-01-31' AS dt FROM x", 5)(
-    lambda s, d: S.apply_transforms(B.instruments(s, d).select("symbol", F.col("balance").cast("string").alias("a"), F.col("balance").alias("b"), F.col("balance").alias("c"), F.lit("31/01/2024").alias("dt")), {"a": "x100", "b": "d100", "c": "d10000", "dt": "parse_date(dd/MM/yyyy)"})
+query("s09_transforms", B.with_("bars") + "SELECT symbol, close * 100 AS a, amount / 100 AS b, volume / 10000 AS c, date AS dt FROM bars", 5)(
+    lambda s, d: S.apply_transforms(B.bars(s, d).select("symbol", F.col("close").cast("string").alias("a"), F.col("amount").alias("b"), F.col("volume").alias("c"), F.date_format("date", "dd/MM/yyyy").alias("dt")), {"a": "x100", "b": "d100", "c": "d10000", "dt": "parse_date(dd/MM/yyyy)"})
 )
 query("s10_normalize_daily", WEB + "SELECT symbol, date, open, close, volume::DOUBLE AS volume FROM eb WHERE volume > 1")(
     lambda s, d: S.normalize_daily(eb(s, d).select(F.col("symbol").alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("trade_date"), F.when(F.col("volume") > 1, F.col("open")).otherwise(0.0).cast("string").alias("open"), F.when(F.col("volume") > 1, F.col("high")).otherwise(0.0).alias("high"), "low", "close", F.col("volume").cast("string").alias("vol"), F.col("amount").alias("amt"))).select("symbol", "date", "open", "close", "volume")
@@ -103,8 +103,9 @@ query("s14_flatten_labels", B.with_("instruments") + "SELECT symbol, array_to_st
 query("s15_cast_to_config", B.with_("instruments") + "SELECT symbol, replace(labels, ';', ';') AS labels, balance::BIGINT AS balance FROM (SELECT symbol, labels, trunc(balance) AS balance FROM instruments)")(
     lambda s, d: S.cast_to_config(B.instruments(s, d).select("symbol", F.split("labels", ";").alias("labels"), "balance"), {"labels": "string", "balance": "int"})
 )
-query("s16_infer_fields")(lambda s, d: s.createDataFrame([(f["name"], f["type"]) for f in S.infer_fields(B.instruments(s, d))], "name string, type string"))
-query("s17_detect_keys", B.with_("instruments") + "SELECT 1.0::DOUBLE AS symbol, 0.0::DOUBLE AS name, 1.0::DOUBLE AS code FROM instruments LIMIT 1")(lambda s, d: S.detect_key_columns(B.instruments(s, d).select("symbol", "name", "code", "balance")))
+query("s16_infer_fields", B.with_("instruments") + "SELECT column_name AS name, CASE column_type WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' ELSE 'string' END AS type FROM (DESCRIBE SELECT * FROM instruments)")(lambda s, d: s.createDataFrame([(f["name"], f["type"]) for f in S.infer_fields(B.instruments(s, d))], "name string, type string"))
+_LOOKS = lambda c: f"avg(regexp_matches({c}, '^[0-9]{{6,}}(\\.(SH|SZ|BJ))?$')::INTEGER)::DOUBLE AS {c}"
+query("s17_detect_keys", B.with_("instruments") + f"SELECT {_LOOKS('symbol')}, {_LOOKS('name')}, {_LOOKS('code')}, {_LOOKS('industry')} FROM instruments")(lambda s, d: S.detect_key_columns(B.instruments(s, d).select("symbol", "name", "code", "industry", "balance")))
 query("s18_clean_names", B.with_("instruments") + "SELECT symbol AS code, name AS code_2 FROM instruments")(lambda s, d: S.clean_column_names(B.instruments(s, d).select(F.col("symbol").alias("code(x)"), F.col("name").alias("code(y)"))))
 
 
@@ -124,10 +125,8 @@ query("s21_write_external", B.with_("instruments") + "SELECT symbol, CASE WHEN b
 query("s22_external_latest", WEB + "SELECT symbol, close FROM eb WHERE date = (SELECT max(date) FROM eb)")(lambda s, d: S.read_external_latest(eb(s, d)).select("symbol", "close"))
 
 
-@query("s23_guard_rebuild", WEB + "SELECT date, count(*) AS n FROM eb GROUP BY date")
-def _s23(s, d):
-    S.guard_full_rebuild(eb(s, d).filter("volume > 1"), eb(s, d))
-    return eb(s, d).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+query("s23_guard_rebuild", WEB + "SELECT symbol, date, close FROM eb WHERE volume > 1")(lambda s, d: S.guard_full_rebuild(eb(s, d).filter("volume > 2"), eb(s, d).filter("volume > 1")).select("symbol", "date", "close"))
+query("s23_lost_dates", WEB + "SELECT DISTINCT date FROM eb EXCEPT SELECT date FROM eb WHERE volume > 4")(lambda s, d: S.lost_dates(eb(s, d), eb(s, d).filter("volume > 4")))
 
 
 def _halted(s, d):

@@ -255,12 +255,12 @@ def means(s, d):
 
 _CM = B.with_("bars", "instruments", more=f"{IND}, {EXPLODED}, {MEANS}, ld AS (SELECT DISTINCT date FROM cm ORDER BY date DESC LIMIT 10), rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY avg_pct DESC, label)::INTEGER AS rank FROM cm WHERE date IN (SELECT date FROM ld))")
 query("a14_concept_daily_mean", _CM + "SELECT * FROM cm")(means)
-query("a15_rotation_matrix", _CM + "SELECT date, list(label ORDER BY rank) AS labels FROM rk GROUP BY date")(lambda s, d: R.rotation_matrix(means(s, d), 10))
+query("a15_rotation_matrix", _CM + "SELECT date, list(label ORDER BY rank) AS labels FROM rk GROUP BY date")(lambda s, d: R.rotation_matrix(means(s, d), 10, B.bar_dates(s, d)))
 query("a16_rotation_signals", _CM.rstrip() + """,
 sp AS (SELECT date, label, coalesce(rank, 999) AS rank, coalesce(avg_pct, 0.0) AS avg_pct FROM (SELECT DISTINCT date FROM rk) a CROSS JOIN (SELECT DISTINCT label FROM rk) b LEFT JOIN rk USING (date, label)),
 g AS (SELECT label, avg(rank) AS mean_rank, arg_min(rank, date) AS first_rank, arg_max(rank, date) AS last_rank, stddev_pop(rank) AS rank_std, count_if(rank <= 3) AS top_days, avg(avg_pct) AS mean_pct, count(*) AS days FROM sp GROUP BY label)
 SELECT *, first_rank - last_rank AS gain, CASE WHEN top_days * 2 >= days THEN 'persistent' WHEN first_rank - last_rank >= 3 THEN 'rising' WHEN first_rank - last_rank <= -3 THEN 'fading' WHEN rank_std <= 1.5 THEN 'stable' ELSE 'volatile' END AS signal FROM g""")(
-    lambda s, d: R.rotation_signals(means(s, d), 10)
+    lambda s, d: R.rotation_signals(means(s, d), 10, dates=B.bar_dates(s, d))
 )
 query("a17_concept_heat", WIDE_ALL.rstrip() + f""",
 day AS (SELECT * FROM wide WHERE date = (SELECT max(date) FROM wide WHERE date <= DATE '1998-06-30')), {EXPLODED},

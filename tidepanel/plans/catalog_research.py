@@ -9,10 +9,12 @@ from ..operators import levels as L
 from ..operators import trades as T
 from ..operators.indicators import with_indicators
 from ..operators.limits import turnover_rate
+from ..operators.breadth import latest_periods
 from . import bindings as B
 from . import strategies as K
 from .catalog import query
 from .catalog_indicators import IND, REC, W, WIDE, entry_sql, full_sql, indicator_frame, lag_sql, minmax_sql, strategy_frame, strategy_needs
+from .catalog_io import scratch
 
 bars = B.bars
 
@@ -153,14 +155,28 @@ query("l01_chip_distribution", B.with_("bars", "instruments", more=CHIP) + "SELE
 query("l01_chip_levels", B.with_("bars", "instruments", more=CHIP + ", cr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chips DESC, bin) AS rank, avg(chips) OVER (PARTITION BY symbol) AS mean FROM ch)") + "SELECT symbol, 'chips' AS type, CASE WHEN rank = 1 THEN 'POC' ELSE 'dense' END AS label, round(mid, 2) AS value, CASE WHEN rank = 1 THEN 'strong' ELSE 'medium' END AS strength FROM cr WHERE rank = 1 OR (rank <= 3 AND chips > mean)", 1)(lambda s, d: L.chip_levels(turnover_bars(s, d)))
 
 
+_PROFILE = {"symbol", "date", "open", "high", "low", "close", "volume", "turnover_rate", "ma20", "boll_upper", "boll_lower", "atr_14", "change_pct"}
+
+
 @query("d05_stock_profile")
 def _profile(spark, sf_dir):
-    """Last bars and all level families of every symbol."""
-    df = strategy_frame(spark, sf_dir, {"symbol", "date", "open", "high", "low", "close", "volume", "turnover_rate", "ma20", "boll_upper", "boll_lower", "atr_14", "change_pct"})
+    """The nearest levels of all families of every symbol; the frame that all families read is written once."""
+    path = scratch(spark, "profile")
+    strategy_frame(spark, sf_dir, _PROFILE).write.parquet(path)
+    df = spark.read.parquet(path)
     summary = L.nearest_summary(L.all_levels(df), df).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("type", "side", "rank", F.round("value", 4).alias("value")))).alias("levels"))
     return L.last_bars(df).select("symbol", "date", "close", "change_pct").join(summary, "symbol", "left")
 
 
+_LAST20 = "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 20"
+query("d05_profile_bars", B.with_("bars", "factors", "instruments", more=WIDE) + f"SELECT symbol, date, close, volume, turnover_rate, ma20, boll_upper, boll_lower, change_pct FROM wide {_LAST20}")(
+    lambda s, d: L.from_end(strategy_frame(s, d, _PROFILE - {"atr_14"}), 20).select("symbol", "date", "close", "volume", "turnover_rate", "ma20", "boll_upper", "boll_lower", "change_pct")
+)
+query("d05_profile_statements", B.with_("bars", more="st AS (SELECT symbol, last_day(date) AS period_end, sum(amount) AS revenue FROM bars GROUP BY 1, 2)") + "SELECT symbol, period_end, revenue, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC)::INTEGER AS rank FROM st QUALIFY rank <= 2", 2)(
+    lambda s, d: latest_periods(B.bars(s, d).groupBy("symbol", F.last_day("date").alias("period_end")).agg(F.sum("amount").alias("revenue")), 2)
+)
+
+
 # Trades: the strategy "ma5 above ma20 with volume" on the brand panel.
 START, END, HOLD, STOP = "1996-01-01", "2000-12-31", 10, -0.3
 

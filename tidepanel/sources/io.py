@@ -173,10 +173,10 @@ def infer_fields(df: DataFrame) -> list[dict]:
     return [{"name": c, "type": kind(t)} for c, t in df.dtypes]
 
 
-def detect_key_columns(df: DataFrame, sample: int = 200) -> DataFrame:
-    """Share of each text column's first values that look like a symbol or a bare code; a report on a sample."""
+def detect_key_columns(df: DataFrame, sample: int | None = None) -> DataFrame:
+    """Share of each text column's values that look like a symbol or a bare code; of any ``sample`` of them, if asked for."""
     texts = [c for c, t in df.dtypes if t == "string"]
-    head = df.limit(sample)
+    head = df if sample is None else df.limit(sample)
     share = lambda c, p: F.coalesce(F.avg(F.col(c).rlike(p).cast("double")), F.lit(0.0)).alias(c)
     return head.agg(*[share(c, r"^\d{6,}(\.(SH|SZ|BJ))?$") for c in texts])
 
@@ -228,11 +228,16 @@ def read_external_latest(df: DataFrame, day=None) -> DataFrame:
     return df.join(F.broadcast(df.agg(F.max("date").alias("date"))), "date", "left_semi")  # one row
 
 
-def guard_full_rebuild(existing: DataFrame, rebuilt: DataFrame) -> None:
-    """Refuses a rebuild that would lose dates."""
-    lost = existing.select("date").distinct().join(rebuilt.select("date").distinct(), "date", "left_anti")
-    if missing := [str(r[0]) for r in lost.orderBy("date").limit(5).collect()]:
+def lost_dates(existing: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """``date``: the dates that ``rebuilt`` lacks."""
+    return existing.select("date").distinct().join(rebuilt.select("date").distinct(), "date", "left_anti")
+
+
+def guard_full_rebuild(existing: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """``rebuilt``, or a refusal if it would lose dates."""
+    if missing := [str(r[0]) for r in lost_dates(existing, rebuilt).orderBy("date").limit(5).collect()]:
         raise ValueError(f"the rebuild lacks dates: {missing}")
+    return rebuilt
 
 
 def halt_rows_per_date(df: DataFrame) -> DataFrame:
