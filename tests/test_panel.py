@@ -266,3 +266,86 @@ def test_blocked_exit_waits_more_than_sixty_bars(spark):
 def test_exit_that_never_sells_keeps_its_bar(spark):
     (t,) = labelled(trade_case(spark, [flat(entry=True), (9.0, 9.0, 9.0, 9.0, 100.0, False, True, True), (8.1, 8.1, 8.1, 8.1, 100.0, False, False, True)]), stop=-0.5)
     assert (t["exit_price"], t["exit_n"], t["blocked_days"]) == (9.0, 2, 0)
+
+
+def test_strategy_parameters_are_the_declared_ones_and_others_are_refused():
+    from tidepanel.plans import strategies as K
+
+    assert sum(len(s.params) for s in K.REGISTRY.values()) == 73 and all(set(s.entry) == {k for k, v in s.params.items() if isinstance(v, bool)} for s in K.REGISTRY.values())
+    s = K.REGISTRY["consecutive_limit_ups"]
+    assert K.resolve_params(s, {"min_boards": 3}, {"use_boards_filter": False}) == {"require_limit_up": True, "use_boards_filter": False, "min_boards": 3}
+    with pytest.raises(ValueError, match="streak_min"):
+        K.resolve_params(s, explicit={"streak_min": 3})
+
+
+def test_strategy_switches_and_asset_types(spark):
+    from tidepanel.plans import strategies as K
+
+    df = spark.createDataFrame([("600001.SH", "A", "stock", 10.0, 11.0), ("510300.SH", "B", "etf", 10.0, 11.0), ("600002.SH", "C", "stock", 11.0, 10.0)], "symbol string, name string, type string, open double, close double").withColumns({"date": F.lit("2024-01-02").cast("date"), "low_60d": F.lit(12.0), "vol_ratio_5d": F.lit(1.0)})
+    s, none = K.REGISTRY["n_day_low_reversal"], {}
+    pick = lambda **more: sorted(r["symbol"] for r in df.withColumn("entry", K.entry_of(s, basic=none, **more)).filter("entry").collect())
+    assert pick() == []
+    assert pick(params={"use_volume_filter": False}) == ["510300.SH", "600001.SH"]
+    assert pick(params={"use_volume_filter": False, "require_bullish_candle": False}, asset_type="stock") == ["600001.SH", "600002.SH"]
+    with pytest.raises(ValueError, match="not for etf"):
+        K.entry_of(K.REGISTRY["strong_open"], asset_type="etf")
+
+
+def test_near_limit_up_knows_the_limit_of_special_names(spark):
+    from tidepanel.plans import strategies as K
+
+    rows = [("600001.SH", "A", 0.065), ("600002.SH", "*st B", 0.015), ("600003.SH", "ST C", 0.025), ("300001.SZ", "ST D", 0.16), ("600004.SH", None, 0.065)]
+    df = spark.createDataFrame(rows, "symbol string, name string, change_pct double").withColumn("type", F.lit("stock"))
+    entry = K.entry_of(K.REGISTRY["near_limit_up"], {"min_change": 1.0}, {})
+    assert sorted(r["symbol"] for r in df.withColumn("entry", entry).filter("entry").collect()) == ["300001.SZ", "600001.SH", "600002.SH", "600004.SH"]
+
+
+def test_listing_age_leaves_out_a_symbols_first_bars(spark):
+    from tidepanel.operators.filters import basic_filter
+
+    df = spark.range(10).select(F.lit("a").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(5.0).alias("close"), F.lit(1.0).alias("amount"), F.lit(1.0).alias("turnover_rate"), F.lit(1.0).alias("total_shares"), F.lit(1.0).alias("float_shares"))
+    assert df.withColumn("fits", basic_filter({"exclude_new_days": 7})).filter("fits").count() == 3
+
+
+def test_blocked_exit_waits_however_long(spark):
+    from tidepanel.operators import trades as T
+
+    bars = [("a", k, 0.0 if 3 <= k < 103 else 5.0, False) for k in range(1, 120)]
+    panel = spark.createDataFrame(bars, "symbol string, n int, volume double, _stuck_down boolean").withColumns({"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "close": F.col("n") * 1.0, "_tradable": F.col("volume") > 0})
+    exits = spark.createDataFrame([("a", 1, None, 1.0, "stop", 3.0, None, 3, False)], "symbol string, entry_n int, entry_date date, entry_price double, reason string, price double, exit_date date, exit_n int, sellable boolean")
+    out = T.defer_blocked(exits, panel).first()
+    assert (out["exit_n"], out["exit_price"], out["blocked_days"], out["reason"]) == (103, 103.0, 100, "stop")
+
+
+def test_cooldown_carries_its_last_firing_from_batch_to_batch(spark):
+    from tidepanel.streaming.stream import cooldown_batch
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    hits = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("rule"), F.lit("s").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    try:
+        spark.conf.set(name, 7)
+        got = sorted((r["rule"], int(r["ts"].timestamp())) for r in cooldown_batch(hits, 600).collect())
+    finally:
+        spark.conf.set(name, before)
+    want = []
+    for rule in ("a", "b"):
+        last = None
+        for k in range(1000):
+            if (k % 3 == 0) == (rule == "a") and (last is None or k * 60 - last >= 600):
+                last = k * 60
+                want.append((rule, last))
+    assert got == sorted(want)
+
+
+def test_walkforward_ranks_by_any_objective(spark):
+    from datetime import date
+
+    from tidepanel.operators import trades as T
+
+    rows = [(t, "a", date(2024, m, 1), date(2024, m, 9), 0.01 * (t + 1) * (1 if m < 7 else -1), 8) for t in range(3) for m in range(1, 13)]
+    trades = spark.createDataFrame(rows, "trial_id int, symbol string, entry_date date, exit_date date, pnl_pct double, duration int")
+    folds = T.fold_frame(spark, [(0, date(2024, 1, 1), date(2024, 6, 30), date(2024, 7, 1), date(2024, 12, 31))])
+    for objective in ("avg_pnl", "total_return", "max_drawdown"):
+        out = T.walkforward(trades, folds, objective).first()
+        assert out["trial_id"] == (0 if objective == "max_drawdown" else 2) and out["n_trades"] == 6 and out["degradation"] < 0

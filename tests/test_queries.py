@@ -34,6 +34,7 @@ def con():
 CHOSEN = [
     "e02_ma", "e06_kdj", "e15_rsi", "e25_cross_signals", "e36_minmax_score", "j01_adjust_prices", "e18_e24_limits", "k08_ma_golden_cross", "k09_macd_golden", "k19_run_all", "f03_basic_filter", "f05_custom_signal", "j05_explode_dimension", "j14_range_join",
     "a07_limit_tiers", "a16_rotation_signals", "d01_market_overview", "q03_rank_ic", "q06_group_stats", "l01_chip_distribution", "l08_gaps", "l10_round_numbers", "b04_b05_trades", "b09_curve_stats", "b18_walkforward", "s19_upsert_by_date", "s27_incremental_enrich", "z02_stateful_indicators", "z04_tumbling_bars", "v04_sql_aggregates",
+    "k11_near_limit_up", "k14_pullback_ma20_bounce_params", "d01_overview_lists", "d03_limit_down_ladder", "q08_factor_catalog", "b12_bootstrap_drawdown", "z07_cooldown_stream", "z08_pool_changes", "z13_alert_enrichment", "s23_lost_dates", "r2_recursive_fold",
 ]
 
 
