@@ -126,9 +126,9 @@ def test_store_reads_back_what_it_wrote(spark, tmp_path):
         ids = np.array([*encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((doc, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    for shard_documents in (100, 2):
-        folder = f"file://{tmp_path}/{shard_documents}"
-        manifest = S.write_store(rows(spark), folder, shard_documents=shard_documents)
+    for shard_bytes in (1 << 20, 40, 1):
+        folder = f"file://{tmp_path}/{shard_bytes}"
+        manifest = S.write_store(rows(spark), folder, shard_bytes=shard_bytes)
         got = sorted((tuple(r) for r in S.read_store(rows(spark), folder, manifest).collect()), key=lambda r: r[1])
         assert got == want
         other = spark.createDataFrame([(99,)], "doc_id long")
@@ -136,6 +136,21 @@ def test_store_reads_back_what_it_wrote(spark, tmp_path):
     assert S.store_report(rows(spark).limit(0)).count() == 0
 
 
+def test_many_rows_of_one_id_reach_many_shards(spark, tmp_path):
+    texts = [(5, "same text")] * 300 + [(None, f"text {k}") for k in range(200)] + [(k, "other") for k in range(10)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    folder = f"file://{tmp_path}/hot"
+    manifest = S.write_store(df, folder, shard_bytes=600)
+    spread = manifest.collect()
+    assert len(spread) > 15 and max(m["documents"] for m in spread) < 150
+    got = S.read_store(df, folder, manifest).collect()
+    assert len(got) == 510 and len({r["start"] for r in got}) == 510 and all(r["n_tokens"] for r in got)
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    more = df.unionByName(df.filter("doc_id = 5"))
+    assert S.read_store(more, folder, manifest).filter("n_tokens IS NULL").count() == 301
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
     mph = S.PerfectHash.build(keys)

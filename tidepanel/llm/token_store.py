@@ -12,14 +12,18 @@ files in a folder that driver and executors share:
 A key costs a constant number of probes; a key that was never stored is refused by
 its fingerprint (but for one in 2^32).
 
-Scale: the texts are shuffled once, by ranges of the id; a task streams its documents to the payload and keeps 24 bytes of
-index a document. Files are written under a task's own name and renamed, so a
-task that runs again or twice leaves whole files.
+Scale: the texts are shuffled once, by ranges of the id, then of the text's first
+characters, then of a salt, so that many rows of one id are dealt to many shards. A
+shard holds about ``SHARD_BYTES`` of text, and there are at most ``MOST_SHARDS``, so
+the manifest, a row a shard, is small whatever the corpus. A task streams its
+documents to the payload and keeps 24 bytes of index a document. Files are written
+under a task's own name and renamed, so a task that runs again or twice leaves whole
+files.
 
 Cases: a null text counts as empty and has the end id alone; a row with a null id
 comes before all others; repeated ids are stored one by one, in order of their
-texts, under the keys (id, 0), (id, 1), ...; an empty table gives no shards; only
-the named columns are read.
+texts' first characters, under the keys (id, 0), (id, 1), ... of each shard they
+reach; an empty table gives no shards; only the named columns are read.
 """
 
 import struct
@@ -28,7 +32,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -39,8 +42,10 @@ from pyspark.sql.window import Window
 from .common import cut, shared_folder, text_batches
 from .tokens import encoder, tokenizer_path
 
-#: Documents a shard, about.
-SHARD_DOCUMENTS = 20_000
+#: Bytes of text a shard, about, and the most shards; beyond that shards grow.
+SHARD_BYTES, MOST_SHARDS = 40 << 20, 50_000
+#: Rows looked up at once.
+CHUNK = 1 << 16
 END_ID = 0
 MAGIC = b"TPMPH01\n"
 _GAMMA = 2.0
@@ -188,12 +193,20 @@ class ShardReader:
         return np.frombuffer(self.payload.read(length * self.width), f"<u{self.width}").astype("<u4")
 
 
-def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
-    """Writes the shards to ``folder``; gives the manifest ``shard, max_id, first, documents, tokens``, ``first`` being the ids before the shard."""
+_MANIFEST = ("shard int", "min_id long", "max_id long", "nulls long", "at_min long", "at_max long", "documents long", "tokens long")
+
+
+def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards to ``folder``; gives the manifest, a row a shard.
+
+    Least and largest id, how many rows have none, how many have the least and the
+    largest, documents, tokens, and ``first``, the ids before the shard.
+    """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     text_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    shards = max(1, -(-rows.count() // shard_documents))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    shards = min(MOST_SHARDS, max(1, -(-size // shard_bytes)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, writer = encoder(path), None
@@ -202,54 +215,97 @@ def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
                 writer = writer or ShardWriter(folder, TaskContext.get().partitionId(), 2 if max(one.vocabulary, end_id + 1) <= 1 << 16 else 4)
                 writer.add(doc, np.append(one.ids(body.as_py()), np.uint32(end_id)))
         if writer:
-            tokens = writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([writer.shard], pa.int32()), pa.array([writer.ids[-1] if writer.valid[-1] else None], pa.int64()), pa.array([len(writer.ids)], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "max_id", "documents", "tokens"])
+            tokens, known = writer.close(), np.array(writer.ids, dtype=np.int64)[np.array(writer.valid)]
+            ends = [int(known[0]), int(known[-1])] if len(known) else [None, None]
+            row = [writer.shard, *ends, len(writer.ids) - len(known), *(int((known == x).sum()) if len(known) else 0 for x in ends), len(writer.ids), tokens]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k == 0 else pa.int64()) for k, x in enumerate(row)], names=[x.split()[0] for x in _MANIFEST])
 
     by_id = F.col("id").asc_nulls_first()
-    dealt = rows.repartitionByRange(shards, by_id).sortWithinPartitions(by_id, "text")
-    manifest = cut(dealt.mapInArrow(of, "shard int, max_id long, documents long, tokens long"))
+    salted = rows.withColumn("start", F.substring("text", 1, 32)).withColumn("salt", F.rand(5))
+    dealt = salted.repartitionByRange(shards, by_id, "start", "salt").select("id", "text").sortWithinPartitions(by_id, "text")
+    manifest = cut(dealt.mapInArrow(of, ", ".join(_MANIFEST)))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return cut(manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long"))).select("shard", "max_id", "first", "documents", "tokens"))
+    return cut(manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long"))))
+
+
+class Places:
+    """Where the rows of an id are: runs of (shard, number of the first row there, rows)."""
+
+    def __init__(self, manifest: list):
+        rows = sorted(manifest, key=lambda m: m["shard"])
+        self.shards, self.firsts = [m["shard"] for m in rows], [m["first"] for m in rows]
+        self.nulls = [(k, m["nulls"]) for k, m in enumerate(rows) if m["nulls"]]
+        self.known = [(k, m) for k, m in enumerate(rows) if m["min_id"] is not None]
+        self.low, self.high = (np.array([m[c] for _, m in self.known], dtype=np.int64) for c in ("min_id", "max_id"))
+
+    def _held(self, place: int, id_: int) -> int:
+        """Rows of an id in a shard at whose edge, or throughout which, it stands."""
+        m = self.known[place][1]
+        return m["documents"] - m["nulls"] if m["min_id"] == m["max_id"] == id_ else m["at_max"] if m["max_id"] == id_ else m["at_min"]
+
+    def runs(self, ids: np.ndarray, valid: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows of (position in ``ids``, shard's place, first number, rows), the position's rows in order."""
+        if not self.shards:
+            return np.stack([np.arange(len(ids)), np.full(len(ids), -1), np.zeros(len(ids), np.int64), rows], axis=1)
+        last = len(self.known) - 1
+        low, high = np.searchsorted(self.high, ids, "left"), np.searchsorted(self.low, ids, "right") - 1
+        plain = valid & (high <= low) if last >= 0 else np.zeros(len(ids), dtype=bool)
+        place = np.array([k for k, _ in self.known] or [0])[np.clip(low, 0, max(last, 0))]
+        at = np.flatnonzero(plain)
+        out = [np.stack([at, place[at], np.zeros(len(at), np.int64), rows[at]], axis=1)]
+        for i in np.flatnonzero(~plain).tolist():
+            held = [(self.known[k][0], self._held(k, int(ids[i]))) for k in range(int(low[i]), int(high[i]) + 1)] if valid[i] else self.nulls
+            todo, shard = int(rows[i]), -1
+            for shard, n in held:
+                out.append(np.array([[i, shard, 0, min(n, todo)]]))
+                todo -= min(n, todo)
+            if todo:
+                out.append(np.array([[i, shard, held[-1][1] if held else 0, todo]]))
+        return np.concatenate(out)
 
 
 def read_store(keys: DataFrame, folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every row of ``keys``, by keyed access to the files.
 
-    The manifest, three numbers for each ``SHARD_DOCUMENTS`` documents, goes to
-    the tasks. A key that isn't stored has nulls.
+    The manifest, at most ``MOST_SHARDS`` rows, goes to the tasks. A key that isn't
+    stored has nulls.
     """
-    shards = sorted((m["shard"], m["max_id"], m["first"]) for m in manifest.collect())
-    last = np.array([-(1 << 63) if m is None else m for _, m, _ in shards], dtype=np.int64)
-    numbers, firsts = [x[0] for x in shards], [x[2] for x in shards]
+    places = Places(manifest.collect())
     wanted = keys.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("rows"))
 
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(last, ids.to_numpy()), dtype="int32")
-
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(F.pandas_udf(place, "int")(F.coalesce("doc_id", F.lit(0))))
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, valid = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            runs = places.runs(ids, valid, batch.column("rows").to_numpy())
+            ends = np.cumsum(runs[:, 3])
+            for at in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+                row = np.arange(at, min(at + CHUNK, int(ends[-1])))
+                own = np.searchsorted(ends, row, "right")
+                run = runs[own]
+                nth = run[:, 2] + row - (ends[own] - run[:, 3])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(run[:, 0])), pa.array(run[:, 1].astype(np.int32)), pa.array(nth)], names=["doc_id", "at", "nth"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[int, ShardReader] = {}
         for batch in batches:
             ids, valid = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            rows, shard = batch.column("rows").to_numpy(), batch.column("at").to_numpy()
-            one = np.repeat(np.arange(len(ids)), rows)
-            nth = np.arange(len(one)) - np.repeat(np.cumsum(rows) - rows, rows)
-            start, length, crc = np.full(len(one), -1), np.full(len(one), -1), np.zeros(len(one), np.int64)
-            for s in np.unique(shard[shard < len(numbers)]).tolist():
+            shard, nth = batch.column("at").to_numpy(), batch.column("nth").to_numpy()
+            start, length, crc = np.full(len(ids), -1), np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+            for s in np.unique(shard[shard >= 0]).tolist():
                 if s not in readers:
                     readers.clear()
-                    readers[s] = ShardReader(folder, numbers[s])
-                own = np.flatnonzero(shard[one] == s)
-                start[own], length[own] = readers[s].find(ids[one[own]], valid[one[own]], nth[own])
+                    readers[s] = ShardReader(folder, places.shards[s])
+                own = np.flatnonzero(shard == s)
+                start[own], length[own] = readers[s].find(ids[own], valid[own], nth[own])
                 for k in own[np.argsort(start[own], kind="stable")].tolist():
                     if length[k] >= 0:
                         crc[k] = zlib.crc32(readers[s].ids(int(start[k]), int(length[k])).tobytes())
-                start[own] += np.where(length[own] >= 0, firsts[s], 0)
+                start[own] += np.where(length[own] >= 0, places.firsts[s], 0)
             none = length < 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(one)), *(pa.array(x, pa.int64(), mask=none) for x in (start, length, crc))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64(), mask=none) for x in (start, length, crc))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = wanted.withColumn("at", at).repartition(max(1, len(shards)), "at").sortWithinPartitions("at", "doc_id")
+    located = wanted.mapInArrow(locate, "doc_id long, at int, nth long")
+    dealt = located.repartition(max(1, len(places.shards)), "at").sortWithinPartitions("at", "doc_id", "nth")
     return dealt.mapInArrow(of, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
