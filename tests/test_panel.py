@@ -57,12 +57,19 @@ def test_recursive_columns_equal_pandas(bars, monkeypatch, chunk):
         k = mean(raw, 1 / 3)
         step = close.diff().fillna(0)
         gain, loss = mean(step.clip(lower=0), 1 / 14), mean(-step.clip(upper=0), 1 / 14)
-        for name, want in {"ema10": mean(close, 2 / 11), "macd_dea": mean(dif, 0.2), "kdj_d": mean(k, 1 / 3), "rsi_14": 100 - 100 / (1 + gain / loss.where(loss != 0, 1e-12))}.items():
+        for name, want in {
+            "ema10": mean(close, 2 / 11),
+            "macd_dea": mean(dif, 0.2),
+            "kdj_d": mean(k, 1 / 3),
+            "rsi_14": 100 - 100 / (1 + gain / loss.where(loss != 0, 1e-12))
+        }.items():
             np.testing.assert_allclose(out[name].astype(float), want.astype(float), rtol=1e-9, err_msg=f"{symbol} {name}")
 
 
 def test_zero_range_keeps_the_state(spark):
-    rows = [("A", D0 + timedelta(days=i), 5.0, 5.0 + (i < 12), 5.0 - (i < 12), 5.0, 1.0, 5.0) for i in range(30)] + [("A", D0 + timedelta(days=30), 5.0, 6.0, 5.0, 6.0, 1.0, 5.0)]
+    rows = [
+        ("A", D0 + timedelta(days=i), 5.0, 5.0 + (i < 12), 5.0 - (i < 12), 5.0, 1.0, 5.0) for i in range(30)
+    ] + [("A", D0 + timedelta(days=30), 5.0, 6.0, 5.0, 6.0, 1.0, 5.0)]
     out = pandas_of(recursive.with_recursive(spark.createDataFrame(rows, BARS), ["kdj_k"]), "A")
     assert out["kdj_k"][:8].isna().all() and out["kdj_k"][8:20].notna().all() and out["kdj_k"][20:30].isna().all() and out["kdj_k"][30] > 50
 
@@ -70,7 +77,9 @@ def test_zero_range_keeps_the_state(spark):
 def test_needed_subset_equals_the_whole(bars):
     part, whole = indicators.with_indicators(bars, {"signal_ma_golden_5_20", "boll_upper"}), indicators.with_indicators(bars)
     assert set(part.columns) == {*bars.columns, "signal_ma_golden_5_20", "boll_upper"}
-    assert sorted(map(str, part.select("symbol", "date", "boll_upper", "signal_ma_golden_5_20").collect())) == sorted(map(str, whole.select("symbol", "date", "boll_upper", "signal_ma_golden_5_20").collect()))
+    assert sorted(map(str, part.select("symbol", "date", "boll_upper", "signal_ma_golden_5_20").collect())) == sorted(
+        map(str, whole.select("symbol", "date", "boll_upper", "signal_ma_golden_5_20").collect())
+    )
 
 
 def test_streaming_step_equals_batch(bars):
@@ -88,7 +97,9 @@ def test_price_limits_are_integer_cents(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "p double, k int").select(limits.limit_price(F.col("p"), F.col("k"))).collect()]
     assert got == [17.96, 11.0, 10.99, 0.05]
     names = [("300001.SZ", "ST x"), ("600001.SH", "*ST y"), ("600002.SH", "z"), ("830001.BJ", "ST"), ("688001.SH", None)]
-    assert [r[0] for r in spark.createDataFrame(names, "s string, n string").select(limits.limit_pct(F.col("s"), F.col("n"))).collect()] == [0.2, 0.05, 0.1, 0.3, 0.2]
+    assert [
+        r[0] for r in spark.createDataFrame(names, "s string, n string").select(limits.limit_pct(F.col("s"), F.col("n"))).collect()
+    ] == [0.2, 0.05, 0.1, 0.3, 0.2]
 
 
 def test_streaks_reset_on_false_and_null(spark):
@@ -98,8 +109,14 @@ def test_streaks_reset_on_false_and_null(spark):
 
 
 def test_adjustment_takes_the_latest_factor(spark):
-    bars = spark.createDataFrame([("A", D0 + timedelta(days=i), 8.0, 8.0, 8.0, 8.0, 1.0, 8.0) for i in range(4)] + [("B", D0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], BARS)
-    events = spark.createDataFrame([("A", D0 + timedelta(days=2), 2.0), ("A", D0 - timedelta(days=5), 4.0), ("A", D0 + timedelta(days=2), 2.0)], "symbol string, trade_date date, ex_factor double")
+    bars = spark.createDataFrame(
+        [("A", D0 + timedelta(days=i), 8.0, 8.0, 8.0, 8.0, 1.0, 8.0) for i in range(4)] + [("B", D0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)],
+        BARS
+    )
+    events = spark.createDataFrame(
+        [("A", D0 + timedelta(days=2), 2.0), ("A", D0 - timedelta(days=5), 4.0), ("A", D0 + timedelta(days=2), 2.0)],
+        "symbol string, trade_date date, ex_factor double"
+    )
     out = limits.adjust_prices(bars, events).orderBy("symbol", "date").collect()
     assert [r["close"] for r in out] == [4.0, 4.0, 8.0, 8.0, 1.0] and [r["ex_rights"] for r in out] == [False, False, True, False, False]
 
@@ -124,7 +141,10 @@ def test_watchlist_keeps_every_symbol_in_order(spark, bars):
 
 
 def test_external_join_never_multiplies_rows(spark, bars):
-    ext = spark.createDataFrame([("600001.SH", D0, "a"), ("600001.SH", D0 + timedelta(days=1), "b"), ("600001.SH", D0 + timedelta(days=1), "c")], "symbol string, date date, tag string")
+    ext = spark.createDataFrame(
+        [("600001.SH", D0, "a"), ("600001.SH", D0 + timedelta(days=1), "b"), ("600001.SH", D0 + timedelta(days=1), "c")],
+        "symbol string, date date, tag string"
+    )
     out = joins.with_external_columns(bars, ext, "cfg", ["tag"])
     assert out.count() == bars.count() and {r[0] for r in out.filter("symbol = '600001.SH'").select("cfg__tag").distinct().collect()} == {"c"}
 
@@ -137,12 +157,20 @@ def test_range_join_equals_a_plain_one(bars):
     assert got == plain > 0
 
 
-PANEL = "symbol string, date date, open double, high double, low double, close double, volume double, entry boolean, exit boolean, score double, signal_limit_up boolean, signal_limit_down boolean"
+PANEL = (
+    "symbol string, date date, open double, high double, low double, close double, volume double, entry boolean, exit boolean, "
+    "score double, signal_limit_up boolean, signal_limit_down boolean"
+)
 
 
 def trade_case(spark, rows):
     """(open, high, low, close, volume, entry, exit, limit_down) of one symbol's days."""
-    return trades.prepared(spark.createDataFrame([("A", D0 + timedelta(days=i), o, h, low, c, v, e, x, 1.0, False, d) for i, (o, h, low, c, v, e, x, d) in enumerate(rows)], PANEL))
+    return trades.prepared(
+        spark.createDataFrame(
+            [("A", D0 + timedelta(days=i), o, h, low, c, v, e, x, 1.0, False, d) for i, (o, h, low, c, v, e, x, d) in enumerate(rows)],
+            PANEL
+        )
+    )
 
 
 def flat(c=10.0, entry=False, exit_=False, volume=100.0, down=False):
@@ -182,7 +210,9 @@ def test_entries_are_guarded(spark):
 
 
 def test_sortino_and_costs(spark):
-    assert abs(udf.sortino(pd.Series([-0.1, -0.1])) + math.sqrt(252)) < 1e-9 and udf.sortino(pd.Series([0.1, 0.2])) is None and udf.sortino(pd.Series([0.1])) == 0
+    assert abs(
+        udf.sortino(pd.Series([-0.1, -0.1])) + math.sqrt(252)
+    ) < 1e-9 and udf.sortino(pd.Series([0.1, 0.2])) is None and udf.sortino(pd.Series([0.1])) == 0
     assert udf.max_drawdown(pd.Series([1.0, 2.0, 1.0])) == -0.5
     t = spark.createDataFrame([(10.0, 11.0, 1, 3)], "entry_price double, exit_price double, entry_n int, exit_n int")
     assert abs(trades.trade_costs(t, 0.001, 0.0, 0.001).first()["pnl_pct"] - (11 * 0.998 / (10 * 1.001) - 1)) < 1e-12
@@ -234,7 +264,10 @@ def test_session_minutes(spark):
 def test_schema_evolves(spark, tmp_path):
     path = str(tmp_path / "daily")
     spark.createDataFrame([("A", D0, 1.0)], "symbol string, date date, close double").write.partitionBy("date").parquet(path)
-    spark.createDataFrame([("A", D0 + timedelta(days=1), 2.0, 5, 7)], "symbol string, date date, close double, volume int, quote_ts long").write.mode("append").partitionBy("date").parquet(path)
+    spark.createDataFrame(
+        [("A", D0 + timedelta(days=1), 2.0, 5, 7)],
+        "symbol string, date date, close double, volume int, quote_ts long"
+    ).write.mode("append").partitionBy("date").parquet(path)
     out = io.scan_daily(spark, path).orderBy("date").collect()
     assert [(r["volume"], r["quote_ts"]) for r in out] == [(None, None), (5.0, 7)] and io.scan_daily(spark, path).schema == io.DAILY
 
@@ -247,7 +280,10 @@ def test_full_rebuild_is_guarded(bars):
 def test_names_and_breadth(spark):
     df = spark.createDataFrame([(1, 2, 3)], ["a(x)", "a", "(y)"])
     assert io.clean_column_names(df).columns == ["a", "a_2", "column"]
-    day = spark.createDataFrame([(D0, "A", 0.1, 1.0), (D0, "B", -0.1, 1.0), (D0, "C", None, 1.0), (D0, "D", 0.3, 1.0)], "date date, symbol string, change_pct double, amount double")
+    day = spark.createDataFrame(
+        [(D0, "A", 0.1, 1.0), (D0, "B", -0.1, 1.0), (D0, "C", None, 1.0), (D0, "D", 0.3, 1.0)],
+        "date date, symbol string, change_pct double, amount double"
+    )
     out = breadth.market_breadth(day).first()
     assert (out["up"], out["down"], out["total"], out["median_pct"]) == (2, 1, 4, 0.1)
 
@@ -264,16 +300,25 @@ def test_blocked_exit_waits_more_than_sixty_bars(spark):
 
 
 def test_exit_that_never_sells_keeps_its_bar(spark):
-    (t,) = labelled(trade_case(spark, [flat(entry=True), (9.0, 9.0, 9.0, 9.0, 100.0, False, True, True), (8.1, 8.1, 8.1, 8.1, 100.0, False, False, True)]), stop=-0.5)
+    (t,) = labelled(
+        trade_case(spark, [flat(entry=True), (9.0, 9.0, 9.0, 9.0, 100.0, False, True, True), (8.1, 8.1, 8.1, 8.1, 100.0, False, False, True)]),
+        stop=-0.5
+    )
     assert (t["exit_price"], t["exit_n"], t["blocked_days"]) == (9.0, 2, 0)
 
 
 def test_strategy_parameters_are_the_declared_ones_and_others_are_refused():
     from tidepanel.plans import strategies as K
 
-    assert sum(len(s.params) for s in K.REGISTRY.values()) == 73 and all(set(s.entry) == {k for k, v in s.params.items() if isinstance(v, bool)} for s in K.REGISTRY.values())
+    assert sum(len(s.params) for s in K.REGISTRY.values()) == 73 and all(
+        set(s.entry) == {k for k, v in s.params.items() if isinstance(v, bool)} for s in K.REGISTRY.values()
+    )
     s = K.REGISTRY["consecutive_limit_ups"]
-    assert K.resolve_params(s, {"min_boards": 3}, {"use_boards_filter": False}) == {"require_limit_up": True, "use_boards_filter": False, "min_boards": 3}
+    assert K.resolve_params(s, {"min_boards": 3}, {"use_boards_filter": False}) == {
+        "require_limit_up": True,
+        "use_boards_filter": False,
+        "min_boards": 3
+    }
     with pytest.raises(ValueError, match="streak_min"):
         K.resolve_params(s, explicit={"streak_min": 3})
 
@@ -281,9 +326,14 @@ def test_strategy_parameters_are_the_declared_ones_and_others_are_refused():
 def test_strategy_switches_and_asset_types(spark):
     from tidepanel.plans import strategies as K
 
-    df = spark.createDataFrame([("600001.SH", "A", "stock", 10.0, 11.0), ("510300.SH", "B", "etf", 10.0, 11.0), ("600002.SH", "C", "stock", 11.0, 10.0)], "symbol string, name string, type string, open double, close double").withColumns({"date": F.lit("2024-01-02").cast("date"), "low_60d": F.lit(12.0), "vol_ratio_5d": F.lit(1.0)})
+    df = spark.createDataFrame(
+        [("600001.SH", "A", "stock", 10.0, 11.0), ("510300.SH", "B", "etf", 10.0, 11.0), ("600002.SH", "C", "stock", 11.0, 10.0)],
+        "symbol string, name string, type string, open double, close double"
+    ).withColumns({"date": F.lit("2024-01-02").cast("date"), "low_60d": F.lit(12.0), "vol_ratio_5d": F.lit(1.0)})
     s, none = K.REGISTRY["n_day_low_reversal"], {}
-    pick = lambda **more: sorted(r["symbol"] for r in df.withColumn("entry", K.entry_of(s, basic=none, **more)).filter("entry").collect())
+    pick = lambda **more: sorted(
+        r["symbol"] for r in df.withColumn("entry", K.entry_of(s, basic=none, **more)).filter("entry").collect()
+    )
     assert pick() == []
     assert pick(params={"use_volume_filter": False}) == ["510300.SH", "600001.SH"]
     assert pick(params={"use_volume_filter": False, "require_bullish_candle": False}, asset_type="stock") == ["600001.SH", "600002.SH"]
@@ -294,16 +344,32 @@ def test_strategy_switches_and_asset_types(spark):
 def test_near_limit_up_knows_the_limit_of_special_names(spark):
     from tidepanel.plans import strategies as K
 
-    rows = [("600001.SH", "A", 0.065), ("600002.SH", "*st B", 0.015), ("600003.SH", "ST C", 0.025), ("300001.SZ", "ST D", 0.16), ("600004.SH", None, 0.065)]
+    rows = [
+        ("600001.SH", "A", 0.065),
+        ("600002.SH", "*st B", 0.015),
+        ("600003.SH", "ST C", 0.025),
+        ("300001.SZ", "ST D", 0.16),
+        ("600004.SH", None, 0.065)
+    ]
     df = spark.createDataFrame(rows, "symbol string, name string, change_pct double").withColumn("type", F.lit("stock"))
     entry = K.entry_of(K.REGISTRY["near_limit_up"], {"min_change": 1.0}, {})
-    assert sorted(r["symbol"] for r in df.withColumn("entry", entry).filter("entry").collect()) == ["300001.SZ", "600001.SH", "600002.SH", "600004.SH"]
+    assert sorted(
+        r["symbol"] for r in df.withColumn("entry", entry).filter("entry").collect()
+    ) == ["300001.SZ", "600001.SH", "600002.SH", "600004.SH"]
 
 
 def test_listing_age_leaves_out_a_symbols_first_bars(spark):
     from tidepanel.operators.filters import basic_filter
 
-    df = spark.range(10).select(F.lit("a").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(5.0).alias("close"), F.lit(1.0).alias("amount"), F.lit(1.0).alias("turnover_rate"), F.lit(1.0).alias("total_shares"), F.lit(1.0).alias("float_shares"))
+    df = spark.range(10).select(
+        F.lit("a").alias("symbol"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        F.lit(5.0).alias("close"),
+        F.lit(1.0).alias("amount"),
+        F.lit(1.0).alias("turnover_rate"),
+        F.lit(1.0).alias("total_shares"),
+        F.lit(1.0).alias("float_shares")
+    )
     assert df.withColumn("fits", basic_filter({"exclude_new_days": 7})).filter("fits").count() == 3
 
 
@@ -311,8 +377,13 @@ def test_blocked_exit_waits_however_long(spark):
     from tidepanel.operators import trades as T
 
     bars = [("a", k, 0.0 if 3 <= k < 103 else 5.0, False) for k in range(1, 120)]
-    panel = spark.createDataFrame(bars, "symbol string, n int, volume double, _stuck_down boolean").withColumns({"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "close": F.col("n") * 1.0, "_tradable": F.col("volume") > 0})
-    exits = spark.createDataFrame([("a", 1, None, 1.0, "stop", 3.0, None, 3, False)], "symbol string, entry_n int, entry_date date, entry_price double, reason string, price double, exit_date date, exit_n int, sellable boolean")
+    panel = spark.createDataFrame(bars, "symbol string, n int, volume double, _stuck_down boolean").withColumns(
+        {"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "close": F.col("n") * 1.0, "_tradable": F.col("volume") > 0}
+    )
+    exits = spark.createDataFrame(
+        [("a", 1, None, 1.0, "stop", 3.0, None, 3, False)],
+        "symbol string, entry_n int, entry_date date, entry_price double, reason string, price double, exit_date date, exit_n int, sellable boolean"
+    )
     out = T.defer_blocked(exits, panel).first()
     assert (out["exit_n"], out["exit_price"], out["blocked_days"], out["reason"]) == (103, 103.0, 100, "stop")
 
@@ -322,7 +393,11 @@ def test_cooldown_carries_its_last_firing_from_batch_to_batch(spark):
 
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    hits = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("rule"), F.lit("s").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    hits = spark.range(1000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("rule"),
+        F.lit("s").alias("symbol"),
+        F.timestamp_seconds(F.col("id") * 60).alias("ts")
+    )
     try:
         spark.conf.set(name, 7)
         got = sorted((r["rule"], int(r["ts"].timestamp())) for r in cooldown_batch(hits, 600).collect())

@@ -36,7 +36,11 @@ def latest_two_quotes(bars: DataFrame, as_of: str | None = None) -> DataFrame:
     rows = bars if as_of is None else bars.filter(F.col("date") <= F.lit(as_of).cast("date"))
     rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))
     pick = lambda k, c: F.max(F.when(F.col("_rn") == k, F.col(c)))
-    out = rows.withColumn("_rn", rn).filter("_rn <= 2").groupBy("symbol").agg(pick(1, "date").alias("date"), pick(1, "close").alias("close"), pick(2, "close").alias("prev_close"))
+    out = rows.withColumn("_rn", rn).filter("_rn <= 2").groupBy("symbol").agg(
+        pick(1, "date").alias("date"),
+        pick(1, "close").alias("close"),
+        pick(2, "close").alias("prev_close")
+    )
     change = F.col("close") - F.col("prev_close")
     return out.withColumns({"change": change, "change_pct": F.try_divide(change, F.col("prev_close"))})
 
@@ -44,7 +48,12 @@ def latest_two_quotes(bars: DataFrame, as_of: str | None = None) -> DataFrame:
 def upper_median_by_rank(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """``keys, median``: the value at index floor(n / 2) of each group, by ranks, whatever a group's size."""
     w = Window.partitionBy(*keys)
-    rows = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column), F.row_number().over(w.orderBy(column)).alias("_rn"), F.count(F.lit(1)).over(w).alias("_n"))
+    rows = df.filter(F.col(column).isNotNull()).select(
+        *keys,
+        F.col(column),
+        F.row_number().over(w.orderBy(column)).alias("_rn"),
+        F.count(F.lit(1)).over(w).alias("_n")
+    )
     return rows.filter(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(column).alias("median"))
 
 
@@ -68,13 +77,25 @@ def market_breadth(df: DataFrame) -> DataFrame:
 
 def board_breakdown(df: DataFrame) -> DataFrame:
     p, n = F.col("change_pct"), F.count(F.lit(1))
-    return df.groupBy(classify_board(F.col("symbol")).alias("board")).agg(n.alias("n"), count_if(p > 0).alias("up"), count_if(p < 0).alias("down"), F.sum("amount").alias("amount"), ratio(count_if(p > 0), n).alias("up_share"))
+    return df.groupBy(classify_board(F.col("symbol")).alias("board")).agg(
+        n.alias("n"),
+        count_if(p > 0).alias("up"),
+        count_if(p < 0).alias("down"),
+        F.sum("amount").alias("amount"),
+        ratio(count_if(p > 0), n).alias("up_share")
+    )
 
 
 def limit_stats(df: DataFrame) -> DataFrame:
     """Per date: limit-ups, broken ones, limit-downs, longest streak, seal rate."""
     up, broken = count_if(F.col("signal_limit_up")), count_if(F.col("signal_broken_limit_up"))
-    return df.groupBy("date").agg(up.alias("limit_up"), broken.alias("broken"), count_if(F.col("signal_limit_down")).alias("limit_down"), F.max("consecutive_limit_ups").alias("max_streak"), ratio(up, up + broken).alias("seal_rate"))
+    return df.groupBy("date").agg(
+        up.alias("limit_up"),
+        broken.alias("broken"),
+        count_if(F.col("signal_limit_down")).alias("limit_down"),
+        F.max("consecutive_limit_ups").alias("max_streak"),
+        ratio(up, up + broken).alias("seal_rate")
+    )
 
 
 def limit_tiers(df: DataFrame, k: int = 5) -> DataFrame:
@@ -82,7 +103,9 @@ def limit_tiers(df: DataFrame, k: int = 5) -> DataFrame:
     hits = df.filter("consecutive_limit_ups >= 1")
     w = Window.partitionBy("consecutive_limit_ups").orderBy(F.col("amount").desc(), "symbol")
     top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    named = top.groupBy("consecutive_limit_ups").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"]).alias("symbols"))
+    named = top.groupBy("consecutive_limit_ups").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"]).alias("symbols")
+    )
     return hits.groupBy("consecutive_limit_ups").agg(F.count(F.lit(1)).alias("n")).join(named, "consecutive_limit_ups")
 
 
@@ -90,12 +113,21 @@ def trend_counts(df: DataFrame) -> DataFrame:
     """Per date: shares above moving averages, and new highs and lows."""
     n = lambda c: F.count(c)
     above = lambda m: ratio(count_if(F.col("close") > F.col(m)), n(m)).alias(f"above_{m}")
-    return df.groupBy("date").agg(*[above(f"ma{k}") for k in (5, 20, 60)], count_if(F.col("signal_n_day_high")).alias("new_highs"), count_if(F.col("signal_n_day_low")).alias("new_lows"))
+    return df.groupBy("date").agg(
+        *[above(f"ma{k}") for k in (5, 20, 60)],
+        count_if(F.col("signal_n_day_high")).alias("new_highs"),
+        count_if(F.col("signal_n_day_low")).alias("new_lows")
+    )
 
 
 def activity_stats(df: DataFrame) -> DataFrame:
     t, v = F.col("turnover_rate"), F.col("vol_ratio_5d")
-    return df.groupBy("date").agg(F.avg(t).alias("avg_turnover"), count_if(t >= 5).alias("high_turnover"), F.avg(v).alias("avg_vol_ratio"), ratio(count_if(v >= 1.5), F.count(v)).alias("active_share"))
+    return df.groupBy("date").agg(
+        F.avg(t).alias("avg_turnover"),
+        count_if(t >= 5).alias("high_turnover"),
+        F.avg(v).alias("avg_vol_ratio"),
+        ratio(count_if(v >= 1.5), F.count(v)).alias("active_share")
+    )
 
 
 def band_of(change: Column) -> Column:
@@ -110,7 +142,12 @@ def pct_bands(df: DataFrame) -> DataFrame:
     table = df.sparkSession.createDataFrame([(k, name) for k, (_, name) in enumerate(BANDS)], "band int, label string")
     counts = df.withColumn("band", band_of(F.col("change_pct"))).filter("band IS NOT NULL").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy())
-    return table.join(counts, "band", "left").select("band", "label", F.coalesce("n", F.lit(0)).alias("n"), ratio(F.coalesce("n", F.lit(0)), total).alias("share"))
+    return table.join(counts, "band", "left").select(
+        "band",
+        "label",
+        F.coalesce("n", F.lit(0)).alias("n"),
+        ratio(F.coalesce("n", F.lit(0)), total).alias("share")
+    )
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -131,8 +168,18 @@ def emotion_radar(day: DataFrame) -> DataFrame:
     """``day`` with six scores from 0 to 100 of each date's figures, their mean and its label."""
     f = lambda name, none=0.0: F.coalesce(F.col(name).cast("double"), F.lit(none))
     of_all = lambda c: F.when(f("total") > 0, c / f("total") * 100).otherwise(0.0)
-    profit = mixed((scored(f("up_pct"), 20, 80), 0.45), (scored(f("avg_pct"), -0.02, 0.02), 0.25), (scored(f("median_pct"), -0.02, 0.02), 0.20), (scored(of_all(f("strong_up") - f("strong_down")), -8, 8), 0.10))
-    hot = mixed((scored(f("limit_up"), 5, 90), 0.25), (scored(f("seal_rate"), 30, 85), 0.35), (scored(f("max_boards"), 1, 8), 0.25), (scored(f("tier2"), 0, 30), 0.15))
+    profit = mixed(
+        (scored(f("up_pct"), 20, 80), 0.45),
+        (scored(f("avg_pct"), -0.02, 0.02), 0.25),
+        (scored(f("median_pct"), -0.02, 0.02), 0.20),
+        (scored(of_all(f("strong_up") - f("strong_down")), -8, 8), 0.10)
+    )
+    hot = mixed(
+        (scored(f("limit_up"), 5, 90), 0.25),
+        (scored(f("seal_rate"), 30, 85), 0.35),
+        (scored(f("max_boards"), 1, 8), 0.25),
+        (scored(f("tier2"), 0, 30), 0.15)
+    )
     mainline = mixed((scored(f("mainline_avg"), -0.005, 0.03), 0.65), (scored(f("mainline_cover_pct"), 1, 12), 0.35))
     scores = {
         "radar_index": scored(f("avg_index_pct"), -2.5, 2.5),
@@ -158,7 +205,14 @@ def dimension_rank(day: DataFrame, dimension: DataFrame, column: str, k: int = 5
     """Per label: symbols, mean change, ups and downs, amount, leader; ranks from both ends, the first ``k`` of each."""
     rows = join_symbol_or_code(day, dimension, "symbol", [column]).withColumn("label", F.explode(labels_of(F.col(column))))
     p = F.col("change_pct")
-    out = rows.filter(p.isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("avg_pct"), count_if(p > 0).alias("up"), count_if(p < 0).alias("down"), F.sum("amount").alias("amount"), F.max_by("symbol", F.struct(p, F.col("symbol"))).alias("leader"))
+    out = rows.filter(p.isNotNull()).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(p).alias("avg_pct"),
+        count_if(p > 0).alias("up"),
+        count_if(p < 0).alias("down"),
+        F.sum("amount").alias("amount"),
+        F.max_by("symbol", F.struct(p, F.col("symbol"))).alias("leader")
+    )
     top, low = F.row_number().over(Window.orderBy(F.col("avg_pct").desc(), "label")), F.row_number().over(Window.orderBy("avg_pct", "label"))
     return out.withColumns({"rank_top": top, "rank_low": low}).filter((F.col("rank_top") <= k) | (F.col("rank_low") <= k))
 
@@ -180,7 +234,11 @@ def tail_state(bars: DataFrame) -> DataFrame:
     last = bars.withColumn("_rn", rn).filter("_rn <= 60")
     within = lambda n, c: F.when(F.col("_rn") <= n, F.col(c))
     aggs = [F.sum(within(n, "close")).alias(f"sum_close_{n}") for n in (4, 9, 19, 29, 59)]
-    aggs += [F.sum(F.pow(within(19, "close"), 2)).alias("sum_sq_19"), F.max(within(59, "close")).alias("max_close_59"), F.min(within(59, "close")).alias("min_close_59")]
+    aggs += [
+        F.sum(F.pow(within(19, "close"), 2)).alias("sum_sq_19"),
+        F.max(within(59, "close")).alias("max_close_59"),
+        F.min(within(59, "close")).alias("min_close_59")
+    ]
     aggs += [F.max(F.when(F.col("_rn") == n, F.col("close"))).alias(f"close_{n}_ago") for n in (1, 5, 10, 20, 30, 60)]
     aggs += [F.sum(within(n, "volume")).alias(f"sum_volume_{n}") for n in (4, 5, 9)]
     aggs += [F.max(within(8, "high")).alias("max_high_8"), F.min(within(8, "low")).alias("min_low_8")]
@@ -189,7 +247,11 @@ def tail_state(bars: DataFrame) -> DataFrame:
 
 def minute_vwap(minutes: DataFrame) -> DataFrame:
     """Amount over volume of each symbol and day, else the last close."""
-    out = minutes.groupBy("symbol", F.to_date("datetime").alias("date")).agg(F.sum("amount").alias("a"), F.sum("volume").alias("v"), F.max_by("close", "datetime").alias("last_close"))
+    out = minutes.groupBy("symbol", F.to_date("datetime").alias("date")).agg(
+        F.sum("amount").alias("a"),
+        F.sum("volume").alias("v"),
+        F.max_by("close", "datetime").alias("last_close")
+    )
     return out.select("symbol", "date", F.coalesce(F.try_divide(F.col("a"), F.col("v").cast("double")), F.col("last_close")).alias("vwap"))
 
 
@@ -206,17 +268,32 @@ def latest_periods(statements: DataFrame, n: int) -> DataFrame:
 
 def coverage(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and symbols of each table."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("symbol").alias("symbols")).select(F.lit(name).alias("name"), "rows", "symbols") for name, df in tables.items()]
+    parts = [
+        df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.countDistinct("symbol").alias("symbols")
+        ).select(F.lit(name).alias("name"), "rows", "symbols") for name,
+        df in tables.items()
+    ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def selection_summary(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (strategy, symbol) hits: symbols per strategy, and strategies per symbol."""
     per_strategy = hits.groupBy("strategy").agg(F.countDistinct("symbol").alias("n_symbols"))
-    return per_strategy, hits.groupBy("symbol").agg(F.countDistinct("strategy").alias("n_strategies"), F.sort_array(F.collect_set("strategy")).alias("strategies"))
+    return per_strategy, hits.groupBy("symbol").agg(
+        F.countDistinct("strategy").alias("n_strategies"),
+        F.sort_array(F.collect_set("strategy")).alias("strategies")
+    )
 
 
-def analysis_template(df: DataFrame, group: list[str], measures: list[tuple[str, str, str]], order: tuple[str, bool] | None = None, limit: int | None = None) -> DataFrame:
+def analysis_template(
+    df: DataFrame,
+    group: list[str],
+    measures: list[tuple[str, str, str]],
+    order: tuple[str, bool] | None = None,
+    limit: int | None = None
+) -> DataFrame:
     """Group columns, measures ``(name, function, column)``, sort and limit, all from configuration."""
     kinds = {"count": lambda c: F.count(F.lit(1)), "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
     out = df.groupBy(*group).agg(*[kinds[f](c).alias(name) for name, f, c in measures])
@@ -236,14 +313,34 @@ def quote_metrics(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(p).alias("avg_pct"), count_if(p > 0).alias("up"), count_if(p < 0).alias("down"), count_if(p == 0).alias("flat"))
 
 
-def bars_from_ticks(ticks: DataFrame, symbol: str = "symbol", ts: str = "ts", value: str = "value", order: str = "event_id", width: str = "1 day") -> DataFrame:
+def bars_from_ticks(
+    ticks: DataFrame,
+    symbol: str = "symbol",
+    ts: str = "ts",
+    value: str = "value",
+    order: str = "event_id",
+    width: str = "1 day"
+) -> DataFrame:
     """OHLCV bars of event rows."""
     seq = F.struct(ts, order)
-    return ticks.groupBy(F.col(symbol).alias("symbol"), F.window(F.col(ts).cast("timestamp"), width)["start"].alias("start")).agg(F.min_by(value, seq).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, seq).alias("close"), F.count(F.lit(1)).alias("volume"), F.sum(value).alias("amount"))
+    return ticks.groupBy(F.col(symbol).alias("symbol"), F.window(F.col(ts).cast("timestamp"), width)["start"].alias("start")).agg(
+        F.min_by(value, seq).alias("open"),
+        F.max(value).alias("high"),
+        F.min(value).alias("low"),
+        F.max_by(value, seq).alias("close"),
+        F.count(F.lit(1)).alias("volume"),
+        F.sum(value).alias("amount")
+    )
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("symbol").alias("symbols"), F.countDistinct("date").alias("dates"))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.countDistinct("symbol").alias("symbols"),
+        F.countDistinct("date").alias("dates")
+    )
 
 
 def status_order(df: DataFrame, boards: str = "boards", status: str = "status") -> DataFrame:
@@ -280,7 +377,15 @@ def ladder_tiers(ladder: DataFrame) -> DataFrame:
 
 
 def market_snapshot(df: DataFrame) -> DataFrame:
-    return df.select("symbol", "date", "close", "change_pct", "amount", (F.col("close") * F.col("total_shares")).alias("market_cap"), (F.col("close") * F.col("float_shares")).alias("float_cap"))
+    return df.select(
+        "symbol",
+        "date",
+        "close",
+        "change_pct",
+        "amount",
+        (F.col("close") * F.col("total_shares")).alias("market_cap"),
+        (F.col("close") * F.col("float_shares")).alias("float_cap")
+    )
 
 
 def market_overview(df: DataFrame) -> DataFrame:
@@ -339,7 +444,14 @@ def market_overview(df: DataFrame) -> DataFrame:
         "avg_index_pct": F.coalesce(F.max(F.when(c("kind") == "index", c("avg_pct"))).over(day) * 100, F.lit(0.0)),
     }
     market = sums.withColumn("_order", order).withColumns(found).filter("kind = 'market'").drop("kind", "label", "_order")
-    market = market.withColumns({"flat": c("total") - c("up") - c("down"), "up_pct": percent(c("up"), c("total")), "down_pct": percent(c("down"), c("total")), "mainline_cover_pct": percent(c("mainline_n"), c("total"))})
+    market = market.withColumns(
+        {
+            "flat": c("total") - c("up") - c("down"),
+            "up_pct": percent(c("up"), c("total")),
+            "down_pct": percent(c("down"), c("total")),
+            "mainline_cover_pct": percent(c("mainline_n"), c("total"))
+        }
+    )
     return emotion_radar(market.drop("mainline_n"))
 
 
@@ -350,17 +462,58 @@ def overview_lists(day: DataFrame, labels: DataFrame) -> DataFrame:
     """
     shape = ["block", "rank", "name", "n", "value"]
     order = lambda *by: F.row_number().over(Window.partitionBy("block").orderBy(*by))
-    boards = day.groupBy(F.lit("boards").alias("block"), classify_board(F.col("symbol")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value")).withColumn("rank", order(F.col("value").desc_nulls_last(), "name"))
-    tiers = day.filter("consecutive_limit_ups > 0").groupBy(F.lit("tiers").alias("block"), F.col("consecutive_limit_ups").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value")).withColumn("rank", order(F.col("name").cast("int").desc()))
-    kinds = {"top_gainers": ("change_pct", True), "top_losers": ("change_pct", False), "turnover_leaders": ("amount", True), "active_leaders": ("turnover_rate", True)}
-    listed = [top_rows(day, key, desc).select(F.lit(k).alias("block"), F.col("symbol").alias("name"), F.lit(1).cast("bigint").alias("n"), F.col(key).alias("value"), F.lit(1 if desc else -1).alias("_way")) for k, (key, desc) in kinds.items()]
+    boards = day.groupBy(
+        F.lit("boards").alias("block"),
+        classify_board(F.col("symbol")).alias("name")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value")).withColumn("rank", order(F.col("value").desc_nulls_last(), "name"))
+    tiers = day.filter("consecutive_limit_ups > 0").groupBy(
+        F.lit("tiers").alias("block"),
+        F.col("consecutive_limit_ups").cast("string").alias("name")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value")).withColumn("rank", order(F.col("name").cast("int").desc()))
+    kinds = {
+        "top_gainers": ("change_pct", True),
+        "top_losers": ("change_pct", False),
+        "turnover_leaders": ("amount", True),
+        "active_leaders": ("turnover_rate", True)
+    }
+    listed = [
+        top_rows(day, key, desc).select(
+            F.lit(k).alias("block"),
+            F.col("symbol").alias("name"),
+            F.lit(1).cast("bigint").alias("n"),
+            F.col(key).alias("value"),
+            F.lit(1 if desc else -1).alias("_way")
+        ) for k,
+        (key, desc) in kinds.items()
+    ]
     tops = reduce(lambda a, b: a.unionByName(b), listed).withColumn("rank", order((F.col("value") * F.col("_way")).desc(), "name"))
-    means = day.filter("change_pct IS NOT NULL").join(labels, "symbol").groupBy("kind", F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg("change_pct").alias("value"))
-    ends = means.withColumn("_way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("block", F.concat("kind", F.when(F.col("_way") > 0, "_leading").otherwise("_lagging")))
+    means = day.filter("change_pct IS NOT NULL").join(labels, "symbol").groupBy("kind", F.col("label").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("change_pct").alias("value")
+    )
+    ends = means.withColumn("_way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn(
+        "block",
+        F.concat("kind", F.when(F.col("_way") > 0, "_leading").otherwise("_lagging"))
+    )
     ends = ends.withColumn("rank", order(F.round(F.col("value") * F.col("_way"), 9).desc(), "name")).filter("rank <= 5")
     return reduce(lambda a, b: a.unionByName(b), [x.select(*shape) for x in (boards, tiers, tops, ends)])
 
 
 def recap_blocks(overview: DataFrame) -> DataFrame:
     """The numbers of the daily recap."""
-    return overview.select("date", "total", "up", "down", "up_pct", "avg_pct", "total_amount", "limit_up", "broken", "limit_down", "max_boards", "seal_rate", "emotion", "mood")
+    return overview.select(
+        "date",
+        "total",
+        "up",
+        "down",
+        "up_pct",
+        "avg_pct",
+        "total_amount",
+        "limit_up",
+        "broken",
+        "limit_down",
+        "max_boards",
+        "seal_rate",
+        "emotion",
+        "mood"
+    )

@@ -58,7 +58,12 @@ def rank_ic(rows: DataFrame, factor: str = "factor", ret: str = "ret", keys: tup
 def ic_summary(ics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean, population deviation, their ratio, and the share of positive ICs."""
     ic = F.col("ic")
-    out = ics.filter(ic.isNotNull()).groupBy(*keys).agg(F.avg(ic).alias("ic_mean"), F.stddev_pop(ic).alias("ic_std"), (F.count_if(ic > 0) / F.count(ic)).alias("win_rate"), F.count(ic).alias("periods"))
+    out = ics.filter(ic.isNotNull()).groupBy(*keys).agg(
+        F.avg(ic).alias("ic_mean"),
+        F.stddev_pop(ic).alias("ic_std"),
+        (F.count_if(ic > 0) / F.count(ic)).alias("win_rate"),
+        F.count(ic).alias("periods")
+    )
     return out.withColumn("ir", F.try_divide(F.col("ic_mean"), F.col("ic_std")))
 
 
@@ -85,7 +90,13 @@ def curve_figures(curve: DataFrame, keys: list[str], value: str, freq: str) -> D
     """Total and annual return, worst drawdown, Sharpe (population deviation), win rate of a value series that starts from 1."""
     w = Window.partitionBy(*keys).orderBy("date")
     peak = F.greatest(F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-    steps = curve.select(*keys, "date", F.col(value).alias("v"), (F.col(value) / peak - 1).alias("dd"), (F.try_divide(F.col(value), F.coalesce(F.lag(value).over(w), F.lit(1.0))) - 1).alias("r"))
+    steps = curve.select(
+        *keys,
+        "date",
+        F.col(value).alias("v"),
+        (F.col(value) / peak - 1).alias("dd"),
+        (F.try_divide(F.col(value), F.coalesce(F.lag(value).over(w), F.lit(1.0))) - 1).alias("r")
+    )
     years = F.greatest(F.datediff(F.max("date"), F.min("date")) / F.lit(365.25), F.lit(1 / 365.25))
     total = F.max_by("v", "date") - 1
     return steps.groupBy(*keys).agg(

@@ -10,7 +10,14 @@ from pyspark.sql.window import Window
 from .limits import SPECIAL, classify_board
 from .windows import by_symbol, lag
 
-OPERATORS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+OPERATORS = {
+    ">": lambda a, b: a > b,
+    ">=": lambda a, b: a >= b,
+    "<": lambda a, b: a < b,
+    "<=": lambda a, b: a <= b,
+    "==": lambda a, b: a == b,
+    "!=": lambda a, b: a != b
+}
 MOST_CONDITIONS, MOST_LAG = 8, 60
 
 
@@ -81,7 +88,10 @@ def custom_signal(conditions: list[dict], fields: set[str]) -> Column:
             raise ValueError(f"unknown field or lag: {name}, {days}")
         return lag(name, days) if days else F.col(name)
 
-    return reduce(lambda a, b: a & b, [OPERATORS[c["op"]](side(c["left"], c.get("left_lag", 0)), side(c["right"], c.get("right_lag", 0))) for c in conditions])
+    return reduce(
+        lambda a, b: a & b,
+        [OPERATORS[c["op"]](side(c["left"], c.get("left_lag", 0)), side(c["right"], c.get("right_lag", 0))) for c in conditions]
+    )
 
 
 def inject_signals(df: DataFrame, signals: dict[str, list[dict]]) -> DataFrame:

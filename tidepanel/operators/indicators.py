@@ -67,9 +67,36 @@ def _signals() -> dict[str, tuple[tuple[str, ...], Column]]:
     }
 
 
-WINDOW_NAMES = tuple(["prev_close", *[f"ma{n}" for n in MA], "boll_std", "vol_ma5", "vol_ma10", "vol_ratio_5d", "high_60d", "low_60d", *[f"momentum_{n}d" for n in MOMENTUM], "change_pct", "change_amount", "amplitude"])
+WINDOW_NAMES = tuple(
+    [
+        "prev_close",
+        *[f"ma{n}" for n in MA],
+        "boll_std",
+        "vol_ma5",
+        "vol_ma10",
+        "vol_ratio_5d",
+        "high_60d",
+        "low_60d",
+        *[f"momentum_{n}d" for n in MOMENTUM],
+        "change_pct",
+        "change_amount",
+        "amplitude"
+    ]
+)
 DERIVED_NAMES = ("boll_upper", "boll_lower", "annual_vol_20d")
-SIGNAL_NAMES = ("signal_ma_golden_5_20", "signal_ma_dead_5_20", "signal_ma_golden_20_60", "signal_macd_golden", "signal_macd_dead", *[f"signal_ma{n}_break{x}" for n in (5, 10, 20) for x in ("out", "down")], "signal_n_day_high", "signal_n_day_low", "signal_boll_breakout_upper", "signal_boll_breakdown_lower", "signal_volume_surge")
+SIGNAL_NAMES = (
+    "signal_ma_golden_5_20",
+    "signal_ma_dead_5_20",
+    "signal_ma_golden_20_60",
+    "signal_macd_golden",
+    "signal_macd_dead",
+    *[f"signal_ma{n}_break{x}" for n in (5, 10, 20) for x in ("out", "down")],
+    "signal_n_day_high",
+    "signal_n_day_low",
+    "signal_boll_breakout_upper",
+    "signal_boll_breakdown_lower",
+    "signal_volume_surge"
+)
 ALL = (*WINDOW_NAMES, *RECURSIVE, *DERIVED_NAMES, *SIGNAL_NAMES)
 
 

@@ -52,7 +52,10 @@ def explode_dimension_join(bars: DataFrame, dimension: DataFrame, column: str, n
 
 def join_symbol_or_code(df: DataFrame, keyed: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Each symbol's row of ``keyed`` by full symbol, else by bare code."""
-    keys = df.select("symbol").distinct().select("symbol", F.posexplode(F.array("symbol", F.split_part("symbol", F.lit("."), F.lit(1)))).alias("way", "wanted"))
+    keys = df.select("symbol").distinct().select(
+        "symbol",
+        F.posexplode(F.array("symbol", F.split_part("symbol", F.lit("."), F.lit(1)))).alias("way", "wanted")
+    )
     hits = keys.join(keyed.select(F.col(key).alias("wanted"), *columns), "wanted")
     w = Window.partitionBy("symbol").orderBy("way", *columns)
     first = hits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("symbol", *columns)
@@ -86,14 +89,23 @@ def seal_overlay(day: DataFrame, depth: DataFrame) -> DataFrame:
     """Order-book seals on limit hits: ``real``, ``fake`` or ``pending``; a fake one is no limit-up any more."""
     out = day.join(depth, "symbol", "left")
     status = F.when(~F.col("signal_limit_up"), None).when(F.col("sealed_up").isNull(), "pending").when(F.col("sealed_up"), "real").otherwise("fake")
-    return out.withColumn("seal_status", status).withColumn("is_limit_up", F.col("signal_limit_up") & ~F.coalesce(F.col("seal_status") == "fake", F.lit(False)))
+    return out.withColumn("seal_status", status).withColumn(
+        "is_limit_up",
+        F.col("signal_limit_up") & ~F.coalesce(F.col("seal_status") == "fake", F.lit(False))
+    )
 
 
 def depth_seals(depth: DataFrame) -> DataFrame:
     """Seals from order-book arrays: no ask volume seals up, no bid volume seals down; empty arrays leave nulls."""
     first = lambda c: F.try_element_at(c, F.lit(1))
     ask, bid = first(F.col("ask_volumes")), first(F.col("bid_volumes"))
-    return depth.select("symbol", F.when(ask.isNotNull() & bid.isNotNull(), (ask == 0) & (bid > 0)).alias("sealed_up"), F.when(ask.isNotNull() & bid.isNotNull(), (bid == 0) & (ask > 0)).alias("sealed_down"), ask.alias("ask1_vol"), bid.alias("bid1_vol"))
+    return depth.select(
+        "symbol",
+        F.when(ask.isNotNull() & bid.isNotNull(), (ask == 0) & (bid > 0)).alias("sealed_up"),
+        F.when(ask.isNotNull() & bid.isNotNull(), (bid == 0) & (ask > 0)).alias("sealed_down"),
+        ask.alias("ask1_vol"),
+        bid.alias("bid1_vol")
+    )
 
 
 def fill_missing_names(df: DataFrame, names: DataFrame) -> DataFrame:
@@ -131,7 +143,11 @@ def benchmark_excess(curve: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = curve.join(benchmark, "date")
     ends = both.agg(*[f(c, "date").alias(f"{n}_{c}") for c in ("value", "close") for n, f in (("first", F.min_by), ("last", F.max_by))])
     total = lambda c: F.try_divide(F.col(f"last_{c}"), F.col(f"first_{c}")) - 1
-    return ends.select(total("value").alias("total_return"), total("close").alias("benchmark_return"), (total("value") - total("close")).alias("excess_return"))
+    return ends.select(
+        total("value").alias("total_return"),
+        total("close").alias("benchmark_return"),
+        (total("value") - total("close")).alias("excess_return")
+    )
 
 
 def normalize_symbol(df: DataFrame, dimension: DataFrame, code: str = "code") -> DataFrame:

@@ -19,7 +19,13 @@ def _symbol():
 
 def _rows(df: DataFrame, kind: str, values: dict[str, Column], strength: str = "medium") -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("double").alias("value")) for k, v in values.items()])
-    return df.select("symbol", F.lit(kind).alias("type"), F.explode(pairs).alias("p")).select("symbol", "type", "p.label", "p.value", F.lit(strength).alias("strength")).filter("value IS NOT NULL")
+    return df.select("symbol", F.lit(kind).alias("type"), F.explode(pairs).alias("p")).select(
+        "symbol",
+        "type",
+        "p.label",
+        "p.value",
+        F.lit(strength).alias("strength")
+    ).filter("value IS NOT NULL")
 
 
 def from_end(bars: DataFrame, most: int | None = None) -> DataFrame:
@@ -41,7 +47,11 @@ def sided(levels: DataFrame, bars: DataFrame) -> DataFrame:
 def pivots(bars: DataFrame) -> DataFrame:
     h, low, c = F.col("high"), F.col("low"), F.col("close")
     p = (h + low + c) / 3
-    return _rows(last_bars(bars), "pivot", {"P": p, "R1": 2 * p - low, "S1": 2 * p - h, "R2": p + (h - low), "S2": p - (h - low), "R3": h + 2 * (p - low), "S3": low - 2 * (h - p)})
+    return _rows(
+        last_bars(bars),
+        "pivot",
+        {"P": p, "R1": 2 * p - low, "S1": 2 * p - h, "R2": p + (h - low), "S2": p - (h - low), "R3": h + 2 * (p - low), "S3": low - 2 * (h - p)}
+    )
 
 
 def extremes(bars: DataFrame) -> DataFrame:
@@ -55,8 +65,19 @@ def swing_points(bars: DataFrame, reach: int = 5) -> DataFrame:
     """Bars that are the highest (lowest) of the ``reach`` on either side, both sides being there."""
     w = _symbol().orderBy("date").rowsBetween(-reach, reach)
     whole = F.count(F.lit(1)).over(w) == 2 * reach + 1
-    out = bars.select("symbol", "date", F.when(whole & (F.col("high") == F.max("high").over(w)), F.col("high")).alias("top"), F.when(whole & (F.col("low") == F.min("low").over(w)), F.col("low")).alias("bottom"))
-    pick = lambda c: out.filter(F.col(c).isNotNull()).select("symbol", F.lit("swing").alias("type"), F.lit(c).alias("label"), F.col(c).alias("value"), F.lit("medium").alias("strength"))
+    out = bars.select(
+        "symbol",
+        "date",
+        F.when(whole & (F.col("high") == F.max("high").over(w)), F.col("high")).alias("top"),
+        F.when(whole & (F.col("low") == F.min("low").over(w)), F.col("low")).alias("bottom")
+    )
+    pick = lambda c: out.filter(F.col(c).isNotNull()).select(
+        "symbol",
+        F.lit("swing").alias("type"),
+        F.lit(c).alias("label"),
+        F.col(c).alias("value"),
+        F.lit("medium").alias("strength")
+    )
     return pick("top").unionByName(pick("bottom"))
 
 
@@ -64,7 +85,10 @@ def merge_close(levels: DataFrame, tolerance: float) -> DataFrame:
     """Levels of a symbol and type whose rising chain has steps within the tolerance become one, the largest."""
     w = Window.partitionBy("symbol", "type", "label").orderBy("value")
     starts = F.coalesce(F.col("value") > F.lag("value").over(w) * (1 + tolerance), F.lit(True)).cast("int")
-    return levels.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(w)).groupBy("symbol", "type", "label", "_run").agg(F.max("value").alias("value"), F.max("strength").alias("strength")).drop("_run")
+    return levels.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(w)).groupBy("symbol", "type", "label", "_run").agg(
+        F.max("value").alias("value"),
+        F.max("strength").alias("strength")
+    ).drop("_run")
 
 
 def nearest(levels: DataFrame, bars: DataFrame, k: int) -> DataFrame:
@@ -87,7 +111,16 @@ def keltner(df: DataFrame) -> DataFrame:
     """Three Keltner channels; needs ``atr_14``."""
     out = last_bars(df.withColumns({f"_ma{n}": full(n, F.avg, "close") for n in (20, 60, 120)}))
     a = F.col("atr_14")
-    return _rows(out, "keltner", {f"{name}_{side}": F.col(f"_ma{n}") + sign * k * a for name, n, k in (("short", 20, 2.0), ("mid", 60, 2.5), ("long", 120, 3.0)) for side, sign in (("upper", 1), ("lower", -1))})
+    return _rows(
+        out,
+        "keltner",
+        {
+            f"{name}_{side}": F.col(f"_ma{n}") + sign * k * a for name,
+            n,
+            k in (("short", 20, 2.0), ("mid", 60, 2.5), ("long", 120, 3.0)) for side,
+            sign in (("upper", 1), ("lower", -1))
+        }
+    )
 
 
 def atr_bands(df: DataFrame) -> DataFrame:
@@ -100,10 +133,24 @@ def open_gaps(bars: DataFrame, most: int = 120) -> DataFrame:
     rows = from_end(bars.withColumns({"_high": lag("high"), "_low": lag("low")}), most)
     up, down = F.col("low") > F.col("_high"), F.col("high") < F.col("_low")
     low, high = F.when(up, F.col("_high")).when(down, F.col("high")), F.when(up, F.col("low")).when(down, F.col("_low"))
-    rows = rows.select("symbol", "date", "back", F.when(up, "up").when(down, "down").alias("label"), low.alias("lo"), high.alias("hi")).filter("label IS NOT NULL")
+    rows = rows.select(
+        "symbol",
+        "date",
+        "back",
+        F.when(up, "up").when(down, "down").alias("label"),
+        low.alias("lo"),
+        high.alias("hi")
+    ).filter("label IS NOT NULL")
     after = from_end(bars, most).select("symbol", F.col("back").alias("b"), F.col("low").alias("l"), F.col("high").alias("h"))
     filled = rows.join(after, "symbol").filter("b < back AND l <= hi AND h >= lo").select("symbol", "date").distinct()
-    return rows.join(filled, ["symbol", "date"], "left_anti").select("symbol", F.lit("gap").alias("type"), "label", ((F.col("lo") + F.col("hi")) / 2).alias("value"), F.lit("medium").alias("strength"), "date")
+    return rows.join(filled, ["symbol", "date"], "left_anti").select(
+        "symbol",
+        F.lit("gap").alias("type"),
+        "label",
+        ((F.col("lo") + F.col("hi")) / 2).alias("value"),
+        F.lit("medium").alias("strength"),
+        "date"
+    )
 
 
 def gaps(bars: DataFrame, k: int = 3) -> DataFrame:
@@ -113,7 +160,12 @@ def gaps(bars: DataFrame, k: int = 3) -> DataFrame:
 def fibonacci(bars: DataFrame, most: int = 120) -> DataFrame:
     """Five ratios on the swing of the last ``most`` bars, down from the high if it came later, else up from the low."""
     tail = from_end(bars, most)
-    ends = tail.groupBy("symbol").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.max_by("back", F.struct("high", "back")).alias("hb"), F.min_by("back", F.struct("low", -F.col("back"))).alias("lb"))
+    ends = tail.groupBy("symbol").agg(
+        F.max("high").alias("h"),
+        F.min("low").alias("l"),
+        F.max_by("back", F.struct("high", "back")).alias("hb"),
+        F.min_by("back", F.struct("low", -F.col("back"))).alias("lb")
+    )
     h, low = F.col("h"), F.col("l")
     level = lambda r: F.when(F.col("hb") < F.col("lb"), h - (h - low) * r).otherwise(low + (h - low) * r)
     return _rows(ends.filter("h > l"), "fibonacci", {str(r): level(r) for r in FIBONACCI})
@@ -130,7 +182,13 @@ def round_numbers(bars: DataFrame, k: int = 8) -> DataFrame:
     rows = last.filter(first <= end).withColumn("m", F.explode(F.sequence(first, end))).withColumn("value", F.col("m") * F.col("step"))
     away = F.abs(F.col("value") - F.col("close"))
     near = rows.withColumn("rank", F.row_number().over(_symbol().orderBy(away, "value"))).filter(F.col("rank") <= k)
-    return near.filter(away / F.col("close") > 0.01).select("symbol", F.lit("round").alias("type"), F.format_number("value", 2).alias("label"), "value", F.lit("weak").alias("strength"))
+    return near.filter(away / F.col("close") > 0.01).select(
+        "symbol",
+        F.lit("round").alias("type"),
+        F.format_number("value", 2).alias("label"),
+        "value",
+        F.lit("weak").alias("strength")
+    )
 
 
 def chip_distribution(bars: DataFrame, bins: int = 40, least: int = 20) -> DataFrame:
@@ -141,16 +199,28 @@ def chip_distribution(bars: DataFrame, bins: int = 40, least: int = 20) -> DataF
     is left.
     """
     whole = _symbol()
-    rows = bars.withColumns({"_hi": F.max("high").over(whole), "_lo": F.min("low").over(whole), "_n": F.count(F.lit(1)).over(whole)}).filter(f"_n >= {int(least)} AND _hi > _lo AND _lo > 0")
+    rows = bars.withColumns(
+        {"_hi": F.max("high").over(whole), "_lo": F.min("low").over(whole), "_n": F.count(F.lit(1)).over(whole)}
+    ).filter(f"_n >= {int(least)} AND _hi > _lo AND _lo > 0")
     t = F.least(F.greatest(F.coalesce("turnover_rate", F.lit(0.0)), F.lit(0.0)), F.lit(100.0)) / 100
     later = whole.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_t", t).withColumns({"_log": F.sum(F.when(F.col("_t") < 1, F.log1p(-F.col("_t"))).otherwise(0.0)).over(later), "_reset": F.max((F.col("_t") >= 1).cast("int")).over(later)})
+    rows = rows.withColumn("_t", t).withColumns(
+        {
+            "_log": F.sum(F.when(F.col("_t") < 1, F.log1p(-F.col("_t"))).otherwise(0.0)).over(later),
+            "_reset": F.max((F.col("_t") >= 1).cast("int")).over(later)
+        }
+    )
     step = (F.col("_hi") - F.col("_lo")) / bins
     place = lambda c: F.least(F.floor((F.col(c) - F.col("_lo")) / step), F.lit(bins - 1)).cast("int")
     rows = rows.filter("coalesce(_reset, 0) = 0 AND volume > 0").withColumns({"_a": place("low"), "_b": place("high"), "_step": step})
     share = F.col("volume") / (F.col("_b") - F.col("_a") + 1) * F.exp(F.coalesce("_log", F.lit(0.0)))
     spread = rows.select("symbol", F.explode(F.sequence("_a", "_b")).alias("bin"), share.alias("chips"), "_lo", "_step")
-    return spread.groupBy("symbol", "bin").agg(F.sum("chips").alias("chips"), F.first("_lo").alias("_lo"), F.first("_step").alias("_step")).select("symbol", "bin", (F.col("_lo") + (F.col("bin") + 0.5) * F.col("_step")).alias("mid"), "chips").filter("chips > 0")
+    return spread.groupBy("symbol", "bin").agg(F.sum("chips").alias("chips"), F.first("_lo").alias("_lo"), F.first("_step").alias("_step")).select(
+        "symbol",
+        "bin",
+        (F.col("_lo") + (F.col("bin") + 0.5) * F.col("_step")).alias("mid"),
+        "chips"
+    ).filter("chips > 0")
 
 
 def chip_levels(bars: DataFrame, bins: int = 40) -> DataFrame:
@@ -158,7 +228,13 @@ def chip_levels(bars: DataFrame, bins: int = 40) -> DataFrame:
     chips = chip_distribution(bars, bins)
     rows = chips.withColumns({"rank": F.row_number().over(_symbol().orderBy(F.col("chips").desc(), "bin")), "mean": F.avg("chips").over(_symbol())})
     picked = rows.filter("rank = 1 OR (rank <= 3 AND chips > mean)")
-    return picked.select("symbol", F.lit("chips").alias("type"), F.when(F.col("rank") == 1, "POC").otherwise("dense").alias("label"), F.round("mid", 2).alias("value"), F.when(F.col("rank") == 1, "strong").otherwise("medium").alias("strength"))
+    return picked.select(
+        "symbol",
+        F.lit("chips").alias("type"),
+        F.when(F.col("rank") == 1, "POC").otherwise("dense").alias("label"),
+        F.round("mid", 2).alias("value"),
+        F.when(F.col("rank") == 1, "strong").otherwise("medium").alias("strength")
+    )
 
 
 def all_levels(df: DataFrame) -> DataFrame:

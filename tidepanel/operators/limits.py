@@ -48,7 +48,9 @@ def adjust_prices(bars: DataFrame, factors: DataFrame) -> DataFrame:
     out = out.join(total, "symbol", "left")
     ratio = F.col("_cum") / F.coalesce("total", F.lit(1.0))
     raw = {f"raw_{c}": F.col(c) for c in ("close", "high", "low")}
-    return out.withColumns(raw | {"adj_ratio": ratio}).withColumns({c: F.col(c) * F.col("adj_ratio") for c in ("open", "high", "low", "close")}).drop("f", "_cum", "_bar", "total")
+    return out.withColumns(raw | {"adj_ratio": ratio}).withColumns(
+        {c: F.col(c) * F.col("adj_ratio") for c in ("open", "high", "low", "close")}
+    ).drop("f", "_cum", "_bar", "total")
 
 
 def with_limits(df: DataFrame, use_dimension: bool = True, newest: DataFrame | None = None) -> DataFrame:
@@ -60,13 +62,18 @@ def with_limits(df: DataFrame, use_dimension: bool = True, newest: DataFrame | N
     moved = F.abs(F.col("adj_ratio") - lag("adj_ratio")) > 1e-6
     out = df.withColumn("prev_ref_close", F.when(moved, lag("close")).otherwise(lag("raw_close")))
     share = F.round(limit_pct(F.col("symbol"), F.col("name")) * 100).cast("int")
-    out = out.withColumns({"limit_up": limit_price(F.col("prev_ref_close"), share + 100), "limit_down": limit_price(F.col("prev_ref_close"), F.lit(100) - share)})
+    out = out.withColumns(
+        {"limit_up": limit_price(F.col("prev_ref_close"), share + 100), "limit_down": limit_price(F.col("prev_ref_close"), F.lit(100) - share)}
+    )
     if use_dimension and {"dim_limit_up", "dim_limit_down"} <= set(df.columns):
         newest = df.agg(F.max("date")) if newest is None else newest
         out = out.join(F.broadcast(newest.toDF("_newest")))  # one row
         for side in ("up", "down"):
             given = F.col(f"dim_limit_{side}")
-            out = out.withColumn(f"limit_{side}", F.when((F.col("date") == F.col("_newest")) & given.isNotNull() & (given < 10000), given).otherwise(F.col(f"limit_{side}")))
+            out = out.withColumn(
+                f"limit_{side}",
+                F.when((F.col("date") == F.col("_newest")) & given.isNotNull() & (given < 10000), given).otherwise(F.col(f"limit_{side}"))
+            )
         out = out.drop("_newest")
     up, down = F.col("limit_up"), F.col("limit_down")
     at_up, at_down = F.col("raw_close") >= up - 0.005, F.col("raw_close") <= down + 0.005

@@ -40,7 +40,11 @@ def rotation_signals(means: DataFrame, days: int, top: int = 3, dates: DataFrame
     On a date without it a label has the rank ``ABSENT`` and a mean of 0; these are
     added to the sums, so no row is made for them.
     """
-    span = last_dates(means if dates is None else dates, days).agg(F.count(F.lit(1)).alias("days"), F.min("date").alias("_first"), F.max("date").alias("_last"))
+    span = last_dates(means if dates is None else dates, days).agg(
+        F.count(F.lit(1)).alias("days"),
+        F.min("date").alias("_first"),
+        F.max("date").alias("_last")
+    )
     ranked = rotation_ranks(means, days, dates).join(F.broadcast(span))  # one row
     r, n = F.col("rank").cast("double"), F.col("days")
     at = lambda day: F.coalesce(F.max(F.when(F.col("date") == F.col(day), F.col("rank"))), F.lit(ABSENT))
@@ -57,7 +61,18 @@ def rotation_signals(means: DataFrame, days: int, top: int = 3, dates: DataFrame
     out = sums.withColumns({"mean_rank": mean, "rank_std": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))})
     gain = F.col("first_rank") - F.col("last_rank")
     kind = F.when(F.col("top_days") * 2 >= n, "persistent").when(gain >= top, "rising").when(gain <= -top, "fading").when(F.col("rank_std") <= 1.5, "stable").otherwise("volatile")
-    return out.withColumns({"gain": gain, "signal": kind}).select("label", "mean_rank", "first_rank", "last_rank", "rank_std", "top_days", "mean_pct", "days", "gain", "signal")
+    return out.withColumns({"gain": gain, "signal": kind}).select(
+        "label",
+        "mean_rank",
+        "first_rank",
+        "last_rank",
+        "rank_std",
+        "top_days",
+        "mean_pct",
+        "days",
+        "gain",
+        "signal"
+    )
 
 
 def concept_heat(rows: DataFrame) -> DataFrame:

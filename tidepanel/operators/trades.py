@@ -19,12 +19,29 @@ from .filters import in_window, one_price_limit_flag, tradable_flag
 from .joins import delay_signal, entry_exit_range_join, forward_return, numbered
 
 MOST_COMBINATIONS = 2000
-OBJECTIVES = ("total_return", "annual_return", "sharpe", "sortino", "calmar", "max_drawdown", "win_rate", "profit_factor", "avg_pnl", "median_pnl", "best", "worst", "n_trades", "avg_duration")
+OBJECTIVES = (
+    "total_return",
+    "annual_return",
+    "sharpe",
+    "sortino",
+    "calmar",
+    "max_drawdown",
+    "win_rate",
+    "profit_factor",
+    "avg_pnl",
+    "median_pnl",
+    "best",
+    "worst",
+    "n_trades",
+    "avg_duration"
+)
 
 
 def prepared(panel: DataFrame) -> DataFrame:
     """The panel with bar numbers, previous bar's state and the flags that block buying and selling."""
-    out = panel.withColumns({"_tradable": tradable_flag(), "_stuck_up": one_price_limit_flag("signal_limit_up"), "_stuck_down": one_price_limit_flag("signal_limit_down")})
+    out = panel.withColumns(
+        {"_tradable": tradable_flag(), "_stuck_up": one_price_limit_flag("signal_limit_up"), "_stuck_down": one_price_limit_flag("signal_limit_down")}
+    )
     return numbered(out).withColumn("last_n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
 
 
@@ -33,14 +50,19 @@ def candidate_entries(panel: DataFrame, start, end, fill: str = "close", delay:
     moved = delay_signal(panel, "entry", delay) if delay else panel.withColumns({"entry_delayed": F.col("entry"), "entry_source_date": F.col("date")})
     w = Window.partitionBy("symbol").orderBy("date")
     if fill == "next_open":
-        moved = moved.withColumns({"entry_delayed": F.coalesce(F.lag("entry_delayed").over(w), F.lit(False)), "entry_source_date": F.lag("entry_source_date").over(w)})
+        moved = moved.withColumns(
+            {"entry_delayed": F.coalesce(F.lag("entry_delayed").over(w), F.lit(False)), "entry_source_date": F.lag("entry_source_date").over(w)}
+        )
     price = F.col("open") if fill == "next_open" else F.col("close")
     return moved.filter(F.col("entry_delayed") & in_window(start, end)).withColumn("entry_price", price)
 
 
 def guard_reason(score_min: float | None = None, score_max: float | None = None) -> Column:
     """Why an entry is refused, or null."""
-    out = F.when(~F.col("_tradable"), "suspended").when(~F.coalesce(F.col("entry_price") > 0, F.lit(False)), "bad_price").when(F.col("_stuck_up"), "limit_up")
+    out = F.when(~F.col("_tradable"), "suspended").when(
+        ~F.coalesce(F.col("entry_price") > 0, F.lit(False)),
+        "bad_price"
+    ).when(F.col("_stuck_up"), "limit_up")
     score = F.coalesce("score", F.lit(0.0))
     low = score < score_min if score_min is not None else F.lit(False)
     return out.when(low | (score > score_max if score_max is not None else F.lit(False)), "score")
@@ -52,7 +74,15 @@ def entry_guards(entries: DataFrame, score_min=None, score_max=None) -> tuple[Da
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_exits(entries: DataFrame, panel: DataFrame, hold: int, stop: float = -0.06, take: float | None = None, trail: float | None = None, trail_start: float = 0.0) -> DataFrame:
+def label_exits(
+    entries: DataFrame,
+    panel: DataFrame,
+    hold: int,
+    stop: float = -0.06,
+    take: float | None = None,
+    trail: float | None = None,
+    trail_start: float = 0.0
+) -> DataFrame:
     """Each entry's exit: bar, reason and price.
 
     On each later bar, in this order: the highest of stop and trailing line (at the open
@@ -79,8 +109,24 @@ def label_exits(entries: DataFrame, panel: DataFrame, hold: int, stop: float = -
         reason, price = reason.when(F.col("high") >= goal, "take_profit"), price.when(F.col("high") >= goal, F.greatest(F.col("open"), goal))
     held = F.col("n") - F.col("entry_n")
     reason = reason.when(F.col("exit"), "signal").when(held >= hold, "max_hold").when(F.col("n") == F.col("last_n"), "end")
-    rows = rows.withColumn("reason", reason).withColumn("price", F.coalesce(F.when(F.col("reason").isin("stop", "take_profit"), price), F.col("close"))).filter("reason IS NOT NULL")
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct("entry_date", "entry_price", "reason", "price", F.col("date").alias("exit_date"), F.col("n").alias("exit_n"), (F.col("_tradable") & ~F.col("_stuck_down")).alias("sellable")), "n").alias("x"))
+    rows = rows.withColumn("reason", reason).withColumn(
+        "price",
+        F.coalesce(F.when(F.col("reason").isin("stop", "take_profit"), price), F.col("close"))
+    ).filter("reason IS NOT NULL")
+    first = rows.groupBy(*keys).agg(
+        F.min_by(
+            F.struct(
+                "entry_date",
+                "entry_price",
+                "reason",
+                "price",
+                F.col("date").alias("exit_date"),
+                F.col("n").alias("exit_n"),
+                (F.col("_tradable") & ~F.col("_stuck_down")).alias("sellable")
+            ),
+            "n"
+        ).alias("x")
+    )
     return first.select(*keys, "x.*")
 
 
@@ -94,7 +140,17 @@ def defer_blocked(exits: DataFrame, panel: DataFrame) -> DataFrame:
     found = panel.select("symbol", F.col("n").alias("exit_n"), F.last(sell, ignorenulls=True).over(w).alias("m"))
     out = exits.join(found, ["symbol", "exit_n"], "left")
     late = ~F.col("sellable") & F.col("m").isNotNull()
-    return out.select("symbol", "entry_n", "entry_date", "entry_price", "reason", F.when(late, F.col("m._close")).otherwise(F.col("price")).alias("exit_price"), F.when(late, F.col("m._date")).otherwise(F.col("exit_date")).alias("exit_date"), F.when(late, F.col("m.n")).otherwise(F.col("exit_n")).alias("exit_n"), F.when(late, F.col("m.n") - F.col("exit_n")).otherwise(0).cast("int").alias("blocked_days"))
+    return out.select(
+        "symbol",
+        "entry_n",
+        "entry_date",
+        "entry_price",
+        "reason",
+        F.when(late, F.col("m._close")).otherwise(F.col("price")).alias("exit_price"),
+        F.when(late, F.col("m._date")).otherwise(F.col("exit_date")).alias("exit_date"),
+        F.when(late, F.col("m.n")).otherwise(F.col("exit_n")).alias("exit_n"),
+        F.when(late, F.col("m.n") - F.col("exit_n")).otherwise(0).cast("int").alias("blocked_days")
+    )
 
 
 def trade_costs(trades: DataFrame, commission: float = 0.0003, slippage: float = 0.0005, stamp: float = 0.0005) -> DataFrame:
@@ -111,11 +167,20 @@ def label_trades(panel: DataFrame, start, end, hold: int, stop: float, fill: str
 
 def minute_fill_price(orders: DataFrame, minutes: DataFrame) -> DataFrame:
     """Fill of a line (``line``, ``side`` buy or sell) in minute bars: the open if it gaps past the line, the line if it is crossed, else the last close; without minutes the daily price."""
-    m = minutes.withColumn("date", F.to_date("datetime")).groupBy("symbol", "date").agg(F.min_by("open", "datetime").alias("m_open"), F.max_by("close", "datetime").alias("m_close"), F.max("high").alias("m_high"), F.min("low").alias("m_low"), F.try_divide(F.sum("amount"), F.sum("volume").cast("double")).alias("m_vwap"))
+    m = minutes.withColumn("date", F.to_date("datetime")).groupBy("symbol", "date").agg(
+        F.min_by("open", "datetime").alias("m_open"),
+        F.max_by("close", "datetime").alias("m_close"),
+        F.max("high").alias("m_high"),
+        F.min("low").alias("m_low"),
+        F.try_divide(F.sum("amount"), F.sum("volume").cast("double")).alias("m_vwap")
+    )
     buy, line = F.col("side") == "buy", F.col("line")
     gap = F.when(buy, F.col("m_open") >= line).otherwise(F.col("m_open") <= line)
     crossed = F.when(buy, F.col("m_high") >= line).otherwise(F.col("m_low") <= line)
-    price = F.when(F.col("m_open").isNull(), F.col("daily_price")).when(line.isNull(), F.coalesce("m_vwap", "m_close")).when(gap, F.col("m_open")).when(crossed, line).otherwise(F.col("m_close"))
+    price = F.when(
+        F.col("m_open").isNull(),
+        F.col("daily_price")
+    ).when(line.isNull(), F.coalesce("m_vwap", "m_close")).when(gap, F.col("m_open")).when(crossed, line).otherwise(F.col("m_close"))
     return orders.join(m, ["symbol", "date"], "left").withColumn("fill_price", price)
 
 
@@ -154,7 +219,13 @@ def curve_stats(curve: DataFrame, keys: tuple[str, ...] = (), value: str = "equi
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("date")
     peak = F.greatest(F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-    steps = curve.select(*keys, "date", F.col(value).alias("v"), (F.col(value) / peak - 1).alias("dd"), (F.try_divide(F.col(value), F.coalesce(F.lag(value).over(w), F.lit(1.0))) - 1).alias("r"))
+    steps = curve.select(
+        *keys,
+        "date",
+        F.col(value).alias("v"),
+        (F.col(value) / peak - 1).alias("dd"),
+        (F.try_divide(F.col(value), F.coalesce(F.lag(value).over(w), F.lit(1.0))) - 1).alias("r")
+    )
     r, year = F.col("r"), math.sqrt(252)
     out = steps.groupBy(*keys).agg(
         (F.max_by("v", "date") - 1).alias("total_return"),
@@ -169,7 +240,13 @@ def curve_stats(curve: DataFrame, keys: tuple[str, ...] = (), value: str = "equi
 
 def per_symbol_stats(trades: DataFrame) -> DataFrame:
     r = F.greatest(F.col("pnl_pct"), F.lit(-0.9999))
-    return trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), (F.count_if(r > 0) / F.count(F.lit(1))).alias("win_rate"), F.max("pnl_pct").alias("best"), F.min("pnl_pct").alias("worst"))
+    return trades.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"),
+        (F.count_if(r > 0) / F.count(F.lit(1))).alias("win_rate"),
+        F.max("pnl_pct").alias("best"),
+        F.min("pnl_pct").alias("worst")
+    )
 
 
 def return_histogram(trades: DataFrame, bins: int = 20, reach: float = 0.2) -> DataFrame:
@@ -189,13 +266,28 @@ def bootstrap_drawdown(trades: DataFrame, simulations: int = 200, seed: int = 42
     simulations = min(simulations, 1000)
     own = Window.partitionBy("symbol").orderBy("entry_date", "exit_date")
     before = Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).select("symbol", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("n"))
-    rows = trades.select("symbol", F.greatest("pnl_pct", F.lit(-0.9999)).alias("r"), F.row_number().over(own).alias("k")).join(firsts, "symbol").select("r", (F.col("k") + F.col("first")).alias("k"), "n")
+    firsts = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).select(
+        "symbol",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"),
+        F.sum("n").over(Window.partitionBy()).alias("n")
+    )
+    rows = trades.select(
+        "symbol",
+        F.greatest("pnl_pct", F.lit(-0.9999)).alias("r"),
+        F.row_number().over(own).alias("k")
+    ).join(firsts, "symbol").select("r", (F.col("k") + F.col("first")).alias("k"), "n")
     digest = F.substring(F.md5(F.concat_ws("-", F.lit(seed), "sim", "k").cast("binary")), 1, 8)
-    draws = rows.filter("n >= 3").select("k", "n", F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim")).withColumn("pick", F.conv(digest, 16, 10).cast("bigint") % F.col("n") + 1)
+    draws = rows.filter("n >= 3").select(
+        "k",
+        "n",
+        F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim")
+    ).withColumn("pick", F.conv(digest, 16, 10).cast("bigint") % F.col("n") + 1)
     drawn = draws.join(rows.select(F.col("k").alias("pick"), "r"), "pick")
     by = Window.partitionBy("sim").orderBy("k")
-    nav = drawn.withColumn("nav", compound(F.col("r"), by)).withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1)
+    nav = drawn.withColumn("nav", compound(F.col("r"), by)).withColumn(
+        "dd",
+        F.col("nav") / F.greatest(F.max("nav").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1
+    )
     worst = nav.groupBy("sim").agg(F.min(F.least("dd", F.lit(0.0))).alias("dd"))
     return worst.agg(F.percentile("dd", 0.5).alias("p50"), F.percentile("dd", 0.05).alias("p95"))
 
@@ -244,7 +336,10 @@ def grid_frame(spark: SparkSession, grid: dict) -> DataFrame:
     """The combinations as rows with a ``trial_id``."""
     combos = param_grid(grid)
     names = list(grid)
-    return spark.createDataFrame([(k, *[float(c[n]) for n in names]) for k, c in enumerate(combos)], "trial_id int, " + ", ".join(f"{n} double" for n in names))
+    return spark.createDataFrame(
+        [(k, *[float(c[n]) for n in names]) for k, c in enumerate(combos)],
+        "trial_id int, " + ", ".join(f"{n} double" for n in names)
+    )
 
 
 def sweep(panel: DataFrame, trials: DataFrame, start, end, most_hold: int, fold: str | None = None) -> DataFrame:
@@ -259,9 +354,19 @@ def sweep(panel: DataFrame, trials: DataFrame, start, end, most_hold: int, fold:
     rows = entry_exit_range_join(left, bars, most_hold).join(F.broadcast(trials), how="cross").filter("n <= entry_n + hold")
     line = F.col("entry_price") * (1 + F.col("stop"))
     hit = F.col("low") <= line
-    reason = F.when(hit, "stop").when(F.col("exit"), "signal").when(F.col("n") - F.col("entry_n") >= F.col("hold"), "max_hold").when(F.col("n") == F.col("last_n"), "end")
-    rows = rows.withColumns({"reason": reason, "exit_price": F.when(hit, F.least("open", line)).otherwise(F.col("close"))}).filter("reason IS NOT NULL")
-    picked = rows.groupBy("trial_id", "symbol", "entry_n").agg(F.min_by(F.struct("entry_date", "entry_price", "reason", "exit_price", F.col("date").alias("exit_date"), F.col("n").alias("exit_n")), "n").alias("x"))
+    reason = F.when(hit, "stop").when(F.col("exit"), "signal").when(
+        F.col("n") - F.col("entry_n") >= F.col("hold"),
+        "max_hold"
+    ).when(F.col("n") == F.col("last_n"), "end")
+    rows = rows.withColumns(
+        {"reason": reason, "exit_price": F.when(hit, F.least("open", line)).otherwise(F.col("close"))}
+    ).filter("reason IS NOT NULL")
+    picked = rows.groupBy("trial_id", "symbol", "entry_n").agg(
+        F.min_by(
+            F.struct("entry_date", "entry_price", "reason", "exit_price", F.col("date").alias("exit_date"), F.col("n").alias("exit_n")),
+            "n"
+        ).alias("x")
+    )
     return trade_costs(picked.select("trial_id", "symbol", "entry_n", "x.*"))
 
 
@@ -280,7 +385,10 @@ def trial_stats(trades: DataFrame, objective: str, keys: tuple[str, ...]) -> Dat
 def rank_trials(trades: DataFrame, objective: str = "avg_pnl", keys: tuple[str, ...] = ("trial_id",)) -> DataFrame:
     """Trials in order of an objective (to nine digits, so that sums in another order don't part equal trials), nulls last."""
     stats = trial_stats(trades, objective, keys)
-    return stats.withColumn("rank", F.row_number().over(Window.partitionBy(*[k for k in keys if k != "trial_id"]).orderBy(F.round(objective, 9).desc_nulls_last(), "trial_id")))
+    return stats.withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy(*[k for k in keys if k != "trial_id"]).orderBy(F.round(objective, 9).desc_nulls_last(), "trial_id"))
+    )
 
 
 def walkforward_folds(start: date, end: date, train_days: int, test_days: int, step_days: int) -> list[tuple[int, date, date, date, date]]:
@@ -311,5 +419,13 @@ def walkforward(trades: DataFrame, folds: DataFrame, objective: str = "avg_pnl")
     tagged = trades.join(f, within("train") | within("test")).withColumn("tested", within("test"))
     stats = trial_stats(tagged, objective, ("fold", "tested", "trial_id"))
     order = Window.partitionBy("fold").orderBy(F.round(objective, 9).desc_nulls_last(), "trial_id")
-    best = stats.filter("NOT tested").withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("fold", "trial_id", F.col(objective).alias("train_value"))
-    return best.join(stats.filter("tested").drop("tested"), ["fold", "trial_id"], "left").withColumn("degradation", F.col(objective) - F.col("train_value"))
+    best = stats.filter("NOT tested").withColumn("rank", F.row_number().over(order)).filter("rank = 1").select(
+        "fold",
+        "trial_id",
+        F.col(objective).alias("train_value")
+    )
+    return best.join(
+        stats.filter("tested").drop("tested"),
+        ["fold", "trial_id"],
+        "left"
+    ).withColumn("degradation", F.col(objective) - F.col("train_value"))

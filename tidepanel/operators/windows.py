@@ -33,7 +33,14 @@ def full(n: int, agg, column: str | Column) -> Column:
 
 def rolling(column: str, n: int, kind: str, ddof: int = 1, q: float = 0.5) -> Column:
     """Strict rolling ``sum``, ``mean``, ``min``, ``max``, ``std`` or ``quantile``."""
-    aggs = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp if ddof else F.stddev_pop, "quantile": lambda c: F.percentile(c, q)}
+    aggs = {
+        "sum": F.sum,
+        "mean": F.avg,
+        "min": F.min,
+        "max": F.max,
+        "std": F.stddev_samp if ddof else F.stddev_pop,
+        "quantile": lambda c: F.percentile(c, q)
+    }
     return full(n, aggs[kind], column)
 
 

@@ -49,7 +49,15 @@ def _bars_of(rows: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("date"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), price.alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("value"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_suppkey",
+        "l_partkey",
+        F.to_date("l_shipdate").alias("date"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        price.alias("price"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("value")
+    )
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,19 +101,40 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").filter(key % 3 == 0).select(symbol_of(key).alias("symbol"), key.alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
-    return rows.select("symbol", F.date_add(F.lit("1996-01-01").cast("date"), ((F.col("k") * 37) % 800 + F.col("n") * 700).cast("int")).alias("trade_date"), (1.0 + (F.col("k") % 5) * 0.1 + F.col("n") * 0.25).alias("ex_factor"))
+    rows = table(spark, sf_dir, "supplier").filter(key % 3 == 0).select(
+        symbol_of(key).alias("symbol"),
+        key.alias("k"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("n")
+    )
+    return rows.select(
+        "symbol",
+        F.date_add(F.lit("1996-01-01").cast("date"), ((F.col("k") * 37) % 800 + F.col("n") * 700).cast("int")).alias("trade_date"),
+        (1.0 + (F.col("k") % 5) * 0.1 + F.col("n") * 0.25).alias("ex_factor")
+    )
 
 
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("datetime"), F.struct("ts", "event_id").alias("seq"), "value")
-    return e.groupBy("symbol", "datetime").agg(F.min_by("value", "seq").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "seq").alias("close"), F.count(F.lit(1)).alias("volume"), F.sum("value").alias("amount"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"),
+        F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("datetime"),
+        F.struct("ts", "event_id").alias("seq"),
+        "value"
+    )
+    return e.groupBy("symbol", "datetime").agg(
+        F.min_by("value", "seq").alias("open"),
+        F.max("value").alias("high"),
+        F.min("value").alias("low"),
+        F.max_by("value", "seq").alias("close"),
+        F.count(F.lit(1)).alias("volume"),
+        F.sum("value").alias("amount")
+    )
 
 
 _BAR_SQL = "arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(quantity) AS volume, sum(value) AS amount"
 #: Common table expressions with the same names and columns.
 CTE = {
-    "lines": "lines AS (SELECT l_suppkey, l_partkey, l_shipdate::DATE AS date, l_orderkey * 10 + l_linenumber AS seq, l_extendedprice / l_quantity AS price, l_quantity AS quantity, l_extendedprice AS value FROM lineitem)",
+    "lines": "lines AS (SELECT l_suppkey, l_partkey, l_shipdate::DATE AS date, l_orderkey * 10 + l_linenumber AS seq, l_extendedprice "
+    "/ l_quantity AS price, l_quantity AS quantity, l_extendedprice AS value FROM lineitem)",
     "bars": f"bars AS (SELECT {_symbol_sql('l_suppkey')} AS symbol, date, {_BAR_SQL} FROM lines GROUP BY 1, 2)",
     "brand_bars": f"brand_bars AS (SELECT p_brand AS symbol, date, {_BAR_SQL} FROM lines JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)",
     "instruments": f"""instruments AS (SELECT {_symbol_sql('s_suppkey')} AS symbol, CASE WHEN s_suppkey % 13 = 0 THEN 'ST ' || s_name ELSE s_name END AS name,
@@ -116,7 +145,9 @@ CTE = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "factors": f"""factors AS (SELECT {_symbol_sql('s_suppkey')} AS symbol, DATE '1996-01-01' + ((s_suppkey * 37) % 800 + n * 700)::INTEGER AS trade_date,
         1.0::DOUBLE + (s_suppkey % 5) * 0.1::DOUBLE + n * 0.25::DOUBLE AS ex_factor FROM supplier, (VALUES (0), (1)) t(n) WHERE s_suppkey % 3 = 0)""",
-    "minutes": "minutes AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS datetime, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, sum(value) AS amount FROM events GROUP BY 1, 2)",
+    "minutes": "minutes AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS datetime, arg_min(value, (ts, event_id)) AS open, "
+    "max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, sum(value) AS amount "
+    "FROM events GROUP BY 1, 2)",
 }
 _NEEDS = {"bars": ("lines",), "brand_bars": ("lines",)}
 

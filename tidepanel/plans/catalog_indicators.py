@@ -69,7 +69,10 @@ SIGNAL_SQL = {
     "signal_volume_surge": "vol_ratio_5d >= 2.0",
 }
 #: ``ind1``: window columns; ``ind``: derived ones and everything of ``ind1``.
-IND = f"ind1 AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in WINDOW_SQL.items())} FROM bars),\nind AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in DERIVED_SQL.items())} FROM ind1)"
+IND = (
+    f"ind1 AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in WINDOW_SQL.items())} FROM bars),\nind AS (SELECT *, "
+    f"{', '.join(f'{v} AS {k}' for k, v in DERIVED_SQL.items())} FROM ind1)"
+)
 SIG = f"sig AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in SIGNAL_SQL.items())} FROM ind)"
 
 #: The recursion, one step a bar.
@@ -105,27 +108,56 @@ _E = {
     "e12_change": ("change_pct", "change_amount"), "e13_amplitude": ("amplitude",), "e14_annual_vol": ("annual_vol_20d",),
 }
 for _name, _cols in _E.items():
-    query(_name, B.with_("bars", more=IND) + f"SELECT symbol, date, {', '.join(_cols)} FROM ind")(lambda s, d, c=_cols: indicator_frame(s, d, set(c)).select("symbol", "date", *c))
+    query(
+        _name,
+        B.with_("bars", more=IND) + f"SELECT symbol, date, {', '.join(_cols)} FROM ind"
+    )(lambda s, d, c=_cols: indicator_frame(s, d, set(c)).select("symbol", "date", *c))
 
 # Recursive indicators.
-_R = {"e03_ema": tuple(f"ema{n}" for n in (5, 10, 20, 30, 60)), "e04_macd": ("macd_dif", "macd_dea", "macd_hist"), "e06_kdj": ("kdj_k", "kdj_d", "kdj_j"), "e07_atr": ("atr_14",), "e15_rsi": ("rsi_6", "rsi_14", "rsi_24")}
+_R = {
+    "e03_ema": tuple(f"ema{n}" for n in (5, 10, 20, 30, 60)),
+    "e04_macd": ("macd_dif", "macd_dea", "macd_hist"),
+    "e06_kdj": ("kdj_k", "kdj_d", "kdj_j"),
+    "e07_atr": ("atr_14",),
+    "e15_rsi": ("rsi_6", "rsi_14", "rsi_24")
+}
 for _name, _cols in _R.items():
-    query(_name, B.with_("bars", more=REC, recursive=True) + f"SELECT symbol, date, {', '.join(_cols)} FROM recind")(lambda s, d, c=_cols: indicator_frame(s, d, set(c)).select("symbol", "date", *c))
-query("r1_recursive_map", B.with_("bars", more=REC, recursive=True) + f"SELECT symbol, date, {', '.join(recursive.RECURSIVE)} FROM recind")(lambda s, d: recursive.with_recursive(B.bars(s, d)).select("symbol", "date", *recursive.RECURSIVE))
+    query(
+        _name,
+        B.with_("bars", more=REC, recursive=True) + f"SELECT symbol, date, {', '.join(_cols)} FROM recind"
+    )(lambda s, d, c=_cols: indicator_frame(s, d, set(c)).select("symbol", "date", *c))
+query(
+    "r1_recursive_map",
+    B.with_("bars", more=REC, recursive=True) + f"SELECT symbol, date, {', '.join(recursive.RECURSIVE)} FROM recind"
+)(lambda s, d: recursive.with_recursive(B.bars(s, d)).select("symbol", "date", *recursive.RECURSIVE))
 
 
-query("r2_recursive_fold", B.with_("bars", more=REC, recursive=True) + "SELECT symbol, max(date) AS date, arg_max(ema10, date) AS ema10 FROM recind GROUP BY symbol")(lambda s, d: recursive.ema_fold(B.bars(s, d), "close", 10))
+query(
+    "r2_recursive_fold",
+    B.with_("bars", more=REC, recursive=True) + "SELECT symbol, max(date) AS date, arg_max(ema10, date) AS ema10 FROM recind GROUP BY symbol"
+)(lambda s, d: recursive.ema_fold(B.bars(s, d), "close", 10))
 
 
 # Signals.
-query("e25_cross_signals", B.with_("bars", more=f"{IND},\n{SIG}") + f"SELECT symbol, date, {', '.join(k for k in SIGNAL_SQL if 'ma' in k and 'n_day' not in k)} FROM sig")(
+query(
+    "e25_cross_signals",
+    B.with_("bars", more=f"{IND},\n{SIG}") + f"SELECT symbol, date, {', '.join(k for k in SIGNAL_SQL if 'ma' in k and 'n_day' not in k)} FROM sig"
+)(
     lambda s, d: indicator_frame(s, d, {k for k in SIGNAL_SQL}).select("symbol", "date", *[k for k in SIGNAL_SQL if "ma" in k and "n_day" not in k])
 )
-query("e25_macd_signals", B.with_("bars", more=REC, recursive=True) + f"SELECT symbol, date, {over_sql('macd_dif', 'macd_dea')} AS signal_macd_golden, {under_sql('macd_dif', 'macd_dea')} AS signal_macd_dead FROM recind")(
+query(
+    "e25_macd_signals",
+    B.with_("bars", more=REC, recursive=True) +
+    f"SELECT symbol, date, {over_sql('macd_dif', 'macd_dea')} AS signal_macd_golden, {under_sql('macd_dif', 'macd_dea')} AS "
+    f"signal_macd_dead FROM recind"
+)(
     lambda s, d: indicator_frame(s, d, {"signal_macd_golden", "signal_macd_dead"}).select("symbol", "date", "signal_macd_golden", "signal_macd_dead")
 )
 _LEVEL = ("signal_n_day_high", "signal_n_day_low", "signal_boll_breakout_upper", "signal_boll_breakdown_lower", "signal_volume_surge")
-query("e26_level_signals", B.with_("bars", more=f"{IND},\n{SIG}") + f"SELECT symbol, date, {', '.join(_LEVEL)} FROM sig")(lambda s, d: indicator_frame(s, d, set(_LEVEL)).select("symbol", "date", *_LEVEL))
+query(
+    "e26_level_signals",
+    B.with_("bars", more=f"{IND},\n{SIG}") + f"SELECT symbol, date, {', '.join(_LEVEL)} FROM sig"
+)(lambda s, d: indicator_frame(s, d, set(_LEVEL)).select("symbol", "date", *_LEVEL))
 
 # Generic windows.
 _SPARSE = "sparse AS (SELECT symbol, date, close, CASE WHEN volume > 30 THEN close END AS x FROM bars)"
@@ -135,17 +167,55 @@ def _sparse(s, d):
     return B.bars(s, d).select("symbol", "date", "close", F.when(F.col("volume") > 30, F.col("close")).alias("x"))
 
 
-query("e27_valid_shift", B.with_("bars", more=_SPARSE) + f"SELECT symbol, date, lag(x, 2 IGNORE NULLS) OVER ({W}) AS back2, lead(x, 1 IGNORE NULLS) OVER ({W}) AS next1 FROM sparse")(
+query(
+    "e27_valid_shift",
+    B.with_("bars", more=_SPARSE) + f"SELECT symbol, date, lag(x, 2 IGNORE NULLS) OVER ({W}) AS back2, lead(x, 1 IGNORE NULLS) OVER ({W}) AS next1 FROM sparse"
+)(
     lambda s, d: _sparse(s, d).select("symbol", "date", windows.valid_shift("x", 2).alias("back2"), windows.valid_shift("x", -1).alias("next1"))
 )
 _ROLL = {"s7": (7, "sum", "sum"), "m7": (7, "mean", "avg"), "lo7": (7, "min", "min"), "hi7": (7, "max", "max")}
-query("e28_rolling", B.with_("bars") + f"SELECT symbol, date, {', '.join(full_sql(n, a, 'close') + ' AS ' + k for k, (n, _, a) in _ROLL.items())}, {full_sql(7, 'stddev_pop', 'close')} AS sp7, {full_sql(7, 'stddev_samp', 'close')} AS ss7 FROM bars")(
-    lambda s, d: B.bars(s, d).select("symbol", "date", *[windows.rolling("close", n, kind).alias(k) for k, (n, kind, _) in _ROLL.items()], windows.rolling("close", 7, "std", 0).alias("sp7"), windows.rolling("close", 7, "std", 1).alias("ss7"))
+query(
+    "e28_rolling",
+    B.with_("bars") + f"SELECT symbol, date, {', '.join(full_sql(n, a, 'close') + ' AS ' + k for k, (n, _, a) in _ROLL.items())}, "
+    f"{full_sql(7, 'stddev_pop', 'close')} AS sp7, {full_sql(7, 'stddev_samp', 'close')} AS ss7 FROM bars"
+)(
+    lambda s, d: B.bars(s, d).select(
+        "symbol",
+        "date",
+        *[windows.rolling("close", n, kind).alias(k) for k, (n, kind, _) in _ROLL.items()],
+        windows.rolling("close", 7, "std", 0).alias("sp7"),
+        windows.rolling("close", 7, "std", 1).alias("ss7")
+    )
 )
-query("e29_rolling_quantile", B.with_("bars") + f"SELECT symbol, date, {full_sql(10, 'quantile_cont(?, 0.8)', 'close')} AS q80 FROM bars")(lambda s, d: B.bars(s, d).select("symbol", "date", windows.rolling("close", 10, "quantile", q=0.8).alias("q80")))
-query("e30_ewm_gap_decay")(lambda s, d: recursive.ewm_gap_decay(_sparse(s, d), "x", 0.2, "ewm"))
-query("e31_safe_divide", B.with_("bars", more=f"c AS (SELECT symbol, date, close - {lag_sql('close')} AS step, amount FROM bars)") + "SELECT symbol, date, amount / nullif(round(step, 6), 0) AS r FROM c", 2)(
-    lambda s, d: B.bars(s, d).select("symbol", "date", "amount", F.round(F.col("close") - windows.lag("close"), 6).alias("step")).select("symbol", "date", windows.safe_divide(F.col("amount"), F.col("step")).alias("r"))
+query(
+    "e29_rolling_quantile",
+    B.with_("bars") + f"SELECT symbol, date, {full_sql(10, 'quantile_cont(?, 0.8)', 'close')} AS q80 FROM bars"
+)(lambda s, d: B.bars(s, d).select("symbol", "date", windows.rolling("close", 10, "quantile", q=0.8).alias("q80")))
+_EWM = f"""{_SPARSE},
+sp AS (SELECT *, row_number() OVER ({W}) AS rn FROM sparse),
+vv AS MATERIALIZED (SELECT *, row_number() OVER ({W}) AS vn, pow(0.8::DOUBLE, rn - lag(rn) OVER ({W})) AS old FROM sp WHERE x IS NOT NULL),
+rr AS (SELECT symbol, date, vn, x AS y FROM vv WHERE vn = 1
+  UNION ALL SELECT n.symbol, n.date, n.vn, (n.old * r.y + 0.2::DOUBLE * n.x) / (n.old + 0.2::DOUBLE) AS y FROM rr r JOIN vv n ON n.symbol = r.symbol AND n.vn = r.vn + 1)"""
+query(
+    "e30_ewm_gap_decay",
+    B.with_("bars", more=_EWM, recursive=True) +
+    f"SELECT symbol, date, close, x, last_value(y IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "
+    f"ewm FROM sp LEFT JOIN rr USING (symbol, date)"
+)(lambda s, d: recursive.ewm_gap_decay(_sparse(s, d), "x", 0.2, "ewm"))
+query(
+    "e31_safe_divide",
+    B.with_(
+        "bars",
+        more=f"c AS (SELECT symbol, date, close - {lag_sql('close')} AS step, amount FROM bars)"
+    ) + "SELECT symbol, date, amount / nullif(round(step, 6), 0) AS r FROM c",
+    2
+)(
+    lambda s, d: B.bars(s, d).select(
+        "symbol",
+        "date",
+        "amount",
+        F.round(F.col("close") - windows.lag("close"), 6).alias("step")
+    ).select("symbol", "date", windows.safe_divide(F.col("amount"), F.col("step")).alias("r"))
 )
 
 # Adjustment and limits.
@@ -156,7 +226,10 @@ adj0 AS (SELECT b.*, coalesce(c.cum, 1.0::DOUBLE) / coalesce(t.total, 1.0::DOUBL
   FROM bars b ASOF LEFT JOIN cum c ON b.symbol = c.symbol AND b.date >= c.trade_date LEFT JOIN tot t ON t.symbol = b.symbol LEFT JOIN ev e ON e.symbol = b.symbol AND e.trade_date = b.date),
 adj AS (SELECT symbol, date, open * adj_ratio AS open, high * adj_ratio AS high, low * adj_ratio AS low, close * adj_ratio AS close, volume, amount, close AS raw_close, high AS raw_high, low AS raw_low, adj_ratio, ex_rights FROM adj0)"""
 _CENTS = lambda p, k: f"((floor({p} * 100 + 0.5)::BIGINT * ({k}) + 50) // 100)::DOUBLE / 100"
-_SHARE = "CASE WHEN left(symbol, 3) IN ('300', '301', '688', '689') THEN 20 WHEN symbol LIKE '%.BJ' THEN 30 WHEN regexp_matches(name, '(?i)ST|退') THEN 5 ELSE 10 END"
+_SHARE = (
+    "CASE WHEN left(symbol, 3) IN ('300', '301', '688', '689') THEN 20 WHEN symbol LIKE '%.BJ' THEN 30 WHEN regexp_matches(name, "
+    "'(?i)ST|退') THEN 5 ELSE 10 END"
+)
 LIM = f"""lim0 AS (SELECT a.*, i.name, i.type, i.float_shares, i.total_shares, i.dim_limit_up, i.dim_limit_down FROM adj a LEFT JOIN instruments i USING (symbol)),
 lim1 AS (SELECT *, CASE WHEN abs(adj_ratio - {lag_sql('adj_ratio')}) > 1e-6 THEN {lag_sql('close')} ELSE {lag_sql('raw_close')} END AS prev_ref_close, {_SHARE} AS pct FROM lim0),
 lim2 AS (SELECT *, date = max(date) OVER () AND dim_limit_up < 10000 AS use_up, date = max(date) OVER () AND dim_limit_down < 10000 AS use_down FROM lim1),
@@ -178,27 +251,78 @@ def limit_frame(spark, sf_dir):
     return limits.with_limits(adjusted(spark, sf_dir).join(dims, "symbol", "left"), newest=B.newest_date(spark, sf_dir))
 
 
-query("j01_adjust_prices", B.with_("bars", "factors", more=ADJ) + "SELECT symbol, date, open, high, low, close, raw_close, adj_ratio, ex_rights FROM adj")(
+query(
+    "j01_adjust_prices",
+    B.with_("bars", "factors", more=ADJ) + "SELECT symbol, date, open, high, low, close, raw_close, adj_ratio, ex_rights FROM adj"
+)(
     lambda s, d: adjusted(s, d).select("symbol", "date", "open", "high", "low", "close", "raw_close", "adj_ratio", "ex_rights")
 )
-query("e17_ex_rights", B.with_("bars", "factors", more=ADJ) + "SELECT symbol, date FROM adj WHERE ex_rights")(lambda s, d: adjusted(s, d).filter("ex_rights").select("symbol", "date"))
-query("e32_cum_factor", B.with_("factors", more="ev AS (SELECT symbol, trade_date, max(ex_factor) AS f FROM factors GROUP BY 1, 2)") + "SELECT symbol, trade_date, product(f) OVER (PARTITION BY symbol ORDER BY trade_date) AS cum FROM ev")(
-    lambda s, d: B.factors(s, d).groupBy("symbol", F.col("trade_date").alias("date")).agg(F.max("ex_factor").alias("f")).select("symbol", F.col("date").alias("trade_date"), F.product("f").over(windows.so_far()).alias("cum"))
+query(
+    "e17_ex_rights",
+    B.with_("bars", "factors", more=ADJ) + "SELECT symbol, date FROM adj WHERE ex_rights"
+)(lambda s, d: adjusted(s, d).filter("ex_rights").select("symbol", "date"))
+query(
+    "e32_cum_factor",
+    B.with_(
+        "factors",
+        more="ev AS (SELECT symbol, trade_date, max(ex_factor) AS f FROM factors GROUP BY 1, 2)"
+    ) + "SELECT symbol, trade_date, product(f) OVER (PARTITION BY symbol ORDER BY trade_date) AS cum FROM ev"
+)(
+    lambda s, d: B.factors(s, d).groupBy("symbol", F.col("trade_date").alias("date")).agg(F.max("ex_factor").alias("f")).select(
+        "symbol",
+        F.col("date").alias("trade_date"),
+        F.product("f").over(windows.so_far()).alias("cum")
+    )
+)
+_LIMIT_COLS = (
+    "prev_ref_close",
+    "limit_up",
+    "limit_down",
+    "signal_limit_up",
+    "signal_limit_down",
+    "signal_limit_down_recovery",
+    "signal_broken_limit_up",
+    "consecutive_limit_ups",
+    "consecutive_limit_downs"
 )
-_LIMIT_COLS = ("prev_ref_close", "limit_up", "limit_down", "signal_limit_up", "signal_limit_down", "signal_limit_down_recovery", "signal_broken_limit_up", "consecutive_limit_ups", "consecutive_limit_downs")
-query("e18_e24_limits", LIMITS + f"SELECT symbol, date, {', '.join(_LIMIT_COLS)} FROM lim")(lambda s, d: limit_frame(s, d).select("symbol", "date", *_LIMIT_COLS))
-query("e16_turnover_rate", B.with_("bars", "instruments") + "SELECT symbol, date, CASE WHEN float_shares > 0 THEN volume * 10000 / float_shares END AS turnover_rate FROM bars LEFT JOIN instruments USING (symbol)")(
-    lambda s, d: with_instruments(B.bars(s, d), B.instruments(s, d), ["float_shares"]).select("symbol", "date", limits.turnover_rate(F.col("volume"), F.col("float_shares")).alias("turnover_rate"))
+query(
+    "e18_e24_limits",
+    LIMITS + f"SELECT symbol, date, {', '.join(_LIMIT_COLS)} FROM lim"
+)(lambda s, d: limit_frame(s, d).select("symbol", "date", *_LIMIT_COLS))
+query(
+    "e16_turnover_rate",
+    B.with_("bars", "instruments") + "SELECT symbol, date, CASE WHEN float_shares > 0 THEN volume * 10000 / float_shares END AS turnover_rate FROM bars LEFT JOIN "
+    "instruments USING (symbol)"
+)(
+    lambda s, d: with_instruments(B.bars(s, d), B.instruments(s, d), ["float_shares"]).select(
+        "symbol",
+        "date",
+        limits.turnover_rate(F.col("volume"), F.col("float_shares")).alias("turnover_rate")
+    )
 )
 
 # Cross-section and forward looks.
-query("e33_rank_in_date", B.with_("bars") + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol)::INTEGER AS pos, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS avg_rank FROM bars")(
+query(
+    "e33_rank_in_date",
+    B.with_("bars") + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol)::INTEGER AS pos, rank() OVER "
+    "(PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS avg_rank FROM bars"
+)(
     lambda s, d: B.bars(s, d).select("symbol", "date", rank_of("amount").alias("pos"), average_rank("volume", ["date"]).alias("avg_rank"))
 )
-query("e34_qcut_in_date", B.with_("bars", more="q AS (SELECT date, quantile_cont(amount, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM bars GROUP BY date)") + "SELECT symbol, b.date, len(list_filter(cuts, lambda x: b.amount > x))::INTEGER AS bin FROM bars b JOIN q ON q.date = b.date")(
+query(
+    "e34_qcut_in_date",
+    B.with_(
+        "bars",
+        more="q AS (SELECT date, quantile_cont(amount, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM bars GROUP BY date)"
+    ) + "SELECT symbol, b.date, len(list_filter(cuts, lambda x: b.amount > x))::INTEGER AS bin FROM bars b JOIN q ON q.date = b.date"
+)(
     lambda s, d: B.bars(s, d).select("symbol", "date", qcut_in_date("amount", 5).alias("bin"))
 )
-query("e35_bucket_in_date", B.with_("bars") + "SELECT symbol, date, (floor((row_number() OVER (PARTITION BY date ORDER BY amount, symbol) - 1) * 5 / count(*) OVER (PARTITION BY date)) + 1)::INTEGER AS bucket FROM bars")(
+query(
+    "e35_bucket_in_date",
+    B.with_("bars") + "SELECT symbol, date, (floor((row_number() OVER (PARTITION BY date ORDER BY amount, symbol) - 1) * 5 / count(*) OVER "
+    "(PARTITION BY date)) + 1)::INTEGER AS bucket FROM bars"
+)(
     lambda s, d: B.bars(s, d).select("symbol", "date", bucket_in_date("amount", 5, ["date"]).alias("bucket"))
 )
 
@@ -217,18 +341,47 @@ _SCORE = {"vol_ratio_5d": 0.4, "change_pct": 0.3, "momentum_20d": 0.3}
 query("e36_minmax_score", B.with_("bars", more=IND) + f"SELECT symbol, date, {minmax_sql(_SCORE, '(amount > 30000)')} AS score FROM ind")(
     lambda s, d: indicator_frame(s, d, set(_SCORE)).select("symbol", "date", K.minmax_score(_SCORE, F.col("amount") > 30000).alias("score"))
 )
-query("e37_drawdown", B.with_("bars") + f"SELECT symbol, date, close / max(close) OVER ({W}) - 1 AS dd FROM bars")(lambda s, d: B.bars(s, d).select("symbol", "date", (F.col("close") / F.max("close").over(windows.so_far()) - 1).alias("dd")))
+query("e37_drawdown", B.with_("bars") + f"SELECT symbol, date, close / max(close) OVER ({W}) - 1 AS dd FROM bars")(
+    lambda s, d: B.bars(s, d).select("symbol", "date", (F.col("close") / F.max("close").over(windows.so_far()) - 1).alias("dd"))
+)
 query("e38_compound_nav", B.with_("bars", more=IND) + f"SELECT symbol, date, exp(sum(ln(1 + change_pct / 10000)) OVER ({W})) AS nav FROM ind")(
-    lambda s, d: indicator_frame(s, d, {"change_pct"}).select("symbol", "date", compound(F.col("change_pct") / 10000, windows.by_symbol()).alias("nav"))
+    lambda s, d: indicator_frame(s, d, {"change_pct"}).select(
+        "symbol",
+        "date",
+        compound(F.col("change_pct") / 10000, windows.by_symbol()).alias("nav")
+    )
 )
-query("e39_forward_return", B.with_("bars") + f"SELECT symbol, date, lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 AS fwd FROM bars")(lambda s, d: B.bars(s, d).select("symbol", "date", forward_return(5).alias("fwd")))
-query("e40_delay_signal", B.with_("bars", more="f AS (SELECT symbol, date, close > open AS up FROM bars)") + f"SELECT symbol, date, coalesce(lag(up, 2) OVER ({W}), false) AS up_delayed, CASE WHEN lag(up, 2) OVER ({W}) THEN lag(date, 2) OVER ({W}) END AS up_source_date FROM f")(
+query(
+    "e39_forward_return",
+    B.with_("bars") + f"SELECT symbol, date, lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 AS fwd FROM bars"
+)(lambda s, d: B.bars(s, d).select("symbol", "date", forward_return(5).alias("fwd")))
+query(
+    "e40_delay_signal",
+    B.with_(
+        "bars",
+        more="f AS (SELECT symbol, date, close > open AS up FROM bars)"
+    ) + f"SELECT symbol, date, coalesce(lag(up, 2) OVER ({W}), false) AS up_delayed, CASE WHEN lag(up, 2) OVER ({W}) THEN lag(date, "
+    f"2) OVER ({W}) END AS up_source_date FROM f"
+)(
     lambda s, d: delay_signal(B.bars(s, d).select("symbol", "date", (F.col("close") > F.col("open")).alias("up")), "up", 2).drop("up")
 )
-query("e41_first_signal", B.with_("bars", more=f"{IND},\n{SIG}") + "SELECT symbol, date, CASE WHEN signal_volume_surge THEN 'signal_volume_surge' WHEN signal_n_day_high THEN 'signal_n_day_high' WHEN signal_ma5_breakout THEN 'signal_ma5_breakout' END AS first_signal FROM sig")(
-    lambda s, d: indicator_frame(s, d, {"signal_volume_surge", "signal_n_day_high", "signal_ma5_breakout"}).select("symbol", "date", first_signal_id(["signal_volume_surge", "signal_n_day_high", "signal_ma5_breakout"]).alias("first_signal"))
+query(
+    "e41_first_signal",
+    B.with_("bars", more=f"{IND},\n{SIG}") +
+    "SELECT symbol, date, CASE WHEN signal_volume_surge THEN 'signal_volume_surge' WHEN signal_n_day_high THEN "
+    "'signal_n_day_high' WHEN signal_ma5_breakout THEN 'signal_ma5_breakout' END AS first_signal FROM sig"
+)(
+    lambda s, d: indicator_frame(s, d, {"signal_volume_surge", "signal_n_day_high", "signal_ma5_breakout"}).select(
+        "symbol",
+        "date",
+        first_signal_id(["signal_volume_surge", "signal_n_day_high", "signal_ma5_breakout"]).alias("first_signal")
+    )
 )
-query("s28_table_profile", B.with_("bars") + "SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS dates FROM bars")(lambda s, d: table_profile(B.bars(s, d)))
+query(
+    "s28_table_profile",
+    B.with_("bars") + "SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT symbol) AS symbols, count(DISTINCT "
+    "date) AS dates FROM bars"
+)(lambda s, d: table_profile(B.bars(s, d)))
 
 
 # Strategies: one wide frame, in Spark and in SQL.
@@ -247,32 +400,71 @@ _BD = under_sql("close", "ma20")
 _DEAD = under_sql("ma5", "ma20")
 _VOL, _CHG, _CANDLE, _RISING = "vol_ratio_5d >= {vol_ratio_min}::DOUBLE", "change_pct > {min_change}::DOUBLE / 100", "close > open", "momentum_20d > 0"
 _NEAR = "(close > ma20 * (1 - {{ma_proximity}}::DOUBLE{0}) AND close < ma20 * (1 + {{ma_proximity}}::DOUBLE{0}))"
-_OWN = "CASE WHEN left(symbol, 3) IN ('300', '301', '688') THEN 0.20::DOUBLE WHEN symbol LIKE '%.BJ' THEN 0.30::DOUBLE WHEN contains(upper(coalesce(name, '')), 'ST') THEN 0.05::DOUBLE ELSE 0.10::DOUBLE END"
+_OWN = (
+    "CASE WHEN left(symbol, 3) IN ('300', '301', '688') THEN 0.20::DOUBLE WHEN symbol LIKE '%.BJ' THEN 0.30::DOUBLE WHEN "
+    "contains(upper(coalesce(name, '')), 'ST') THEN 0.05::DOUBLE ELSE 0.10::DOUBLE END"
+)
 _BOARDS = "consecutive_limit_ups >= {min_boards}"
 #: Per strategy: the condition that each parameter switches, and the exit.
 STRATEGY_SQL = {
     "boll_breakout": ({"require_boll_breakout": "close > boll_upper", "use_volume_filter": _VOL}, "close < boll_lower"),
-    "broken_board_recovery": ({"require_limit_up": "signal_limit_up", "use_volume_filter": _VOL, "use_change_filter": "change_pct > {change_pct_min}::DOUBLE"}, _BD),
-    "bullish_alignment": ({"require_ma_alignment": "(ma5 > ma10 AND ma10 > ma20 AND ma20 > ma60)", "require_positive_momentum": _RISING}, f"({_DEAD} OR {_BD})"),
+    "broken_board_recovery": (
+        {"require_limit_up": "signal_limit_up", "use_volume_filter": _VOL, "use_change_filter": "change_pct > {change_pct_min}::DOUBLE"},
+        _BD
+    ),
+    "bullish_alignment": (
+        {"require_ma_alignment": "(ma5 > ma10 AND ma10 > ma20 AND ma20 > ma60)", "require_positive_momentum": _RISING},
+        f"({_DEAD} OR {_BD})"
+    ),
     "consecutive_limit_ups": ({"require_limit_up": "signal_limit_up", "use_boards_filter": _BOARDS}, "false"),
     "high_turnover_surge": ({"use_turnover_filter": "turnover_rate > {min_turnover}::DOUBLE", "use_change_filter": _CHG}, _BD),
     "limit_up_momentum": ({"use_change_filter": _CHG, "use_boards_filter": _BOARDS}, "false"),
-    "low_volatility_leader": ({"require_positive_momentum": _RISING, "use_volatility_filter": "annual_vol_20d < {vol_max}::DOUBLE", "require_above_ma20": "close > ma20"}, _BD),
+    "low_volatility_leader": (
+        {"require_positive_momentum": _RISING, "use_volatility_filter": "annual_vol_20d < {vol_max}::DOUBLE", "require_above_ma20": "close > ma20"},
+        _BD
+    ),
     "ma_golden_cross": ({"require_ma_golden": over_sql("ma5", "ma20"), "use_volume_filter": _VOL, "require_above_ma60": "close > ma60"}, _DEAD),
     "macd_golden": ({"require_macd_golden": over_sql("macd_dif", "macd_dea"), "use_volume_filter": _VOL}, under_sql("macd_dif", "macd_dea")),
     "n_day_low_reversal": ({"require_n_day_low": "close <= low_60d", "require_bullish_candle": _CANDLE, "use_volume_filter": _VOL}, _BD),
     "near_limit_up": ({"use_change_filter": _CHG, "use_limit_gap_filter": f"change_pct < {_OWN} - {{limit_gap}}::DOUBLE / 100"}, _BD),
     "oversold_bounce": ({"use_rsi_filter": "rsi_14 < {rsi_max}::DOUBLE", "require_bullish_candle": _CANDLE, "use_volume_filter": _VOL}, _BD),
     "oversold_reversal": ({"use_rsi_filter": "rsi_14 < {rsi_max}::DOUBLE", "use_change_filter": _CHG, "require_above_ma5": "close > ma5"}, _BD),
-    "pullback_ma20_bounce": ({"use_ma20_proximity": _NEAR.format(" * 0.01::DOUBLE"), "require_ma_alignment": "(ma5 > ma20 AND ma20 > ma60)", "require_positive_change": "change_pct > 0"}, f"({_BD} OR {_DEAD})"),
-    "pullback_to_support": ({"use_ma20_proximity": _NEAR.format(""), "use_volume_filter": "vol_ratio_5d < {vol_ratio_max}::DOUBLE", "require_above_ma60": "close > ma60", "require_positive_momentum": _RISING}, _BD),
-    "strong_open": ({"use_open_gap_filter": f"open > {lag_sql('close')} * (1 + {{min_open_gap}}::DOUBLE / 100)", "require_close_above_open": _CANDLE, "use_change_filter": _CHG}, _BD),
+    "pullback_ma20_bounce": (
+        {
+            "use_ma20_proximity": _NEAR.format(" * 0.01::DOUBLE"),
+            "require_ma_alignment": "(ma5 > ma20 AND ma20 > ma60)",
+            "require_positive_change": "change_pct > 0"
+        },
+        f"({_BD} OR {_DEAD})"
+    ),
+    "pullback_to_support": (
+        {
+            "use_ma20_proximity": _NEAR.format(""),
+            "use_volume_filter": "vol_ratio_5d < {vol_ratio_max}::DOUBLE",
+            "require_above_ma60": "close > ma60",
+            "require_positive_momentum": _RISING
+        },
+        _BD
+    ),
+    "strong_open": (
+        {
+            "use_open_gap_filter": f"open > {lag_sql('close')} * (1 + {{min_open_gap}}::DOUBLE / 100)",
+            "require_close_above_open": _CANDLE,
+            "use_change_filter": _CHG
+        },
+        _BD
+    ),
     "trend_breakout": ({"require_above_ma60": "close > ma60", "require_n_day_high": "close >= high_60d", "use_volume_filter": _VOL}, _BD),
     "volume_price_surge": ({"require_ma20_breakout": over_sql("close", "ma20"), "use_volume_filter": _VOL, "require_bullish_candle": _CANDLE}, _BD),
 }
 #: The panel's prices and amounts lie outside the default bounds, so queries give bounds of its own size, by strategy.
-PANEL_BASIC = {"trend_breakout": {"price_min": 1100, "price_max": 2000, "market_cap_min": 20e8, "amount_min": 2e4, "exclude_st": True, "exclude_new_days": 60}}
-_BASIC_SQL = {"trend_breakout": f"close >= 1100 AND close <= 2000 AND close * total_shares >= 2e9 AND amount >= 20000 AND NOT regexp_matches(name, '(?i)ST|退') AND row_number() OVER ({W}) > 60"}
+PANEL_BASIC = {
+    "trend_breakout": {"price_min": 1100, "price_max": 2000, "market_cap_min": 20e8, "amount_min": 2e4, "exclude_st": True, "exclude_new_days": 60}
+}
+_BASIC_SQL = {
+    "trend_breakout": f"close >= 1100 AND close <= 2000 AND close * total_shares >= 2e9 AND amount >= 20000 AND NOT regexp_matches(name, '(?i)ST|退') "
+    f"AND row_number() OVER ({W}) > 60"
+}
 
 
 def entry_sql(id_: str, params: dict | None = None) -> str:
@@ -285,7 +477,20 @@ def entry_sql(id_: str, params: dict | None = None) -> str:
 
 
 _RECURSIVE = {"macd_golden", "oversold_bounce", "oversold_reversal"}
-_DIMS = ["symbol", "date", "name", "type", "total_shares", "float_shares", "open", "close", "amount", "turnover_rate", "signal_limit_up", "consecutive_limit_ups"]
+_DIMS = [
+    "symbol",
+    "date",
+    "name",
+    "type",
+    "total_shares",
+    "float_shares",
+    "open",
+    "close",
+    "amount",
+    "turnover_rate",
+    "signal_limit_up",
+    "consecutive_limit_ups"
+]
 
 
 def strategy_needs(s: K.Strategy) -> set[str]:
@@ -298,7 +503,13 @@ def _with_rec(sql_tail: str, rec: bool) -> str:
     if not rec:
         return B.with_("bars", "factors", "instruments", more=WIDE) + sql_tail.replace("$WIDE", "wide")
     chain = REC.replace("FROM bars)", "FROM adj)")
-    return B.with_("bars", "factors", "instruments", more=f"{WIDE},\n{chain},\nboth_ AS (SELECT w.*, r.macd_dif, r.macd_dea, r.rsi_14 FROM wide w JOIN recind r USING (symbol, date))", recursive=True) + sql_tail.replace("$WIDE", "both_")
+    return B.with_(
+        "bars",
+        "factors",
+        "instruments",
+        more=f"{WIDE},\n{chain},\nboth_ AS (SELECT w.*, r.macd_dif, r.macd_dea, r.rsi_14 FROM wide w JOIN recind r USING (symbol, date))",
+        recursive=True
+    ) + sql_tail.replace("$WIDE", "both_")
 
 
 def _register(name: str, s: K.Strategy, params: dict | None) -> None:
@@ -322,13 +533,19 @@ for _k, _s in enumerate(K.REGISTRY.values(), 1):
     _register(f"k{_k:02d}_{_s.id}", _s, None)
     _register(f"k{_k:02d}_{_s.id}_params", _s, other_params(_s))
 
-_EACH = " UNION ALL ".join(f"SELECT '{i}' AS strategy, symbol, date FROM (SELECT *, ({entry_sql(i)}) AS entry FROM $WIDE) AS q WHERE entry" for i in STRATEGY_SQL)
+_EACH = " UNION ALL ".join(
+    f"SELECT '{i}' AS strategy, symbol, date FROM (SELECT *, ({entry_sql(i)}) AS entry FROM $WIDE) AS q WHERE entry" for i in STRATEGY_SQL
+)
 query("k19_run_all", _with_rec(f"SELECT strategy, symbol, date FROM ({_EACH}) AS u", True))(
     lambda s, d: K.run_all(strategy_frame(s, d, set().union(*[strategy_needs(x) for x in K.REGISTRY.values()])), basic=PANEL_BASIC)
 )
 
 
-@query("k20_user_strategy", B.with_("bars", more=IND) + "SELECT * EXCLUDE (prev_close) FROM (SELECT symbol, date, open, high, low, close, volume, amount, amplitude, prev_close FROM ind) AS t WHERE amplitude > 0.3")
+@query(
+    "k20_user_strategy",
+    B.with_("bars", more=IND) + "SELECT * EXCLUDE (prev_close) FROM (SELECT symbol, date, open, high, low, close, volume, amount, amplitude, prev_close FROM "
+    "ind) AS t WHERE amplitude > 0.3"
+)
 def _user(spark, sf_dir):
     K.register("wide_range", lambda df, p: df.filter(F.col("amplitude") > p.get("least", 0.2)))
     return K.run_user("wide_range", indicator_frame(spark, sf_dir, {"amplitude"}), {"least": 0.3})

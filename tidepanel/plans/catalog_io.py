@@ -33,11 +33,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of users' events: many symbols, one month."""
-    e = B.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date"), F.struct("ts", "event_id").alias("seq"), "value")
-    return e.groupBy("symbol", "date").agg(F.min_by("value", "seq").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "seq").alias("close"), F.count(F.lit(1)).alias("volume"), F.sum("value").alias("amount"))
-
-
-EB = "eb AS (SELECT user_id::VARCHAR AS symbol, ts::DATE AS date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, sum(value) AS amount FROM events GROUP BY 1, 2)"
+    e = B.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("symbol"),
+        F.to_date("ts").alias("date"),
+        F.struct("ts", "event_id").alias("seq"),
+        "value"
+    )
+    return e.groupBy("symbol", "date").agg(
+        F.min_by("value", "seq").alias("open"),
+        F.max("value").alias("high"),
+        F.min("value").alias("low"),
+        F.max_by("value", "seq").alias("close"),
+        F.count(F.lit(1)).alias("volume"),
+        F.sum("value").alias("amount")
+    )
+
+
+EB = (
+    "eb AS (SELECT user_id::VARCHAR AS symbol, ts::DATE AS date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, "
+    "min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, sum(value) AS amount FROM events GROUP BY 1, 2)"
+)
 WEB = f"WITH {EB}\n"
 eb = event_bars
 
@@ -50,20 +65,52 @@ def stored(spark, sf_dir, df=None, columns=None):
     return path
 
 
-@query("s01_scan_daily", WEB + "SELECT symbol, date, open, close, volume::DOUBLE AS volume, NULL::BIGINT AS quote_ts FROM eb WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND symbol IN ('1', '2', '3', '5', '8', '13')")
+@query(
+    "s01_scan_daily",
+    WEB + "SELECT symbol, date, open, close, volume::DOUBLE AS volume, NULL::BIGINT AS quote_ts FROM eb WHERE date BETWEEN DATE "
+    "'2024-01-05' AND DATE '2024-01-20' AND symbol IN ('1', '2', '3', '5', '8', '13')"
+)
 def _s01(s, d):
-    return S.scan_daily(s, stored(s, d), "2024-01-05", "2024-01-20", ["1", "2", "3", "5", "8", "13"]).select("symbol", "date", "open", "close", "volume", "quote_ts")
-
-
-@query("s02_scan_enriched", WEB + "SELECT symbol, date, close, close AS raw_close, NULL::DOUBLE AS turnover_rate FROM eb WHERE date >= DATE '2024-01-10'")
+    return S.scan_daily(
+        s,
+        stored(s, d),
+        "2024-01-05",
+        "2024-01-20",
+        ["1", "2", "3", "5", "8", "13"]
+    ).select("symbol", "date", "open", "close", "volume", "quote_ts")
+
+
+@query(
+    "s02_scan_enriched",
+    WEB + "SELECT symbol, date, close, close AS raw_close, NULL::DOUBLE AS turnover_rate FROM eb WHERE date >= DATE '2024-01-10'"
+)
 def _s02(s, d):
-    return S.scan_enriched(s, stored(s, d, eb(s, d).withColumn("raw_close", F.col("close"))), ["symbol", "date", "close", "raw_close", "turnover_rate"], "2024-01-10")
-
-
-query("s03_minute_range", B.with_("minutes") + "SELECT symbol, close, volume FROM minutes WHERE symbol IN ('click', 'view', 'purchase') AND datetime::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' ORDER BY symbol, datetime")(lambda s, d: S.scan_minute_range(B.minutes(s, d), ["click", "view", "purchase"], "2024-01-03", "2024-01-09").select("symbol", "close", "volume"))
-query("s04_minute_dates", B.with_("minutes", more=EB) + "SELECT symbol, close, volume FROM minutes WHERE datetime::DATE IN (SELECT date FROM eb WHERE symbol = '7')")(lambda s, d: S.scan_minute_dates(B.minutes(s, d), eb(s, d).filter("symbol = '7'")).select("symbol", "close", "volume"))
-query("s05_all_assets", B.with_("bars", "brand_bars", more=EB) + "SELECT symbol, date, close, 'stock' AS asset_type FROM bars UNION ALL SELECT symbol, date, close, 'index' FROM brand_bars UNION ALL SELECT symbol, date, close, 'etf' FROM eb")(
-    lambda s, d: S.scan_all_assets({"stock": B.bars(s, d), "index": B.brand_bars(s, d), "etf": eb(s, d).drop("amount")}).select("symbol", "date", "close", "asset_type")
+    return S.scan_enriched(
+        s,
+        stored(s, d, eb(s, d).withColumn("raw_close", F.col("close"))),
+        ["symbol", "date", "close", "raw_close", "turnover_rate"],
+        "2024-01-10"
+    )
+
+
+query(
+    "s03_minute_range",
+    B.with_("minutes") + "SELECT symbol, close, volume FROM minutes WHERE symbol IN ('click', 'view', 'purchase') AND datetime::DATE BETWEEN DATE "
+    "'2024-01-03' AND DATE '2024-01-09' ORDER BY symbol, datetime"
+)(lambda s, d: S.scan_minute_range(B.minutes(s, d), ["click", "view", "purchase"], "2024-01-03", "2024-01-09").select("symbol", "close", "volume"))
+query(
+    "s04_minute_dates",
+    B.with_("minutes", more=EB) + "SELECT symbol, close, volume FROM minutes WHERE datetime::DATE IN (SELECT date FROM eb WHERE symbol = '7')"
+)(lambda s, d: S.scan_minute_dates(B.minutes(s, d), eb(s, d).filter("symbol = '7'")).select("symbol", "close", "volume"))
+query(
+    "s05_all_assets",
+    B.with_("bars", "brand_bars", more=EB) +
+    "SELECT symbol, date, close, 'stock' AS asset_type FROM bars UNION ALL SELECT symbol, date, close, 'index' FROM brand_bars "
+    "UNION ALL SELECT symbol, date, close, 'etf' FROM eb"
+)(
+    lambda s, d: S.scan_all_assets(
+        {"stock": B.bars(s, d), "index": B.brand_bars(s, d), "etf": eb(s, d).drop("amount")}
+    ).select("symbol", "date", "close", "asset_type")
 )
 
 
@@ -73,7 +120,10 @@ def _s06(s, d):
     before = s.conf.get("spark.sql.legacy.javaCharsets")
     s.conf.set("spark.sql.legacy.javaCharsets", "true")  # the writer knows GB18030 under this setting alone
     try:
-        B.instruments(s, d).select(F.col("symbol").alias("股票代码"), F.concat(F.lit("名称"), "name").alias("name(x)")).coalesce(1).write.csv(path, header=True, encoding="GB18030")
+        B.instruments(s, d).select(
+            F.col("symbol").alias("股票代码"),
+            F.concat(F.lit("名称"), "name").alias("name(x)")
+        ).coalesce(1).write.csv(path, header=True, encoding="GB18030")
     finally:
         s.conf.set("spark.sql.legacy.javaCharsets", before)
     return S.read_csv_any_encoding(s, path + "/*.csv").select("symbol", "name")
@@ -82,51 +132,148 @@ def _s06(s, d):
 @query("s07_json_rows", B.with_("instruments") + "SELECT symbol, balance FROM instruments")
 def _s07(s, d):
     rows = B.instruments(s, d).groupBy("type", "industry").agg(F.collect_list(F.struct("symbol", "balance")).alias("list"))
-    return S.read_json_rows(rows.select(F.to_json(F.struct(F.array(F.struct("list")).alias("data"))).alias("payload")), "payload", "data.0.list", "symbol string, balance double")
-
-
-query("s08_map_fields", B.with_("instruments") + "SELECT symbol AS sym, total_shares AS shares FROM instruments")(lambda s, d: S.map_fields(B.instruments(s, d), {"symbol": "sym", "total_shares": "shares", "absent": "x"}))
+    return S.read_json_rows(
+        rows.select(F.to_json(F.struct(F.array(F.struct("list")).alias("data"))).alias("payload")),
+        "payload",
+        "data.0.list",
+        "symbol string, balance double"
+    )
+
+
+query(
+    "s08_map_fields",
+    B.with_("instruments") + "SELECT symbol AS sym, total_shares AS shares FROM instruments"
+)(lambda s, d: S.map_fields(B.instruments(s, d), {"symbol": "sym", "total_shares": "shares", "absent": "x"}))
 query("s09_transforms", B.with_("bars") + "SELECT symbol, close * 100 AS a, amount / 100 AS b, volume / 10000 AS c, date AS dt FROM bars", 5)(
-    lambda s, d: S.apply_transforms(B.bars(s, d).select("symbol", F.col("close").cast("string").alias("a"), F.col("amount").alias("b"), F.col("volume").alias("c"), F.date_format("date", "dd/MM/yyyy").alias("dt")), {"a": "x100", "b": "d100", "c": "d10000", "dt": "parse_date(dd/MM/yyyy)"})
+    lambda s, d: S.apply_transforms(
+        B.bars(s, d).select(
+            "symbol",
+            F.col("close").cast("string").alias("a"),
+            F.col("amount").alias("b"),
+            F.col("volume").alias("c"),
+            F.date_format("date", "dd/MM/yyyy").alias("dt")
+        ),
+        {"a": "x100", "b": "d100", "c": "d10000", "dt": "parse_date(dd/MM/yyyy)"}
+    )
 )
 query("s10_normalize_daily", WEB + "SELECT symbol, date, open, close, volume::DOUBLE AS volume FROM eb WHERE volume > 1")(
-    lambda s, d: S.normalize_daily(eb(s, d).select(F.col("symbol").alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("trade_date"), F.when(F.col("volume") > 1, F.col("open")).otherwise(0.0).cast("string").alias("open"), F.when(F.col("volume") > 1, F.col("high")).otherwise(0.0).alias("high"), "low", "close", F.col("volume").cast("string").alias("vol"), F.col("amount").alias("amt"))).select("symbol", "date", "open", "close", "volume")
+    lambda s, d: S.normalize_daily(
+        eb(s, d).select(
+            F.col("symbol").alias("ts_code"),
+            F.date_format("date", "yyyyMMdd").alias("trade_date"),
+            F.when(F.col("volume") > 1, F.col("open")).otherwise(0.0).cast("string").alias("open"),
+            F.when(F.col("volume") > 1, F.col("high")).otherwise(0.0).alias("high"),
+            "low",
+            "close",
+            F.col("volume").cast("string").alias("vol"),
+            F.col("amount").alias("amt")
+        )
+    ).select("symbol", "date", "open", "close", "volume")
 )
 query("s11_normalize_minute", B.with_("minutes") + "SELECT symbol, epoch_ms(datetime) AS ms, close, volume::DOUBLE AS volume FROM minutes")(
-    lambda s, d: S.normalize_minute(B.minutes(s, d).withColumn("timestamp", F.unix_millis("datetime")).drop("datetime")).select("symbol", F.unix_millis("datetime").alias("ms"), "close", "volume")
+    lambda s, d: S.normalize_minute(
+        B.minutes(s, d).withColumn("timestamp", F.unix_millis("datetime")).drop("datetime")
+    ).select("symbol", F.unix_millis("datetime").alias("ms"), "close", "volume")
+)
+query("s12_normalize_factors", B.with_("factors") + "SELECT symbol, trade_date, ex_factor FROM factors")(
+    lambda s, d: S.normalize_adj_factors(
+        B.factors(s, d).select(
+            "symbol",
+            F.unix_millis(F.col("trade_date").cast("timestamp")).alias("trade_date"),
+            F.col("ex_factor").cast("string").alias("ex_factor")
+        )
+    )
 )
-query("s12_normalize_factors", B.with_("factors") + "SELECT symbol, trade_date, ex_factor FROM factors")(lambda s, d: S.normalize_adj_factors(B.factors(s, d).select("symbol", F.unix_millis(F.col("trade_date").cast("timestamp")).alias("trade_date"), F.col("ex_factor").cast("string").alias("ex_factor"))))
 query("s13_normalize_instruments", B.with_("instruments") + "SELECT symbol, code, total_shares, float_shares FROM instruments")(
-    lambda s, d: S.normalize_instruments((lambda i: i.unionByName(i))(B.instruments(s, d).select("symbol", "name", F.lit("").alias("code"), F.struct("total_shares", "float_shares").alias("ext")))).select("symbol", "code", "total_shares", "float_shares")
+    lambda s, d: S.normalize_instruments(
+        (lambda i: i.unionByName(i))(
+            B.instruments(s, d).select("symbol", "name", F.lit("").alias("code"), F.struct("total_shares", "float_shares").alias("ext"))
+        )
+    ).select("symbol", "code", "total_shares", "float_shares")
 )
-query("s14_flatten_labels", B.with_("instruments") + "SELECT symbol, array_to_string(list_filter(string_split(labels, ';'), lambda x: lower(trim(x)) NOT IN ('', 'nan', 'none')), ';') AS label FROM instruments")(lambda s, d: B.instruments(s, d).select("symbol", S.flatten_labels(F.concat(F.split("labels", ";"), F.array(F.lit(None).cast("string")))).alias("label")))
-query("s15_cast_to_config", B.with_("instruments") + "SELECT symbol, replace(labels, ';', ';') AS labels, balance::BIGINT AS balance FROM (SELECT symbol, labels, trunc(balance) AS balance FROM instruments)")(
-    lambda s, d: S.cast_to_config(B.instruments(s, d).select("symbol", F.split("labels", ";").alias("labels"), "balance"), {"labels": "string", "balance": "int"})
+query(
+    "s14_flatten_labels",
+    B.with_("instruments") + "SELECT symbol, array_to_string(list_filter(string_split(labels, ';'), lambda x: lower(trim(x)) NOT IN ('', 'nan', 'none')), "
+    "';') AS label FROM instruments"
+)(
+    lambda s, d: B.instruments(s, d).select(
+        "symbol",
+        S.flatten_labels(F.concat(F.split("labels", ";"), F.array(F.lit(None).cast("string")))).alias("label")
+    )
 )
-query("s16_infer_fields", B.with_("instruments") + "SELECT column_name AS name, CASE column_type WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' ELSE 'string' END AS type FROM (DESCRIBE SELECT * FROM instruments)")(lambda s, d: s.createDataFrame([(f["name"], f["type"]) for f in S.infer_fields(B.instruments(s, d))], "name string, type string"))
+query(
+    "s15_cast_to_config",
+    B.with_("instruments") + "SELECT symbol, replace(labels, ';', ';') AS labels, balance::BIGINT AS balance FROM (SELECT symbol, labels, trunc(balance) "
+    "AS balance FROM instruments)"
+)(
+    lambda s, d: S.cast_to_config(
+        B.instruments(s, d).select("symbol", F.split("labels", ";").alias("labels"), "balance"),
+        {"labels": "string", "balance": "int"}
+    )
+)
+query(
+    "s16_infer_fields",
+    B.with_("instruments") + "SELECT column_name AS name, CASE column_type WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' "
+    "ELSE 'string' END AS type FROM (DESCRIBE SELECT * FROM instruments)"
+)(lambda s, d: s.createDataFrame([(f["name"], f["type"]) for f in S.infer_fields(B.instruments(s, d))], "name string, type string"))
 _LOOKS = lambda c: f"avg(regexp_matches({c}, '^[0-9]{{6,}}(\\.(SH|SZ|BJ))?$')::INTEGER)::DOUBLE AS {c}"
-query("s17_detect_keys", B.with_("instruments") + f"SELECT {_LOOKS('symbol')}, {_LOOKS('name')}, {_LOOKS('code')}, {_LOOKS('industry')} FROM instruments")(lambda s, d: S.detect_key_columns(B.instruments(s, d).select("symbol", "name", "code", "industry", "balance")))
-query("s18_clean_names", B.with_("instruments") + "SELECT symbol AS code, name AS code_2 FROM instruments")(lambda s, d: S.clean_column_names(B.instruments(s, d).select(F.col("symbol").alias("code(x)"), F.col("name").alias("code(y)"))))
+query(
+    "s17_detect_keys",
+    B.with_("instruments") + f"SELECT {_LOOKS('symbol')}, {_LOOKS('name')}, {_LOOKS('code')}, {_LOOKS('industry')} FROM instruments"
+)(lambda s, d: S.detect_key_columns(B.instruments(s, d).select("symbol", "name", "code", "industry", "balance")))
+query("s18_clean_names", B.with_("instruments") + "SELECT symbol AS code, name AS code_2 FROM instruments")(
+    lambda s, d: S.clean_column_names(B.instruments(s, d).select(F.col("symbol").alias("code(x)"), F.col("name").alias("code(y)")))
+)
 
 
-@query("s19_upsert_by_date", WEB + "SELECT symbol, date, CASE WHEN date >= DATE '2024-01-15' AND volume > 1 THEN close * 2 ELSE close END AS close FROM eb")
+@query(
+    "s19_upsert_by_date",
+    WEB + "SELECT symbol, date, CASE WHEN date >= DATE '2024-01-15' AND volume > 1 THEN close * 2 ELSE close END AS close FROM eb"
+)
 def _s19(s, d):
     path = scratch(s, "upsert")
     S.upsert_by_date(s, path, eb(s, d), ["symbol", "date"], ["close"])
-    S.upsert_by_date(s, path, eb(s, d).filter("date >= DATE '2024-01-15' AND volume > 1").withColumn("close", F.col("close") * 2), ["symbol", "date"], ["close"])
+    S.upsert_by_date(
+        s,
+        path,
+        eb(s, d).filter("date >= DATE '2024-01-15' AND volume > 1").withColumn("close", F.col("close") * 2),
+        ["symbol", "date"],
+        ["close"]
+    )
     return s.read.parquet(path).select("symbol", "date", "close")
 
 
-query("s20_merge_factors", B.with_("factors") + "SELECT symbol, trade_date, CASE WHEN ex_factor > 1.3 THEN ex_factor + 1 ELSE ex_factor END AS ex_factor FROM factors")(lambda s, d: S.merge_factors(B.factors(s, d), B.factors(s, d).filter("ex_factor > 1.3").withColumn("ex_factor", F.col("ex_factor") + 1))[0])
-query("s20_changed_symbols", B.with_("factors") + "SELECT DISTINCT symbol FROM factors WHERE ex_factor > 1.3")(lambda s, d: S.merge_factors(B.factors(s, d), B.factors(s, d).withColumn("ex_factor", F.when(F.col("ex_factor") > 1.3, F.col("ex_factor") + 1).otherwise(F.col("ex_factor"))))[1])
+query(
+    "s20_merge_factors",
+    B.with_("factors") + "SELECT symbol, trade_date, CASE WHEN ex_factor > 1.3 THEN ex_factor + 1 ELSE ex_factor END AS ex_factor FROM factors"
+)(lambda s, d: S.merge_factors(B.factors(s, d), B.factors(s, d).filter("ex_factor > 1.3").withColumn("ex_factor", F.col("ex_factor") + 1))[0])
+query("s20_changed_symbols", B.with_("factors") + "SELECT DISTINCT symbol FROM factors WHERE ex_factor > 1.3")(
+    lambda s, d: S.merge_factors(
+        B.factors(s, d),
+        B.factors(s, d).withColumn("ex_factor", F.when(F.col("ex_factor") > 1.3, F.col("ex_factor") + 1).otherwise(F.col("ex_factor")))
+    )[1]
+)
 query("s21_write_external", B.with_("instruments") + "SELECT symbol, CASE WHEN balance > 0 THEN 'new' ELSE 'old' END AS note FROM instruments")(
-    lambda s, d: S.write_external(B.instruments(s, d).select("symbol", F.lit("old").alias("note")), B.instruments(s, d).filter("balance > 0").select("symbol", F.lit("new").alias("note")), "snapshot", ["note"])
+    lambda s, d: S.write_external(
+        B.instruments(s, d).select("symbol", F.lit("old").alias("note")),
+        B.instruments(s, d).filter("balance > 0").select("symbol", F.lit("new").alias("note")),
+        "snapshot",
+        ["note"]
+    )
 )
-query("s22_external_latest", WEB + "SELECT symbol, close FROM eb WHERE date = (SELECT max(date) FROM eb)")(lambda s, d: S.read_external_latest(eb(s, d)).select("symbol", "close"))
+query(
+    "s22_external_latest",
+    WEB + "SELECT symbol, close FROM eb WHERE date = (SELECT max(date) FROM eb)"
+)(lambda s, d: S.read_external_latest(eb(s, d)).select("symbol", "close"))
 
 
-query("s23_guard_rebuild", WEB + "SELECT symbol, date, close FROM eb WHERE volume > 1")(lambda s, d: S.guard_full_rebuild(eb(s, d).filter("volume > 2"), eb(s, d).filter("volume > 1")).select("symbol", "date", "close"))
-query("s23_lost_dates", WEB + "SELECT DISTINCT date FROM eb EXCEPT SELECT date FROM eb WHERE volume > 4")(lambda s, d: S.lost_dates(eb(s, d), eb(s, d).filter("volume > 4")))
+query("s23_guard_rebuild", WEB + "SELECT symbol, date, close FROM eb WHERE volume > 1")(
+    lambda s, d: S.guard_full_rebuild(eb(s, d).filter("volume > 2"), eb(s, d).filter("volume > 1")).select("symbol", "date", "close")
+)
+query(
+    "s23_lost_dates",
+    WEB + "SELECT DISTINCT date FROM eb EXCEPT SELECT date FROM eb WHERE symbol = '7'"
+)(lambda s, d: S.lost_dates(eb(s, d), eb(s, d).filter("symbol = '7'")))
 
 
 def _halted(s, d):
@@ -134,19 +281,41 @@ def _halted(s, d):
 
 
 query("s24_halt_dry_run", WEB + "SELECT date, count(*) AS n FROM eb WHERE volume = 1 GROUP BY date")(lambda s, d: S.halt_rows_per_date(_halted(s, d)))
-query("s24_purge_halts", WEB + "SELECT symbol, date, close FROM eb WHERE volume <> 1")(lambda s, d: S.purge_halt_rows(_halted(s, d)).select("symbol", "date", "close"))
-query("s25_symbol_to_date", WEB + "SELECT symbol, date, close FROM eb")(lambda s, d: S.repartition_symbol_to_date(eb(s, d).unionByName(eb(s, d).withColumn("close", F.col("close") - 1)).unionByName(eb(s, d).withColumn("date", F.lit(None).cast("date")))).select("symbol", "date", "close"))
+query(
+    "s24_purge_halts",
+    WEB + "SELECT symbol, date, close FROM eb WHERE volume <> 1"
+)(lambda s, d: S.purge_halt_rows(_halted(s, d)).select("symbol", "date", "close"))
+query("s25_symbol_to_date", WEB + "SELECT symbol, date, close FROM eb")(
+    lambda s, d: S.repartition_symbol_to_date(
+        eb(s, d).unionByName(eb(s, d).withColumn("close", F.col("close") - 1)).unionByName(eb(s, d).withColumn("date", F.lit(None).cast("date")))
+    ).select("symbol", "date", "close")
+)
 
 
 def alert_log(s, d):
-    return B.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("user_id") % 2 == 0, "monitor").otherwise("manual").alias("source"), F.col("event_type").alias("type"))
-
-
-query("s26_recent_alerts", "SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND user_id % 2 = 0 ORDER BY ts DESC, event_id LIMIT 100")(lambda s, d: S.recent_alerts(alert_log(s, d), "2024-01-20", "monitor").select("id"))
-query("s26_retention", "SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-08' ORDER BY ts DESC, event_id LIMIT 5000")(lambda s, d: S.retained_alerts(alert_log(s, d), "2024-01-08").select("id"))
-
-
-@query("s27_incremental_enrich", WEB + f"SELECT symbol, date, ma3 FROM (SELECT symbol, date, {full_sql(3, 'avg', 'close')} AS ma3 FROM eb) x WHERE date > DATE '2024-01-20' OR symbol = '4'")
+    return B.table(s, d, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("user_id") % 2 == 0, "monitor").otherwise("manual").alias("source"),
+        F.col("event_type").alias("type")
+    )
+
+
+query(
+    "s26_recent_alerts",
+    "SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND user_id % 2 = 0 ORDER BY ts DESC, event_id LIMIT 100"
+)(lambda s, d: S.recent_alerts(alert_log(s, d), "2024-01-20", "monitor").select("id"))
+query(
+    "s26_retention",
+    "SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-08' ORDER BY ts DESC, event_id LIMIT 5000"
+)(lambda s, d: S.retained_alerts(alert_log(s, d), "2024-01-08").select("id"))
+
+
+@query(
+    "s27_incremental_enrich",
+    WEB + f"SELECT symbol, date, ma3 FROM (SELECT symbol, date, {full_sql(3, 'avg', 'close')} AS ma3 FROM eb) x WHERE date > DATE "
+    f"'2024-01-20' OR symbol = '4'"
+)
 def _s27(s, d):
     compute = lambda df: df.select("symbol", "date", full(3, F.avg, "close").alias("ma3"))
     # History counts trading days; the month is shorter than 60, so all of it is read.
@@ -185,30 +354,67 @@ def _z04(s, d):
 _PHASE = "CASE WHEN m < 570 THEN 'preopen' WHEN m <= 690 THEN 'morning' WHEN m < 780 THEN 'lunch' WHEN m <= 900 THEN 'afternoon' ELSE 'close' END"
 
 
-@query("z05_phase_bars", f"SELECT event_type AS symbol, ts::DATE AS date, {_PHASE} AS phase, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, sum(value) AS amount FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM events) e GROUP BY ALL")
+@query(
+    "z05_phase_bars",
+    f"SELECT event_type AS symbol, ts::DATE AS date, {_PHASE} AS phase, arg_min(value, (ts, event_id)) AS open, max(value) AS "
+    f"high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, sum(value) AS amount FROM (SELECT "
+    f"*, hour(ts) * 60 + minute(ts) AS m FROM events) e GROUP BY ALL"
+)
 def _z05(s, d):
     return run(s, Z.phase_bars(event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
 
 
-@query("z01_quote_upsert", "SELECT event_type AS symbol, ts::DATE AS date, arg_max(value, (ts, event_id)) AS close, epoch(date_trunc('second', max(ts)))::BIGINT AS quote_s FROM events GROUP BY ALL")
+@query(
+    "z01_quote_upsert",
+    "SELECT event_type AS symbol, ts::DATE AS date, arg_max(value, (ts, event_id)) AS close, epoch(date_trunc('second', "
+    "max(ts)))::BIGINT AS quote_s FROM events GROUP BY ALL"
+)
 def _z01(s, d):
     path = scratch(s, "quotes")
-    stream = event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumns({"last_price": F.col("value"), "open": F.lit(0.0), "high": F.col("value"), "low": F.lit(None).cast("double"), "volume": F.lit(1.0), "amount": F.col("value")})
+    stream = event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumns(
+        {
+            "last_price": F.col("value"),
+            "open": F.lit(0.0),
+            "high": F.col("value"),
+            "low": F.lit(None).cast("double"),
+            "volume": F.lit(1.0),
+            "amount": F.col("value")
+        }
+    )
     Z.upsert_stream(stream, path, scratch(s, "query")).awaitTermination()
     return s.read.parquet(path).select("symbol", "date", "close", F.floor(F.col("quote_ts") / 1000).alias("quote_s"))
 
 
-@query("z02_stateful_indicators", "WITH RECURSIVE " + EB.replace("eb AS", "bars AS", 1) + ",\n" + REC + f"\nSELECT symbol, date, {', '.join(RECURSIVE)} FROM recind")
+@query(
+    "z02_stateful_indicators",
+    "WITH RECURSIVE " + EB.replace("eb AS", "bars AS", 1) + ",\n" + REC + f"\nSELECT symbol, date, {', '.join(RECURSIVE)} FROM recind"
+)
 def _z02(s, d):
     """Bars written and streamed by file, each symbol's bars in order; equal to the batch indicators."""
     return run(s, Z.streaming_indicators(streamed(s, eb(s, d).repartition(2, "symbol")))).select("symbol", "date", *RECURSIVE)
 
 
-query("z03_volume_scaling", "SELECT event_id, value * 240.0::DOUBLE / greatest(CASE WHEN m < 570 THEN 0 WHEN m <= 690 THEN m - 570 WHEN m < 780 THEN 120 WHEN m <= 900 THEN m - 660 ELSE 240 END, 1) AS vol_ratio FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM events) e")(
-    lambda s, d: run(s, Z.scaled_volume_ratio(event_stream(s, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("vol_ratio"))).select("event_id", "vol_ratio"))
+query(
+    "z03_volume_scaling",
+    "SELECT event_id, value * 240.0::DOUBLE / greatest(CASE WHEN m < 570 THEN 0 WHEN m <= 690 THEN m - 570 WHEN m < 780 THEN "
+    "120 WHEN m <= 900 THEN m - 660 ELSE 240 END, 1) AS vol_ratio FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM events) e"
+)(
+    lambda s, d: run(
+        s,
+        Z.scaled_volume_ratio(
+            event_stream(s, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("vol_ratio"))
+        ).select("event_id", "vol_ratio")
+    )
+)
+_RULES = [
+    {"id": "big", "scope": "all", "conditions": [{"field": "value", "op": ">", "value": 150}]},
+    {"id": "some", "scope": "symbols", "symbols": ["click"], "conditions": [{"field": "value", "op": "<", "value": 1}]},
+    {"id": "never", "scope": "sector", "conditions": [{"field": "value", "op": ">", "value": 0}]}
+]
+_RULE_HITS = (
+    "hits AS (SELECT 'big' AS rule, event_type AS symbol, ts, event_id FROM events WHERE value > 150 UNION ALL SELECT 'some', "
+    "event_type, ts, event_id FROM events WHERE event_type = 'click' AND value < 1)"
 )
-_RULES = [{"id": "big", "scope": "all", "conditions": [{"field": "value", "op": ">", "value": 150}]}, {"id": "some", "scope": "symbols", "symbols": ["click"], "conditions": [{"field": "value", "op": "<", "value": 1}]}, {"id": "never", "scope": "sector", "conditions": [{"field": "value", "op": ">", "value": 0}]}]
-_RULE_HITS = "hits AS (SELECT 'big' AS rule, event_type AS symbol, ts, event_id FROM events WHERE value > 150 UNION ALL SELECT 'some', event_type, ts, event_id FROM events WHERE event_type = 'click' AND value < 1)"
 
 
 def rule_hits(df):
@@ -252,7 +458,9 @@ def _z08(s, d):
     b, day = eb(s, d), F.dayofmonth("date")
     picks = b.filter("volume > 3").select(F.lit("busy").alias("strategy"), (day % 2).alias("k"), "symbol")
     picks = picks.unionByName(b.filter((day == 3) & (F.col("high") > 150)).select(F.lit("gone").alias("strategy"), F.lit(1).alias("k"), "symbol"))
-    picks = picks.unionByName(b.filter(day.isin(4, 5) & F.col("symbol").isin("1", "2", "3", "4")).select(F.lit("few").alias("strategy"), (day % 2).alias("k"), "symbol"))
+    picks = picks.unionByName(
+        b.filter(day.isin(4, 5) & F.col("symbol").isin("1", "2", "3", "4")).select(F.lit("few").alias("strategy"), (day % 2).alias("k"), "symbol")
+    )
     strategies, path = s.createDataFrame([("busy",), ("gone",), ("few",)], "strategy string"), scratch(s, "pools")
     for n, k in enumerate((1, 0)):
         Z.pool_rows(picks.filter(F.col("k") == k), strategies, n).coalesce(1).write.mode("append").parquet(path)
@@ -262,17 +470,58 @@ def _z08(s, d):
 
 _BID1 = "CASE (total_shares / 1e6)::BIGINT % 4 WHEN 0 THEN 9 ELSE (total_shares / 1e6)::BIGINT % 4 * 4 END"
 query("z09_seal_alerts", LIMITS + f"SELECT symbol, date, {_BID1} AS bid1_vol FROM lim WHERE signal_limit_up AND {_BID1} BETWEEN 1 AND 10")(
-    lambda s, d: run(s, Z.seal_alerts(streamed(s, limit_frame(s, d).filter("signal_limit_up").select("symbol", "date", "close")).join(depth(s, d).select("symbol", F.try_element_at("bid_volumes", F.lit(1)).alias("bid1_vol")), "symbol"), 10).select("symbol", "date", "bid1_vol"))
+    lambda s, d: run(
+        s,
+        Z.seal_alerts(
+            streamed(s, limit_frame(s, d).filter("signal_limit_up").select("symbol", "date", "close")).join(
+                depth(s, d).select("symbol", F.try_element_at("bid_volumes", F.lit(1)).alias("bid1_vol")),
+                "symbol"
+            ),
+            10
+        ).select("symbol", "date", "bid1_vol")
+    )
 )
-query("z10_any_signal_alerts", B.with_("bars", more=f"{IND},\n{SIG}") + "SELECT symbol, date FROM sig WHERE coalesce(signal_volume_surge, false) OR coalesce(signal_n_day_high, false)")(
-    lambda s, d: run(s, Z.any_signal_alerts(streamed(s, indicator_frame(s, d, {"signal_volume_surge", "signal_n_day_high"}).select("symbol", "date", "signal_volume_surge", "signal_n_day_high")), ["signal_volume_surge", "signal_n_day_high"]).select("symbol", "date"))
+query(
+    "z10_any_signal_alerts",
+    B.with_("bars", more=f"{IND},\n{SIG}") + "SELECT symbol, date FROM sig WHERE coalesce(signal_volume_surge, false) OR coalesce(signal_n_day_high, false)"
+)(
+    lambda s, d: run(
+        s,
+        Z.any_signal_alerts(
+            streamed(
+                s,
+                indicator_frame(s, d, {"signal_volume_surge", "signal_n_day_high"}).select(
+                    "symbol",
+                    "date",
+                    "signal_volume_surge",
+                    "signal_n_day_high"
+                )
+            ),
+            ["signal_volume_surge", "signal_n_day_high"]
+        ).select("symbol", "date")
+    )
 )
 _THRESHOLDS = [{"field": "change_pct", "op": ">=", "value": 1.0}, {"field": "vol_ratio_5d", "op": ">=", "value": 3.0}]
-query("z10_threshold_alerts", B.with_("bars", more=IND) + "SELECT symbol, date FROM ind WHERE coalesce(change_pct >= 1, false) OR coalesce(vol_ratio_5d >= 3, false)")(
-    lambda s, d: run(s, match_conditions(streamed(s, indicator_frame(s, d, {"change_pct", "vol_ratio_5d"}).select("symbol", "date", "change_pct", "vol_ratio_5d")), _THRESHOLDS, "or").select("symbol", "date"))
+query(
+    "z10_threshold_alerts",
+    B.with_("bars", more=IND) + "SELECT symbol, date FROM ind WHERE coalesce(change_pct >= 1, false) OR coalesce(vol_ratio_5d >= 3, false)"
+)(
+    lambda s, d: run(
+        s,
+        match_conditions(
+            streamed(s, indicator_frame(s, d, {"change_pct", "vol_ratio_5d"}).select("symbol", "date", "change_pct", "vol_ratio_5d")),
+            _THRESHOLDS,
+            "or"
+        ).select("symbol", "date")
+    )
 )
 _MIN = "hour(ts) * 60 + minute(ts)"
-query("z11_session_gate", f"SELECT event_id FROM events WHERE isodow(ts) < 6 AND ({_MIN} BETWEEN 570 AND 690 OR {_MIN} BETWEEN 780 AND 900)")(lambda s, d: run(s, Z.session_gate(event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("snapshot", F.col("ts"))).select("event_id")))
+query("z11_session_gate", f"SELECT event_id FROM events WHERE isodow(ts) < 6 AND ({_MIN} BETWEEN 570 AND 690 OR {_MIN} BETWEEN 780 AND 900)")(
+    lambda s, d: run(
+        s,
+        Z.session_gate(event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("snapshot", F.col("ts"))).select("event_id")
+    )
+)
 
 
 @query("z12_dedup_watermark", "SELECT event_id, event_type AS symbol FROM events")
@@ -286,23 +535,52 @@ def _z12(s, d):
 _ALERTS = f"hits AS (SELECT 'big' AS rule, {B._symbol_sql('user_id')} AS symbol, ts FROM events WHERE value > 150)"
 
 
-@query("z13_alert_enrichment", B.with_("instruments", more=_ALERTS) + "SELECT rule, symbol, date_trunc('second', ts) AS at, name, industry, list_filter(string_split(labels, ';'), lambda x: x <> 'nan') AS concepts FROM hits LEFT JOIN instruments USING (symbol)")
+@query(
+    "z13_alert_enrichment",
+    B.with_("instruments", more=_ALERTS) + "SELECT rule, symbol, date_trunc('second', ts) AS at, name, industry, list_filter(string_split(labels, ';'), lambda x: x "
+    "<> 'nan') AS concepts FROM hits LEFT JOIN instruments USING (symbol)"
+)
 def _z13(s, d):
     """A stream joined to the static dimension, whose concept strings are split once."""
     static = B.instruments(s, d).select("symbol", "name", "industry", labels_of(F.col("labels")).alias("concepts"))
-    hits = Z.evaluate_rules(event_stream(s, d).withColumns({"ts": F.col("ts").cast("timestamp"), "symbol": B.symbol_of(F.col("user_id"))}), _RULES[:1])
-    return run(s, Z.enrich_alerts(hits, static)).select("rule", "symbol", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"), "name", "industry", "concepts")
+    hits = Z.evaluate_rules(
+        event_stream(s, d).withColumns({"ts": F.col("ts").cast("timestamp"), "symbol": B.symbol_of(F.col("user_id"))}),
+        _RULES[:1]
+    )
+    return run(s, Z.enrich_alerts(hits, static)).select(
+        "rule",
+        "symbol",
+        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"),
+        "name",
+        "industry",
+        "concepts"
+    )
 
 
 # Functions callable from SQL.
-@query("v04_sql_aggregates", f"WITH {EB}, r AS (SELECT symbol, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS ret FROM eb), g AS (SELECT symbol, count(ret) AS n, avg(ret) AS m, sqrt(avg(CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0.0), 2) END)) AS dn FROM r GROUP BY symbol) SELECT symbol, CASE WHEN n < 2 THEN 0.0::DOUBLE WHEN dn > 0 THEN m / dn * sqrt(252) END AS sortino FROM g", 5)
+@query(
+    "v04_sql_aggregates",
+    f"WITH {EB}, r AS (SELECT symbol, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS ret FROM eb), "
+    f"g AS (SELECT symbol, count(ret) AS n, avg(ret) AS m, sqrt(avg(CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0.0), 2) END)) "
+    f"AS dn FROM r GROUP BY symbol) SELECT symbol, CASE WHEN n < 2 THEN 0.0::DOUBLE WHEN dn > 0 THEN m / dn * sqrt(252) END AS sortino FROM g",
+    5
+)
 def _v04(s, d):
     V.register(s)
-    eb(s, d).selectExpr("symbol", "try_divide(close, lag(close) OVER (PARTITION BY symbol ORDER BY date)) - 1 AS ret").createOrReplaceTempView("event_returns")
+    eb(s, d).selectExpr(
+        "symbol",
+        "try_divide(close, lag(close) OVER (PARTITION BY symbol ORDER BY date)) - 1 AS ret"
+    ).createOrReplaceTempView("event_returns")
     return s.sql("SELECT symbol, sortino(ret) AS sortino FROM event_returns GROUP BY symbol")
 
 
-@query("v05_levels_udtf", f"WITH {EB}, l AS (SELECT symbol, arg_max(close, date) AS close FROM eb GROUP BY symbol), s AS (SELECT *, CASE WHEN close < 10 THEN 0.5 WHEN close < 50 THEN 1 WHEN close < 100 THEN 5 WHEN close < 500 THEN 10 ELSE 50 END::DOUBLE AS step FROM l WHERE close > 0), m AS (SELECT *, unnest(generate_series(ceil(close * 0.9::DOUBLE / step)::BIGINT, floor(close * 1.1::DOUBLE / step)::BIGINT)) * step AS value FROM s) SELECT symbol, value FROM m WHERE abs(value - close) / close > 0.01")
+@query(
+    "v05_levels_udtf",
+    f"WITH {EB}, l AS (SELECT symbol, arg_max(close, date) AS close FROM eb GROUP BY symbol), s AS (SELECT *, CASE WHEN close "
+    f"< 10 THEN 0.5 WHEN close < 50 THEN 1 WHEN close < 100 THEN 5 WHEN close < 500 THEN 10 ELSE 50 END::DOUBLE AS step FROM l "
+    f"WHERE close > 0), m AS (SELECT *, unnest(generate_series(ceil(close * 0.9::DOUBLE / step)::BIGINT, floor(close * 1.1::DOUBLE "
+    f"/ step)::BIGINT)) * step AS value FROM s) SELECT symbol, value FROM m WHERE abs(value - close) / close > 0.01"
+)
 def _v05(s, d):
     V.register(s)
     eb(s, d).groupBy("symbol").agg(F.max_by("close", "date").alias("close")).createOrReplaceTempView("event_last_close")

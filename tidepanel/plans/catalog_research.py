@@ -38,7 +38,10 @@ def ret_sql(freq: str) -> str:
 
 for _f in _REB:
     query(f"q01_calendar_{_f}", B.with_("brand_bars") + _REB[_f])(lambda s, d, f=_f: Q.rebalance_calendar(B.brand_bars(s, d), f))
-    query(f"q02_period_return_{_f}", B.with_("brand_bars", more=ret_sql(_f)) + "SELECT symbol, date, ret FROM pr")(lambda s, d, f=_f: Q.period_return(B.brand_bars(s, d), f).select("symbol", "date", "ret"))
+    query(
+        f"q02_period_return_{_f}",
+        B.with_("brand_bars", more=ret_sql(_f)) + "SELECT symbol, date, ret FROM pr"
+    )(lambda s, d, f=_f: Q.period_return(B.brand_bars(s, d), f).select("symbol", "date", "ret"))
 
 
 def factor_rows(s, d, freq="daily", name="momentum_20d"):
@@ -49,12 +52,25 @@ def factor_rows(s, d, freq="daily", name="momentum_20d"):
 _FR = PIND + ",\n" + ret_sql("daily") + ",\nfr AS (SELECT i.symbol, i.date, i.momentum_20d AS factor, p.ret FROM ind i JOIN pr p USING (symbol, date))"
 _AVR = lambda c, k: f"rank() OVER (PARTITION BY {k} ORDER BY {c}) + (count(*) OVER (PARTITION BY {k}, {c}) - 1) / 2.0::DOUBLE"
 _CORR = "round((avg(a * b) - avg(a) * avg(b)) / nullif(sqrt(greatest((avg(a * a) - avg(a) * avg(a)) * (avg(b * b) - avg(b) * avg(b)), 0.0)), 0), 4)"
-IC = f"rk AS (SELECT date, {_AVR('factor', 'date')} AS a, {_AVR('ret', 'date')} AS b FROM fr WHERE factor IS NOT NULL AND ret IS NOT NULL), ic AS (SELECT date, {_CORR} AS ic, count(*) AS n FROM rk GROUP BY date)"
+IC = (
+    f"rk AS (SELECT date, {_AVR('factor', 'date')} AS a, {_AVR('ret', 'date')} AS b FROM fr WHERE factor IS NOT NULL AND ret IS "
+    f"NOT NULL), ic AS (SELECT date, {_CORR} AS ic, count(*) AS n FROM rk GROUP BY date)"
+)
 query("q03_rank_ic", B.with_("brand_bars", more=f"{_FR}, {IC}") + "SELECT * FROM ic")(lambda s, d: Q.rank_ic(factor_rows(s, d)))
-query("q04_ic_summary", B.with_("brand_bars", more=f"{_FR}, {IC}") + "SELECT avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, avg(ic) / nullif(stddev_pop(ic), 0) AS ir FROM ic", 4)(lambda s, d: Q.ic_summary(Q.rank_ic(factor_rows(s, d))))
+query(
+    "q04_ic_summary",
+    B.with_("brand_bars", more=f"{_FR}, {IC}") +
+    "SELECT avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, "
+    "avg(ic) / nullif(stddev_pop(ic), 0) AS ir FROM ic",
+    4
+)(lambda s, d: Q.ic_summary(Q.rank_ic(factor_rows(s, d))))
 _BUCKET = "(floor((row_number() OVER (PARTITION BY date ORDER BY factor, symbol) - 1) * 5 / count(*) OVER (PARTITION BY date)) + 1)::INTEGER"
 # Returns of this made-up panel are hundreds of percent; a ten-thousandth of them keeps the curves in range.
-NAV = f"bk AS (SELECT symbol, date, factor, ret / 10000 AS ret, {_BUCKET} AS grp FROM fr WHERE factor IS NOT NULL AND ret IS NOT NULL), gm AS (SELECT date, grp, avg(ret) AS ret FROM bk GROUP BY 1, 2), nav AS (SELECT date, grp, ret, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY grp ORDER BY date)), 4) AS nav FROM gm)"
+NAV = (
+    f"bk AS (SELECT symbol, date, factor, ret / 10000 AS ret, {_BUCKET} AS grp FROM fr WHERE factor IS NOT NULL AND ret IS NOT "
+    f"NULL), gm AS (SELECT date, grp, avg(ret) AS ret FROM bk GROUP BY 1, 2), nav AS (SELECT date, grp, ret, round(exp(sum(ln(1 "
+    f"+ ret)) OVER (PARTITION BY grp ORDER BY date)), 4) AS nav FROM gm)"
+)
 _NAVQ = B.with_("brand_bars", more=f"{_FR}, {NAV}")
 
 
@@ -65,8 +81,22 @@ def navs(s, d):
 query("q05_group_nav", _NAVQ + 'SELECT date, grp AS "group", ret, nav FROM nav')(navs)
 _FIG = lambda v, keys, start="1.0": f"""st AS (SELECT {keys}, date, {v} AS v, {v} / greatest(max({v}) OVER (PARTITION BY {keys} ORDER BY date), 1.0) - 1 AS dd, {v} / nullif(coalesce(lag({v}) OVER (PARTITION BY {keys} ORDER BY date), 1.0), 0) - 1 AS r FROM $T)"""
 _YEARS = "greatest((max(date) - min(date)) / 365.25::DOUBLE, 1 / 365.25::DOUBLE)"
-query("q06_group_stats", _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") + f'\nSELECT grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, count_if(r > 0) / count(*)::DOUBLE AS win_rate FROM st GROUP BY grp', 2)(lambda s, d: Q.group_stats(navs(s, d), "daily"))
-query("q07_long_short", _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") + ", p AS (SELECT date, (max(CASE WHEN grp = 5 THEN r END) - max(CASE WHEN grp = 1 THEN r END)) / 2 AS ret FROM st GROUP BY date), q AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS nav FROM p WHERE ret IS NOT NULL)\nSELECT *, nav / greatest(max(nav) OVER (ORDER BY date), 1.0) - 1 AS drawdown FROM q", 4)(lambda s, d: Q.long_short(navs(s, d), 5))
+query(
+    "q06_group_stats",
+    _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") +
+    f'\nSELECT grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS '
+    f'annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, count_if(r > 0) / '
+    f'count(*)::DOUBLE AS win_rate FROM st GROUP BY grp',
+    2
+)(lambda s, d: Q.group_stats(navs(s, d), "daily"))
+query(
+    "q07_long_short",
+    _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") +
+    ", p AS (SELECT date, (max(CASE WHEN grp = 5 THEN r END) - max(CASE WHEN grp = 1 THEN r END)) / 2 AS ret FROM st GROUP BY "
+    "date), q AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS nav FROM p WHERE ret IS NOT NULL)\nSELECT *, "
+    "nav / greatest(max(nav) OVER (ORDER BY date), 1.0) - 1 AS drawdown FROM q",
+    4
+)(lambda s, d: Q.long_short(navs(s, d), 5))
 _CAT = ", ".join(Q.FACTORS)
 PREC = REC.replace("FROM bars)", "FROM brand_bars)")
 
@@ -85,11 +115,25 @@ lg AS (UNPIVOT (SELECT symbol, date, {_CAT} FROM af) ON {_CAT} INTO NAME factor_
 fr AS (SELECT l.factor_name, l.symbol, l.date, l.factor, p.ret FROM lg l JOIN pr p USING (symbol, date) WHERE ret IS NOT NULL AND factor IS NOT NULL)"""
 _FQ = B.with_("brand_bars", more=_ALL_FACTORS, recursive=True).rstrip()
 _FIC = f"""rk AS (SELECT factor_name, date, {_AVR('factor', 'factor_name, date')} AS a, {_AVR('ret', 'factor_name, date')} AS b FROM fr), ic AS (SELECT factor_name, date, {_CORR} AS ic FROM rk GROUP BY 1, 2)"""
-_SUMMARY = "avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, avg(ic) / nullif(stddev_pop(ic), 0) AS ir"
-query("q08_factor_catalog", f"{_FQ},\n{_FIC}\nSELECT factor_name, {_SUMMARY} FROM ic WHERE ic IS NOT NULL GROUP BY factor_name", 3)(lambda s, d: Q.factor_catalog(factor_panel(s, d), freq="weekly"))
+_SUMMARY = (
+    "avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count_if(ic > 0) / count(ic)::DOUBLE AS win_rate, count(ic) AS periods, "
+    "avg(ic) / nullif(stddev_pop(ic), 0) AS ir"
+)
+query(
+    "q08_factor_catalog",
+    f"{_FQ},\n{_FIC}\nSELECT factor_name, {_SUMMARY} FROM ic WHERE ic IS NOT NULL GROUP BY factor_name",
+    3
+)(lambda s, d: Q.factor_catalog(factor_panel(s, d), freq="weekly"))
 _FNAV = f"""bk AS (SELECT factor_name, date, ret / 10000 AS ret, {_BUCKET.replace("PARTITION BY date", "PARTITION BY factor_name, date")} AS grp FROM fr), gm AS (SELECT factor_name, date, grp, avg(ret) AS ret FROM bk GROUP BY ALL),
 nav AS (SELECT factor_name, date, grp, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY factor_name, grp ORDER BY date)), 4) AS nav FROM gm)"""
-query("q08_factor_groups", f"{_FQ},\n{_FNAV}, " + _FIG("nav", "factor_name, grp").replace("$T", "nav") + f'\nSELECT factor_name, grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(52) AS sharpe, count_if(r > 0) / count(*)::DOUBLE AS win_rate FROM st GROUP BY ALL', 2)(
+query(
+    "q08_factor_groups",
+    f"{_FQ},\n{_FNAV}, " + _FIG("nav", "factor_name, grp").replace("$T", "nav") +
+    f'\nSELECT factor_name, grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / '
+    f'{_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(52) AS sharpe, count_if(r '
+    f'> 0) / count(*)::DOUBLE AS win_rate FROM st GROUP BY ALL',
+    2
+)(
     lambda s, d: Q.factor_groups(factor_panel(s, d), freq="weekly", scale=1e-4)
 )
 
@@ -98,16 +142,39 @@ _LAST = "lastb AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY sy
 
 
 def level_sql(kind: str, values: dict[str, str], source: str, strength: str = "medium") -> str:
-    return " UNION ALL ".join(f"SELECT symbol, '{kind}' AS type, '{k}' AS label, ({v})::DOUBLE AS value, '{strength}' AS strength FROM {source} WHERE ({v}) IS NOT NULL" for k, v in values.items())
+    return " UNION ALL ".join(
+        f"SELECT symbol, '{kind}' AS type, '{k}' AS label, ({v})::DOUBLE AS value, '{strength}' AS strength FROM {source} WHERE ({v}) IS NOT NULL" for k,
+        v in values.items()
+    )
 
 
 _P = "((high + low + close) / 3)"
-_PIV = {"P": _P, "R1": f"2 * {_P} - low", "S1": f"2 * {_P} - high", "R2": f"{_P} + (high - low)", "S2": f"{_P} - (high - low)", "R3": f"high + 2 * ({_P} - low)", "S3": f"low - 2 * (high - {_P})"}
+_PIV = {
+    "P": _P,
+    "R1": f"2 * {_P} - low",
+    "S1": f"2 * {_P} - high",
+    "R2": f"{_P} + (high - low)",
+    "S2": f"{_P} - (high - low)",
+    "R3": f"high + 2 * ({_P} - low)",
+    "S3": f"low - 2 * (high - {_P})"
+}
 query("l02_pivots", B.with_("bars", more=_LAST) + level_sql("pivot", _PIV, "lastb"))(lambda s, d: L.pivots(bars(s, d)))
 _BACK = "bk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars)"
-query("l03_extremes", B.with_("bars", more=f"{_BACK}, ex AS (SELECT symbol, max(CASE WHEN back <= 60 THEN high END) AS high_60, min(CASE WHEN back <= 60 THEN low END) AS low_60, max(CASE WHEN back <= 250 THEN high END) AS high_250, min(CASE WHEN back <= 250 THEN low END) AS low_250 FROM bk GROUP BY symbol)") + level_sql("extreme", {c: c for c in ("high_60", "low_60", "high_250", "low_250")}, "ex", "strong"))(lambda s, d: L.extremes(bars(s, d)))
+query(
+    "l03_extremes",
+    B.with_(
+        "bars",
+        more=f"{_BACK}, ex AS (SELECT symbol, max(CASE WHEN back <= 60 THEN high END) AS high_60, min(CASE WHEN back <= 60 THEN low END) "
+        f"AS low_60, max(CASE WHEN back <= 250 THEN high END) AS high_250, min(CASE WHEN back <= 250 THEN low END) AS low_250 FROM bk GROUP BY symbol)"
+    ) + level_sql("extreme", {c: c for c in ("high_60", "low_60", "high_250", "low_250")}, "ex", "strong")
+)(lambda s, d: L.extremes(bars(s, d)))
 _AROUND = f"OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
-_SWING = f"sw0 AS (SELECT symbol, date, CASE WHEN count(*) {_AROUND} = 11 AND high = max(high) {_AROUND} THEN high END AS top, CASE WHEN count(*) {_AROUND} = 11 AND low = min(low) {_AROUND} THEN low END AS bottom FROM bars), sw AS (SELECT symbol, 'swing' AS type, 'top' AS label, top AS value, 'medium' AS strength FROM sw0 WHERE top IS NOT NULL UNION ALL SELECT symbol, 'swing', 'bottom', bottom, 'medium' FROM sw0 WHERE bottom IS NOT NULL)"
+_SWING = (
+    f"sw0 AS (SELECT symbol, date, CASE WHEN count(*) {_AROUND} = 11 AND high = max(high) {_AROUND} THEN high END AS top, CASE "
+    f"WHEN count(*) {_AROUND} = 11 AND low = min(low) {_AROUND} THEN low END AS bottom FROM bars), sw AS (SELECT symbol, 'swing' "
+    f"AS type, 'top' AS label, top AS value, 'medium' AS strength FROM sw0 WHERE top IS NOT NULL UNION ALL SELECT symbol, 'swing', "
+    f"'bottom', bottom, 'medium' FROM sw0 WHERE bottom IS NOT NULL)"
+)
 
 
 def near_sql(source: str, tolerance: float, k: int) -> str:
@@ -122,21 +189,71 @@ SELECT symbol, type, label, value, strength, side, rank FROM m4 WHERE rank <= {k
 _NEAR_COLS = ("symbol", "type", "label", "value", "strength", "side", "rank")
 query("l04_swing_points", B.with_("bars", more=_SWING) + "SELECT * FROM sw")(lambda s, d: L.swing_points(bars(s, d)))
 query("l04_swings", B.with_("bars", more=f"{_LAST}, {_SWING}, " + near_sql("sw", 0.01, 2)))(lambda s, d: L.swings(bars(s, d)).select(*_NEAR_COLS))
-query("l05_bollinger", B.with_("bars", more=IND + ", li AS (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)") + level_sql("bollinger", {"upper": "boll_upper", "mid": "ma20", "lower": "boll_lower"}, "li"))(lambda s, d: L.bands(indicator_frame(s, d, {"ma20", "boll_upper", "boll_lower"})))
+query(
+    "l05_bollinger",
+    B.with_(
+        "bars",
+        more=IND + ", li AS (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"
+    ) + level_sql("bollinger", {"upper": "boll_upper", "mid": "ma20", "lower": "boll_lower"}, "li")
+)(lambda s, d: L.bands(indicator_frame(s, d, {"ma20", "boll_upper", "boll_lower"})))
 _ATR = REC + f", atr AS (SELECT b.*, a.atr_14, {', '.join(full_sql(n, 'avg', 'close') + f' AS m{n}' for n in (20, 60, 120))} FROM bars b JOIN recind a USING (symbol, date)), la AS (SELECT * FROM atr QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"
-_KEL = {f"{name}_{side}": f"m{n} {sign} {k} * atr_14" for name, n, k in (("short", 20, 2.0), ("mid", 60, 2.5), ("long", 120, 3.0)) for side, sign in (("upper", "+"), ("lower", "-"))}
-query("l06_keltner", B.with_("bars", more=_ATR, recursive=True) + level_sql("keltner", _KEL, "la"))(lambda s, d: L.keltner(indicator_frame(s, d, {"atr_14"} | set(bars(s, d).columns))))
-query("l07_atr_bands", B.with_("bars", more=_ATR, recursive=True) + level_sql("atr", {f"{side}{k}": f"close {side} {k} * atr_14" for k in (1.5, 2.0) for side in ("+", "-")}, "la"))(lambda s, d: L.atr_bands(indicator_frame(s, d, {"atr_14"} | set(bars(s, d).columns))))
+_KEL = {
+    f"{name}_{side}": f"m{n} {sign} {k} * atr_14" for name,
+    n,
+    k in (("short", 20, 2.0), ("mid", 60, 2.5), ("long", 120, 3.0)) for side,
+    sign in (("upper", "+"), ("lower", "-"))
+}
+query(
+    "l06_keltner",
+    B.with_("bars", more=_ATR, recursive=True) + level_sql("keltner", _KEL, "la")
+)(lambda s, d: L.keltner(indicator_frame(s, d, {"atr_14"} | set(bars(s, d).columns))))
+query(
+    "l07_atr_bands",
+    B.with_("bars", more=_ATR, recursive=True) + level_sql(
+        "atr",
+        {f"{side}{k}": f"close {side} {k} * atr_14" for k in (1.5, 2.0) for side in ("+", "-")},
+        "la"
+    )
+)(lambda s, d: L.atr_bands(indicator_frame(s, d, {"atr_14"} | set(bars(s, d).columns))))
 _GAP = f"""gb AS (SELECT *, {lag_sql('high')} AS ph, {lag_sql('low')} AS pl, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars),
 gg AS (SELECT symbol, date, back, CASE WHEN low > ph THEN 'up' WHEN high < pl THEN 'down' END AS label, CASE WHEN low > ph THEN ph ELSE high END AS lo, CASE WHEN low > ph THEN low ELSE pl END AS hi FROM gb WHERE back <= 120 AND (low > ph OR high < pl)),
 gp AS (SELECT symbol, 'gap' AS type, label, (lo + hi) / 2 AS value, 'medium' AS strength, date FROM gg g WHERE NOT EXISTS (SELECT 1 FROM gb x WHERE x.symbol = g.symbol AND x.back < g.back AND x.low <= g.hi AND x.high >= g.lo))"""
-query("l08_open_gaps", B.with_("bars", more=_GAP) + "SELECT symbol, date, label, value FROM gp")(lambda s, d: L.open_gaps(bars(s, d)).select("symbol", "date", "label", "value"))
+query(
+    "l08_open_gaps",
+    B.with_("bars", more=_GAP) + "SELECT symbol, date, label, value FROM gp"
+)(lambda s, d: L.open_gaps(bars(s, d)).select("symbol", "date", "label", "value"))
 query("l08_gaps", B.with_("bars", more=f"{_LAST}, {_GAP}, " + near_sql("gp", 0.005, 3)))(lambda s, d: L.gaps(bars(s, d)).select(*_NEAR_COLS))
-_FIB = f"{_BACK}, fb AS (SELECT symbol, max(high) AS h, min(low) AS l, arg_max(back, (high, back)) AS hb, arg_min(back, (low, -back)) AS lb FROM bk WHERE back <= 120 GROUP BY symbol HAVING max(high) > min(low))"
-query("l09_fibonacci", B.with_("bars", more=_FIB) + level_sql("fibonacci", {str(r): f"CASE WHEN hb < lb THEN h - (h - l) * {r}::DOUBLE ELSE l + (h - l) * {r}::DOUBLE END" for r in L.FIBONACCI}, "fb"))(lambda s, d: L.fibonacci(bars(s, d)))
-_ROUND = "rs AS (SELECT symbol, close, CASE WHEN close < 10 THEN 0.5 WHEN close < 50 THEN 1 WHEN close < 100 THEN 5 WHEN close < 500 THEN 10 ELSE 50 END::DOUBLE AS step FROM lastb WHERE close > 0), rm AS (SELECT *, m * step AS value FROM (SELECT *, unnest(generate_series(ceil(close * 0.9::DOUBLE / step)::BIGINT, floor(close * 1.1::DOUBLE / step)::BIGINT)) AS m FROM rs) q), rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(value - close), value) AS rank FROM rm)"
-query("l10_round_numbers", B.with_("bars", more=f"{_LAST}, {_ROUND}") + "SELECT symbol, 'round' AS type, value, 'weak' AS strength FROM rn WHERE rank <= 8 AND abs(value - close) / close > 0.01")(lambda s, d: L.round_numbers(bars(s, d)).drop("label"))
-query("l11_nearest_summary", B.with_("bars", more=f"{_LAST}, pv AS ({level_sql('pivot', _PIV, 'lastb')}), ns AS (SELECT p.*, CASE WHEN value > close * 1.001 THEN 'resistance' WHEN value < close * 0.999 THEN 'support' ELSE 'near' END AS side, abs(value - close) AS away FROM pv p JOIN lastb USING (symbol))") + "SELECT symbol, type, label, value, strength, side, row_number() OVER (PARTITION BY symbol, type, side ORDER BY away, label, value)::INTEGER AS rank FROM ns QUALIFY rank <= 2")(
+_FIB = (
+    f"{_BACK}, fb AS (SELECT symbol, max(high) AS h, min(low) AS l, arg_max(back, (high, back)) AS hb, arg_min(back, (low, -back)) "
+    f"AS lb FROM bk WHERE back <= 120 GROUP BY symbol HAVING max(high) > min(low))"
+)
+query(
+    "l09_fibonacci",
+    B.with_("bars", more=_FIB) + level_sql(
+        "fibonacci",
+        {str(r): f"CASE WHEN hb < lb THEN h - (h - l) * {r}::DOUBLE ELSE l + (h - l) * {r}::DOUBLE END" for r in L.FIBONACCI},
+        "fb"
+    )
+)(lambda s, d: L.fibonacci(bars(s, d)))
+_ROUND = (
+    "rs AS (SELECT symbol, close, CASE WHEN close < 10 THEN 0.5 WHEN close < 50 THEN 1 WHEN close < 100 THEN 5 WHEN close < 500 "
+    "THEN 10 ELSE 50 END::DOUBLE AS step FROM lastb WHERE close > 0), rm AS (SELECT *, m * step AS value FROM (SELECT *, "
+    "unnest(generate_series(ceil(close * 0.9::DOUBLE / step)::BIGINT, floor(close * 1.1::DOUBLE / step)::BIGINT)) AS m FROM rs) "
+    "q), rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(value - close), value) AS rank FROM rm)"
+)
+query(
+    "l10_round_numbers",
+    B.with_("bars", more=f"{_LAST}, {_ROUND}") + "SELECT symbol, 'round' AS type, value, 'weak' AS strength FROM rn WHERE rank <= 8 AND abs(value - close) / close > 0.01"
+)(lambda s, d: L.round_numbers(bars(s, d)).drop("label"))
+query(
+    "l11_nearest_summary",
+    B.with_(
+        "bars",
+        more=f"{_LAST}, pv AS ({level_sql('pivot', _PIV, 'lastb')}), ns AS (SELECT p.*, CASE WHEN value > close * 1.001 THEN 'resistance' "
+        f"WHEN value < close * 0.999 THEN 'support' ELSE 'near' END AS side, abs(value - close) AS away FROM pv p JOIN lastb USING (symbol))"
+    ) + "SELECT symbol, type, label, value, strength, side, row_number() OVER (PARTITION BY symbol, type, side ORDER BY away, label, "
+    "value)::INTEGER AS rank FROM ns QUALIFY rank <= 2"
+)(
     lambda s, d: L.nearest_summary(L.pivots(bars(s, d)), bars(s, d)).select(*_NEAR_COLS)
 )
 CHIP = f"""tb AS (SELECT b.*, CASE WHEN float_shares > 0 THEN volume * 10000 / float_shares END AS turnover_rate FROM bars b LEFT JOIN instruments USING (symbol)),
@@ -148,11 +265,32 @@ ch AS (SELECT symbol, bin, any_value(lo) + (bin + 0.5::DOUBLE) * any_value(step)
 
 
 def turnover_bars(s, d):
-    return strategy_frame(s, d, {"symbol"}).select("symbol", "date", F.col("raw_high").alias("high"), F.col("raw_low").alias("low"), F.col("raw_close").alias("close"), "volume", "turnover_rate")
-
-
-query("l01_chip_distribution", B.with_("bars", "instruments", more=CHIP) + "SELECT symbol, bin, mid, chips FROM ch")(lambda s, d: L.chip_distribution(turnover_bars(s, d)))
-query("l01_chip_levels", B.with_("bars", "instruments", more=CHIP + ", cr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chips DESC, bin) AS rank, avg(chips) OVER (PARTITION BY symbol) AS mean FROM ch)") + "SELECT symbol, 'chips' AS type, CASE WHEN rank = 1 THEN 'POC' ELSE 'dense' END AS label, round(mid, 2) AS value, CASE WHEN rank = 1 THEN 'strong' ELSE 'medium' END AS strength FROM cr WHERE rank = 1 OR (rank <= 3 AND chips > mean)", 1)(lambda s, d: L.chip_levels(turnover_bars(s, d)))
+    return strategy_frame(s, d, {"symbol"}).select(
+        "symbol",
+        "date",
+        F.col("raw_high").alias("high"),
+        F.col("raw_low").alias("low"),
+        F.col("raw_close").alias("close"),
+        "volume",
+        "turnover_rate"
+    )
+
+
+query(
+    "l01_chip_distribution",
+    B.with_("bars", "instruments", more=CHIP) + "SELECT symbol, bin, mid, chips FROM ch"
+)(lambda s, d: L.chip_distribution(turnover_bars(s, d)))
+query(
+    "l01_chip_levels",
+    B.with_(
+        "bars",
+        "instruments",
+        more=CHIP + ", cr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chips DESC, bin) AS rank, avg(chips) OVER (PARTITION "
+        "BY symbol) AS mean FROM ch)"
+    ) + "SELECT symbol, 'chips' AS type, CASE WHEN rank = 1 THEN 'POC' ELSE 'dense' END AS label, round(mid, 2) AS value, CASE WHEN "
+    "rank = 1 THEN 'strong' ELSE 'medium' END AS strength FROM cr WHERE rank = 1 OR (rank <= 3 AND chips > mean)",
+    1
+)(lambda s, d: L.chip_levels(turnover_bars(s, d)))
 
 
 _PROFILE = {"symbol", "date", "open", "high", "low", "close", "volume", "turnover_rate", "ma20", "boll_upper", "boll_lower", "atr_14", "change_pct"}
@@ -164,15 +302,42 @@ def _profile(spark, sf_dir):
     path = scratch(spark, "profile")
     strategy_frame(spark, sf_dir, _PROFILE).write.parquet(path)
     df = spark.read.parquet(path)
-    summary = L.nearest_summary(L.all_levels(df), df).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("type", "side", "rank", F.round("value", 4).alias("value")))).alias("levels"))
+    summary = L.nearest_summary(L.all_levels(df), df).groupBy("symbol").agg(
+        F.sort_array(F.collect_list(F.struct("type", "side", "rank", F.round("value", 4).alias("value")))).alias("levels")
+    )
     return L.last_bars(df).select("symbol", "date", "close", "change_pct").join(summary, "symbol", "left")
 
 
 _LAST20 = "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 20"
-query("d05_profile_bars", B.with_("bars", "factors", "instruments", more=WIDE) + f"SELECT symbol, date, close, volume, turnover_rate, ma20, boll_upper, boll_lower, change_pct FROM wide {_LAST20}")(
-    lambda s, d: L.from_end(strategy_frame(s, d, _PROFILE - {"atr_14"}), 20).select("symbol", "date", "close", "volume", "turnover_rate", "ma20", "boll_upper", "boll_lower", "change_pct")
+query(
+    "d05_profile_bars",
+    B.with_(
+        "bars",
+        "factors",
+        "instruments",
+        more=WIDE
+    ) + f"SELECT symbol, date, close, volume, turnover_rate, ma20, boll_upper, boll_lower, change_pct FROM wide {_LAST20}"
+)(
+    lambda s, d: L.from_end(strategy_frame(s, d, _PROFILE - {"atr_14"}), 20).select(
+        "symbol",
+        "date",
+        "close",
+        "volume",
+        "turnover_rate",
+        "ma20",
+        "boll_upper",
+        "boll_lower",
+        "change_pct"
+    )
 )
-query("d05_profile_statements", B.with_("bars", more="st AS (SELECT symbol, last_day(date) AS period_end, sum(amount) AS revenue FROM bars GROUP BY 1, 2)") + "SELECT symbol, period_end, revenue, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC)::INTEGER AS rank FROM st QUALIFY rank <= 2", 2)(
+query(
+    "d05_profile_statements",
+    B.with_(
+        "bars",
+        more="st AS (SELECT symbol, last_day(date) AS period_end, sum(amount) AS revenue FROM bars GROUP BY 1, 2)"
+    ) + "SELECT symbol, period_end, revenue, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC)::INTEGER AS rank FROM st QUALIFY rank <= 2",
+    2
+)(
     lambda s, d: latest_periods(B.bars(s, d).groupBy("symbol", F.last_day("date").alias("period_end")).agg(F.sum("amount").alias("revenue")), 2)
 )
 
@@ -184,8 +349,32 @@ START, END, HOLD, STOP = "1996-01-01", "2000-12-31", 10, -0.3
 def trade_panel(s, d):
     df = panel(s, d)
     up = F.coalesce(F.col("change_pct") > 0.5, F.lit(False))
-    df = df.withColumns({"entry": F.coalesce((F.col("ma5") > F.col("ma20")) & (F.col("vol_ratio_5d") >= 1.2), F.lit(False)), "exit": F.coalesce(F.col("close") < F.col("ma20") * 0.8, F.lit(False)), "score": F.coalesce(F.col("momentum_20d"), F.lit(0.0)), "signal_limit_up": up, "signal_limit_down": F.coalesce(F.col("change_pct") < -0.6, F.lit(False))})
-    return T.prepared(df.select("symbol", "date", "open", "high", "low", "close", "volume", "amount", "entry", "exit", "score", "signal_limit_up", "signal_limit_down"))
+    df = df.withColumns(
+        {
+            "entry": F.coalesce((F.col("ma5") > F.col("ma20")) & (F.col("vol_ratio_5d") >= 1.2), F.lit(False)),
+            "exit": F.coalesce(F.col("close") < F.col("ma20") * 0.8, F.lit(False)),
+            "score": F.coalesce(F.col("momentum_20d"), F.lit(0.0)),
+            "signal_limit_up": up,
+            "signal_limit_down": F.coalesce(F.col("change_pct") < -0.6, F.lit(False))
+        }
+    )
+    return T.prepared(
+        df.select(
+            "symbol",
+            "date",
+            "open",
+            "high",
+            "low",
+            "close",
+            "volume",
+            "amount",
+            "entry",
+            "exit",
+            "score",
+            "signal_limit_up",
+            "signal_limit_down"
+        )
+    )
 
 
 _FLATBAR = "(greatest(open, high, low, close) - least(open, high, low, close) <= greatest(abs(close) * 1e-4, 0.01))"
@@ -214,15 +403,39 @@ def trades(s, d):
     return T.label_trades(trade_panel(s, d), START, END, HOLD, STOP, **RULES)
 
 
-query("b01_candidate_entries", B.with_("brand_bars", more=TPANEL) + "SELECT symbol, date, entry_price FROM en0")(lambda s, d: T.candidate_entries(trade_panel(s, d), START, END).select("symbol", "date", "entry_price"))
-query("b02_entry_guards", B.with_("brand_bars", more=TPANEL) + "SELECT why AS reason, count(*) AS n FROM en1 WHERE why IS NOT NULL GROUP BY 1")(lambda s, d: T.entry_guards(T.candidate_entries(trade_panel(s, d), START, END), -0.5)[1])
+query(
+    "b01_candidate_entries",
+    B.with_("brand_bars", more=TPANEL) + "SELECT symbol, date, entry_price FROM en0"
+)(lambda s, d: T.candidate_entries(trade_panel(s, d), START, END).select("symbol", "date", "entry_price"))
+query(
+    "b02_entry_guards",
+    B.with_("brand_bars", more=TPANEL) + "SELECT why AS reason, count(*) AS n FROM en1 WHERE why IS NOT NULL GROUP BY 1"
+)(lambda s, d: T.entry_guards(T.candidate_entries(trade_panel(s, d), START, END), -0.5)[1])
 query("b03_label_exits", _T + "SELECT symbol, entry_n, reason, price, exit_date FROM ex")(
-    lambda s, d: (lambda p: T.label_exits(T.entry_guards(T.candidate_entries(p, START, END))[0], p, HOLD, STOP, **RULES).select("symbol", F.col("entry_n").cast("bigint").alias("entry_n"), "reason", "price", "exit_date"))(trade_panel(s, d))
+    lambda s, d: (
+        lambda p: T.label_exits(T.entry_guards(T.candidate_entries(p, START, END))[0], p, HOLD, STOP, **RULES).select(
+            "symbol",
+            F.col("entry_n").cast("bigint").alias("entry_n"),
+            "reason",
+            "price",
+            "exit_date"
+        )
+    )(trade_panel(s, d))
 )
 _TC = ("symbol", "entry_date", "entry_price", "reason", "exit_price", "exit_date", "blocked_days", "pnl_pct", "duration")
 query("b04_b05_trades", _T + f"SELECT {', '.join(_TC)} FROM tr")(lambda s, d: trades(s, d).select(*_TC))
-query("b08_trade_stats", _T + "SELECT count(*) AS n_trades, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, sum(CASE WHEN pnl_pct > 0 THEN pnl_pct END) / nullif(-sum(CASE WHEN pnl_pct < 0 THEN pnl_pct END), 0) AS profit_factor, avg(CASE WHEN pnl_pct > 0 THEN pnl_pct END) AS avg_win, avg(CASE WHEN pnl_pct < 0 THEN pnl_pct END) AS avg_loss, avg(pnl_pct) AS avg_pnl, max(pnl_pct) AS best, min(pnl_pct) AS worst, median(pnl_pct) AS median_pnl, avg(duration) AS avg_duration FROM tr", 5)(lambda s, d: T.trade_stats(trades(s, d)))
-SLOT = "sl AS (SELECT exit_date AS date, avg(pnl_pct / 10000) AS ret, count(*) AS n FROM tr GROUP BY 1), eq AS (SELECT date, ret, n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl)"
+query(
+    "b08_trade_stats",
+    _T + "SELECT count(*) AS n_trades, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, sum(CASE WHEN pnl_pct > 0 THEN pnl_pct "
+    "END) / nullif(-sum(CASE WHEN pnl_pct < 0 THEN pnl_pct END), 0) AS profit_factor, avg(CASE WHEN pnl_pct > 0 THEN pnl_pct "
+    "END) AS avg_win, avg(CASE WHEN pnl_pct < 0 THEN pnl_pct END) AS avg_loss, avg(pnl_pct) AS avg_pnl, max(pnl_pct) AS best, "
+    "min(pnl_pct) AS worst, median(pnl_pct) AS median_pnl, avg(duration) AS avg_duration FROM tr",
+    5
+)(lambda s, d: T.trade_stats(trades(s, d)))
+SLOT = (
+    "sl AS (SELECT exit_date AS date, avg(pnl_pct / 10000) AS ret, count(*) AS n FROM tr GROUP BY 1), eq AS (SELECT date, ret, "
+    "n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl)"
+)
 
 
 def small_trades(s, d):
@@ -230,21 +443,76 @@ def small_trades(s, d):
 
 
 query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq")(lambda s, d: T.slot_portfolio(small_trades(s, d)))
-query("b07_daily_top_n", B.with_("brand_bars", more=TPANEL) + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol)::INTEGER AS slot FROM en0 QUALIFY slot <= 3")(lambda s, d: T.daily_top_n_slots(T.candidate_entries(trade_panel(s, d), START, END), 3).select("symbol", "date", "slot"))
-query("b09_curve_stats", _T.rstrip() + ", " + SLOT + f", st AS (SELECT date, equity AS v, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS dd, equity / nullif(coalesce(lag(equity) OVER (ORDER BY date), 1.0), 0) - 1 AS r FROM eq), g AS (SELECT arg_max(v, date) - 1 AS total_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS annual_return FROM st) SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM g", 2)(lambda s, d: T.curve_stats(T.slot_portfolio(small_trades(s, d))))
-query("b10_per_symbol", _T + "SELECT symbol, count(*) AS n, exp(sum(ln(1 + greatest(pnl_pct, -0.9999::DOUBLE)))) - 1 AS total_return, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, max(pnl_pct) AS best, min(pnl_pct) AS worst FROM (SELECT symbol, pnl_pct / 10000 AS pnl_pct FROM tr) AS t GROUP BY symbol", 4)(lambda s, d: T.per_symbol_stats(small_trades(s, d)))
-query("b11_histogram", _T + "SELECT least(floor(round((greatest(-0.2::DOUBLE, least(0.2::DOUBLE, pnl_pct)) + 0.2::DOUBLE) / 0.02::DOUBLE, 9)), 19)::INTEGER AS bin, count(*) AS n FROM tr GROUP BY 1")(lambda s, d: T.return_histogram(trades(s, d)))
+query(
+    "b07_daily_top_n",
+    B.with_("brand_bars", more=TPANEL) + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol)::INTEGER AS slot FROM en0 QUALIFY slot <= 3"
+)(lambda s, d: T.daily_top_n_slots(T.candidate_entries(trade_panel(s, d), START, END), 3).select("symbol", "date", "slot"))
+query(
+    "b09_curve_stats",
+    _T.rstrip() + ", " + SLOT + f", st AS (SELECT date, equity AS v, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS dd, equity / "
+    f"nullif(coalesce(lag(equity) OVER (ORDER BY date), 1.0), 0) - 1 AS r FROM eq), g AS (SELECT arg_max(v, date) - 1 AS "
+    f"total_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / "
+    f"nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) "
+    f"- 1 AS annual_return FROM st) SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM g",
+    2
+)(lambda s, d: T.curve_stats(T.slot_portfolio(small_trades(s, d))))
+query(
+    "b10_per_symbol",
+    _T + "SELECT symbol, count(*) AS n, exp(sum(ln(1 + greatest(pnl_pct, -0.9999::DOUBLE)))) - 1 AS total_return, count_if(pnl_pct "
+    "> 0) / count(*)::DOUBLE AS win_rate, max(pnl_pct) AS best, min(pnl_pct) AS worst FROM (SELECT symbol, pnl_pct / 10000 AS "
+    "pnl_pct FROM tr) AS t GROUP BY symbol",
+    4
+)(lambda s, d: T.per_symbol_stats(small_trades(s, d)))
+query(
+    "b11_histogram",
+    _T + "SELECT least(floor(round((greatest(-0.2::DOUBLE, least(0.2::DOUBLE, pnl_pct)) + 0.2::DOUBLE) / 0.02::DOUBLE, 9)), "
+    "19)::INTEGER AS bin, count(*) AS n FROM tr GROUP BY 1"
+)(lambda s, d: T.return_histogram(trades(s, d)))
 BOOT = """tk AS (SELECT greatest(pnl_pct, -0.9999::DOUBLE) AS r, row_number() OVER (ORDER BY symbol, entry_date, exit_date) AS k, count(*) OVER () AS n FROM tr),
 dr AS (SELECT sim, a.k, ('0x' || substr(md5('42-' || sim || '-' || a.k), 1, 8))::BIGINT % a.n + 1 AS pick FROM tk a CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS sim) AS s WHERE a.n >= 3),
 nv AS (SELECT sim, dr.k, exp(sum(ln(1 + r)) OVER (PARTITION BY sim ORDER BY dr.k)) AS nav FROM dr JOIN tk ON tk.k = pick),
 wd AS (SELECT sim, min(dd) AS dd FROM (SELECT sim, least(nav / greatest(max(nav) OVER (PARTITION BY sim ORDER BY k), 1.0) - 1, 0.0) AS dd FROM nv) AS x GROUP BY sim)"""
-query("b12_bootstrap_drawdown", _T.rstrip() + f",\n{BOOT}\nSELECT quantile_cont(dd, 0.5) AS p50, quantile_cont(dd, 0.05) AS p95 FROM wd", 5)(lambda s, d: T.bootstrap_drawdown(trades(s, d)))
-query("b13_forward_eval", B.with_("brand_bars", more=TPANEL + f", fw AS (SELECT *, lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 AS fwd FROM tp)") + "SELECT date, avg(fwd) AS ret, count(*) AS n FROM fw WHERE entry AND fwd IS NOT NULL GROUP BY date")(lambda s, d: T.forward_eval(trade_panel(s, d), 5))
-query("b14_signal_backtest", B.with_("bars", more=IND) + "SELECT symbol, date, coalesce(close > boll_upper, false) OR coalesce(vol_ratio_5d >= 2.0, false) AS entry, coalesce(close < boll_lower, false) AS exit FROM ind")(
-    lambda s, d: T.signal_panel(indicator_frame(s, d, {"signal_boll_breakout_upper", "signal_volume_surge", "signal_boll_breakdown_lower"}), ["signal_boll_breakout_upper", "signal_volume_surge"], ["signal_boll_breakdown_lower"]).select("symbol", "date", "entry", "exit")
+query(
+    "b12_bootstrap_drawdown",
+    _T.rstrip() + f",\n{BOOT}\nSELECT quantile_cont(dd, 0.5) AS p50, quantile_cont(dd, 0.05) AS p95 FROM wd",
+    5
+)(lambda s, d: T.bootstrap_drawdown(trades(s, d)))
+query(
+    "b13_forward_eval",
+    B.with_(
+        "brand_bars",
+        more=TPANEL + f", fw AS (SELECT *, lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 AS fwd FROM tp)"
+    ) + "SELECT date, avg(fwd) AS ret, count(*) AS n FROM fw WHERE entry AND fwd IS NOT NULL GROUP BY date"
+)(lambda s, d: T.forward_eval(trade_panel(s, d), 5))
+query(
+    "b14_signal_backtest",
+    B.with_("bars", more=IND) + "SELECT symbol, date, coalesce(close > boll_upper, false) OR coalesce(vol_ratio_5d >= 2.0, false) AS entry, coalesce(close "
+    "< boll_lower, false) AS exit FROM ind"
+)(
+    lambda s, d: T.signal_panel(
+        indicator_frame(s, d, {"signal_boll_breakout_upper", "signal_volume_surge", "signal_boll_breakdown_lower"}),
+        ["signal_boll_breakout_upper", "signal_volume_surge"],
+        ["signal_boll_breakdown_lower"]
+    ).select("symbol", "date", "entry", "exit")
 )
-query("b06_minute_fill", B.with_("minutes", more="o AS (SELECT symbol, datetime::DATE AS date, avg(close) AS line, arg_max(close, datetime) AS daily_price FROM minutes GROUP BY 1, 2), f AS (SELECT symbol, datetime::DATE AS date, arg_min(open, datetime) AS mo, arg_max(close, datetime) AS mc, max(high) AS mh, min(low) AS ml FROM minutes GROUP BY 1, 2)") + "SELECT symbol, date, CASE WHEN mo >= line THEN mo WHEN mh >= line THEN line ELSE mc END AS fill_price FROM o JOIN f USING (symbol, date)")(
-    lambda s, d: (lambda m: T.minute_fill_price(m.groupBy("symbol", F.to_date("datetime").alias("date")).agg(F.avg("close").alias("line"), F.max_by("close", "datetime").alias("daily_price")).withColumn("side", F.lit("buy")), m).select("symbol", "date", "fill_price"))(B.minutes(s, d))
+query(
+    "b06_minute_fill",
+    B.with_(
+        "minutes",
+        more="o AS (SELECT symbol, datetime::DATE AS date, avg(close) AS line, arg_max(close, datetime) AS daily_price FROM minutes GROUP "
+        "BY 1, 2), f AS (SELECT symbol, datetime::DATE AS date, arg_min(open, datetime) AS mo, arg_max(close, datetime) AS mc, "
+        "max(high) AS mh, min(low) AS ml FROM minutes GROUP BY 1, 2)"
+    ) + "SELECT symbol, date, CASE WHEN mo >= line THEN mo WHEN mh >= line THEN line ELSE mc END AS fill_price FROM o JOIN f USING (symbol, date)"
+)(
+    lambda s, d: (
+        lambda m: T.minute_fill_price(
+            m.groupBy("symbol", F.to_date("datetime").alias("date")).agg(
+                F.avg("close").alias("line"),
+                F.max_by("close", "datetime").alias("daily_price")
+            ).withColumn("side", F.lit("buy")),
+            m
+        ).select("symbol", "date", "fill_price")
+    )(B.minutes(s, d))
 )
 GRID = {"stop": [-0.5, -0.2, -0.1], "hold": {"min": 3, "max": 9, "step": 3}}
 SWEEP = f"""pg AS (SELECT (row_number() OVER (ORDER BY a.i, b.i) - 1)::INTEGER AS trial_id, a.stop, b.hold FROM (VALUES (0, -0.5::DOUBLE), (1, -0.2::DOUBLE), (2, -0.1::DOUBLE)) a(i, stop) CROSS JOIN (VALUES (0, 3), (1, 6), (2, 9)) b(i, hold)),
@@ -258,18 +526,74 @@ def swept(s, d):
 
 
 _SW = B.with_("brand_bars", more=f"{TPANEL},\n{SWEEP}")
-query("b16_sweep_trades", _SW + "SELECT trial_id, count(*) AS n, avg(pnl_pct) AS avg_pnl, count_if(reason = 'stop') AS stops FROM sp GROUP BY 1")(lambda s, d: swept(s, d).groupBy("trial_id").agg(F.count(F.lit(1)).alias("n"), F.avg("pnl_pct").alias("avg_pnl"), F.count_if(F.col("reason") == "stop").alias("stops")))
-query("b16_sweep_ranked", _SW + "SELECT trial_id, n_trades, avg_pnl, row_number() OVER (ORDER BY round(avg_pnl, 9) DESC NULLS LAST, trial_id)::INTEGER AS rank FROM (SELECT trial_id, count(*) AS n_trades, avg(pnl_pct) AS avg_pnl FROM sp GROUP BY 1) q")(lambda s, d: T.rank_trials(swept(s, d)).select("trial_id", "n_trades", "avg_pnl", "rank"))
-query("u04_param_product", "SELECT (row_number() OVER (ORDER BY a.i, b.i) - 1)::INTEGER AS trial_id, a.stop, b.hold::DOUBLE AS hold FROM (VALUES (0, -0.5::DOUBLE), (1, -0.2::DOUBLE), (2, -0.1::DOUBLE)) a(i, stop) CROSS JOIN (SELECT DISTINCT dense_rank() OVER (ORDER BY r_regionkey) AS i, 3 * dense_rank() OVER (ORDER BY r_regionkey) AS hold FROM region) b")(
+query("b16_sweep_trades", _SW + "SELECT trial_id, count(*) AS n, avg(pnl_pct) AS avg_pnl, count_if(reason = 'stop') AS stops FROM sp GROUP BY 1")(
+    lambda s, d: swept(s, d).groupBy("trial_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("pnl_pct").alias("avg_pnl"),
+        F.count_if(F.col("reason") == "stop").alias("stops")
+    )
+)
+query(
+    "b16_sweep_ranked",
+    _SW + "SELECT trial_id, n_trades, avg_pnl, row_number() OVER (ORDER BY round(avg_pnl, 9) DESC NULLS LAST, trial_id)::INTEGER AS "
+    "rank FROM (SELECT trial_id, count(*) AS n_trades, avg(pnl_pct) AS avg_pnl FROM sp GROUP BY 1) q"
+)(lambda s, d: T.rank_trials(swept(s, d)).select("trial_id", "n_trades", "avg_pnl", "rank"))
+query(
+    "u04_param_product",
+    "SELECT (row_number() OVER (ORDER BY a.i, b.i) - 1)::INTEGER AS trial_id, a.stop, b.hold::DOUBLE AS hold FROM (VALUES (0, "
+    "-0.5::DOUBLE), (1, -0.2::DOUBLE), (2, -0.1::DOUBLE)) a(i, stop) CROSS JOIN (SELECT DISTINCT dense_rank() OVER (ORDER BY "
+    "r_regionkey) AS i, 3 * dense_rank() OVER (ORDER BY r_regionkey) AS hold FROM region) b"
+)(
     lambda s, d: T.grid_frame(s, {"stop": [-0.5, -0.2, -0.1], "hold": {"min": 3, "max": 3 * B.table(s, d, "region").count(), "step": 3}})
 )
 FOLDS = T.walkforward_folds(date(1996, 1, 1), date(2000, 12, 31), 365, 180, 180)
-_FOLD_SQL = "fd(fold, train_start, train_end, test_start, test_end) AS (VALUES " + ", ".join(f"({k}, DATE '{a}', DATE '{b}', DATE '{c}', DATE '{e}')" for k, a, b, c, e in FOLDS) + ")"
-query("b17_folds", B.with_("brand_bars", more=_FOLD_SQL) + "SELECT fold, count(*) AS test_bars FROM fd JOIN brand_bars ON date BETWEEN test_start AND test_end GROUP BY fold")(lambda s, d: B.brand_bars(s, d).join(F.broadcast(T.fold_frame(s, FOLDS)), F.col("date").between(F.col("test_start"), F.col("test_end"))).groupBy("fold").agg(F.count(F.lit(1)).alias("test_bars")))
-query("b18_walkforward", _SW.rstrip() + f", {_FOLD_SQL}, tn AS (SELECT fold, trial_id, avg(pnl_pct) AS train_value FROM sp JOIN fd ON entry_date >= train_start AND exit_date <= train_end GROUP BY 1, 2), bt AS (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(train_value, 9) DESC NULLS LAST, trial_id) = 1), ts AS (SELECT fold, trial_id, count(*) AS n_trades, avg(pnl_pct) AS avg_pnl FROM sp JOIN fd ON entry_date >= test_start AND exit_date <= test_end GROUP BY 1, 2) SELECT b.fold, b.trial_id, b.train_value, t.n_trades, t.avg_pnl, t.avg_pnl - b.train_value AS degradation FROM bt b LEFT JOIN ts t USING (fold, trial_id)")(
+_FOLD_SQL = "fd(fold, train_start, train_end, test_start, test_end) AS (VALUES " + ", ".join(
+    f"({k}, DATE '{a}', DATE '{b}', DATE '{c}', DATE '{e}')" for k,
+    a,
+    b,
+    c,
+    e in FOLDS
+) + ")"
+query(
+    "b17_folds",
+    B.with_("brand_bars", more=_FOLD_SQL) + "SELECT fold, count(*) AS test_bars FROM fd JOIN brand_bars ON date BETWEEN test_start AND test_end GROUP BY fold"
+)(
+    lambda s, d: B.brand_bars(s, d).join(
+        F.broadcast(T.fold_frame(s, FOLDS)),
+        F.col("date").between(F.col("test_start"), F.col("test_end"))
+    ).groupBy("fold").agg(F.count(F.lit(1)).alias("test_bars"))
+)
+query(
+    "b18_walkforward",
+    _SW.rstrip() + f", {_FOLD_SQL}, tn AS (SELECT fold, trial_id, avg(pnl_pct) AS train_value FROM sp JOIN fd ON entry_date >= train_start AND "
+    f"exit_date <= train_end GROUP BY 1, 2), bt AS (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY fold ORDER BY "
+    f"round(train_value, 9) DESC NULLS LAST, trial_id) = 1), ts AS (SELECT fold, trial_id, count(*) AS n_trades, avg(pnl_pct) "
+    f"AS avg_pnl FROM sp JOIN fd ON entry_date >= test_start AND exit_date <= test_end GROUP BY 1, 2) SELECT b.fold, b.trial_id, "
+    f"b.train_value, t.n_trades, t.avg_pnl, t.avg_pnl - b.train_value AS degradation FROM bt b LEFT JOIN ts t USING (fold, trial_id)"
+)(
     lambda s, d: T.walkforward(swept(s, d), T.fold_frame(s, FOLDS)).select("fold", "trial_id", "train_value", "n_trades", "avg_pnl", "degradation")
 )
-query("t02_rank_strategy", B.with_("bars", "factors", "instruments", more=WIDE) + f"SELECT symbol, date, score FROM (SELECT *, {minmax_sql(K.REGISTRY['strong_open'].scoring, 'entry')} AS score FROM (SELECT *, coalesce({entry_sql('strong_open')}, false) AS entry FROM wide) e) x WHERE entry AND date = DATE '1998-06-30' ORDER BY score DESC, symbol LIMIT 50")(
-    lambda s, d: K.rank_result(K.apply(strategy_frame(s, d, strategy_needs(K.REGISTRY["strong_open"])), K.REGISTRY["strong_open"], basic={}).filter("date = DATE '1998-06-30'"), K.REGISTRY["strong_open"]).select("symbol", "date", "score")
+query(
+    "t02_rank_strategy",
+    B.with_(
+        "bars",
+        "factors",
+        "instruments",
+        more=WIDE
+    ) + f"SELECT symbol, date, score FROM (SELECT *, {minmax_sql(K.REGISTRY['strong_open'].scoring, 'entry')} AS score FROM (SELECT "
+    f"*, coalesce({entry_sql('strong_open')}, false) AS entry FROM wide) e) x WHERE entry AND date = DATE '1998-06-30' ORDER BY "
+    f"score DESC, symbol LIMIT 50"
+)(
+    lambda s, d: K.rank_result(
+        K.apply(
+            strategy_frame(s, d, strategy_needs(K.REGISTRY["strong_open"])),
+            K.REGISTRY["strong_open"],
+            basic={}
+        ).filter("date = DATE '1998-06-30'"),
+        K.REGISTRY["strong_open"]
+    ).select("symbol", "date", "score")
 )
-query("t05_daily_slots", B.with_("bars") + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol)::INTEGER AS slot FROM bars QUALIFY slot <= 2")(lambda s, d: T.daily_top_n_slots(bars(s, d).withColumn("score", F.col("amount")), 2).select("symbol", "date", "slot"))
+query(
+    "t05_daily_slots",
+    B.with_("bars") + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol)::INTEGER AS slot FROM bars QUALIFY slot <= 2"
+)(lambda s, d: T.daily_top_n_slots(bars(s, d).withColumn("score", F.col("amount")), 2).select("symbol", "date", "slot"))

@@ -105,14 +105,21 @@ _ALL = (
     Strategy(
         "broken_board_recovery",
         {"require_limit_up": True, "use_volume_filter": True, "vol_ratio_min": 1.5, "use_change_filter": True, "change_pct_min": 0.03},
-        {"require_limit_up": lambda p: c("signal_limit_up"), "use_volume_filter": _volume, "use_change_filter": lambda p: c("change_pct") > p["change_pct_min"]},
+        {
+            "require_limit_up": lambda p: c("signal_limit_up"),
+            "use_volume_filter": _volume,
+            "use_change_filter": lambda p: c("change_pct") > p["change_pct_min"]
+        },
         _below20,
         {"change_pct": 0.4, "vol_ratio_5d": 0.3, "momentum_5d": 0.3}, -0.06, 10,
     ),
     Strategy(
         "bullish_alignment",
         {"require_ma_alignment": True, "require_positive_momentum": True},
-        {"require_ma_alignment": lambda p: (c("ma5") > c("ma10")) & (c("ma10") > c("ma20")) & (c("ma20") > c("ma60")), "require_positive_momentum": _rising},
+        {
+            "require_ma_alignment": lambda p: (c("ma5") > c("ma10")) & (c("ma10") > c("ma20")) & (c("ma20") > c("ma60")),
+            "require_positive_momentum": _rising
+        },
         _below20_or_dead,
         {"momentum_60d": 0.4, "momentum_20d": 0.3, "turnover_rate": 0.3}, -0.06, 20, 100, STOCK_ETF,
     ),
@@ -140,7 +147,11 @@ _ALL = (
     Strategy(
         "low_volatility_leader",
         {"require_positive_momentum": True, "use_volatility_filter": True, "vol_max": 0.30, "require_above_ma20": True},
-        {"require_positive_momentum": _rising, "use_volatility_filter": lambda p: c("annual_vol_20d") < p["vol_max"], "require_above_ma20": _above("ma20")},
+        {
+            "require_positive_momentum": _rising,
+            "use_volatility_filter": lambda p: c("annual_vol_20d") < p["vol_max"],
+            "require_above_ma20": _above("ma20")
+        },
         _below20,
         {"momentum_60d": 0.4, "momentum_20d": 0.3, "turnover_rate": 0.3}, -0.05, 30, 100, STOCK_ETF,
     ),
@@ -189,21 +200,41 @@ _ALL = (
     Strategy(
         "pullback_ma20_bounce",
         {"use_ma20_proximity": True, "ma_proximity": 2.0, "require_ma_alignment": True, "require_positive_change": True},
-        {"use_ma20_proximity": _near20(0.01), "require_ma_alignment": lambda p: (c("ma5") > c("ma20")) & (c("ma20") > c("ma60")), "require_positive_change": lambda p: c("change_pct") > 0},
+        {
+            "use_ma20_proximity": _near20(0.01),
+            "require_ma_alignment": lambda p: (c("ma5") > c("ma20")) & (c("ma20") > c("ma60")),
+            "require_positive_change": lambda p: c("change_pct") > 0
+        },
         _below20_or_dead,
         {"momentum_60d": 0.4, "change_pct": 0.3, "momentum_20d": 0.3}, -0.05, 15, 50,
     ),
     Strategy(
         "pullback_to_support",
-        {"use_ma20_proximity": True, "ma_proximity": 0.02, "use_volume_filter": True, "vol_ratio_max": 0.8, "require_above_ma60": True, "require_positive_momentum": True},
-        {"use_ma20_proximity": _near20(1.0), "use_volume_filter": lambda p: c("vol_ratio_5d") < p["vol_ratio_max"], "require_above_ma60": _above("ma60"), "require_positive_momentum": _rising},
+        {
+            "use_ma20_proximity": True,
+            "ma_proximity": 0.02,
+            "use_volume_filter": True,
+            "vol_ratio_max": 0.8,
+            "require_above_ma60": True,
+            "require_positive_momentum": True
+        },
+        {
+            "use_ma20_proximity": _near20(1.0),
+            "use_volume_filter": lambda p: c("vol_ratio_5d") < p["vol_ratio_max"],
+            "require_above_ma60": _above("ma60"),
+            "require_positive_momentum": _rising
+        },
         _below20,
         {"momentum_60d": 0.4, "momentum_20d": 0.3, "turnover_rate": 0.3}, -0.05, 20, 100, STOCK_ETF,
     ),
     Strategy(
         "strong_open",
         {"use_open_gap_filter": True, "min_open_gap": 3.0, "require_close_above_open": True, "use_change_filter": True, "min_change": 3.0},
-        {"use_open_gap_filter": lambda p: c("open") > lag("close") * (1 + p["min_open_gap"] / 100), "require_close_above_open": _candle, "use_change_filter": _change},
+        {
+            "use_open_gap_filter": lambda p: c("open") > lag("close") * (1 + p["min_open_gap"] / 100),
+            "require_close_above_open": _candle,
+            "use_change_filter": _change
+        },
         _below20,
         {"change_pct": 0.4, "amplitude": 0.2, "amount": 0.4}, -0.05, 10, 50,
     ),
@@ -255,7 +286,10 @@ def entry_of(s: Strategy, params: dict | None = None, basic: dict | None = None,
     p = resolve_params(s, explicit=params)
     kinds = s.asset_types if asset_type is None else (asset_type,)
     conditions = [basic_filter({**DEFAULT_BASIC, **s.basic} if basic is None else basic), c("type").isin(*kinds)]
-    return F.coalesce(reduce(lambda a, b: a & b, [rule(p) for switch, rule in s.entry.items() if p[switch]], conditions[0] & conditions[1]), F.lit(False))
+    return F.coalesce(
+        reduce(lambda a, b: a & b, [rule(p) for switch, rule in s.entry.items() if p[switch]], conditions[0] & conditions[1]),
+        F.lit(False)
+    )
 
 
 def minmax_score(weights: dict[str, float], universe: Column | None = None) -> Column:
@@ -271,7 +305,10 @@ def minmax_score(weights: dict[str, float], universe: Column | None = None) -> C
 
 def apply(df: DataFrame, s: Strategy, params: dict | None = None, basic: dict | None = None, asset_type: str | None = None) -> DataFrame:
     """``df`` with ``entry``, ``exit`` and ``score``."""
-    out = df.withColumn("entry", entry_of(s, params, basic, asset_type)).withColumn("exit", F.coalesce(s.exit(), F.lit(False)) if s.exit else F.lit(False))
+    out = df.withColumn("entry", entry_of(s, params, basic, asset_type)).withColumn(
+        "exit",
+        F.coalesce(s.exit(), F.lit(False)) if s.exit else F.lit(False)
+    )
     return out.withColumn("score", minmax_score(s.scoring, c("entry")))
 
 

@@ -16,13 +16,37 @@ from ..operators.filters import filter_halt_days
 from ..operators.joins import dedup_last
 
 _D, _S = T.DoubleType(), T.StringType()
-DAILY = T.StructType([T.StructField("symbol", _S), T.StructField("date", T.DateType()), *[T.StructField(c, _D) for c in ("open", "high", "low", "close", "volume", "amount")], T.StructField("quote_ts", T.LongType())])
-ENRICHED = T.StructType([*DAILY.fields, *[T.StructField(c, _D) for c in ("raw_close", "raw_high", "raw_low", "turnover_rate")], T.StructField("consecutive_limit_ups", T.IntegerType()), T.StructField("consecutive_limit_downs", T.IntegerType())])
-MINUTE = T.StructType([T.StructField("symbol", _S), T.StructField("datetime", T.TimestampType()), *[T.StructField(c, _D) for c in ("open", "high", "low", "close", "volume", "amount")]])
+DAILY = T.StructType(
+    [
+        T.StructField("symbol", _S),
+        T.StructField("date", T.DateType()),
+        *[T.StructField(c, _D) for c in ("open", "high", "low", "close", "volume", "amount")],
+        T.StructField("quote_ts", T.LongType())
+    ]
+)
+ENRICHED = T.StructType(
+    [
+        *DAILY.fields,
+        *[T.StructField(c, _D) for c in ("raw_close", "raw_high", "raw_low", "turnover_rate")],
+        T.StructField("consecutive_limit_ups", T.IntegerType()),
+        T.StructField("consecutive_limit_downs", T.IntegerType())
+    ]
+)
+MINUTE = T.StructType(
+    [
+        T.StructField("symbol", _S),
+        T.StructField("datetime", T.TimestampType()),
+        *[T.StructField(c, _D) for c in ("open", "high", "low", "close", "volume", "amount")]
+    ]
+)
 
 #: Vendor column names and ours.
 ALIASES = {"ts_code": "symbol", "trade_date": "date", "vol": "volume", "amt": "amount", "timestamp": "datetime", "time": "datetime"}
-TRANSFORMS = {"x100": lambda c: c.try_cast("double") * 100, "d100": lambda c: F.try_divide(c.try_cast("double"), F.lit(100.0)), "d10000": lambda c: F.try_divide(c.try_cast("double"), F.lit(10000.0))}
+TRANSFORMS = {
+    "x100": lambda c: c.try_cast("double") * 100,
+    "d100": lambda c: F.try_divide(c.try_cast("double"), F.lit(100.0)),
+    "d10000": lambda c: F.try_divide(c.try_cast("double"), F.lit(10000.0))
+}
 ENCODINGS = ("utf-8", "gb18030", "gbk", "gb2312", "big5")
 
 
@@ -51,7 +75,9 @@ def scan_enriched(spark: SparkSession, path: str, columns: list[str] | None = No
 
 def scan_minute_range(minutes: DataFrame, symbols: list[str], start, end) -> DataFrame:
     day = F.to_date("datetime")
-    return minutes.filter(F.col("symbol").isin(symbols) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))).orderBy("symbol", "datetime")
+    return minutes.filter(
+        F.col("symbol").isin(symbols) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    ).orderBy("symbol", "datetime")
 
 
 def scan_minute_dates(minutes: DataFrame, days: DataFrame) -> DataFrame:
@@ -83,7 +109,10 @@ def read_csv_any_encoding(spark: SparkSession, path: str, symbol_names: tuple[st
     if encoding != "utf-8":  # Spark reads other character sets only with this setting
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = clean_column_names(spark.read.csv(path, header=True, encoding=encoding))
-    hit = next((c for c in df.columns for s in symbol_names if c.strip().lower() == s), None) or next((c for c in df.columns for s in symbol_names if s in c.lower()), None)
+    hit = next(
+        (c for c in df.columns for s in symbol_names if c.strip().lower() == s),
+        None
+    ) or next((c for c in df.columns for s in symbol_names if s in c.lower()), None)
     return df.withColumnRenamed(hit, "symbol") if hit and hit != "symbol" else df
 
 
@@ -119,7 +148,9 @@ def _renamed(df: DataFrame) -> DataFrame:
 def any_date(c: Column, kind: str) -> Column:
     """A date from a date, a timestamp, epoch milliseconds, or text as 2024-01-31 or 20240131."""
     if kind in ("bigint", "int"):
-        return F.when(c > 100_000_000, F.timestamp_millis(c).cast("date")).otherwise(F.try_to_timestamp(c.cast("string"), F.lit("yyyyMMdd")).cast("date"))
+        return F.when(c > 100_000_000, F.timestamp_millis(c).cast("date")).otherwise(
+            F.try_to_timestamp(c.cast("string"), F.lit("yyyyMMdd")).cast("date")
+        )
     if kind == "string":
         return F.coalesce(F.try_to_timestamp(c, F.lit("yyyyMMdd")).cast("date"), c.try_cast("date"))
     return c.cast("date")
@@ -129,7 +160,9 @@ def normalize_daily(df: DataFrame) -> DataFrame:
     """Vendor rows as canonical daily bars, without halts; what can't be read is null."""
     df = _renamed(df)
     kinds = dict(df.dtypes)
-    df = df.withColumn("date", any_date(F.col("date"), kinds["date"])).withColumns({c: F.col(c).try_cast("double") for c in ("open", "high", "low", "close", "volume", "amount") if c in kinds})
+    df = df.withColumn("date", any_date(F.col("date"), kinds["date"])).withColumns(
+        {c: F.col(c).try_cast("double") for c in ("open", "high", "low", "close", "volume", "amount") if c in kinds}
+    )
     return filter_halt_days(conform(df, DAILY)).filter("symbol IS NOT NULL AND date IS NOT NULL")
 
 
@@ -163,7 +196,10 @@ def flatten_labels(labels: Column, joiner: str = ";") -> Column:
 def cast_to_config(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Declared types string, int, float, bool; lists become strings joined by ``;``."""
     names, kinds = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean"}, dict(df.dtypes)
-    one = lambda c, t: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ";") if kinds[c].startswith("array") else F.col(c).try_cast(names[t])
+    one = lambda c, t: F.array_join(
+        F.transform(F.col(c), lambda x: x.cast("string")),
+        ";"
+    ) if kinds[c].startswith("array") else F.col(c).try_cast(names[t])
     return df.withColumns({c: one(c, t) for c, t in types.items() if c in kinds})
 
 

@@ -29,17 +29,43 @@ def ticks(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 def _ohlcv() -> list[Column]:
     seq = F.struct("ts", "event_id")
-    return [F.min_by("value", seq).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", seq).alias("close"), F.count(F.lit(1)).alias("volume"), F.sum("value").alias("amount")]
+    return [
+        F.min_by("value", seq).alias("open"),
+        F.max("value").alias("high"),
+        F.min("value").alias("low"),
+        F.max_by("value", seq).alias("close"),
+        F.count(F.lit(1)).alias("volume"),
+        F.sum("value").alias("amount")
+    ]
 
 
 def tumbling_bars(events: DataFrame, width: str = "1 minute") -> DataFrame:
     """OHLCV bars of each symbol and window, for append mode."""
-    return events.groupBy("symbol", F.window("ts", width).alias("w")).agg(*_ohlcv()).select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume", "amount")
+    return events.groupBy("symbol", F.window("ts", width).alias("w")).agg(*_ohlcv()).select(
+        "symbol",
+        F.col("w.start").alias("start"),
+        "open",
+        "high",
+        "low",
+        "close",
+        "volume",
+        "amount"
+    )
 
 
 def phase_bars(events: DataFrame) -> DataFrame:
     """Bars of each symbol, day and session phase, under the same watermark."""
-    return events.groupBy("symbol", F.window("ts", "1 day").alias("w"), session_phase(F.col("ts")).alias("phase")).agg(*_ohlcv()).select("symbol", F.to_date("w.start").alias("date"), "phase", "open", "high", "low", "close", "volume", "amount")
+    return events.groupBy("symbol", F.window("ts", "1 day").alias("w"), session_phase(F.col("ts")).alias("phase")).agg(*_ohlcv()).select(
+        "symbol",
+        F.to_date("w.start").alias("date"),
+        "phase",
+        "open",
+        "high",
+        "low",
+        "close",
+        "volume",
+        "amount"
+    )
 
 
 def session_gate(quotes: DataFrame) -> DataFrame:
@@ -54,9 +80,22 @@ def scaled_volume_ratio(quotes: DataFrame) -> DataFrame:
 def quotes_to_bars(quotes: DataFrame) -> DataFrame:
     """The day's bar of each symbol from its last quote; bad prices become the last price."""
     seq = F.struct("ts", "event_id")
-    last = quotes.groupBy("symbol", F.to_date("ts").alias("date")).agg(*[F.max_by(c, seq).alias(c) for c in ("last_price", "open", "high", "low", "volume", "amount")], F.max("ts").alias("quote_ts"))
+    last = quotes.groupBy("symbol", F.to_date("ts").alias("date")).agg(
+        *[F.max_by(c, seq).alias(c) for c in ("last_price", "open", "high", "low", "volume", "amount")],
+        F.max("ts").alias("quote_ts")
+    )
     good = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, F.col("last_price")).otherwise(F.col(c)).alias(c)
-    return last.select("symbol", "date", good("open"), good("high"), good("low"), F.col("last_price").alias("close"), "volume", "amount", F.unix_millis("quote_ts").alias("quote_ts"))
+    return last.select(
+        "symbol",
+        "date",
+        good("open"),
+        good("high"),
+        good("low"),
+        F.col("last_price").alias("close"),
+        "volume",
+        "amount",
+        F.unix_millis("quote_ts").alias("quote_ts")
+    )
 
 
 def upsert_stream(quotes: DataFrame, path: str, checkpoint: str):
@@ -72,7 +111,9 @@ def evaluate_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
     """``rule, symbol, ts`` of every row that matches a rule, within the rule's scope; one pass for all rules."""
     if not rules:
         return df.select(F.lit("").alias("rule"), "symbol", "ts").limit(0)
-    hits = [F.when(in_scope(r["scope"], r.get("symbols")) & matches(r["conditions"], r.get("logic", "and"), df.columns), F.lit(r["id"])) for r in rules]
+    hits = [
+        F.when(in_scope(r["scope"], r.get("symbols")) & matches(r["conditions"], r.get("logic", "and"), df.columns), F.lit(r["id"])) for r in rules
+    ]
     return df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("rule"), "symbol", "ts")
 
 
@@ -188,7 +229,12 @@ def pool_rows(hits: DataFrame, strategies: DataFrame, run: int) -> DataFrame:
 
 
 def pool_changes(pools: DataFrame, most: int = 5) -> DataFrame:
-    return pools.groupBy("strategy").transformWithStateInPandas(PoolDiff(most), "strategy string, run int, symbol string, change string", "Append", "None")
+    return pools.groupBy("strategy").transformWithStateInPandas(
+        PoolDiff(most),
+        "strategy string, run int, symbol string, change string",
+        "Append",
+        "None"
+    )
 
 
 #: Exponential means kept as state: name and weight of the new value.
@@ -198,8 +244,17 @@ _EMA = {**{f"ema{n}": 2 / (n + 1) for n in (5, 10, 20, 30, 60)}, "ema12": 2 / 13
 class Indicators(StatefulProcessor):
     """The recursive indicators, bar by bar: state is a few numbers and the last nine highs and lows."""
 
-    STATE = ", ".join([*(f"{c} double" for c in (*_EMA, "dea", "k", "d", "atr", "close", *[f"{x}{n}" for n in (6, 14, 24) for x in ("gain", "loss")])), "highs array<double>", "lows array<double>"])
-    OUT = "symbol string, date date, ema5 double, ema10 double, ema20 double, ema30 double, ema60 double, macd_dif double, macd_dea double, macd_hist double, kdj_k double, kdj_d double, kdj_j double, atr_14 double, rsi_6 double, rsi_14 double, rsi_24 double"
+    STATE = ", ".join(
+        [
+            *(f"{c} double" for c in (*_EMA, "dea", "k", "d", "atr", "close", *[f"{x}{n}" for n in (6, 14, 24) for x in ("gain", "loss")])),
+            "highs array<double>",
+            "lows array<double>"
+        ]
+    )
+    OUT = (
+        "symbol string, date date, ema5 double, ema10 double, ema20 double, ema30 double, ema60 double, macd_dif double, macd_dea "
+        "double, macd_hist double, kdj_k double, kdj_d double, kdj_j double, atr_14 double, rsi_6 double, rsi_14 double, rsi_24 double"
+    )
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", self.STATE)
@@ -240,7 +295,12 @@ def step(s: dict | None, high: float, low: float, close: float) -> tuple[dict, d
     spread = high - low if first else max(high - low, abs(high - s["close"]), abs(low - s["close"]))
     s["atr"] = _mean(s.get("atr"), spread, 1 / 14)
     move = 0.0 if first else close - s["close"]
-    row = {f"ema{n}": s[f"ema{n}"] for n in (5, 10, 20, 30, 60)} | {"macd_dif": dif, "macd_dea": s["dea"], "macd_hist": 2 * (dif - s["dea"]), "atr_14": s["atr"]}
+    row = {f"ema{n}": s[f"ema{n}"] for n in (5, 10, 20, 30, 60)} | {
+        "macd_dif": dif,
+        "macd_dea": s["dea"],
+        "macd_hist": 2 * (dif - s["dea"]),
+        "atr_14": s["atr"]
+    }
     row |= {"kdj_k": s["k"], "kdj_d": s["d"], "kdj_j": 3 * s["k"] - 2 * s["d"]} if fine else {"kdj_k": None, "kdj_d": None, "kdj_j": None}
     for n in (6, 14, 24):
         gain, loss = s[f"gain{n}"], s[f"loss{n}"] = _mean(s.get(f"gain{n}"), max(move, 0.0), 1 / n), _mean(s.get(f"loss{n}"), max(-move, 0.0), 1 / n)
