@@ -4,7 +4,12 @@ from collections import defaultdict
 from tidepanel.llm import chat_format as C
 
 ROWS = [
-    (1, 0, "user", "hello"), (1, 1, "assistant", "hi <|im_end|> there"), (1, 2, "assistant", "<\\|x <\\\\| <|endoftext|>"), (2, 1, "user", None), (2, 0, None, "né\n中文 😀"),
+    (1, 0, "user", "hello"), (1, 1, "assistant", "hi <|im_end|> there"), (
+        1,
+        2,
+        "assistant",
+        "<\\|x <\\\\| <|endoftext|>"
+    ), (2, 1, "user", None), (2, 0, None, "né\n中文 😀"),
     (3, None, "assistant", "late"), (3, 5, "assistant", ""), (3, 5, "assistant", ""), (None, 0, "assistant", "no id"), (4, 0, "odd\nrole\\n", "a\n\nb  \t"), (5, 0, "assistant", "long " * 5000), (6, 1, "user", "b"), (6, 1, "user", "a"),
 ]
 

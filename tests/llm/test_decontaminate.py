@@ -53,7 +53,9 @@ def test_finds_what_brute_force_finds(spark, monkeypatch):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in D.leak_report(df, bench).collect()}
     assert got == want and want
-    blocks = {(r["doc_id"], r["leak"]["item_id"]) for r in D.with_leaks(df, bench, block_words=60).selectExpr("doc_id", "explode(leaks) AS leak").collect()}
+    blocks = {
+        (r["doc_id"], r["leak"]["item_id"]) for r in D.with_leaks(df, bench, block_words=60).selectExpr("doc_id", "explode(leaks) AS leak").collect()
+    }
     assert blocks == got == {(r["doc_id"], r["item_id"]) for r in D.leak_report(df, bench, block_words=60).collect()}
     monkeypatch.setattr(D, "SLICE", 64)
     small = D.Index(items)
@@ -75,7 +77,16 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
 
 def test_edge_cases(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
-    docs = [(1, passage), (1, passage), (None, "x " + passage.upper() + "!"), (3, None), (4, ""), (5, "alpha beta"), (6, passage[5:] * 1), (7, "word " * 20000 + passage)]
+    docs = [
+        (1, passage),
+        (1, passage),
+        (None, "x " + passage.upper() + "!"),
+        (3, None),
+        (4, ""),
+        (5, "alpha beta"),
+        (6, passage[5:] * 1),
+        (7, "word " * 20000 + passage)
+    ]
     df = spark.createDataFrame([(*d, 9) for d in docs], "doc_id long, text string, __leaks long")
     bench = spark.createDataFrame([(None, passage), (2, passage), (3, "alpha beta"), (4, None), (5, "")], "item_id long, text string")
     got = sorted((str(r["doc_id"]), str(r["item_id"])) for r in D.leak_report(df, bench).collect())

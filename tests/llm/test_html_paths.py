@@ -20,7 +20,10 @@ def test_keeps_the_article_and_drops_the_rest():
 
 
 def test_finds_a_container_without_an_article_tag():
-    body = f"<div id=top><a href=/>a</a> <a href=/b>b</a></div><div class=sidebar><ul><li><a>x</a></li></ul></div><div class=post><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><p>Short.</p></div><div class='footer'>Foot</div>"
+    body = (
+        f"<div id=top><a href=/>a</a> <a href=/b>b</a></div><div class=sidebar><ul><li><a>x</a></li></ul></div><div "
+        f"class=post><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><p>Short.</p></div><div class='footer'>Foot</div>"
+    )
     assert main_text(page(body)) == f"Head\n{LONG}\n{LONG}\nShort."
 
 
@@ -31,7 +34,12 @@ def test_edge_cases(spark):
     assert main_text(f"<article><p>a < b and {LONG}</p><!-- open") == f"a < b and {LONG}"
     deep = "<div>" * 3000 + LONG
     assert main_text(deep) == LONG
-    rows = [(1, "u", page(f"<article><p>{LONG}</p></article>")), (1, "u", None), (None, None, ""), (2, "v", page("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>"))]
+    rows = [
+        (1, "u", page(f"<article><p>{LONG}</p></article>")),
+        (1, "u", None),
+        (None, None, ""),
+        (2, "v", page("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>"))
+    ]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, n_chars int")
     out = extract_report(df).collect()
     assert [r["n_chars"] for r in out] == [len(LONG), 0, 0, 5000 * (len(LONG) + 1) - 1]
@@ -95,7 +103,18 @@ class Reference(HTMLParser):
             return
         if self.fresh:
             places = tuple(k for k, x in enumerate(self.open) if x[0] in H.BLOCKS)
-            self.blocks.append({"path": tuple(self.open[k][1] for k in places), "never": self.open[-1][2], "named": self.open[-1][3], "text": "", "linked": 0, "article": any(x[0] == "article" for x in self.open), "n": 0, "marks": 0})
+            self.blocks.append(
+                {
+                    "path": tuple(self.open[k][1] for k in places),
+                    "never": self.open[-1][2],
+                    "named": self.open[-1][3],
+                    "text": "",
+                    "linked": 0,
+                    "article": any(x[0] == "article" for x in self.open),
+                    "n": 0,
+                    "marks": 0
+                }
+            )
             self.fresh = False
         b = self.blocks[-1]
         b["text"] += data
@@ -139,10 +158,27 @@ def test_agrees_with_a_reference_version(spark):
         return " ".join(rng.choice(["word", "and,", "then.", "more", "text;", "so"]) for _ in range(n))
 
     for _ in range(200):
-        parts = ["<nav><ul><li><a href=/x>X</a></li></ul></nav>", f'<div class="ad">{words(rng.randint(1, 60))}</div>', f'<div class="k{rng.randint(0, 3)}">{words(rng.randint(1, 9))}</div>', f'<div class="links"><a href=/>{words(12)}</a> | <a href=/>{words(3)}</a></div>']
+        parts = [
+            "<nav><ul><li><a href=/x>X</a></li></ul></nav>",
+            f'<div class="ad">{words(rng.randint(1, 60))}</div>',
+            f'<div class="k{rng.randint(0, 3)}">{words(rng.randint(1, 9))}</div>',
+            f'<div class="links"><a href=/>{words(12)}</a> | <a href=/>{words(3)}</a></div>'
+        ]
         rng.shuffle(parts)
-        inner = "".join(rng.choice([f"<p>{words(rng.randint(1, 80))}</p>", f"<h2>{words(3)}</h2>", f"<ul><li>{words(2)}</li><li><a href=/>{words(2)}</a></li></ul>", f'<div class="comment"><p>{words(40)}</p></div>', f"<p><b>{words(4)}</b> &amp; {words(20)}<br>{words(2)}</p>"]) for _ in range(rng.randint(1, 12)))
-        source = page("".join([*parts[:2], f"<article><h1>{words(4)}</h1><p>{words(90)}</p>{inner}</article>", *parts[2:], "<footer>&copy; foot</footer>"]))
+        inner = "".join(
+            rng.choice(
+                [
+                    f"<p>{words(rng.randint(1, 80))}</p>",
+                    f"<h2>{words(3)}</h2>",
+                    f"<ul><li>{words(2)}</li><li><a href=/>{words(2)}</a></li></ul>",
+                    f'<div class="comment"><p>{words(40)}</p></div>',
+                    f"<p><b>{words(4)}</b> &amp; {words(20)}<br>{words(2)}</p>"
+                ]
+            ) for _ in range(rng.randint(1, 12))
+        )
+        source = page(
+            "".join([*parts[:2], f"<article><h1>{words(4)}</h1><p>{words(90)}</p>{inner}</article>", *parts[2:], "<footer>&copy; foot</footer>"])
+        )
         reference = Reference()
         reference.feed(source)
         assert main_text(source) == reference.main_text()
@@ -150,6 +186,12 @@ def test_agrees_with_a_reference_version(spark):
 
 def test_hostile_pages_take_linear_time():
     began = time.time()
-    for source in ("<article>" + "<p>it's <b x='1>word" * 20000, "<div>" * 20000 + "x" + "</b></div>" * 20000, "<b>" + "<div>x</b>" * 20000, '<a href="' * 20000 + "'", "<!--" * 20000 + "<x y" * 20000):
+    for source in (
+        "<article>" + "<p>it's <b x='1>word" * 20000,
+        "<div>" * 20000 + "x" + "</b></div>" * 20000,
+        "<b>" + "<div>x</b>" * 20000,
+        '<a href="' * 20000 + "'",
+        "<!--" * 20000 + "<x y" * 20000
+    ):
         main_text(source)
     assert time.time() - began < 15

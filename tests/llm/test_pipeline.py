@@ -13,13 +13,26 @@ def tables(tmp_path_factory):
     import random
 
     rng, folder = random.Random(2), tmp_path_factory.mktemp("sf")
-    docs = [(i, "\n".join(["common line on all pages", *(" ".join(rng.choice(GOOD) for _ in range(30)) for _ in range(4))]), "en", f"s{i % 2}") for i in range(60)]
+    docs = [
+        (
+            i,
+            "\n".join(["common line on all pages", *(" ".join(rng.choice(GOOD) for _ in range(30)) for _ in range(4))]),
+            "en",
+            f"s{i % 2}"
+        ) for i in range(60)
+    ]
     docs += [(100 + i, " ".join(rng.choice(["BUY!!", "$$$", "NOW###"]) for _ in range(60)), "en", "s0") for i in range(20)]
     docs += [(200 + i, docs[3][1], "en", "s1") for i in range(3)]
     passage = " ".join(f"{rng.choice(GOOD)}{k}" for k in range(30))
     docs += [(300, docs[5][1] + "\n" + passage, "en", "s0"), (301, None, "en", None)]
-    pd.DataFrame([(*d, len(d[1] or "")) for d in docs], columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(folder / "documents.parquet")
-    pd.DataFrame([(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(20)], columns=["doc_id", "quality", "toxic"]).to_parquet(folder / "labels.parquet")
+    pd.DataFrame(
+        [(*d, len(d[1] or "")) for d in docs],
+        columns=["doc_id", "text", "lang", "source", "n_chars"]
+    ).to_parquet(folder / "documents.parquet")
+    pd.DataFrame(
+        [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(20)],
+        columns=["doc_id", "quality", "toxic"]
+    ).to_parquet(folder / "labels.parquet")
     pd.DataFrame([(1, passage)], columns=["item_id", "text"]).to_parquet(folder / "benchmark.parquet")
     return str(folder)
 

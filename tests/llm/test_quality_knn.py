@@ -21,7 +21,10 @@ def corpus():
 
 
 def tables(spark, rows):
-    return spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows], "doc_id long, text string, score double"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    return spark.createDataFrame(
+        [(i, t, 1.0) for i, t, _ in rows],
+        "doc_id long, text string, score double"
+    ), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
 
 
 def test_held_out_accuracy(spark, corpus):

@@ -73,7 +73,16 @@ def test_star_of_thousands_has_linear_links(spark):
 
 
 def test_edge_cases(spark):
-    rows = [(None, "same words here now"), (5, "same words here now"), (3, "same words here now"), (9, None), (8, ""), (9, None), (None, "lonely other words apart"), (1, "x " * 3000)]
+    rows = [
+        (None, "same words here now"),
+        (5, "same words here now"),
+        (3, "same words here now"),
+        (9, None),
+        (8, ""),
+        (9, None),
+        (None, "lonely other words apart"),
+        (1, "x " * 3000)
+    ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, fp string")
     out = S.report(df).collect()
     assert len(out) == len(rows)
@@ -81,13 +90,18 @@ def test_edge_cases(spark):
     assert got == sorted([("None", 3), ("5", 3), ("3", 3), ("9", 8), ("8", 8), ("9", 8), ("None", None), ("1", 1)], key=str)
     kept = S.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("3", "same words here now"), ("8", ""), ("None", "lonely other words apart"), ("1", "x " * 3000)])
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted(
+        [("3", "same words here now"), ("8", ""), ("None", "lonely other words apart"), ("1", "x " * 3000)]
+    )
     assert S.report(df.limit(0)).count() == 0
     assert S.keep_one(df.limit(0)).count() == 0
 
 
 def test_stage_keeps_columns_of_its_own_names(spark):
-    df = spark.createDataFrame([(1, "a b c d e f g", 7, 8, 9), (2, "a b c d e f g", 7, 8, 9)], "doc_id long, text string, __NODE int, __root int, __component int")
+    df = spark.createDataFrame(
+        [(1, "a b c d e f g", 7, 8, 9), (2, "a b c d e f g", 7, 8, 9)],
+        "doc_id long, text string, __NODE int, __root int, __component int"
+    )
     assert [tuple(r) for r in S.keep_one(df).collect()] == [(1, "a b c d e f g", 7, 8, 9)]
 
 

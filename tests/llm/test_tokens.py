@@ -85,7 +85,17 @@ def test_runs_do_not_grow_with_the_corpus():
     assert sizes[1] < 1.5 * sizes[0] < 40_000
 
 
-ROWS = [(3, "a long " * 3000), (1, "short one"), (None, "no id"), (2, None), (1, "short one"), (7, ""), (None, "no id either"), (-(1 << 62), "least"), (1 << 62, "most")]
+ROWS = [
+    (3, "a long " * 3000),
+    (1, "short one"),
+    (None, "no id"),
+    (2, None),
+    (1, "short one"),
+    (7, ""),
+    (None, "no id either"),
+    (-(1 << 62), "least"),
+    (1 << 62, "most")
+]
 
 
 def rows(spark):

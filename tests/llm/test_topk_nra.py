@@ -6,7 +6,10 @@ S = "vec_id long, embedding array<float>, score int"
 
 
 def brute(rows, k=20, every=20):
-    fine = [(i, np.floor(64 * np.array(v, dtype=np.float32).astype(np.float64)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [
+        (i, np.floor(64 * np.array(v, dtype=np.float32).astype(np.float64)).astype(int)) for i,
+        v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)
+    ]
     out = []
     for i, q in fine:
         if i % every == 0:
@@ -65,7 +68,19 @@ def test_bounds_hold_at_every_step(monkeypatch):
 
 
 def test_edge_cases(spark):
-    rows = [(0, [0.5, 1.0]), (0, [0.5, 1.0]), (20, [float("nan"), 1.0]), (40, None), (60, [None, 1.0]), (80, []), (100, [float("inf")]), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0]), (3, [1e6, 1e6])]
+    rows = [
+        (0, [0.5, 1.0]),
+        (0, [0.5, 1.0]),
+        (20, [float("nan"), 1.0]),
+        (40, None),
+        (60, [None, 1.0]),
+        (80, []),
+        (100, [float("inf")]),
+        (None, [1.0, 1.0]),
+        (1, [1.0, 1.0]),
+        (2, [2.0]),
+        (3, [1e6, 1e6])
+    ]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in N.search_report(table(spark, rows)).collect())
     assert got == [(0, 1, 3, 32 * 64_000_000 + 64 * 64_000_000), (0, 2, 1, 32 * 64 + 64 * 64), (0, 3, 2, 32 * 128)]
     assert N.search_report(table(spark, [(7, [1.0])])).count() == 0

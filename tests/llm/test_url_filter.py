@@ -17,7 +17,27 @@ def brute_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-URLS = [None, "", "no scheme", "http://", "http://a.ORG/x?y=1&z=2#f", "https://Example.org/es/1", "https://m.example.org/en/12", "http://example.org", "http://notexample.org/es/", "https://x.com/fr/a", "http://x.com/de/b", "http://com/fr/", "ftp://ÄB.com/FR/", "http://h?x=/", "http://h#://", "://org/", "a://b://c/d", "http://x.net/" + "p/" * 3000, "http://x.com/fr/a"]
+URLS = [
+    None,
+    "",
+    "no scheme",
+    "http://",
+    "http://a.ORG/x?y=1&z=2#f",
+    "https://Example.org/es/1",
+    "https://m.example.org/en/12",
+    "http://example.org",
+    "http://notexample.org/es/",
+    "https://x.com/fr/a",
+    "http://x.com/de/b",
+    "http://com/fr/",
+    "ftp://ÄB.com/FR/",
+    "http://h?x=/",
+    "http://h#://",
+    "://org/",
+    "a://b://c/d",
+    "http://x.net/" + "p/" * 3000,
+    "http://x.com/fr/a"
+]
 
 
 def test_host_path_and_rules(spark):
@@ -52,8 +72,14 @@ def test_trees_judge_held_out_urls_rightly(spark):
 
 def test_no_label_reaches_its_own_features(spark):
     """One URL's label changes neither its own share of blocked URLs nor that of its fold."""
-    rows = U.lexical(U.judged(spark.createDataFrame([(k, f"http://h{k}.com/{'de' if k < 30 else 'fr'}/{k}") for k in range(60)], "page_id long, url string")))
+    rows = U.lexical(
+        U.judged(spark.createDataFrame([(k, f"http://h{k}.com/{'de' if k < 30 else 'fr'}/{k}") for k in range(60)], "page_id long, url string"))
+    )
     flipped = rows.withColumn("ruled", U.F.when(U.F.col("page_id") == 7, "allow").otherwise(U.F.col("ruled")))
-    shares = [{r["page_id"]: (r["suffix_blocked"], r["section_blocked"]) for r in U._with_statistics(x, U.suffix_sums(x), True).collect()} for x in (rows, flipped)]
+    shares = [
+        {
+            r["page_id"]: (r["suffix_blocked"], r["section_blocked"]) for r in U._with_statistics(x, U.suffix_sums(x), True).collect()
+        } for x in (rows, flipped)
+    ]
     fold = {r["page_id"]: r["fold"] for r in rows.select("page_id", "fold").collect()}
     assert {k for k in fold if shares[0][k] == shares[1][k]} == {k for k in fold if fold[k] == fold[7]}

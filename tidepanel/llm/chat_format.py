@@ -91,7 +91,14 @@ def disassemble(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[str, str,
     return unescape_role(role), unescape(text), unescape("".join(parts[1::2])), len(START) + len(whole) + len(END) + len(one.text(ids[end + 1 :]))
 
 
-def format_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+def format_turns(
+    df: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    tokenizer: str | None = None
+) -> DataFrame:
     """``conv_id, turn, ids, loss_mask`` of every turn, in the order of the rows."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     text_batches(df.sparkSession)
@@ -100,9 +107,17 @@ def format_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
         for batch in batches:
             both = [assemble(a or "", b or "", path) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in both], kind), pa.array([b for _, b in both], kind)], names=["conv_id", "turn", "ids", "loss_mask"])
-
-    rows = df.select(F.col(conversation).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([a for a, _ in both], kind), pa.array([b for _, b in both], kind)],
+                names=["conv_id", "turn", "ids", "loss_mask"]
+            )
+
+    rows = df.select(
+        F.col(conversation).cast("long").alias("conv_id"),
+        F.col(turn).cast("long").alias("turn"),
+        F.col(role).alias("role"),
+        F.col(text).alias("text")
+    )
     return rows.mapInArrow(of, "conv_id long, turn long, ids array<int>, loss_mask array<int>")
 
 
@@ -120,7 +135,10 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
         def flush():
             columns = list(zip(*done))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            )
 
         for batch in batches:
             for conv, ids, mask in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -153,7 +171,12 @@ def chat_report(df: DataFrame) -> DataFrame:
     Turns are sorted before they are formatted, within the partitions of their
     conversations, and stay in that order.
     """
-    rows = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = df.select(
+        F.col("conv_id").cast("long"),
+        F.col("turn").cast("long"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text")
+    )
     probe = df.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     dealt = rows.unionByName(probe).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return read_back(format_turns(dealt).select("conv_id", "ids", "loss_mask"))

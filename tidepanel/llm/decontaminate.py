@@ -242,7 +242,16 @@ def _blocks(benchmark: DataFrame, key: str, text: str, block_words: int):
         yield block
 
 
-def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS, to: str = "leaks") -> DataFrame:
+def with_leaks(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    block_words: int = BLOCK_WORDS,
+    least_words: int = LEAST_WORDS,
+    to: str = "leaks"
+) -> DataFrame:
     """``df`` with ``to``: the items that each row's text overlaps, with the words that match in the best window.
 
     A benchmark of more than ``block_words`` words takes several passes, between
@@ -259,13 +268,26 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key
     return out
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+def drop_contaminated(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    block_words: int = BLOCK_WORDS,
+    least_words: int = LEAST_WORDS
+) -> DataFrame:
     """The rows of ``df`` whose text overlaps no item."""
     (leaks,) = free_names(df, "leaks")
     return with_leaks(df, benchmark, text, block_words=block_words, least_words=least_words, to=leaks).filter(F.size(leaks) == 0).drop(leaks)
 
 
-def leak_report(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+def leak_report(
+    df: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    block_words: int = BLOCK_WORDS,
+    least_words: int = LEAST_WORDS
+) -> DataFrame:
     """``doc_id, item_id, matches`` of every text and item that overlap; a pass over ``df`` for each block of items."""
     text_batches(df.sparkSession)
     rows, out = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), None

@@ -49,10 +49,17 @@ REACH, NAMED = 0.25, 0.05
 OWN, BESIDE = 0.7, 0.15
 
 # Elements by their part in a page.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody "
+    "td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-NEVER = frozenset("script style noscript iframe template svg math head title textarea select button input nav footer aside form menu dialog object canvas audio video xmp noembed noframes search".split())
+NEVER = frozenset(
+    "script style noscript iframe template svg math head title textarea select button input nav footer aside form menu dialog "
+    "object canvas audio video xmp noembed noframes search".split()
+)
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|notice\w*|cookies?|consent|gdpr|alert|popup|modal|overlay|"
     r"comments?|disqus|replies|reply|respond|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|copyright|disclaimer|skip)(?:$|[\s_-])",
@@ -70,7 +77,15 @@ _BOXES = frozenset("html body article main section div center details fieldset".
 #: Words that, inside an article, name its own parts.
 _OF_ARTICLE = re.compile(r"(?:^|(?<=[\s_-]))(?:header|footer|masthead)(?=$|[\s_-])", re.IGNORECASE)
 #: What an opening tag closes, up to the bound given.
-_CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+_CLOSES = {
+    "li": ("li", ("ul", "ol", "menu")),
+    "dt": ("dt dd", ("dl",)),
+    "dd": ("dt dd", ("dl",)),
+    "tr": ("tr td th", ("table",)),
+    "td": ("td th", ("tr", "table")),
+    "th": ("td th", ("tr", "table")),
+    "option": ("option", ("select",))
+}
 
 
 class Element:
@@ -157,7 +172,11 @@ class Page:
         in_article = bool(self.places["article"])
         never = up.never or tag in NEVER or tag == "header" and not in_article
         if found and not never:
-            never = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE) is not None
+            never = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or re.search(
+                r"display\s*:\s*none",
+                found.get("style", ""),
+                re.IGNORECASE
+            ) is not None
         named = up.named or bool(names.strip()) and NAMES.search(_OF_ARTICLE.sub("", names) if in_article else names) is not None
         path = up.path
         if tag in BLOCKS:

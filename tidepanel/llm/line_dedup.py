@@ -43,7 +43,14 @@ def boilerplate_lines(df: DataFrame, text: str = "text", host: str = "source", r
     return joined.filter(F.col("n") * F.lit(1.0) / F.col("pages") > ratio).select("c.host", "key")
 
 
-def drop_lines(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def drop_lines(
+    df: DataFrame,
+    text: str = "text",
+    host: str = "source",
+    ratio: float = RATIO,
+    min_pages: int = MIN_PAGES,
+    broadcast_lines: int = BROADCAST_LINES
+) -> DataFrame:
     """``df`` with the boilerplate lines taken out of ``text``.
 
     A host's boilerplate lines number at most its mean lines a page over

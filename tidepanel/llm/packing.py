@@ -111,7 +111,14 @@ def places(runs: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    tokenizer: str | None = None,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids with ``end_id`` behind them."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     text_batches(df.sparkSession)
@@ -126,7 +133,10 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
                     part = ids[at : at + capacity]
                     rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
             at = np.array(rows, dtype=np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[0])), pa.array(at[1].astype(np.int32)), *map(pa.array, at[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at[0])), pa.array(at[1].astype(np.int32)), *map(pa.array, at[2:])],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
 
     return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(of, _PIECE)
 
@@ -146,7 +156,10 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, offsets = places(shared.value, batch.column("length").to_numpy(), batch.column("rank").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in named), pa.array(bins), pa.array(offsets)], names=[*named, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in named), pa.array(bins), pa.array(offsets)],
+                names=[*named, "sequence_id", "offset"]
+            )
 
     return ranked.select(*named, "rank").mapInArrow(of, f"{_PIECE}, sequence_id long, offset long")
 

@@ -164,7 +164,9 @@ def held_out(key: Column) -> Column:
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Voter | None:
     """A voter taught by at most ``sample`` labelled rows that aren't held out."""
     text_batches(df.sparkSession)
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("id")).agg(F.avg(label).alias("label"))
+    known = labels.filter(
+        F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))
+    ).groupBy(F.col(key).alias("id")).agg(F.avg(label).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
 
@@ -173,7 +175,10 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             got = [np.minimum(terms(x.as_py()), 60000).astype(np.float16).tobytes() for x in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(got, pa.binary())], names=["id", "label", "counts"])
 
-    taught = rows.mapInArrow(of, "id long, label double, counts binary").groupBy("id").agg(F.min("label").alias("label"), F.min("counts").alias("counts"))
+    taught = rows.mapInArrow(of, "id long, label double, counts binary").groupBy("id").agg(
+        F.min("label").alias("label"),
+        F.min("counts").alias("counts")
+    )
     found = taught.orderBy("id").limit(sample).collect()
     if not found:
         return None

@@ -48,7 +48,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_topk_nra, op2_decontamination, op3_chat_format, op4_html_extraction, op5_token_store, op6_quality, op7_best_fit_packing, op8_url_filter, op9_line_dedup, op10_simhash)
+_QUERIES = (
+    op1_topk_nra,
+    op2_decontamination,
+    op3_chat_format,
+    op4_html_extraction,
+    op5_token_store,
+    op6_quality,
+    op7_best_fit_packing,
+    op8_url_filter,
+    op9_line_dedup,
+    op10_simhash
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

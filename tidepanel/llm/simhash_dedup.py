@@ -216,9 +216,14 @@ def sketches(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 prints.append(majority(parts))
                 flat = np.concatenate(parts).view(">u8").ravel().astype(np.uint64) if parts else np.zeros(0, dtype=np.uint64)
                 values.append(bands(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["id", "node", "fp", "bands"])
-
-    schema = T.StructType([rows.schema["id"], rows.schema["node"], T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
+                names=["id", "node", "fp", "bands"]
+            )
+
+    schema = T.StructType(
+        [rows.schema["id"], rows.schema["node"], T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    )
     return rows.mapInArrow(of, schema)
 
 
@@ -267,22 +272,40 @@ def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], edge
     sets = cut(sets_of(cut(members.select("node").distinct())))
     sizes = cut(lone_shingles(sets))
     sized = members.join(sizes, "node")
-    leads = sized.groupBy("bucket").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("share"), F.col("node").alias("lead"), F.col("n").alias("n_v"))).alias("first"))
+    leads = sized.groupBy("bucket").agg(
+        F.min(F.struct((F.col("lone") / F.col("n")).alias("share"), F.col("node").alias("lead"), F.col("n").alias("n_v"))).alias("first")
+    )
     led = cut(sized.join(leads.select("bucket", "first.lead", "first.n_v"), "bucket"))
-    ends = led.filter("node <> lead").groupBy(F.col("node").alias("u"), F.col("lead").alias("v")).agg(F.min("n").alias("n"), F.min("n_v").alias("n_v"))
+    ends = led.filter("node <> lead").groupBy(
+        F.col("node").alias("u"),
+        F.col("lead").alias("v")
+    ).agg(F.min("n").alias("n"), F.min("n_v").alias("n_v"))
     measured = cut(common(ends.select("u", "v"), sets).join(ends, ["u", "v"]))
     edges = cut(edges.union(measured.filter(SIMILAR).select("u", "v")))
     roots = components(edges)
     main = roots.select(F.col("node").alias("lead"), F.col("root").alias("main"))
     own = measured.select(F.col("u").alias("node"), F.col("v").alias("lead"), "common")
     placed = led.join(own, ["node", "lead"], "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(main, "lead", "left")
-    placed = placed.select("bucket", "node", "root", F.coalesce("main", "lead").alias("main"), "n", F.coalesce("common", F.col("n") - F.col("lone")).alias("held"), "lone")
+    placed = placed.select(
+        "bucket",
+        "node",
+        "root",
+        F.coalesce("main", "lead").alias("main"),
+        "n",
+        F.coalesce("common", F.col("n") - F.col("lone")).alias("held"),
+        "lone"
+    )
     placed = cut(placed.select("bucket", "node", "root", "main", "n", "held", (F.col("n") - F.col("lone") - F.col("held")).alias("extra")))
     strays = placed.filter("root <> main AND 5 * (held + extra) >= 4 * n").drop("main")
-    others = placed.join(strays.select("bucket").distinct(), "bucket", "left_semi").select(*[F.col(c).alias(f"{c}_v") for c in ("bucket", "node", "root", "n", "held", "extra")])
+    others = placed.join(strays.select("bucket").distinct(), "bucket", "left_semi").select(
+        *[F.col(c).alias(f"{c}_v") for c in ("bucket", "node", "root", "n", "held", "extra")]
+    )
     rest = strays.join(others, F.expr(f"bucket = bucket_v AND root <> root_v AND {POSSIBLE}"))
     rest = cut(rest.select(F.least("node", "node_v").alias("u"), F.greatest("node", "node_v").alias("v")).distinct())
-    counted = common(rest, sets).join(sizes.select(F.col("node").alias("u"), "n"), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
+    counted = common(rest, sets).join(sizes.select(F.col("node").alias("u"), "n"), "u").join(
+        sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")),
+        "v"
+    )
     return edges.union(counted.filter(SIMILAR).select("u", "v"))
 
 
@@ -305,7 +328,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     broadcast while it has at most ``FEW`` rows and joined by a shuffle beyond that.
     """
     sketch = cut(sketches(df, key, text, shingle))
-    nodes = cut(sketch.groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = cut(
+        sketch.groupBy("node").agg(
+            F.min("id").alias("first_id"),
+            F.count(F.lit(1)).alias("rows"),
+            F.first("fp").alias("fp"),
+            F.first("bands").alias("bands")
+        )
+    )
     heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     near = links(heads.select("fp"))
@@ -316,15 +346,26 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     texts = df.select(named.alias("node"), F.col(text).alias("text"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return texts.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", set_udf(shingle)("text").alias("grams"))
+        return texts.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select(
+            "node",
+            set_udf(shingle)("text").alias("grams")
+        )
 
     roots = components(near_links(nodes.select("node", "bands"), sets_of, cut(same.union(near))))
     node, root, component = free_names(df, "node", "root", "component")
     placed = nodes.join(roots, "node", "left").select("node", "rows", "first_id", F.coalesce("root", "node").alias("root"))
     groups = placed.groupBy("root").agg(F.min("first_id").alias("component"), F.sum("rows").alias("rows")).filter("rows > 1")
-    groups = cut(placed.select("node", "root").join(groups, "root").select(F.col("node").alias(node), F.col("root").alias(root), F.col("component").alias(component)))
+    groups = cut(
+        placed.select("node", "root").join(groups, "root").select(
+            F.col("node").alias(node),
+            F.col("root").alias(root),
+            F.col("component").alias(component)
+        )
+    )
     first = F.col("id").eqNullSafe(F.col(component))
-    tied = cut(sketch.select("id", F.col("node").alias(node)).join(few(groups), node).filter(first).groupBy(root).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(root))
+    tied = cut(
+        sketch.select("id", F.col("node").alias(node)).join(few(groups), node).filter(first).groupBy(root).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(root)
+    )
     rows = df.withColumn(node, named).join(few(groups), node, "left").filter(F.col(root).isNull() | F.col(key).eqNullSafe(F.col(component)))
     if not tied.isEmpty():
         rows = rows.join(tied, root, "left_anti").unionByName(rows.join(tied, root, "left_semi").dropDuplicates([root]))

@@ -196,7 +196,15 @@ class ShardReader:
 _MANIFEST = ("shard int", "min_id long", "max_id long", "nulls long", "at_min long", "at_max long", "documents long", "tokens long")
 
 
-def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_store(
+    df: DataFrame,
+    folder: str,
+    key: str = "doc_id",
+    text: str = "text",
+    tokenizer: str | None = None,
+    end_id: int = END_ID,
+    shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """Writes the shards to ``folder``; gives the manifest, a row a shard.
 
     Least and largest id, how many rows have none, how many have the least and the
@@ -217,8 +225,18 @@ def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
         if writer:
             tokens, known = writer.close(), np.array(writer.ids, dtype=np.int64)[np.array(writer.valid)]
             ends = [int(known[0]), int(known[-1])] if len(known) else [None, None]
-            row = [writer.shard, *ends, len(writer.ids) - len(known), *(int((known == x).sum()) if len(known) else 0 for x in ends), len(writer.ids), tokens]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k == 0 else pa.int64()) for k, x in enumerate(row)], names=[x.split()[0] for x in _MANIFEST])
+            row = [
+                writer.shard,
+                *ends,
+                len(writer.ids) - len(known),
+                *(int((known == x).sum()) if len(known) else 0 for x in ends),
+                len(writer.ids),
+                tokens
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], pa.int32() if k == 0 else pa.int64()) for k, x in enumerate(row)],
+                names=[x.split()[0] for x in _MANIFEST]
+            )
 
     by_id = F.col("id").asc_nulls_first()
     salted = rows.withColumn("start", F.substring("text", 1, 32)).withColumn("salt", F.rand(5))
@@ -283,7 +301,10 @@ def read_store(keys: DataFrame, folder: str, manifest: DataFrame, key: str = "do
                 own = np.searchsorted(ends, row, "right")
                 run = runs[own]
                 nth = run[:, 2] + row - (ends[own] - run[:, 3])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(run[:, 0])), pa.array(run[:, 1].astype(np.int32)), pa.array(nth)], names=["doc_id", "at", "nth"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(run[:, 0])), pa.array(run[:, 1].astype(np.int32)), pa.array(nth)],
+                    names=["doc_id", "at", "nth"]
+                )
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[int, ShardReader] = {}
@@ -302,7 +323,10 @@ def read_store(keys: DataFrame, folder: str, manifest: DataFrame, key: str = "do
                         crc[k] = zlib.crc32(readers[s].ids(int(start[k]), int(length[k])).tobytes())
                 start[own] += np.where(length[own] >= 0, places.firsts[s], 0)
             none = length < 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64(), mask=none) for x in (start, length, crc))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(x, pa.int64(), mask=none) for x in (start, length, crc))],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
 
     located = wanted.mapInArrow(locate, "doc_id long, at int, nth long")
     dealt = located.repartition(max(1, len(places.shards)), "at").sortWithinPartitions("at", "doc_id", "nth")

@@ -63,7 +63,9 @@ class Encoder:
         before, normalizer = kind.get("pre_tokenizer") or {}, kind.get("normalizer")
         byte = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and normalizer is None
         parts = [x.get("type") for x in before.get("pretokenizers", [])]
-        word = parts == ["Split", "ByteLevel"] and before["pretokenizers"][0].get("behavior") == "Removed" and [x.get("type") for x in (normalizer or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        word = parts == ["Split", "ByteLevel"] and before["pretokenizers"][0].get("behavior") == "Removed" and [
+            x.get("type") for x in (normalizer or {}).get("normalizers", [])
+        ] == ["NFC", "Replace", "Lowercase"]
         self.kind = "byte" if byte else "word" if word else "whole"
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
@@ -122,7 +124,11 @@ class Encoder:
             return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         if self.pieces is None:
             letters, added = {c: b for b, c in _LETTERS.items()}, self.tokenizer.get_added_tokens_decoder()
-            self.pieces = [added[k].content.encode() if k in added else bytes(letters[ord(c)] for c in self.tokenizer.id_to_token(k) or "") for k in range(self.vocabulary)]
+            self.pieces = [
+                added[k].content.encode() if k in added else bytes(
+                    letters[ord(c)] for c in self.tokenizer.id_to_token(k) or ""
+                ) for k in range(self.vocabulary)
+            ]
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 

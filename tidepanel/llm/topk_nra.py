@@ -119,7 +119,9 @@ class Aggregator:
             lower += new_up @ up
             lower += new_down @ down
             self.read += (end - start) * lists.dims * len(own)
-            rest = unseen_up @ ((lists.values[:, n - end, None] - lists.low) * up) + unseen_down @ ((lists.values[:, end - 1, None] - lists.high) * down)
+            rest = unseen_up @ ((lists.values[:, n - end, None] - lists.low) * up) + unseen_down @ (
+                (lists.values[:, end - 1, None] - lists.high) * down
+            )
             # The k-th lower bound counts where at least k candidates lie beyond the bar.
             above = np.flatnonzero((other & (lower > bar)).sum(axis=0) >= self.k)
             if len(above):
@@ -154,7 +156,10 @@ class Aggregator:
         last = rank == self.k - 1
         self.bar[q[last]] = s[last]
         keep = rank < self.k
-        self.query, self.score, self.candidate = (np.concatenate([a[~held], b[keep]]) for a, b in ((self.query, q), (self.score, s), (self.candidate, c)))
+        self.query, self.score, self.candidate = (
+            np.concatenate([a[~held], b[keep]]) for a,
+            b in ((self.query, q), (self.score, s), (self.candidate, c))
+        )
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -181,7 +186,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = QU
                     best.add(part.column(0).to_numpy(), _matrix(pa.concat_arrays([part.column(1)]), dims))
             for at in range(0, len(best.query), 1 << 16):
                 rows = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.query[rows]]), pa.array(best.candidate[rows]), pa.array(best.score[rows])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(best.ids[best.query[rows]]), pa.array(best.candidate[rows]), pa.array(best.score[rows])],
+                    names=["query_id", "vec_id", "score"]
+                )
 
         found = _best(candidates.mapInArrow(of, "query_id long, vec_id long, score long"), k)
         if blocks == 1:

@@ -42,7 +42,25 @@ RULES = (
 )
 SAMPLE = 20_000
 TREES, DEPTH, FOLDS = 12, 4, 5
-FEATURES = ("url_len", "host_len", "path_len", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "has_fragment", "is_https", "suffix_len", "suffix_n", "suffix_depth", "suffix_digits", "suffix_blocked", "section_blocked")
+FEATURES = (
+    "url_len",
+    "host_len",
+    "path_len",
+    "depth",
+    "digit_ratio",
+    "entropy",
+    "n_params",
+    "n_labels",
+    "n_hyphens",
+    "has_fragment",
+    "is_https",
+    "suffix_len",
+    "suffix_n",
+    "suffix_depth",
+    "suffix_digits",
+    "suffix_blocked",
+    "section_blocked"
+)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,7 +93,11 @@ def _count(text: Column, characters: str) -> Column:
 
 def judged(df: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, url, host, path, rule, ruled``."""
-    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url")).select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url")).select(
+        "*",
+        host_of(F.col("url")).alias("host"),
+        path_of(F.col("url")).alias("path")
+    )
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     return rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
 
@@ -130,7 +152,10 @@ def _with_statistics(rows: DataFrame, sums: DataFrame, out_of_fold: bool) -> Dat
     shares = []
     for key in ("suffix", "section"):
         blocked, known = f"{key}_b", f"{key}_k"
-        part = lambda *keys, end, key=key: sums.groupBy(key, *keys).agg(F.sum("blocked").alias(f"{key}_b{end}"), F.sum("known").alias(f"{key}_k{end}"))
+        part = lambda *keys, end, key=key: sums.groupBy(key, *keys).agg(
+            F.sum("blocked").alias(f"{key}_b{end}"),
+            F.sum("known").alias(f"{key}_k{end}")
+        )
         out = out.join(part(end=""), key, "left")
         b, k = F.coalesce(blocked, F.lit(0)), F.coalesce(known, F.lit(0))
         if out_of_fold:
@@ -172,7 +197,10 @@ def held_out_accuracy(df: DataFrame, key: str = "page_id", url: str = "url") ->
     rows = lexical(judged(df, key, url)).filter("ruled IS NOT NULL")
     others = rows.filter("fold <> 0")
     sums = cut(suffix_sums(others))
-    tested = with_probability(rows.filter("fold = 0"), sums, train(others, sums)).select((F.col("p_block") >= 0.5).alias("says"), (F.col("ruled") == "block").alias("is"))
+    tested = with_probability(rows.filter("fold = 0"), sums, train(others, sums)).select(
+        (F.col("p_block") >= 0.5).alias("says"),
+        (F.col("ruled") == "block").alias("is")
+    )
     got = tested.agg(F.avg(F.expr("int(says = is)")), F.avg(F.col("is").cast("int")), F.count(F.lit(1))).first()
     return got[0], max(got[1], 1 - got[1]), got[2]
 
@@ -183,4 +211,11 @@ def url_report(df: DataFrame, key: str = "page_id", url: str = "url") -> DataFra
     sums = cut(suffix_sums(rows))
     out = with_probability(rows, sums, train(rows, sums))
     says = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", says).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("p_block")).alias("p_block"))
+    return out.select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        F.coalesce("ruled", says).alias("verdict"),
+        F.when(F.col("ruled").isNull(), F.col("p_block")).alias("p_block")
+    )
