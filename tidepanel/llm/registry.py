@@ -9,42 +9,52 @@ from .common import table
 
 
 def op1_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every embedding whose id is divisible by 20, against all: ``query_id, rank, vec_id, score``."""
     return topk_nra.search_report(table(spark, sf_dir, "embeddings"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap: ``doc_id, item_id, matches``."""
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, formatted and read back: digests and lengths per conversation."""
     return chat_format.chat_report(table(spark, sf_dir, "conversations"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: ``page_id, url, text, n_chars``."""
     return html_paths.extract_report(table(spark, sf_dir, "pages"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a new store and read back by key: ``doc_id, start, n_tokens, ids_crc32``."""
     return token_store.store_report(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by its labelled neighbours: ``doc_id, held_out, score, predicted``."""
     return quality_knn.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged: ``page_id, host, path, rule, verdict`` and the trees' ``p_block``."""
     return url_filter.url_report(table(spark, sf_dir, "pages"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines: ``doc_id, text, n_lines, n_dropped``."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component: ``doc_id, fingerprint, component_id``."""
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
 
