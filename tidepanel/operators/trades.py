@@ -190,11 +190,23 @@ def daily_top_n_slots(entries: DataFrame, n: int) -> DataFrame:
     return entries.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= n)
 
 
-def slot_portfolio(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """NAV from the mean of the trades realised on each day."""
+def weighted_slots(entries: DataFrame, n: int, sizing: str = "equal") -> DataFrame:
+    """The day's ``n`` best-scored entries with their ``weight`` among them: equal, or by score (``score_weight``), negative scores counting as 0."""
+    if sizing not in ("equal", "score_weight"):
+        raise ValueError(f"unknown sizing: {sizing}")
+    day = Window.partitionBy("date")
+    equal, worth = 1 / F.count(F.lit(1)).over(day), F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0))
+    weight = equal if sizing == "equal" else F.coalesce(F.try_divide(worth, F.sum(worth).over(day)), equal)
+    return daily_top_n_slots(entries, n).withColumn("weight", weight)
+
+
+def slot_portfolio(trades: DataFrame, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """NAV from the mean of the trades realised on each day, weighted by a column if asked for."""
     keys = list(keys)
-    days = trades.groupBy(*keys, F.col("exit_date").alias("date")).agg(F.avg("pnl_pct").alias("ret"), F.count(F.lit(1)).alias("n"))
-    return days.withColumn("equity", F.round(compound(F.greatest("ret", F.lit(-0.9999)), Window.partitionBy(*keys).orderBy("date")), 4))
+    mean = F.avg("pnl_pct") if weight is None else F.coalesce(F.try_divide(F.sum(F.col("pnl_pct") * F.col(weight)), F.sum(weight)), F.lit(0.0))
+    days = trades.groupBy(*keys, F.col("exit_date").alias("date")).agg(mean.alias("ret"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy("date")
+    return days.withColumn("equity", F.round(compound(F.greatest("ret", F.lit(-0.9999)), order), 4))
 
 
 def trade_stats(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

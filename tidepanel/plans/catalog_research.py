@@ -443,6 +443,22 @@ def small_trades(s, d):
 
 
 query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq")(lambda s, d: T.slot_portfolio(small_trades(s, d)))
+_WEIGHT = """en2 AS (SELECT *, CASE WHEN sum(greatest(score, 0.0)) OVER (PARTITION BY date) > 0 THEN greatest(score, 0.0) / sum(greatest(score, 0.0)) OVER (PARTITION BY date)
+  ELSE 1 / count(*) OVER (PARTITION BY date)::DOUBLE END AS weight FROM (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) <= 3) AS t)"""
+_WSLOT = """sl AS (SELECT exit_date AS date, coalesce(sum(pnl_pct / 10000 * weight) / nullif(sum(weight), 0), 0.0) AS ret, count(*) AS n FROM tr JOIN en2 ON en2.symbol = tr.symbol AND en2.n = tr.entry_n GROUP BY 1)
+SELECT date, ret, n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl"""
+
+
+@query("b07_score_weighted", B.with_("brand_bars", more=f"{TPANEL},\n{_WEIGHT},\n{LABEL.replace('FROM en e', 'FROM en2 e')},\n{DEFER}").rstrip() + ",\n" + _WSLOT)
+def _score_weighted(s, d):
+    """The day's three best-scored entries, weighted by their scores."""
+    p = trade_panel(s, d)
+    picked = T.weighted_slots(T.entry_guards(T.candidate_entries(p, START, END))[0], 3, "score_weight")
+    made = T.trade_costs(T.defer_blocked(T.label_exits(picked, p, HOLD, STOP, **RULES), p))
+    made = made.join(picked.select("symbol", F.col("n").alias("entry_n"), "weight"), ["symbol", "entry_n"])
+    return T.slot_portfolio(made.withColumn("pnl_pct", F.col("pnl_pct") / 10000), weight="weight")
+
+
 query(
     "b07_daily_top_n",
     B.with_("brand_bars", more=TPANEL) + "SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol)::INTEGER AS slot FROM en0 QUALIFY slot <= 3"
