@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_paths, line_dedup, packing, quality_knn, sharding, simhash_dedup, token_store, topk_nra, url_filter
+from . import chat_format, decontaminate, html_paths, line_dedup, packing, quality_knn, sharding, simhash_dedup, token_store, topk_nra, turn_repair, url_filter
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged and repaired: faults, ``cost``, ``audit`` and ``repaired_sha256``."""
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot: ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and ``fraction``."""
     return sharding.shard_report(table(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ _QUERIES = (
     op8_url_filter,
     op9_line_dedup,
     op10_simhash,
+    op12_turn_repair,
     op13_interleaved_shards,
 )
 
@@ -83,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_nra": topk_nra.SQL, "op9_line_dedup": line_dedup.SQL, "op13_interleaved_shards": sharding.SQL}
+    return {"op1_topk_nra": topk_nra.SQL, "op9_line_dedup": line_dedup.SQL, "op12_turn_repair": turn_repair.SQL, "op13_interleaved_shards": sharding.SQL}
