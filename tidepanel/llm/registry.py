@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_paths, line_dedup, packing, quality_knn, sharding, simhash_dedup, token_store, topk_nra, turn_repair, url_filter
+from . import alignment, chat_format, decontaminate, html_paths, line_dedup, packing, quality_knn, sharding, simhash_dedup, token_store, topk_nra, turn_repair, url_filter
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document: counts, corpus-wide link counts and a digest of the groups."""
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged and repaired: faults, ``cost``, ``audit`` and ``repaired_sha256``."""
     return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
@@ -79,6 +84,7 @@ _QUERIES = (
     op8_url_filter,
     op9_line_dedup,
     op10_simhash,
+    op11_token_alignment,
     op12_turn_repair,
     op13_interleaved_shards,
 )
