@@ -183,18 +183,18 @@ def labelled(panel, hold=5, **rules):
 
 def test_gap_through_the_stop_sells_at_the_open(spark):
     (t,) = labelled(trade_case(spark, [flat(entry=True), flat(), (8.0, 8.5, 7.5, 8.2, 100.0, False, False, False), flat()]))
-    assert (t["reason"], t["exit_price"], t["duration"]) == ("stop", 8.0, 2)
+    assert (t["reason"], t["exit_price"], t["duration"]) == ("stop_loss", 8.0, 2)
 
 
 def test_stop_comes_before_max_hold_on_the_same_bar(spark):
     (t,) = labelled(trade_case(spark, [flat(entry=True), (10.0, 10.2, 8.8, 9.5, 100.0, False, False, False), flat()]), hold=1)
-    assert t["reason"] == "stop" and abs(t["exit_price"] - 9.0) < 1e-9
+    assert t["reason"] == "stop_loss" and abs(t["exit_price"] - 9.0) < 1e-9
 
 
 def test_trailing_line_uses_the_peak_before_the_bar(spark):
     rows = [flat(entry=True), (10.0, 13.0, 9.9, 12.5, 100.0, False, False, False), (12.5, 12.6, 11.0, 11.5, 100.0, False, False, False), flat()]
-    (t,) = labelled(trade_case(spark, rows), trail=-0.1, trail_start=0.2)
-    assert t["reason"] == "stop" and abs(t["exit_price"] - 11.7) < 1e-9 and t["duration"] == 2
+    (t,) = labelled(trade_case(spark, rows), profit_trail=0.1, profit_start=0.2)
+    assert t["reason"] == "trailing_take_profit" and abs(t["exit_price"] - 11.7) < 1e-9 and t["duration"] == 2
 
 
 def test_blocked_exit_moves_to_the_first_bar_that_sells(spark):
@@ -230,9 +230,9 @@ def test_grids_and_folds():
 
 def test_bootstrap_needs_three_trades(spark):
     t = spark.createDataFrame([("A", D0, D0, 0.1), ("A", D0, D0, -2.0)], "symbol string, entry_date date, exit_date date, pnl_pct double")
-    assert trades.bootstrap_drawdown(t).first()["p50"] is None
+    assert trades.bootstrap_drawdown(t).first()["mc_maxdd_p50"] is None
     more = t.unionByName(t)
-    assert trades.bootstrap_drawdown(more, 20).collect() == trades.bootstrap_drawdown(more, 20).collect()
+    assert trades.bootstrap_drawdown(more, simulations=20).collect() == trades.bootstrap_drawdown(more, simulations=20).collect()
 
 
 def test_buckets_and_scores(spark):
@@ -376,16 +376,13 @@ def test_listing_age_leaves_out_a_symbols_first_bars(spark):
 def test_blocked_exit_waits_however_long(spark):
     from tidepanel.operators import trades as T
 
-    bars = [("a", k, 0.0 if 3 <= k < 103 else 5.0, False) for k in range(1, 120)]
-    panel = spark.createDataFrame(bars, "symbol string, n int, volume double, _stuck_down boolean").withColumns(
-        {"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "close": F.col("n") * 1.0, "_tradable": F.col("volume") > 0}
-    )
-    exits = spark.createDataFrame(
-        [("a", 1, None, 1.0, "stop", 3.0, None, 3, False)],
-        "symbol string, entry_n int, entry_date date, entry_price double, reason string, price double, exit_date date, exit_n int, sellable boolean"
-    )
-    out = T.defer_blocked(exits, panel).first()
-    assert (out["exit_n"], out["exit_price"], out["blocked_days"], out["reason"]) == (103, 103.0, 100, "stop")
+    bars = [("a", k, 0.0 if 3 <= k < 103 else 5.0, k == 1, k == 3) for k in range(1, 120)]
+    panel = spark.createDataFrame(bars, "symbol string, n int, volume double, entry boolean, exit boolean").withColumns(
+        {"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "_tradable": F.col("volume") > 0, "_stuck_down": F.lit(False), "last_n": F.lit(119)}
+    ).withColumns({c: F.col("n") * 1.0 for c in ("open", "high", "low", "close")})
+    entries = panel.filter("entry").withColumn("entry_price", F.lit(1.0))
+    out = T.defer_blocked(T.label_exits(entries, panel, 50)).first()
+    assert (out["exit_n"], out["exit_price"], out["blocked_days"], out["reason"]) == (103, 103.0, 100, "signal")
 
 
 def test_cooldown_carries_its_last_firing_from_batch_to_batch(spark):
@@ -411,16 +408,3 @@ def test_cooldown_carries_its_last_firing_from_batch_to_batch(spark):
                 last = k * 60
                 want.append((rule, last))
     assert got == sorted(want)
-
-
-def test_walkforward_ranks_by_any_objective(spark):
-    from datetime import date
-
-    from tidepanel.operators import trades as T
-
-    rows = [(t, "a", date(2024, m, 1), date(2024, m, 9), 0.01 * (t + 1) * (1 if m < 7 else -1), 8) for t in range(3) for m in range(1, 13)]
-    trades = spark.createDataFrame(rows, "trial_id int, symbol string, entry_date date, exit_date date, pnl_pct double, duration int")
-    folds = T.fold_frame(spark, [(0, date(2024, 1, 1), date(2024, 6, 30), date(2024, 7, 1), date(2024, 12, 31))])
-    for objective in ("avg_pnl", "total_return", "max_drawdown"):
-        out = T.walkforward(trades, folds, objective).first()
-        assert out["trial_id"] == (0 if objective == "max_drawdown" else 2) and out["n_trades"] == 6 and out["degradation"] < 0

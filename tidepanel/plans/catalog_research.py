@@ -3,6 +3,7 @@
 from datetime import date
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import factor as Q
 from ..operators import levels as L
@@ -343,10 +344,10 @@ query(
 
 
 # Trades: the strategy "ma5 above ma20 with volume" on the brand panel.
-START, END, HOLD, STOP = "1996-01-01", "2000-12-31", 10, -0.3
+START, END, HOLD, STOP = "1996-01-01", "2000-12-31", 10, 0.3
 
 
-def trade_panel(s, d):
+def trade_panel(s, d, *more):
     df = panel(s, d)
     up = F.coalesce(F.col("change_pct") > 0.5, F.lit(False))
     df = df.withColumns(
@@ -372,7 +373,8 @@ def trade_panel(s, d):
             "exit",
             "score",
             "signal_limit_up",
-            "signal_limit_down"
+            "signal_limit_down",
+            *more
         )
     )
 
@@ -382,21 +384,48 @@ TPANEL = f"""{PIND},
 tp0 AS (SELECT symbol, date, open, high, low, close, volume, amount, coalesce(ma5 > ma20 AND vol_ratio_5d >= 1.2, false) AS entry, coalesce(close < ma20 * 0.8::DOUBLE, false) AS exit, coalesce(momentum_20d, 0.0) AS score,
   coalesce(change_pct > 0.5, false) AS up, coalesce(change_pct < -0.6, false) AS dn FROM ind),
 tp AS (SELECT *, (open > 0 AND high > 0 AND low > 0 AND close > 0 AND NOT (volume = 0 AND {_FLATBAR})) AS tradable, {_FLATBAR} AND up AS stuck_up, {_FLATBAR} AND dn AS stuck_dn,
-  row_number() OVER ({W}) AS n, count(*) OVER (PARTITION BY symbol) AS last_n FROM tp0),
-en0 AS (SELECT *, close AS entry_price FROM tp WHERE entry AND date BETWEEN DATE '{START}' AND DATE '{END}'),
+  row_number() OVER ({W}) AS n, count(*) OVER (PARTITION BY symbol) AS last_n FROM tp0)"""
+
+
+def entries_sql(opened: bool = False) -> str:
+    """Candidate entries, why they are refused, and those that stay (a low score is no reason here)."""
+    flag, price = (f"coalesce(lag(entry) OVER ({W}), false)", "open") if opened else ("entry", "close")
+    return f"""en0 AS (SELECT * EXCLUDE (filled), {price} AS entry_price FROM (SELECT *, {flag} AS filled FROM tp) AS f WHERE filled AND date BETWEEN DATE '{START}' AND DATE '{END}'),
 en1 AS (SELECT *, CASE WHEN NOT tradable THEN 'suspended' WHEN NOT coalesce(entry_price > 0, false) THEN 'bad_price' WHEN stuck_up THEN 'limit_up' WHEN score < -0.5 THEN 'score' END AS why FROM en0),
 en AS (SELECT * FROM en1 WHERE why IS NULL OR why = 'score')"""
-LABEL = f"""jx AS (SELECT e.symbol, e.n AS entry_n, e.date AS entry_date, e.entry_price, e.high AS entry_high, b.n, b.date, b.open, b.high, b.low, b.close, b.exit, b.last_n, b.tradable AND NOT b.stuck_dn AS sellable FROM en e JOIN tp b ON b.symbol = e.symbol AND b.n > e.n AND b.n <= e.n + {HOLD}),
-jp AS (SELECT *, greatest(entry_price, entry_high, max(high) OVER (PARTITION BY symbol, entry_n ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS peak FROM jx),
-jl AS (SELECT *, greatest(entry_price * (1 + {STOP}::DOUBLE), CASE WHEN peak >= entry_price * (1 + 0.1::DOUBLE) THEN peak * (1 - 0.4::DOUBLE) END) AS line FROM jp),
-jr AS (SELECT *, CASE WHEN low <= line THEN 'stop' WHEN high >= entry_price * (1 + 1.5::DOUBLE) THEN 'take_profit' WHEN exit THEN 'signal' WHEN n - entry_n >= {HOLD} THEN 'max_hold' WHEN n = last_n THEN 'end' END AS reason FROM jl),
-js AS (SELECT *, CASE reason WHEN 'stop' THEN least(open, line) WHEN 'take_profit' THEN greatest(open, entry_price * (1 + 1.5::DOUBLE)) ELSE close END AS price FROM jr WHERE reason IS NOT NULL),
-ex AS (SELECT symbol, entry_n, entry_date, entry_price, reason, price, date AS exit_date, n AS exit_n, sellable FROM js QUALIFY row_number() OVER (PARTITION BY symbol, entry_n ORDER BY n) = 1)"""
-DEFER = """dm AS (SELECT e.symbol, e.entry_n, min(b.n) AS m FROM ex e JOIN tp b ON b.symbol = e.symbol AND b.n > e.exit_n AND b.tradable AND NOT b.stuck_dn WHERE NOT e.sellable GROUP BY 1, 2),
-td AS (SELECT e.symbol, e.entry_n, e.entry_date, e.entry_price, e.reason, coalesce(b.close, e.price) AS exit_price, coalesce(b.date, e.exit_date) AS exit_date, coalesce(b.n, e.exit_n) AS exit_n, coalesce(b.n - e.exit_n, 0)::INTEGER AS blocked_days FROM ex e LEFT JOIN dm USING (symbol, entry_n) LEFT JOIN tp b ON b.symbol = e.symbol AND b.n = dm.m),
+
+
+TBARS, TPANEL = TPANEL, f"{TPANEL},\n{entries_sql()}"
+
+
+def label_sql(trials: str, opened: bool = False, entries: str = "en", takes: str = "true") -> str:
+    """Exits of every trial (``tg``: trial_id, variant, hold, stop, take, trail, ps, pt) by trying bar after bar, and their deferral and costs."""
+    exit_, at = (f"coalesce(lag(exit) OVER ({W}), false)", "open") if opened else ("exit", "close")
+    return f"""tg(trial_id, variant, hold, stop, take, trail, ps, pt) AS ({trials}),
+xb AS (SELECT symbol, n, date, open, high, low, close, {at} AS px, {exit_} AS exit, last_n, tradable AND NOT stuck_dn AS sellable FROM tp),
+jx AS (SELECT e.*, b.n AS bn, b.date AS bd, b.open AS bo, b.high AS bh, b.low AS bl, b.px, b.exit AS bx, b.last_n AS bm, b.sellable
+  FROM {entries} e JOIN xb b ON b.symbol = e.symbol AND b.n > e.n AND b.n <= e.n + (SELECT max(hold) FROM tg)),
+jp AS (SELECT *, greatest(entry_price, high, max(bh) OVER (PARTITION BY symbol, n ORDER BY bn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS peak FROM jx),
+jt AS (SELECT j.*, g.*, entry_price * (1 - stop) AS l1, peak * (1 - trail) AS l2, CASE WHEN peak > entry_price AND peak / entry_price - 1 >= ps THEN peak * (1 - pt) END AS l3
+  FROM jp j JOIN tg g ON bn - n <= g.hold AND {takes}),
+jl AS (SELECT *, greatest(l1, l2, l3) AS line, entry_price * (1 + take) AS goal FROM jt),
+jr AS (SELECT *, CASE WHEN bl <= line THEN CASE line WHEN l1 THEN 'stop_loss' WHEN l2 THEN 'trailing_stop' ELSE 'trailing_take_profit' END WHEN bh >= goal THEN 'take_profit'
+  WHEN bx THEN 'signal' WHEN bn - n >= hold THEN 'max_hold' WHEN bn = bm THEN 'end' END AS reason,
+  CASE WHEN bl <= line THEN least(bo, line) WHEN bh >= goal THEN greatest(bo, goal) ELSE px END AS price FROM jl),
+ex AS (SELECT trial_id, symbol, n AS entry_n, date AS entry_date, entry_price, reason, price, bd AS exit_date, bn AS exit_n, sellable FROM jr WHERE reason IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY trial_id, symbol, n ORDER BY bn) = 1),
+nx AS (SELECT x.symbol, x.n, min(b.n) AS m FROM xb x JOIN xb b ON b.symbol = x.symbol AND b.n > x.n AND b.sellable WHERE NOT x.sellable GROUP BY 1, 2),
+td AS (SELECT e.trial_id, e.symbol, e.entry_n, e.entry_date, e.entry_price, e.reason, coalesce(b.px, e.price) AS exit_price, coalesce(b.date, e.exit_date) AS exit_date,
+  coalesce(b.n, e.exit_n) AS exit_n, coalesce(b.n - e.exit_n, 0)::INTEGER AS blocked_days
+  FROM ex e LEFT JOIN nx ON NOT e.sellable AND nx.symbol = e.symbol AND nx.n = e.exit_n LEFT JOIN xb b ON b.symbol = e.symbol AND b.n = nx.m),
 tr AS (SELECT *, exit_price * (1 - 0.0003::DOUBLE - 0.0005::DOUBLE - 0.0005::DOUBLE) / (entry_price * (1 + 0.0003::DOUBLE + 0.0005::DOUBLE)) - 1 AS pnl_pct, (exit_n - entry_n)::INTEGER AS duration FROM td)"""
-_T = B.with_("brand_bars", more=f"{TPANEL},\n{LABEL},\n{DEFER}")
-RULES = {"take": 1.5, "trail": -0.4, "trail_start": 0.1}
+
+
+ONE = f"SELECT 0, 0, {HOLD}, {STOP}::DOUBLE, 1.5::DOUBLE, 0.5::DOUBLE, 0.1::DOUBLE, 0.4::DOUBLE"
+_T = B.with_("brand_bars", more=f"{TPANEL},\n{label_sql(ONE)}")
+_T_OPEN = B.with_("brand_bars", more=f"{TBARS},\n{entries_sql(True)},\n{label_sql(ONE, True)}")
+_T_MIXED = B.with_("brand_bars", more=f"{TPANEL},\n{label_sql(ONE, True)}")
+RULES = {"take": 1.5, "trail": 0.5, "profit_start": 0.1, "profit_trail": 0.4}
 
 
 def trades(s, d):
@@ -422,19 +451,34 @@ query("b03_label_exits", _T + "SELECT symbol, entry_n, reason, price, exit_date
         )
     )(trade_panel(s, d))
 )
+query("b03_exit_reasons", _T_MIXED + "SELECT reason, count(*) AS n, count_if(NOT sellable) AS blocked, avg(exit_n - entry_n) AS held FROM ex GROUP BY 1")(
+    lambda s, d: (
+        lambda p: T.label_exits(T.entry_guards(T.candidate_entries(p, START, END))[0], p, HOLD, STOP, exit_fill="next_open", **RULES).groupBy("reason").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(~F.col("sellable")).alias("blocked"),
+            F.avg(F.col("exit_n") - F.col("entry_n")).alias("held")
+        )
+    )(trade_panel(s, d))
+)
 _TC = ("symbol", "entry_date", "entry_price", "reason", "exit_price", "exit_date", "blocked_days", "pnl_pct", "duration")
 query("b04_b05_trades", _T + f"SELECT {', '.join(_TC)} FROM tr")(lambda s, d: trades(s, d).select(*_TC))
+query("b04_next_open_trades", _T_OPEN + f"SELECT {', '.join(_TC)} FROM tr")(
+    lambda s, d: T.label_trades(trade_panel(s, d), START, END, HOLD, STOP, "next_open", **RULES).select(*_TC)
+)
+query("b04_close_in_open_out", _T_MIXED + f"SELECT {', '.join(_TC)} FROM tr")(
+    lambda s, d: T.label_trades(trade_panel(s, d), START, END, HOLD, STOP, exit_fill="next_open", **RULES).select(*_TC)
+)
 query(
     "b08_trade_stats",
-    _T + "SELECT count(*) AS n_trades, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, sum(CASE WHEN pnl_pct > 0 THEN pnl_pct "
-    "END) / nullif(-sum(CASE WHEN pnl_pct < 0 THEN pnl_pct END), 0) AS profit_factor, avg(CASE WHEN pnl_pct > 0 THEN pnl_pct "
-    "END) AS avg_win, avg(CASE WHEN pnl_pct < 0 THEN pnl_pct END) AS avg_loss, avg(pnl_pct) AS avg_pnl, max(pnl_pct) AS best, "
-    "min(pnl_pct) AS worst, median(pnl_pct) AS median_pnl, avg(duration) AS avg_duration FROM tr",
+    _T + "SELECT *, CASE WHEN avg_loss > 0 THEN avg_win / avg_loss END AS profit_factor FROM (SELECT count(*) AS n_trades, count_if(pnl_pct > 0) / count(*)::DOUBLE AS win_rate, "
+    "coalesce(avg(pnl_pct) FILTER (pnl_pct > 0), 0.0) AS avg_win, coalesce(abs(avg(pnl_pct) FILTER (pnl_pct <= 0)), 0.0) AS avg_loss, avg(pnl_pct) AS avg_pnl, max(pnl_pct) AS best, "
+    "min(pnl_pct) AS worst, median(pnl_pct) AS median_pnl, avg(duration) AS avg_holding_days FROM tr) AS t",
     5
 )(lambda s, d: T.trade_stats(trades(s, d)))
 SLOT = (
-    "sl AS (SELECT exit_date AS date, avg(pnl_pct / 10000) AS ret, count(*) AS n FROM tr GROUP BY 1), eq AS (SELECT date, ret, "
-    "n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl)"
+    "cal AS (SELECT DISTINCT date FROM tp), sl AS (SELECT exit_date AS date, avg(pnl_pct / 10000) AS ret, count(*) AS n FROM tr GROUP BY 1), "
+    "eq AS (SELECT date, coalesce(ret, 0.0) AS ret, coalesce(n, 0) AS n, exp(sum(ln(1 + greatest(coalesce(ret, 0.0), -0.9999::DOUBLE))) OVER (ORDER BY date)) AS equity "
+    "FROM cal LEFT JOIN sl USING (date))"
 )
 
 
@@ -442,21 +486,24 @@ def small_trades(s, d):
     return trades(s, d).withColumn("pnl_pct", F.col("pnl_pct") / 10000)
 
 
-query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq")(lambda s, d: T.slot_portfolio(small_trades(s, d)))
+query("b07_slot_portfolio", _T.rstrip() + ", " + SLOT + " SELECT * FROM eq")(
+    lambda s, d: T.slot_portfolio(small_trades(s, d), B.bar_dates(s, d))
+)
 _WEIGHT = """en2 AS (SELECT *, CASE WHEN sum(greatest(score, 0.0)) OVER (PARTITION BY date) > 0 THEN greatest(score, 0.0) / sum(greatest(score, 0.0)) OVER (PARTITION BY date)
   ELSE 1 / count(*) OVER (PARTITION BY date)::DOUBLE END AS weight FROM (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) <= 3) AS t)"""
-_WSLOT = """sl AS (SELECT exit_date AS date, coalesce(sum(pnl_pct / 10000 * weight) / nullif(sum(weight), 0), 0.0) AS ret, count(*) AS n FROM tr JOIN en2 ON en2.symbol = tr.symbol AND en2.n = tr.entry_n GROUP BY 1)
-SELECT date, ret, n, round(exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)), 4) AS equity FROM sl"""
+_WSLOT = """cal AS (SELECT DISTINCT date FROM tp),
+sl AS (SELECT exit_date AS date, coalesce(sum(pnl_pct / 10000 * weight) / nullif(sum(weight), 0), 0.0) AS ret, count(*) AS n FROM tr JOIN en2 ON en2.symbol = tr.symbol AND en2.n = tr.entry_n GROUP BY 1)
+SELECT date, coalesce(ret, 0.0) AS ret, coalesce(n, 0) AS n, exp(sum(ln(1 + greatest(coalesce(ret, 0.0), -0.9999::DOUBLE))) OVER (ORDER BY date)) AS equity FROM cal LEFT JOIN sl USING (date)"""
 
 
-@query("b07_score_weighted", B.with_("brand_bars", more=f"{TPANEL},\n{_WEIGHT},\n{LABEL.replace('FROM en e', 'FROM en2 e')},\n{DEFER}").rstrip() + ",\n" + _WSLOT)
+@query("b07_score_weighted", B.with_("brand_bars", more=f"{TPANEL},\n{_WEIGHT},\n{label_sql(ONE, entries='en2')}").rstrip() + ",\n" + _WSLOT)
 def _score_weighted(s, d):
     """The day's three best-scored entries, weighted by their scores."""
     p = trade_panel(s, d)
     picked = T.weighted_slots(T.entry_guards(T.candidate_entries(p, START, END))[0], 3, "score_weight")
-    made = T.trade_costs(T.defer_blocked(T.label_exits(picked, p, HOLD, STOP, **RULES), p))
+    made = T.trade_costs(T.defer_blocked(T.label_exits(picked, p, HOLD, STOP, **RULES)))
     made = made.join(picked.select("symbol", F.col("n").alias("entry_n"), "weight"), ["symbol", "entry_n"])
-    return T.slot_portfolio(made.withColumn("pnl_pct", F.col("pnl_pct") / 10000), weight="weight")
+    return T.slot_portfolio(made.withColumn("pnl_pct", F.col("pnl_pct") / 10000), B.bar_dates(s, d), weight="weight")
 
 
 query(
@@ -471,7 +518,7 @@ query(
     f"nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) "
     f"- 1 AS annual_return FROM st) SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM g",
     2
-)(lambda s, d: T.curve_stats(T.slot_portfolio(small_trades(s, d))))
+)(lambda s, d: T.curve_stats(T.slot_portfolio(small_trades(s, d), B.bar_dates(s, d))))
 query(
     "b10_per_symbol",
     _T + "SELECT symbol, count(*) AS n, exp(sum(ln(1 + greatest(pnl_pct, -0.9999::DOUBLE)))) - 1 AS total_return, count_if(pnl_pct "
@@ -484,22 +531,37 @@ query(
     _T + "SELECT least(floor(round((greatest(-0.2::DOUBLE, least(0.2::DOUBLE, pnl_pct)) + 0.2::DOUBLE) / 0.02::DOUBLE, 9)), "
     "19)::INTEGER AS bin, count(*) AS n FROM tr GROUP BY 1"
 )(lambda s, d: T.return_histogram(trades(s, d)))
-BOOT = """tk AS (SELECT greatest(pnl_pct, -0.9999::DOUBLE) AS r, row_number() OVER (ORDER BY symbol, entry_date, exit_date) AS k, count(*) OVER () AS n FROM tr),
-dr AS (SELECT sim, a.k, ('0x' || substr(md5('42-' || sim || '-' || a.k), 1, 8))::BIGINT % a.n + 1 AS pick FROM tk a CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS sim) AS s WHERE a.n >= 3),
-nv AS (SELECT sim, dr.k, exp(sum(ln(1 + r)) OVER (PARTITION BY sim ORDER BY dr.k)) AS nav FROM dr JOIN tk ON tk.k = pick),
-wd AS (SELECT sim, min(dd) AS dd FROM (SELECT sim, least(nav / greatest(max(nav) OVER (PARTITION BY sim ORDER BY k), 1.0) - 1, 0.0) AS dd FROM nv) AS x GROUP BY sim)"""
-query(
-    "b12_bootstrap_drawdown",
-    _T.rstrip() + f",\n{BOOT}\nSELECT quantile_cont(dd, 0.5) AS p50, quantile_cont(dd, 0.05) AS p95 FROM wd",
-    5
-)(lambda s, d: T.bootstrap_drawdown(trades(s, d)))
+
+
+def boot_sql(trades: str = "tr", key: str = "0") -> str:
+    """Worst drawdowns of simulations that draw trades by the same hash of whole numbers."""
+    return f"""tk AS (SELECT {key} AS key, greatest(pnl_pct, -0.9999::DOUBLE) AS r, row_number() OVER (PARTITION BY {key} ORDER BY symbol, entry_date, exit_date, pnl_pct) AS k, count(*) OVER (PARTITION BY {key}) AS n FROM {trades}),
+s0 AS (SELECT key, n, k, sim, (k * 7919 + sim * 104729 + 42) % 2147483647 * 48271 % 2147483647 AS x FROM tk, range(1, 1001) s(sim) WHERE n >= 3 AND sim <= greatest(200, 2000000 // n)),
+s1 AS (SELECT key, n, k, sim, xor(x, x >> 15) * 69621 % 2147483647 AS x FROM s0),
+s2 AS (SELECT key, k, sim, xor(x, x >> 12) * 16807 % 2147483647 % n + 1 AS pick FROM s1),
+nv AS (SELECT s2.key, sim, s2.k, exp(sum(ln(1 + r)) OVER (PARTITION BY s2.key, sim ORDER BY s2.k)) AS nav FROM s2 JOIN tk ON tk.key = s2.key AND tk.k = pick),
+wd AS (SELECT key, sim, min(dd) AS dd FROM (SELECT key, sim, nav / max(nav) OVER (PARTITION BY key, sim ORDER BY k) - 1 AS dd FROM nv) AS x GROUP BY ALL),
+mc AS (SELECT key, quantile_cont(dd, 0.5) AS mc_maxdd_p50, quantile_cont(dd, 0.05) AS mc_maxdd_p95 FROM wd GROUP BY key)"""
+
+
+query("b12_bootstrap_drawdown", _T.rstrip() + f",\n{boot_sql()}\nSELECT mc_maxdd_p50, mc_maxdd_p95 FROM mc", 5)(lambda s, d: T.bootstrap_drawdown(trades(s, d)))
+_FORWARD = TPANEL + f", fw AS (SELECT *, (lead(close, 5) OVER ({W}) / nullif(close, 0) - 1) / 10000 AS fwd FROM tp), fd AS (SELECT date, avg(fwd) AS ret, count(*) AS n FROM fw WHERE entry AND fwd IS NOT NULL GROUP BY date), fe AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS equity FROM fd), fc AS (SELECT *, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS drawdown FROM fe)"
+query("b13_forward_eval", B.with_("brand_bars", more=_FORWARD) + "SELECT * FROM fc")(lambda s, d: T.forward_eval(trade_panel(s, d), 5, 1e-4))
+
+
+def market_close(s, d):
+    """The market as benchmark: the mean close of each date."""
+    return B.bars(s, d).groupBy("date").agg(F.avg("close").alias("close"))
+
+
 query(
-    "b13_forward_eval",
-    B.with_(
-        "brand_bars",
-        more=TPANEL + f", fw AS (SELECT *, lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 AS fwd FROM tp)"
-    ) + "SELECT date, avg(fwd) AS ret, count(*) AS n FROM fw WHERE entry AND fwd IS NOT NULL GROUP BY date"
-)(lambda s, d: T.forward_eval(trade_panel(s, d), 5))
+    "b13_forward_stats",
+    B.with_("brand_bars", "bars", more=_FORWARD + ", bm AS (SELECT date, avg(close) AS close FROM bars GROUP BY date)") + """SELECT p.*, q.*, h.*, total_return - benchmark_return AS excess FROM
+(SELECT count(*) AS n_candidates, avg(fwd) AS avg_return, median(fwd) AS median_return, count_if(fwd > 0) / count(*)::DOUBLE AS win_rate,
+  avg(fwd) FILTER (fwd > 0) / nullif(abs(avg(fwd) FILTER (fwd <= 0)), 0) AS profit_factor, max(fwd) AS best, min(fwd) AS worst FROM fw WHERE entry AND fwd IS NOT NULL) p,
+(SELECT count(*) AS n_days, avg(n) AS avg_daily_candidates, arg_max(equity, date) - 1 AS total_return, min(drawdown) AS max_drawdown, avg(ret) / stddev_pop(ret) * sqrt(252) AS sharpe FROM fc) q,
+(SELECT arg_max(close, date) / arg_min(close, date) - 1 AS benchmark_return FROM bm WHERE date BETWEEN (SELECT min(date) FROM fc) AND (SELECT max(date) FROM fc)) h"""
+)(lambda s, d: T.forward_stats(trade_panel(s, d), 5, market_close(s, d), 1e-4))
 query(
     "b14_signal_backtest",
     B.with_("bars", more=IND) + "SELECT symbol, date, coalesce(close > boll_upper, false) OR coalesce(vol_ratio_5d >= 2.0, false) AS entry, coalesce(close "
@@ -511,6 +573,21 @@ query(
         ["signal_boll_breakdown_lower"]
     ).select("symbol", "date", "entry", "exit")
 )
+_SIGNALS = (["signal_boll_breakout_upper", "signal_volume_surge"], ["signal_boll_breakdown_lower"])
+_SIGNAL_BARS = f"""{IND}, {REC}, rs AS (SELECT symbol, date, rsi_14 FROM recind),
+tp AS (SELECT i.symbol, i.date, open, high, low, close, coalesce(close > boll_upper, false) OR coalesce(vol_ratio_5d >= 2.0, false) OR coalesce(rsi_14 < 20, false) AS entry,
+  coalesce(close < boll_lower, false) OR coalesce(rsi_14 > 80, false) AS exit, 0.0 AS score, false AS stuck_up, false AS stuck_dn,
+  (open > 0 AND high > 0 AND low > 0 AND close > 0 AND NOT (volume = 0 AND {_FLATBAR})) AS tradable, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n, count(*) OVER (PARTITION BY symbol) AS last_n
+  FROM ind i LEFT JOIN rs USING (symbol, date))"""
+
+
+@query("b14_signal_trades", B.with_("bars", more=f"{_SIGNAL_BARS},\n{entries_sql(True)},\n{label_sql(f'SELECT 0, 0, 20, 0.08::DOUBLE, NULL::DOUBLE, 0.2::DOUBLE, NULL::DOUBLE, NULL::DOUBLE', True)}", recursive=True) + f"SELECT {', '.join(_TC)} FROM tr")
+def _signal_trades(s, d):
+    """A backtest on Bollinger, volume and RSI signals, acted on at the next open."""
+    df = indicator_frame(s, d, {"signal_boll_breakout_upper", "signal_volume_surge", "signal_boll_breakdown_lower", "rsi_14"})
+    return T.signal_backtest(df, *_SIGNALS, START, END, 20, (20.0, 80.0), stop=0.08, trail=0.2).select(*_TC)
+
+
 query(
     "b06_minute_fill",
     B.with_(
@@ -530,30 +607,70 @@ query(
         ).select("symbol", "date", "fill_price")
     )(B.minutes(s, d))
 )
-GRID = {"stop": [-0.5, -0.2, -0.1], "hold": {"min": 3, "max": 9, "step": 3}}
-SWEEP = f"""pg AS (SELECT (row_number() OVER (ORDER BY a.i, b.i) - 1)::INTEGER AS trial_id, a.stop, b.hold FROM (VALUES (0, -0.5::DOUBLE), (1, -0.2::DOUBLE), (2, -0.1::DOUBLE)) a(i, stop) CROSS JOIN (VALUES (0, 3), (1, 6), (2, 9)) b(i, hold)),
-sj AS (SELECT g.*, e.symbol, e.n AS entry_n, e.date AS entry_date, e.close AS entry_price, b.n, b.date, b.open, b.low, b.close, b.exit, b.last_n FROM en e JOIN tp b ON b.symbol = e.symbol AND b.n > e.n AND b.n <= e.n + 9 CROSS JOIN pg g WHERE b.n <= e.n + g.hold),
-sr AS (SELECT *, CASE WHEN low <= entry_price * (1 + stop) THEN 'stop' WHEN exit THEN 'signal' WHEN n - entry_n >= hold THEN 'max_hold' WHEN n = last_n THEN 'end' END AS reason, CASE WHEN low <= entry_price * (1 + stop) THEN least(open, entry_price * (1 + stop)) ELSE close END AS exit_price FROM sj),
-sp AS (SELECT trial_id, symbol, entry_n, entry_date, date AS exit_date, reason, exit_price * (1 - 0.0003::DOUBLE - 0.0005::DOUBLE - 0.0005::DOUBLE) / (entry_price * (1 + 0.0003::DOUBLE + 0.0005::DOUBLE)) - 1 AS pnl_pct FROM sr WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trial_id, symbol, entry_n ORDER BY n) = 1)"""
+GRID = {"stop": [0.5, 0.1], "hold": {"min": 3, "max": 9, "step": 3}, "take": [None, 1.5], "trail": [None, 0.4], "profit": [None, 0.2], "variant": [0, 1]}
+#: Entries of two sets of strategy parameters: least volume ratios.
+VOLUME_RATIOS = (1.2, 2.0)
+TRIALS = [{**t, "profit_start": t["profit"], "profit_trail": t["profit"] and 0.3} for t in T.param_grid(GRID)]
+_number = lambda x: "NULL::DOUBLE" if x is None else f"{x}::DOUBLE"
+_TRIALS_SQL = "VALUES " + ", ".join(
+    f"({k}, {t['variant']}, {t['hold']}, {', '.join(_number(t[r]) for r in ('stop', 'take', 'trail', 'profit_start', 'profit_trail'))})" for k, t in enumerate(TRIALS)
+)
+_VOLUME = f"tv AS (SELECT symbol, date, coalesce(ma5 > ma20, false) AS trend, vol_ratio_5d FROM ind)"
+_SW = B.with_("brand_bars", more=f"{TPANEL},\n{_VOLUME},\nev AS (SELECT en.*, vol_ratio_5d AS vr FROM en JOIN tv USING (symbol, date)),\n{label_sql(_TRIALS_SQL, entries='ev', takes='(variant = 0 OR vr >= 2.0)')}")
 
 
 def swept(s, d):
-    return T.sweep(trade_panel(s, d), T.grid_frame(s, GRID), START, END, 9)
+    """All trials over exit rules and two sets of entry parameters."""
+    p = trade_panel(s, d, "ma5", "ma20", "vol_ratio_5d")
+    conditions = [F.coalesce((F.col("ma5") > F.col("ma20")) & (F.col("vol_ratio_5d") >= v), F.lit(False)) for v in VOLUME_RATIOS]
+    return T.sweep(p, TRIALS, START, END, variants=conditions)
 
 
-_SW = B.with_("brand_bars", more=f"{TPANEL},\n{SWEEP}")
-query("b16_sweep_trades", _SW + "SELECT trial_id, count(*) AS n, avg(pnl_pct) AS avg_pnl, count_if(reason = 'stop') AS stops FROM sp GROUP BY 1")(
+_BY_REASON = ("stop_loss", "trailing_stop", "trailing_take_profit", "take_profit", "signal", "max_hold", "end")
+query(
+    "b16_sweep_trades",
+    _SW + "SELECT trial_id, count(*) AS n, avg(pnl_pct) AS avg_pnl, sum(blocked_days)::BIGINT AS blocked, " + ", ".join(f"count_if(reason = '{r}') AS {r}" for r in _BY_REASON) + " FROM tr GROUP BY 1",
+    5
+)(
     lambda s, d: swept(s, d).groupBy("trial_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("pnl_pct").alias("avg_pnl"),
-        F.count_if(F.col("reason") == "stop").alias("stops")
+        F.sum("blocked_days").alias("blocked"),
+        *(F.count_if(F.col("reason") == r).alias(r) for r in _BY_REASON)
     )
 )
 query(
     "b16_sweep_ranked",
     _SW + "SELECT trial_id, n_trades, avg_pnl, row_number() OVER (ORDER BY round(avg_pnl, 9) DESC NULLS LAST, trial_id)::INTEGER AS "
-    "rank FROM (SELECT trial_id, count(*) AS n_trades, avg(pnl_pct) AS avg_pnl FROM sp GROUP BY 1) q"
-)(lambda s, d: T.rank_trials(swept(s, d)).select("trial_id", "n_trades", "avg_pnl", "rank"))
+    "rank FROM (SELECT trial_id, count(*) AS n_trades, avg(pnl_pct) AS avg_pnl FROM tr GROUP BY 1) q",
+    5
+)(lambda s, d: T.rank_trials(swept(s, d), B.bar_dates(s, d)).select("trial_id", "n_trades", "avg_pnl", "rank"))
+query(
+    "b16_sweep_by_holding",
+    _SW + "SELECT trial_id, avg_holding_days, row_number() OVER (ORDER BY round(avg_holding_days, 9), trial_id)::INTEGER AS rank FROM (SELECT trial_id, avg(duration) AS avg_holding_days FROM tr GROUP BY 1) q"
+)(lambda s, d: T.rank_trials(swept(s, d), B.bar_dates(s, d), "avg_holding_days").select("trial_id", "avg_holding_days", "rank"))
+#: Few trials, and small returns, where every trade is drawn hundreds of times.
+FEW = [t for t in TRIALS if t["hold"] == 9 and t["take"] is None and t["variant"] == 1 and t["trail"] is None]
+_FEW_SQL = "VALUES " + ", ".join(f"({k}, 1, {t['hold']}, {', '.join(_number(t[r]) for r in ('stop', 'take', 'trail', 'profit_start', 'profit_trail'))})" for k, t in enumerate(FEW))
+_SW_FEW = B.with_("brand_bars", more=f"{TPANEL},\n{_VOLUME},\nev AS (SELECT en.*, vol_ratio_5d AS vr FROM en JOIN tv USING (symbol, date)),\n{label_sql(_FEW_SQL, entries='ev', takes='vr >= 2.0')}")
+
+
+def few_swept(s, d):
+    p = trade_panel(s, d, "ma5", "ma20", "vol_ratio_5d")
+    condition = F.coalesce((F.col("ma5") > F.col("ma20")) & (F.col("vol_ratio_5d") >= 2.0), F.lit(False))
+    return T.sweep(p, [{**t, "variant": 0} for t in FEW], START, END, variants=[condition])
+
+
+query(
+    "b16_sweep_by_drawdown",
+    _SW_FEW.rstrip() + f",\nsm AS (SELECT * REPLACE (pnl_pct / 100 AS pnl_pct) FROM tr),\n{boot_sql('sm', 'trial_id')}\n"
+    "SELECT key AS trial_id, mc_maxdd_p95, row_number() OVER (ORDER BY round(mc_maxdd_p95, 9) DESC, key)::INTEGER AS rank FROM mc",
+    5
+)(lambda s, d: T.rank_trials(few_swept(s, d).withColumn("pnl_pct", F.col("pnl_pct") / 100), B.bar_dates(s, d), "mc_maxdd_p95").select("trial_id", "mc_maxdd_p95", "rank"))
+query(
+    "b15_param_grid",
+    "WITH k AS (SELECT DISTINCT l_linenumber AS k FROM lineitem) SELECT (row_number() OVER (ORDER BY a.k, b.k) - 1)::INTEGER AS trial_id, round(a.k * 0.05::DOUBLE, 10) AS stop, (2 * b.k)::DOUBLE AS hold FROM k a, k b"
+)(lambda s, d: (lambda n: T.grid_frame(s, {"stop": {"min": 0.05, "max": 0.05 * n, "step": 0.05}, "hold": {"min": 2, "max": 2 * n, "step": 2}}))(B.table(s, d, "lineitem").agg(F.max("l_linenumber")).first()[0]))
 query(
     "u04_param_product",
     "SELECT (row_number() OVER (ORDER BY a.i, b.i) - 1)::INTEGER AS trial_id, a.stop, b.hold::DOUBLE AS hold FROM (VALUES (0, "
@@ -579,16 +696,43 @@ query(
         F.col("date").between(F.col("test_start"), F.col("test_end"))
     ).groupBy("fold").agg(F.count(F.lit(1)).alias("test_bars"))
 )
-query(
-    "b18_walkforward",
-    _SW.rstrip() + f", {_FOLD_SQL}, tn AS (SELECT fold, trial_id, avg(pnl_pct) AS train_value FROM sp JOIN fd ON entry_date >= train_start AND "
-    f"exit_date <= train_end GROUP BY 1, 2), bt AS (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY fold ORDER BY "
-    f"round(train_value, 9) DESC NULLS LAST, trial_id) = 1), ts AS (SELECT fold, trial_id, count(*) AS n_trades, avg(pnl_pct) "
-    f"AS avg_pnl FROM sp JOIN fd ON entry_date >= test_start AND exit_date <= test_end GROUP BY 1, 2) SELECT b.fold, b.trial_id, "
-    f"b.train_value, t.n_trades, t.avg_pnl, t.avg_pnl - b.train_value AS degradation FROM bt b LEFT JOIN ts t USING (fold, trial_id)"
-)(
-    lambda s, d: T.walkforward(swept(s, d), T.fold_frame(s, FOLDS)).select("fold", "trial_id", "train_value", "n_trades", "avg_pnl", "degradation")
+#: The sweep's trades of each fold's windows, from bars that end with the window.
+_WALK = _SW.rstrip() + f""", {_FOLD_SQL},
+wn AS (SELECT fold, false AS tested, train_start AS a, train_end AS z FROM fd UNION ALL SELECT fold, true, test_start, test_end FROM fd),
+lb AS (SELECT fold, tested, symbol, max(n) AS last_n, arg_max(close, n) AS last_close, max(date) AS last_date FROM wn JOIN tp ON date <= z GROUP BY ALL),
+wt AS (SELECT fold, tested, t.*, exit_n > last_n AS late, last_n, last_close, last_date FROM tr t JOIN wn ON entry_date BETWEEN a AND z JOIN lb USING (fold, tested, symbol) WHERE entry_n < last_n),
+ws AS (SELECT fold, tested, trial_id, symbol, entry_date, CASE WHEN late THEN last_date ELSE exit_date END AS exit_date, CASE WHEN late THEN last_n ELSE exit_n END - entry_n AS duration,
+  1e-4::DOUBLE * (CASE WHEN late THEN last_close ELSE exit_price END * (1 - 0.0003::DOUBLE - 0.0005::DOUBLE - 0.0005::DOUBLE) / (entry_price * (1 + 0.0003::DOUBLE + 0.0005::DOUBLE)) - 1) AS pnl_pct FROM wt),
+wc AS (SELECT fold, tested, date FROM wn JOIN (SELECT DISTINCT date FROM tp) ON date BETWEEN a AND z),
+wr AS (SELECT fold, tested, trial_id, exit_date AS date, avg(pnl_pct) AS ret FROM ws GROUP BY ALL),
+we AS (SELECT k.*, c.date, coalesce(r.ret, 0.0) AS ret FROM (SELECT DISTINCT fold, tested, trial_id FROM ws) k JOIN wc c USING (fold, tested) LEFT JOIN wr r USING (fold, tested, trial_id, date)),
+wq AS (SELECT fold, tested, trial_id, date, exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (PARTITION BY fold, tested, trial_id ORDER BY date)) AS v FROM we),
+wx AS (SELECT fold, tested, trial_id, date, v, v / coalesce(lag(v) OVER (PARTITION BY fold, tested, trial_id ORDER BY date), 1.0) - 1 AS r FROM wq),
+wv AS (SELECT fold, tested, trial_id, arg_max(v, date) - 1 AS total_return, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino FROM wx GROUP BY ALL),
+wg AS (SELECT v.*, n_trades FROM wv v JOIN (SELECT fold, tested, trial_id, count(*) AS n_trades FROM ws GROUP BY ALL) USING (fold, tested, trial_id)),
+bt AS (SELECT fold, trial_id, sortino FROM wg WHERE NOT tested QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(sortino, 9) DESC NULLS LAST, trial_id) = 1),
+wf AS (SELECT b.fold, b.trial_id, b.sortino AS train_value, g.n_trades, g.sortino, g.total_return, round(b.sortino, 9) - round(g.sortino, 9) AS degradation FROM bt b JOIN wg g ON g.tested AND g.fold = b.fold AND g.trial_id = b.trial_id)
+"""
+query("b18_walkforward", _WALK + "SELECT * FROM wf", 4)(
+    lambda s, d: walked(s, d).select("fold", "trial_id", "train_value", "n_trades", "sortino", "total_return", "degradation")
 )
+
+
+def walked(s, d):
+    """The sweep's trades, written once, and each fold's best trial by Sortino on its test window."""
+    path = scratch(s, "sweep")
+    swept(s, d).write.parquet(path)
+    bars = B.brand_bars(s, d)
+    numbered_bars = bars.select("symbol", "date", "close").withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
+    return T.walkforward(s.read.parquet(path), T.fold_frame(s, FOLDS), numbered_bars, scale=1e-4)
+
+
+query(
+    "b18_out_of_sample",
+    _WALK + f"SELECT count(*) AS n_folds, {len(FOLDS)} - count(*) AS skipped, product(1 + coalesce(total_return, 0.0)) - 1 AS compounded_oos_return, avg(train_value) AS avg_is_objective, "
+    "avg(sortino) AS avg_oos_objective, avg(train_value) - avg(sortino) AS degradation, count_if(total_return > 0) / count(*)::DOUBLE AS consistency FROM wf",
+    4
+)(lambda s, d: T.out_of_sample(walked(s, d), len(FOLDS)))
 query(
     "t02_rank_strategy",
     B.with_(
