@@ -1,7 +1,10 @@
+import os
 import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
+import pytest
+
 from tidepanel.llm import html_paths as H
 from tidepanel.llm.html_paths import extract, extract_report, main_text
 
@@ -68,6 +71,35 @@ def test_paths_decide_without_telling_names():
     assert main_text(page(body)) == f"Head\n{LONGER}\n{LONGER}\nShort."
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="site no-sidebar">', '<div class="content has-sidebar"><article>', '<div id="main-header-wrap">', '<div class="ad-free">', '<div class="post share">', '<div class="post category-social-science">', '<div class="widget"><div class="banner">'])
+def test_names_do_not_drop_whole_pages(wrapper):
+    inner = f"<h1>Title</h1><p>{LONGER}</p><p>{LONGER}</p><p>Short.</p>"
+    end = "</article></div>" if "<article" in wrapper else "</div>" * wrapper.count("<div")
+    body = f'<div class="menu"><a href=/>Home</a> <a href=/n>News</a></div>{wrapper}{inner}{end}<div class="cookie-notice">We use cookies, as all do. You may say no, of course.</div>'
+    assert main_text(page(body)) == f"Title\n{LONGER}\n{LONGER}\nShort."
+
+
+def test_names_still_count_beside_the_content():
+    said = f"<p>{LONGER}</p>" * 8
+    for name in ("comments", "comment-list", "cookie-notice", "sidebar-left", "ad", "related"):
+        body = f'<article><h1>Title</h1><p>{LONGER}</p></article><div class="{name}">{said}</div>'
+        assert main_text(page(body)) == f"Title\n{LONGER}", name
+        body = f'<div class=post><h2>Title</h2><p>{LONGER}</p><p>{LONGER}</p></div><div id="{name}">{said[: len(said) // 2]}</div>'
+        assert main_text(page(body)) == f"Title\n{LONGER}\n{LONGER}", name
+    assert not H.telling("no-sidebar") and not H.telling("category-social") and H.telling("x sidebar-left") and H.telling("cookie_notice") and not H.telling("header", True)
+
+
+def test_a_header_beside_the_text_gives_its_heading():
+    body = f"<header class=site><h1>Site</h1></header><div class=post><header><h1>Title</h1><p>By me, today.</p></header><p>{LONGER}</p><p>{LONGER}</p></div>"
+    assert main_text(page(body)) == f"Title\n{LONGER}\n{LONGER}"
+
+
+def test_short_boilerplate_without_names_goes():
+    body = f"<div class=a1>We use cookies.</div><div class=a2><h1>Title</h1><p>{LONGER}</p><p>{LONGER}</p><p>{LONGER}</p></div><div class=a3>Ann: nice!</div><div class=a4>(c) me</div>"
+    assert main_text(page(body)) == f"Title\n{LONGER}\n{LONGER}\n{LONGER}"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_the_ratios_select(spark, monkeypatch):
     """Without a threshold other blocks come along, on real pages as well."""
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
@@ -89,7 +121,7 @@ class Reference(HTMLParser):
             return self.handle_data(" ") if tag == "br" else None
         name = " ".join(v or "" for k, v in attrs if k in ("class", "id")) if tag != "article" else ""
         never = tag in H.NEVER or tag == "header"
-        self.open.append((tag, f"{tag}.{dict(attrs).get('class') or ''}", self.open[-1][2] or never, self.open[-1][3] or bool(H.NAMES.search(name))))
+        self.open.append((tag, f"{tag}.{dict(attrs).get('class') or ''}", self.open[-1][2] or never, self.open[-1][3] or name in ("ad", "comment")))
         self.fresh = self.fresh or tag in H.BLOCKS
 
     def handle_endtag(self, tag):

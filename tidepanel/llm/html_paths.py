@@ -8,16 +8,21 @@ their classes, from the root to it.
 2. Length and punctuation ratios are measured against the ratios at which the page's
    text typically stands, at most 1, and smoothed over neighbouring blocks.
 3. Both are fused into one score, which links lower, and which sinks to a twentieth
-   on a path whose classes or ids speak of adverts, notices, sidebars, comments and
-   the like. Paths whose mean score reaches ``REACH`` are content paths; their blocks
-   are selected.
+   below an element whose classes or ids speak of adverts, notices, sidebars, comments
+   and the like. Such a name counts only where the page has its content elsewhere: not
+   if an article stands nowhere else and less than ``ELSEWHERE`` of all scores does. A
+   name is a whole class or id, or its first or last part; classes that deny or
+   describe (``no-sidebar``, ``has-header``, ``category-social``, ``main-header``) are
+   none. Paths whose mean score reaches ``REACH`` are content paths; their blocks are
+   selected.
 4. Short blocks can't reach the threshold by themselves (headings, captions, list
    items, cells): they are kept where they stand in the ``article`` or ``main``, or
    in the innermost box, of selected blocks; a heading also before such a box. Links
    alone are kept in an article only.
 
 What the HTML itself declares to be no article never counts: navigation, headers of
-the page, footers, asides, forms, dialogs, scripts, styles, and what is hidden.
+the page, footers, asides, forms, dialogs, scripts, styles, and what is hidden; but the
+heading of a ``header`` that stands in the innermost box of selected blocks is kept.
 
 Inside a block white space becomes one space; a ``<br>`` counts as white space.
 Blocks are joined in page order by a line end.
@@ -43,8 +48,8 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-#: Least score of a content path, and what a telling name leaves of a score.
-REACH, NAMED = 0.25, 0.05
+#: Least score of a content path, what a telling name leaves of a score, and the share of all scores that must stand outside it.
+REACH, NAMED, ELSEWHERE = 0.25, 0.05, 0.2
 #: Weight of a block itself and of each neighbour in page order.
 OWN, BESIDE = 0.7, 0.15
 
@@ -60,11 +65,13 @@ NEVER = frozenset(
     "script style noscript iframe template svg math head title textarea select button input nav footer aside form menu dialog "
     "object canvas audio video xmp noembed noframes search".split()
 )
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|notice\w*|cookies?|consent|gdpr|alert|popup|modal|overlay|"
-    r"comments?|disqus|replies|reply|respond|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|copyright|disclaimer|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adsense banner banners sponsor sponsored sponsors promo promos promotion promotions menu nav navbar navigation "
+    "breadcrumb breadcrumbs header masthead footer sidebar side aside widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay comment comments disqus replies reply "
+    "respond social share sharing related recommend recommended recommendations newsletter subscribe signup login search toolbar pagination pager copyright disclaimer skip".split()
 )
+# Parts of classes that deny the other parts, or speak of what an article is about or of what holds it.
+DENIALS = frozenset("no not non without has with hide hidden free less is category categories cat tag tags topic format type single main content article post entry story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；！？]")
 
@@ -75,7 +82,8 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that group blocks.
 _BOXES = frozenset("html body article main section div center details fieldset".split())
 #: Words that, inside an article, name its own parts.
-_OF_ARTICLE = re.compile(r"(?:^|(?<=[\s_-]))(?:header|footer|masthead)(?=$|[\s_-])", re.IGNORECASE)
+_OF_ARTICLE = frozenset(("header", "footer", "masthead"))
+_PART = re.compile(r"[_-]+")
 #: What an opening tag closes, up to the bound given.
 _CLOSES = {
     "li": ("li", ("ul", "ol", "menu")),
@@ -88,19 +96,32 @@ _CLOSES = {
 }
 
 
+def telling(names: str, in_article: bool = False) -> bool:
+    """Whether a class or id speaks of what is no article."""
+    for name in names.lower().split():
+        parts = [p for p in _PART.split(name) if p]
+        if parts and not DENIALS.intersection(parts) and any(p in NAMES and not (in_article and p in _OF_ARTICLE) for p in (parts[0], parts[-1])):
+            return True
+    return False
+
+
 class Element:
-    __slots__ = ("box", "leaf", "named", "never", "parent", "path", "tag")
+    """``named`` is the number of the nearest telling name above or here, 0 for none; ``banner`` the page header it stands in."""
+
+    __slots__ = ("banner", "box", "leaf", "named", "never", "parent", "path", "tag")
 
-    def __init__(self, parent: "Element | None", tag: str, path: int, named: bool, never: bool):
+    def __init__(self, parent: "Element | None", tag: str, path: int, named: int, never: bool):
         self.parent, self.tag, self.path, self.named, self.never = parent, tag, path, named, never
+        self.banner = parent.banner if parent is not None else None
         self.box = self if parent is None or tag in _BOXES else parent.box
         self.leaf = self if parent is None or tag in BLOCKS else parent.leaf
 
 
 class Block:
-    __slots__ = ("at", "marks", "n", "n_linked", "number", "parts")
+    __slots__ = ("at", "marks", "n", "n_linked", "number", "parts", "rescued")
 
     def __init__(self, number: int, at: Element):
+        self.rescued = False
         self.number, self.at, self.parts, self.n, self.n_linked, self.marks = number, at, [], 0, 0, 0
 
 
@@ -110,7 +131,11 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[Block] = []
         self.paths: dict[tuple[int, str], int] = {}
-        self.root = Element(None, "", 0, False, False)
+        #: Of each telling name the one above it; 0 is none.
+        self.names = [0]
+        self.counts: list[bool] = [False]
+        self.of_article: dict[Element, bool] = {}
+        self.root = Element(None, "", 0, 0, False)
         self.stack = [self.root]
         self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.block_places: list[int] = []
@@ -170,20 +195,26 @@ class Page:
         up = self.stack[-1]
         names = f"{found.get('class', '')} {found.get('id', '')}" if found and tag not in ("html", "body", "article", "main") else ""
         in_article = bool(self.places["article"])
-        never = up.never or tag in NEVER or tag == "header" and not in_article
+        banner = tag == "header" and not in_article
+        never = up.never or tag in NEVER or banner
         if found and not never:
             never = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or re.search(
                 r"display\s*:\s*none",
                 found.get("style", ""),
                 re.IGNORECASE
             ) is not None
-        named = up.named or bool(names.strip()) and NAMES.search(_OF_ARTICLE.sub("", names) if in_article else names) is not None
+        named = up.named
+        if names.strip() and telling(names, in_article):
+            self.names.append(up.named)
+            named = len(self.names) - 1
         path = up.path
         if tag in BLOCKS:
             path = self.paths.setdefault((path, f"{tag}.{found.get('class', '')}"), len(self.paths) + 1)
             self.block_places.append(len(self.stack))
         self.places[tag].append(len(self.stack))
         self.stack.append(Element(up, tag, path, named, never))
+        if banner and not up.never:
+            self.stack[-1].banner = self.stack[-1]
 
     def _pop_until(self, tag: str, bounds: tuple[str, ...]) -> None:
         if self.places[tag] and not any(self.places[b] and self.places[b][-1] > self.places[tag][-1] for b in bounds):
@@ -225,19 +256,53 @@ class Page:
         """Each block's path score, and the share of its path's text that is in links."""
         path = np.array([b.at.path for b in self.blocks])
         n, marks, linked = (np.array([getattr(b, name) for b in self.blocks], dtype=float) for name in ("n", "marks", "n_linked"))
-        prior = np.where([b.at.named for b in self.blocks], NAMED, 1.0)
-        usual = np.where([b.at.never for b in self.blocks], 0.0, n * prior)
+        fine = np.array([not b.at.never for b in self.blocks])
         count, whole = np.bincount(path), np.bincount(path, n)
         links = np.bincount(path, linked) / np.maximum(whole, 1)
-        fused = (1 - links[path]) ** 2 * prior
-        for values, least in ((n, 0.0), (marks, 0.5)):
-            ratio = (np.bincount(path, values) / np.maximum(count, 1))[path]
-            typical = (usual * ratio).sum() / max(usual.sum(), 1)
-            x = np.minimum(1, ratio / typical) if typical else np.ones(len(ratio))
-            near = np.convolve(x, [BESIDE, OWN, BESIDE])[1:-1] / np.convolve(np.ones(len(x)), [BESIDE, OWN, BESIDE])[1:-1]
-            fused *= least + (1 - least) * np.sqrt(x * near)
+
+        def fuse(prior: np.ndarray) -> np.ndarray:
+            usual = np.where(fine, n * prior, 0.0)
+            fused = (1 - links[path]) ** 2 * prior
+            for values, least in ((n, 0.0), (marks, 0.5)):
+                ratio = (np.bincount(path, values) / np.maximum(count, 1))[path]
+                typical = (usual * ratio).sum() / max(usual.sum(), 1)
+                x = np.minimum(1, ratio / typical) if typical else np.ones(len(ratio))
+                near = np.convolve(x, [BESIDE, OWN, BESIDE])[1:-1] / np.convolve(np.ones(len(x)), [BESIDE, OWN, BESIDE])[1:-1]
+                fused *= least + (1 - least) * np.sqrt(x * near)
+            return fused
+
+        self._weigh_names(np.where(fine, n * fuse(np.ones(len(n))), 0.0))
+        fused = fuse(np.where([self.counts[b.at.named] for b in self.blocks], NAMED, 1.0))
         return (np.bincount(path, fused) / np.maximum(count, 1))[path], links[path]
 
+    def _weigh_names(self, scores: np.ndarray) -> None:
+        """Which telling names, with those above them, count: the page's content must stand elsewhere too.
+
+        ``scores`` are the blocks', as if nothing had a name, times their length.
+        """
+        article = np.array([self._in_article(b.at) for b in self.blocks])
+        named = [b.at.named for b in self.blocks]
+        inside = np.bincount(named, scores, len(self.names))
+        inside_article = np.bincount(named, np.where(article, scores, 0.0), len(self.names))
+        for k in range(len(self.names) - 1, 0, -1):
+            inside[self.names[k]] += inside[k]
+            inside_article[self.names[k]] += inside_article[k]
+        self.counts = [False]
+        for k in range(1, len(self.names)):
+            elsewhere = inside[0] - inside[k] >= ELSEWHERE * inside[0] or inside_article[0] - inside_article[k] > 1e-9 * inside_article[0]
+            self.counts.append(bool(elsewhere) or self.counts[self.names[k]])
+
+    def _in_article(self, at: Element) -> bool:
+        """Whether an element stands in an ``article`` or ``main``; told once for each box."""
+        chain, x = [], at.box
+        while x is not None and x not in self.of_article:
+            chain.append(x)
+            x = x.parent.box if x.parent is not None else None
+        own = self.of_article[x] if x is not None else False
+        for x in reversed(chain):
+            own = self.of_article[x] = own or x.tag in ("article", "main")
+        return own
+
     def kept(self) -> list[bool]:
         """Whether each block is main text."""
         if not self.blocks:
@@ -271,7 +336,12 @@ class Page:
 
         out = []
         for b, own, fine, link in zip(self.blocks, selected, usable, links.tolist()):
-            if not own and fine and not b.at.named:
+            banner = b.at.banner
+            if not own and banner is not None and b.at.tag in _HEADINGS and not banner.parent.never and not self.counts[b.at.named]:
+                # The heading of a header beside the text; it is no page's header.
+                box = banner.parent.box
+                own = b.rescued = box in boxes and box.tag not in ("", "html", "body")
+            elif not own and fine and not self.counts[b.at.named]:
                 in_article, in_box = where(b.at)
                 heading, box = b.at.tag in _HEADINGS, b.at.box
                 beside = in_box or box in boxes
@@ -283,7 +353,8 @@ class Page:
         lines = []
         for block, own in zip(self.blocks, self.kept()):
             if own:
-                parts = "".join(text for text, never, named in block.parts if not never and (block.at.named or not named))
+                own = self.counts[block.at.named]
+                parts = "".join(text for text, never, named in block.parts if (not never or block.rescued) and (own or not self.counts[named]))
                 lines.append(" ".join(parts.split()))
         return "\n".join(x for x in lines if x)
 
