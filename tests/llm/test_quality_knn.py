@@ -72,3 +72,10 @@ def test_edge_cases(spark, corpus):
     assert {r["score"] for r in none} == {0.5}
     assert Q.quality_report(df.limit(0), labels).count() == 0
     assert Q.keep_good(df, labels).columns == df.columns
+
+
+def test_labels_without_documents_take_no_place_in_the_sample(spark, corpus):
+    df, labels = tables(spark, corpus)
+    strange = spark.range(1_000_000, 1_010_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    a, b = Q.train(df, labels, sample=100), Q.train(df, labels.unionByName(strange), sample=100)
+    assert len(a.labels) == len(b.labels) == 100 and (a.vectors == b.vectors).all()

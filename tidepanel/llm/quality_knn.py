@@ -167,7 +167,9 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.filter(
         F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))
     ).groupBy(F.col(key).alias("id")).agg(F.avg(label).alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    # Labels without a document would fill the sample and teach nothing.
+    present = known.join(df.select(F.col(key).alias("id")), "id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
