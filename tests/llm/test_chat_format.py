@@ -57,3 +57,15 @@ def test_lengths_come_from_the_ids():
     at = int(mask.nonzero()[0][-1]) + 1
     longer, its_mask = C.np.insert(ids, at, more), C.np.insert(mask, at, [1] * len(more))
     assert C.disassemble(longer, its_mask, path) == ("assistant", "one two three", "one two three", C.disassemble(ids, mask, path)[3] + 6)
+
+
+def test_a_conversation_minus_one_stays_apart_from_the_probe(spark):
+    df = spark.createDataFrame([(-1, 0, "assistant", "mine")], "conv_id long, turn long, role string, text string")
+    out = sorted((r["n_turns"], r["loss_chars"]) for r in C.chat_report(df).collect())
+    assert out == [(1, 4), (2, len(C.PROBE[1][3]))]
+
+
+def test_turns_are_encoded_before_they_move(spark):
+    df = spark.createDataFrame([(1, 0, "assistant", "mine")], "conv_id long, turn long, role string, text string")
+    plan = C.chat_report(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") < plan.rindex("MapInArrow")
