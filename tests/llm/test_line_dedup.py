@@ -30,3 +30,13 @@ def test_report_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
     assert "Python" not in L.line_report(df)._jdf.queryExecution().toString()
+
+
+def test_long_pages_of_boilerplate_take_linear_time(spark):
+    """A host with 40,000 boilerplate lines, each looked up once a page that has it."""
+    text = "\n".join(f"line {k}" for k in range(40_000))
+    df = spark.createDataFrame([(i, f"{text}\nown {i}", "a") for i in range(6)], "doc_id long, text string, source string")
+    for broadcast in (100_000, 0):
+        out = L.drop_lines(df, broadcast_lines=broadcast)
+        assert sorted(r["text"] for r in out.collect()) == [f"own {i}" for i in range(6)]
+    assert "array_contains" not in L.line_report(df)._jdf.queryExecution().toString()

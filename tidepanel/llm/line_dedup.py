@@ -53,19 +53,30 @@ def drop_lines(
 ) -> DataFrame:
     """``df`` with the boilerplate lines taken out of ``text``.
 
-    A host's boilerplate lines number at most its mean lines a page over
-    ``ratio``, so one array holds them. The arrays are broadcast while they hold
-    at most ``broadcast_lines`` lines in all; beyond that the join is shuffled,
-    where adaptive execution splits a hot host.
+    Lines are joined to the boilerplate one by one, whatever a page's and a host's number
+    of them, and the pages that lose some are put together again. The boilerplate is
+    broadcast while it has at most ``broadcast_lines`` lines; beyond that the join is
+    shuffled, where adaptive execution splits a hot line.
     """
-    lines, own_host = free_names(df, "lines", "host")
-    flagged = cut(boilerplate_lines(df, text, host, ratio, min_pages))
-    arrays = flagged.groupBy("host").agg(F.collect_list("key").alias(lines)).withColumnRenamed("host", own_host)
+    row, kept, lost = free_names(df, "row", "kept", "lost")
+    flagged = cut(boilerplate_lines(df, text, host, ratio, min_pages)).select(F.col("host").alias("of"), F.col("key.a").alias("a"), F.col("key.b").alias("b"), F.lit(True).alias("bad"))
     if flagged.count() <= broadcast_lines:
-        arrays = F.broadcast(arrays)
-    joined = df.join(arrays, df[host].eqNullSafe(arrays[own_host]), "left").drop(own_host)
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: (x == "") | ~F.array_contains(F.col(lines), _key(x))), "\n")
-    return joined.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(kept)).drop(lines)
+        flagged = F.broadcast(flagged)
+    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    others = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(df.columns) if c.lower() != text.lower()])
+    lines = numbered.select(F.col(row).alias("row"), F.col(host).alias("host"), others.alias("others"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("at", "line"))
+    key = _key(F.col("line"))
+    lines = lines.select("row", "host", "at", "line", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("others")).alias("others"), key["a"].alias("a"), key["b"].alias("b"))
+    same = F.col("host").eqNullSafe(F.col("of")) & (lines["a"] == flagged["a"]) & (lines["b"] == flagged["b"]) & (F.col("line") != "")
+    judged = lines.join(flagged, same, "left")
+    whole = judged.groupBy("row").agg(
+        F.first("others", ignorenulls=True).alias("others"),
+        F.sort_array(F.collect_list(F.when(F.col("bad").isNull() & F.col("line").isNotNull(), F.struct("at", "line")))).alias(kept),
+        (F.count("at") > 0).alias(lost)
+    )
+    back = F.when(F.col(lost), F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    places = iter(range(len(df.columns)))
+    return whole.select(*[back.alias(c) if c.lower() == text.lower() else F.col(f"others.c{k}").alias(c) for k, c in zip(places, df.columns)])
 
 
 def line_report(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
