@@ -280,6 +280,12 @@ def drop_contaminated(
     return with_leaks(df, benchmark, text, block_words=block_words, least_words=least_words, to=leaks).filter(F.size(leaks) == 0).drop(leaks)
 
 
+def short_items(benchmark: DataFrame, least_words: int, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``item_id, text`` of the items of fewer words than ``least_words``, which :func:`drop_contaminated` doesn't look for."""
+    words = F.regexp_count(F.coalesce(F.col(item_text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    return benchmark.filter(words < least_words).select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"))
+
+
 def leak_report(
     df: DataFrame,
     benchmark: DataFrame,

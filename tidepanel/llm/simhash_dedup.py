@@ -182,6 +182,11 @@ def normal_words(text: str) -> Column:
     return F.trim(F.regexp_replace(low, r"[ \t\n\x0B\f\r]+", " "))
 
 
+def text_name(text: str) -> Column:
+    """128 bits that stand for a text's word sequence: texts by the billion have no two alike by chance."""
+    return F.unhex(F.md5(normal_words(text).cast("binary")))
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct shingle hashes of one text."""
     parts = [p.view(">u8").ravel() for p in digests(text, shingle)]
@@ -206,7 +211,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 def sketches(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """``id, node, fp, bands`` of every row; ``node`` names the text's word sequence."""
     text_batches(df.sparkSession)
-    rows = df.select(F.col(key).alias("id"), F.xxhash64(normal_words(text)).alias("node"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("id"), text_name(text).alias("node"), F.col(text).alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +347,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     for end in ("u", "v"):
         near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
     near = near.select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
-    named = F.xxhash64(normal_words(text))
+    named = text_name(text)
     texts = df.select(named.alias("node"), F.col(text).alias("text"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
