@@ -3,6 +3,11 @@
 ``STAGES`` lists them in order. Each takes ``(spark, docs, sf_dir)`` and returns a
 DataFrame, which is written as Parquet and read again as the next stage's docs. All
 but the last return the columns of ``documents``.
+
+Cases: null and empty texts pass the stages (null texts as null) and are packed as an
+end id each; repeated rows and ids are judged row by row, of equal texts one row stays; an
+empty table stays empty; further columns pass all stages but the last, whatever their
+names.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +33,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.keep_one(docs).select(*docs.columns)
 
 
+#: Benchmark items of fewer words are not looked for: a document would go for a common phrase.
+LEAST_ITEM_WORDS = 5
+
+
+def short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that the stage leaves aside, to be looked at by people."""
+    return decontaminate.short_items(table(spark, sf_dir, "benchmark"), LEAST_ITEM_WORDS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that overlap a benchmark item of at least ``LEAST_ITEM_WORDS`` words go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), least_words=LEAST_ITEM_WORDS).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
