@@ -8,6 +8,11 @@ costs a call. A task holds one chunk, or one symbol if that is longer.
 short series: it costs the square of a symbol's length but runs no Python.
 
 A bar without a value (KDJ's range being zero) keeps the state and gives null.
+
+What a symbol's next bar needs of all before it is a state of ``STATE`` numbers: the
+means, how many bars there were, the last close, and the last eight highs and lows. A
+table of states, a row a symbol, lets a later run start from where the last one
+ended, with the same results to the last bit as one run over everything.
 """
 
 from collections.abc import Iterator, Sequence
@@ -28,6 +33,9 @@ RECURSIVE = (*[f"ema{n}" for n in EMA], "macd_dif", "macd_dea", "macd_hist", "kd
 CHUNK = 1 << 16
 
 _SPANS = (*EMA, 12, 26)
+#: Bars before a bar that KDJ looks back on.
+_BACK = 8
+#: Weights of the new value in each mean: of the closes, the true range, and gains and losses in turn.
 _ALPHAS = np.array([*[2 / (n + 1) for n in _SPANS], 1 / 14, *[1 / n for n in RSI for _ in (0, 1)]])[:, None]
 
 
@@ -36,6 +44,18 @@ def ewm(values: pd.Series, alpha: float, ignore_na: bool = True) -> pd.Series:
     return values.ewm(alpha=alpha, adjust=False, ignore_na=ignore_na).mean().where(values.notna() | (not ignore_na))
 
 
+#: Numbers of a state: means, dea, k, d, last close, bars so far, and ``_BACK`` highs and lows, the latest last.
+STATE = len(_ALPHAS) + 5 + 2 * _BACK
+_DEA, _CLOSE, _BARS, _HIGHS = len(_ALPHAS), len(_ALPHAS) + 3, len(_ALPHAS) + 4, len(_ALPHAS) + 5
+
+
+def fresh_states(n: int) -> np.ndarray:
+    """States of ``n`` symbols before their first bars."""
+    out = np.full((n, STATE), np.nan)
+    out[:, _BARS] = 0
+    return out
+
+
 def _next(state: np.ndarray, x: np.ndarray, alpha) -> np.ndarray:
     """The means after one more value; a NaN keeps the state."""
     new = np.where(np.isnan(state), x, state + alpha * (x - state))
@@ -48,33 +68,55 @@ def _inputs(close: np.ndarray, high: np.ndarray, low: np.ndarray, place: np.ndar
     spread = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
     move = np.nan_to_num(close - before)
     least, most = low.copy(), high.copy()
-    for k in range(1, 9):
+    for k in range(1, _BACK + 1):
         least[k:], most[k:] = np.minimum(least[k:], low[:-k]), np.maximum(most[k:], high[:-k])
-    width = np.where((place >= 8) & (most != least), most - least, np.nan)
+    width = np.where((place >= _BACK) & (most != least), most - least, np.nan)
     return np.stack([*[close] * len(_SPANS), spread, *[np.maximum(x, 0) for _ in RSI for x in (move, -move)]]), 100 * (close - least) / width
 
 
-def lockstep(close: np.ndarray, high: np.ndarray, low: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """All recursive columns of bars sorted by symbol and date; ``starts``: where each symbol begins."""
-    n = len(close)
+def _recalled(values: np.ndarray, starts: np.ndarray, old: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """``values`` with the last ``known`` of ``old`` set before each symbol's."""
+    parts = []
+    for k, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(values)))):
+        parts += [old[k, old.shape[1] - known[k] :], values[a:b]]
+    return np.concatenate(parts) if parts else values
+
+
+def lockstep(close: np.ndarray, high: np.ndarray, low: np.ndarray, starts: np.ndarray, states: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """All recursive columns of bars sorted by symbol and date, and each symbol's state behind its last bar.
+
+    ``starts``: where each symbol begins; ``states``: a row a symbol, from an earlier run.
+    """
+    n, symbols = len(close), len(starts)
+    old = fresh_states(symbols) if states is None else states
+    known = np.minimum(old[:, _BARS], _BACK).astype(np.int64)
     lengths = np.diff(np.append(starts, n))
-    place = np.arange(n) - np.repeat(starts, lengths)
+    own = np.ones(n + int(known.sum()), dtype=bool)
+    shifted = starts + np.cumsum(known) - known
+    if known.any():
+        closes = np.full((symbols, _BACK), np.nan)
+        closes[:, -1] = old[:, _CLOSE]
+        high, low, close = (_recalled(v, starts, o, known) for v, o in ((high, old[:, _HIGHS : _HIGHS + _BACK]), (low, old[:, _HIGHS + _BACK :]), (close, closes)))
+        own = np.ones(len(close), dtype=bool)
+        own[np.concatenate([np.arange(a, a + k) for a, k in zip(shifted, known)])] = False
+    place = np.arange(len(close)) - np.repeat(shifted, lengths + known) + np.repeat(old[:, _BARS].astype(np.int64) - known, lengths + known)
     taken, raw = _inputs(close, high, low, place)
+    taken, raw, shown = taken[:, own], raw[own], close[own]
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    means, dea, k, d = np.full((len(_ALPHAS), len(starts)), np.nan), *(np.full(len(starts), np.nan) for _ in range(3))
+    first, rows = starts[order], lengths[order]
+    means, (dea, k, d) = old[order, : len(_ALPHAS)].T.copy(), old[order, _DEA : _DEA + 3].T.copy()
     out, late = np.empty((len(_ALPHAS), n)), np.empty((3, n))
     fast, slow = _SPANS.index(12), _SPANS.index(26)
-    for t in range(int(lengths.max(initial=0))):
-        m = int(np.searchsorted(-lengths, -t, "left"))  # symbols with more than t bars
-        at = starts[:m] + t
+    for t in range(int(rows.max(initial=0))):
+        m = int(np.searchsorted(-rows, -t, "left"))  # symbols with more than t bars
+        at = first[:m] + t
         means[:, :m] = now = _next(means[:, :m], taken[:, at], _ALPHAS)
         dea[:m] = _next(dea[:m], now[fast] - now[slow], 0.2)
         k[:m] = _next(k[:m], raw[at], 1 / 3)
         d[:m] = np.where(np.isnan(raw[at]), d[:m], _next(d[:m], k[:m], 1 / 3))
         out[:, at] = now
         late[0, at], late[1, at], late[2, at] = dea[:m], k[:m], d[:m]
-    missing = np.isnan(close)
+    missing = np.isnan(shown)
     hidden = lambda x: np.where(missing, np.nan, x)
     columns = {f"ema{s}": hidden(out[_SPANS.index(s)]) for s in EMA}
     dif = hidden(out[fast] - out[slow])
@@ -84,18 +126,51 @@ def lockstep(close: np.ndarray, high: np.ndarray, low: np.ndarray, starts: np.nd
     for r, s in enumerate(RSI):
         gain, loss = out[len(_SPANS) + 1 + 2 * r], out[len(_SPANS) + 2 + 2 * r]
         columns[f"rsi_{s}"] = 100 - 100 / (1 + gain / np.where(loss == 0, 1e-12, loss))
-    return columns
-
-
-def with_recursive(df: DataFrame, wanted: Sequence[str] = RECURSIVE) -> DataFrame:
-    """``df`` with the ``wanted`` recursive columns."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in wanted]])
+    new = np.full((symbols, STATE), np.nan)
+    new[order, : len(_ALPHAS)], new[order, _DEA : _DEA + 3] = means.T, np.stack([dea, k, d]).T
+    new[:, _BARS] = old[:, _BARS] + lengths
+    ends = shifted + known + lengths
+    new[:, _CLOSE] = np.where(known + lengths > 0, close[np.maximum(ends - 1, 0)], np.nan) if len(close) else old[:, _CLOSE]
+    for back in range(_BACK):
+        there = back < known + lengths
+        at = np.where(there, ends - 1 - back, 0)
+        for k_, values in enumerate((high, low)):
+            new[:, _HIGHS + k_ * _BACK + _BACK - 1 - back] = np.where(there, values[at], np.nan) if len(values) else np.nan
+    return columns, new
+
+
+def with_recursive(df: DataFrame, wanted: Sequence[str] = RECURSIVE, states: DataFrame | None = None, state: str | None = None) -> DataFrame:
+    """``df`` with the ``wanted`` recursive columns.
+
+    ``states`` (``symbol, state``) are where symbols start from, so that ``df`` holds only
+    bars after those the states have seen. With ``state`` the last row of each symbol gets
+    its state in that column, which is null elsewhere: the next run's ``states``.
+    """
+    kind = T.ArrayType(T.DoubleType())
+    more = [T.StructField(c, T.DoubleType()) for c in wanted] + ([T.StructField(state, kind)] if state else [])
+    schema = T.StructType([*df.schema.fields, *more])
+    resumes = states is not None
+    if resumes:
+        df = df.join(states.select("symbol", F.col("state").alias("_from")), "symbol", "left").select(*df.columns, "_from")
 
     def worked(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         prices = (table.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy() for c in ("close", "high", "low"))
-        found = lockstep(*prices, starts)
+        old = None
+        if resumes:
+            given = table.column("_from").take(pa.array(starts)).to_pylist()
+            old = fresh_states(len(starts))
+            for k, x in enumerate(given):
+                if x is not None:
+                    old[k] = x
+            table = table.drop_columns(["_from"])
+        found, new = lockstep(*prices, starts, old)
         for c in wanted:
             table = table.append_column(c, pa.array(found[c], from_pandas=True))
+        if state:
+            ends = np.zeros(table.num_rows, dtype=bool)
+            ends[np.append(starts[1:], table.num_rows) - 1] = True
+            nth = np.cumsum(ends) - 1
+            table = table.append_column(state, pa.array(list(new), pa.list_(pa.float64())).take(pa.array(np.where(ends, nth, 0), mask=~ends)))
         yield from table.combine_chunks().to_batches()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +193,23 @@ def with_recursive(df: DataFrame, wanted: Sequence[str] = RECURSIVE) -> DataFram
     return df.repartition("symbol").sortWithinPartitions("symbol", "date").mapInArrow(of, schema)
 
 
+def resumed(bars: DataFrame, states: DataFrame, wanted: Sequence[str] = RECURSIVE) -> DataFrame:
+    """The ``wanted`` columns of the bars after each symbol's state (``symbol, date, state``), and new states in ``state``.
+
+    Symbols without a state start afresh. A symbol whose earlier bars have changed must be
+    taken out of ``states``. Keep a symbol's old state where it has no new bar.
+    """
+    seen = states.select("symbol", F.col("date").alias("_seen"))
+    new = bars.join(seen, "symbol", "left").filter("_seen IS NULL OR date > _seen").select(*bars.columns)
+    return with_recursive(new, wanted, states, "state")
+
+
+def states_of(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``symbol, date, state``: the state table after a run, of symbols without a new bar as it was ``before``."""
+    now = rows.filter("state IS NOT NULL").select("symbol", "date", "state")
+    return now if before is None else now.unionByName(before.select("symbol", "date", "state").join(now, "symbol", "left_anti"))
+
+
 def _starts(table: pa.Table) -> np.ndarray:
     """Where each symbol begins."""
     codes = table.column("symbol").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()

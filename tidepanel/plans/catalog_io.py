@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udf as V
+from ..operators import recursive, windows
 from ..operators.filters import match_conditions
 from ..operators.joins import labels_of
 from ..operators.recursive import RECURSIVE
@@ -15,7 +16,7 @@ from ..sources import io as S
 from ..streaming import stream as Z
 from . import bindings as B
 from .catalog import query
-from .catalog_indicators import IND, LIMITS, REC, SIG, full_sql, indicator_frame, limit_frame
+from .catalog_indicators import IND, LIMITS, REC, SIG, W, full_sql, indicator_frame, limit_frame
 from .catalog_market import depth
 
 
@@ -322,6 +323,22 @@ def _s27(s, d):
     return S.incremental_enrich(eb(s, d), eb(s, d).filter("date <= DATE '2024-01-20'"), compute, s.createDataFrame([("4",)], "symbol string"))
 
 
+@query(
+    "s27_resumed_recursion",
+    B.with_("bars", more=REC, recursive=True) + f"SELECT symbol, date, {', '.join(RECURSIVE)} FROM recind WHERE date > DATE '1996-06-30'"
+)
+def _s27_resumed(s, d):
+    """All bars up to a day give the state table, which is written; later bars start from it, in two runs."""
+    bars, path = B.bars(s, d), scratch(s, "states")
+    first = recursive.with_recursive(bars.filter("date <= DATE '1996-06-30'"), ("ema5",), state="state")
+    recursive.states_of(first).write.parquet(path)
+    states, later = s.read.parquet(path), scratch(s, "rows")
+    recursive.resumed(bars.filter("date <= DATE '1997-12-31'"), states).write.parquet(later)
+    middle = s.read.parquet(later)
+    last = recursive.resumed(bars, recursive.states_of(middle, states))
+    return middle.unionByName(last).select("symbol", "date", *RECURSIVE)
+
+
 # Streams over the event file.
 def event_stream(spark, sf_dir):
     """The event table as a stream; the pattern lets it be one file as well as a folder."""
@@ -385,13 +402,23 @@ def _z01(s, d):
     return s.read.parquet(path).select("symbol", "date", "close", F.floor(F.col("quote_ts") / 1000).alias("quote_s"))
 
 
+#: Bars in a row that rose, and that fell: places since the last bar that didn't.
+_STREAK_SQL = f"""mv AS (SELECT symbol, date, row_number() OVER ({W}) AS k, close / nullif(lag(close) OVER ({W}), 0) - 1 AS move FROM bars),
+st AS (SELECT symbol, date, (k - coalesce(max(CASE WHEN coalesce(move > 0, false) THEN NULL ELSE k END) OVER ({W}), 0))::INTEGER AS ups,
+  (k - coalesce(max(CASE WHEN coalesce(move < 0, false) THEN NULL ELSE k END) OVER ({W}), 0))::INTEGER AS downs FROM mv)"""
+
+
 @query(
     "z02_stateful_indicators",
-    "WITH RECURSIVE " + EB.replace("eb AS", "bars AS", 1) + ",\n" + REC + f"\nSELECT symbol, date, {', '.join(RECURSIVE)} FROM recind"
+    "WITH RECURSIVE " + EB.replace("eb AS", "bars AS", 1) + ",\n" + REC + ",\n" + IND + ",\n" + _STREAK_SQL +
+    f"\nSELECT r.symbol, r.date, {', '.join(f'r.{c}' for c in RECURSIVE)}, {', '.join(f'i.{c}' for c in Z.Indicators.WINDOWED)}, ups AS consecutive_limit_ups, downs AS consecutive_limit_downs "
+    "FROM recind r JOIN ind i USING (symbol, date) JOIN st USING (symbol, date)"
 )
 def _z02(s, d):
     """Bars written and streamed by file, each symbol's bars in order; equal to the batch indicators."""
-    return run(s, Z.streaming_indicators(streamed(s, eb(s, d).repartition(2, "symbol")))).select("symbol", "date", *RECURSIVE)
+    move = windows.safe_divide(F.col("close"), windows.lag("close")) - 1
+    flagged = eb(s, d).withColumns({"signal_limit_up": move > 0, "signal_limit_down": move < 0})
+    return run(s, Z.streaming_indicators(streamed(s, flagged.repartition(2, "symbol"))))
 
 
 query(

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalar import continuous_trading, intraday_volume_ratio, session_phase
 from ..operators.filters import in_scope, match_conditions, matches
+from ..operators.recursive import RECURSIVE, lockstep
 from ..sources.io import upsert_by_date
 
 LATENESS = "10 minutes"
@@ -142,12 +143,17 @@ def firings(at: np.ndarray, last: np.datetime64 | None, seconds: int) -> list[in
 
 
 class Cooldown(StatefulProcessor):
-    """Lets a (rule, symbol) fire again after so many seconds of event time."""
+    """Lets a (rule, symbol) fire again after so many seconds of event time.
+
+    A firing sets a timer; when the watermark passes the cooldown's end the state goes, for
+    no hit that the watermark admits could still be silenced by it.
+    """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -155,16 +161,27 @@ class Cooldown(StatefulProcessor):
         last = np.datetime64(self.last.get()[0], "us") if self.last.exists() else None
         fired = at[firings(at, last, self.seconds)]
         if len(fired):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
             self.last.update((pd.Timestamp(fired[-1]).to_pydatetime(),))
+            self.handle.registerTimer(int(fired[-1].astype("datetime64[ms]").astype(np.int64)) + 1000 * self.seconds)
             yield pd.DataFrame({"rule": key[0], "symbol": key[1], "ts": fired})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.last.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def cooldown(hits: DataFrame, seconds: int = 3600) -> DataFrame:
-    """``rule, symbol, ts`` of the hits that fire; hits within the cooldown are silent."""
-    return hits.groupBy("rule", "symbol").transformWithStateInPandas(Cooldown(seconds), "rule string, symbol string, ts timestamp", "Append", "None")
+def cooldown(hits: DataFrame, seconds: int = 3600, lateness: str | None = LATENESS) -> DataFrame:
+    """``rule, symbol, ts`` of the hits that fire; hits within the cooldown are silent, hits later than ``lateness`` are dropped.
+
+    ``lateness`` None keeps the stream's own watermark on ``ts``.
+    """
+    timed = hits if lateness is None else hits.withWatermark("ts", lateness)
+    return timed.groupBy("rule", "symbol").transformWithStateInPandas(Cooldown(seconds), "rule string, symbol string, ts timestamp", "Append", "EventTime")
 
 
 def cooldown_batch(hits: DataFrame, seconds: int = 3600) -> DataFrame:
@@ -237,84 +254,69 @@ def pool_changes(pools: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
-#: Exponential means kept as state: name and weight of the new value.
-_EMA = {**{f"ema{n}": 2 / (n + 1) for n in (5, 10, 20, 30, 60)}, "ema12": 2 / 13, "ema26": 2 / 27}
+#: Averages of closes and of volumes, and the span of the extremes.
+_MA, _VOL_MA, _SPAN, _RATIO = (5, 10, 20, 30, 60), (5, 10), 60, 5
+#: Flags whose true bars in a row are counted.
+_STREAKS = {"signal_limit_up": "consecutive_limit_ups", "signal_limit_down": "consecutive_limit_downs"}
+
+
+def trailing(values: np.ndarray, n: int, kind: str, new: int) -> np.ndarray:
+    """Sum, least or most of the last ``n`` values at each of the last ``new`` places; NaN where one is missing or there are fewer."""
+    out = np.full(new, np.nan)
+    full = min(new, len(values) - n + 1)
+    if full > 0:
+        windows = np.lib.stride_tricks.sliding_window_view(values[len(values) - full - n + 1 :], n)
+        out[new - full :] = {"sum": np.sum, "min": np.min, "max": np.max}[kind](windows, axis=1)
+    return out
 
 
 class Indicators(StatefulProcessor):
-    """The recursive indicators, bar by bar: state is a few numbers and the last nine highs and lows."""
-
-    STATE = ", ".join(
-        [
-            *(f"{c} double" for c in (*_EMA, "dea", "k", "d", "atr", "close", *[f"{x}{n}" for n in (6, 14, 24) for x in ("gain", "loss")])),
-            "highs array<double>",
-            "lows array<double>"
-        ]
-    )
-    OUT = (
-        "symbol string, date date, ema5 double, ema10 double, ema20 double, ema30 double, ema60 double, macd_dif double, macd_dea "
-        "double, macd_hist double, kdj_k double, kdj_d double, kdj_j double, atr_14 double, rsi_6 double, rsi_14 double, rsi_24 double"
-    )
+    """Indicators of a symbol's bars as they come.
+
+    State is what the next bar needs: the recursive state, rings of the last closes and
+    volumes, and the streaks. A trigger's bars are worked on together, as arrays.
+    """
+
+    STATE = "recursive array<double>, closes array<double>, volumes array<double>, streaks array<int>"
+    WINDOWED = (*(f"ma{n}" for n in _MA), *(f"vol_ma{n}" for n in _VOL_MA), "vol_ratio_5d", "high_60d", "low_60d")
+    OUT = "symbol string, date date, " + ", ".join(f"{c} double" for c in (*RECURSIVE, *WINDOWED)) + "".join(f", {c} int" for c in _STREAKS.values())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        names = [x.split()[0] for x in self.STATE.split(", ")]
-        s = dict(zip(names, self.state.get())) if self.state.exists() else None
-        out = []
-        for bar in pd.concat(list(rows)).sort_values("date", kind="stable").itertuples():
-            s, row = step(s, float(bar.high), float(bar.low), float(bar.close))
-            out.append({"symbol": key[0], "date": bar.date, **row})
-        if out:
-            self.state.update(tuple(s[n] for n in names))
-            yield pd.DataFrame(out)
+        parts = [part for part in rows if len(part)]
+        if not parts:
+            return
+        whole = {c: np.concatenate([p[c].to_numpy() if c in p else np.zeros(len(p), dtype=bool) for p in parts]) for c in ("date", "high", "low", "close", "volume", *_STREAKS)}
+        order = np.argsort(whole["date"], kind="stable")
+        high, low, close, volume = (whole[c][order].astype(float) for c in ("high", "low", "close", "volume"))
+        old, closes, volumes, streaks = self.state.get() if self.state.exists() else (None, [], [], [0] * len(_STREAKS))
+        n = len(close)
+        out, new = lockstep(close, high, low, np.array([0]), None if old is None else np.array([old], dtype=float))
+        closes, volumes = np.concatenate([np.array(closes, dtype=float), close]), np.concatenate([np.array(volumes, dtype=float), volume])
+        out |= {f"ma{k}": trailing(closes, k, "sum", n) / k for k in _MA} | {f"vol_ma{k}": trailing(volumes, k, "sum", n) / k for k in _VOL_MA}
+        before = trailing(volumes[:-1], _RATIO, "sum", n) / _RATIO
+        out |= {"vol_ratio_5d": volume / np.where(before == 0, np.nan, before), "high_60d": trailing(closes, _SPAN, "max", n), "low_60d": trailing(closes, _SPAN, "min", n)}
+        counted = []
+        for flag, last in zip(_STREAKS, streaks):
+            hit = np.array([x is not None and x == x and bool(x) for x in whole[flag][order].tolist()])
+            at = np.arange(n)
+            miss = np.maximum.accumulate(np.where(hit, -1, at))
+            out[_STREAKS[flag]] = np.where(miss < 0, at + 1 + last, at - miss).astype(np.int32)
+            counted.append(int(out[_STREAKS[flag]][-1]))
+        self.state.update((new[0].tolist(), closes[-_SPAN + 1 :].tolist(), volumes[-max(*_VOL_MA, _RATIO) :].tolist(), counted))
+        yield pd.DataFrame({"symbol": key[0], "date": whole["date"][order], **{c: out[c] for c in (*RECURSIVE, *self.WINDOWED, *_STREAKS.values())}})
 
     def close(self) -> None:
         pass
 
 
-def _mean(old: float | None, new: float, alpha: float) -> float:
-    return new if old is None else old + alpha * (new - old)
-
-
-def step(s: dict | None, high: float, low: float, close: float) -> tuple[dict, dict]:
-    """State and indicators after one more bar."""
-    first = s is None
-    s = dict(s) if s else {"highs": [], "lows": []}
-    for name, alpha in _EMA.items():
-        s[name] = _mean(s.get(name), close, alpha)
-    dif = s["ema12"] - s["ema26"]
-    s["dea"] = _mean(s.get("dea"), dif, 0.2)
-    s["highs"], s["lows"] = [*s["highs"], high][-9:], [*s["lows"], low][-9:]
-    most, least = max(s["highs"]), min(s["lows"])
-    fine = len(s["highs"]) == 9 and most != least
-    if fine:
-        s["k"] = _mean(s.get("k"), 100 * (close - least) / (most - least), 1 / 3)
-        s["d"] = _mean(s.get("d"), s["k"], 1 / 3)
-    spread = high - low if first else max(high - low, abs(high - s["close"]), abs(low - s["close"]))
-    s["atr"] = _mean(s.get("atr"), spread, 1 / 14)
-    move = 0.0 if first else close - s["close"]
-    row = {f"ema{n}": s[f"ema{n}"] for n in (5, 10, 20, 30, 60)} | {
-        "macd_dif": dif,
-        "macd_dea": s["dea"],
-        "macd_hist": 2 * (dif - s["dea"]),
-        "atr_14": s["atr"]
-    }
-    row |= {"kdj_k": s["k"], "kdj_d": s["d"], "kdj_j": 3 * s["k"] - 2 * s["d"]} if fine else {"kdj_k": None, "kdj_d": None, "kdj_j": None}
-    for n in (6, 14, 24):
-        gain, loss = s[f"gain{n}"], s[f"loss{n}"] = _mean(s.get(f"gain{n}"), max(move, 0.0), 1 / n), _mean(s.get(f"loss{n}"), max(-move, 0.0), 1 / n)
-        row[f"rsi_{n}"] = 100 - 100 / (1 + gain / (loss or 1e-12))
-    s["close"] = close
-    s.setdefault("k", None)
-    s.setdefault("d", None)
-    return s, row
-
-
 def streaming_indicators(bars: DataFrame) -> DataFrame:
-    """The recursive indicators of a stream of daily bars; equal to the batch ones while a symbol's bars come in order.
+    """Recursive indicators, averages, extremes and streaks of a stream of daily bars; equal to the batch ones while a symbol's bars come in order.
 
-    The state store must be RocksDB (``rocksdb``).
+    Streaks count the flags that the bars bring along, and are 0 without. The state store
+    must be RocksDB (``rocksdb``).
     """
     return bars.groupBy("symbol").transformWithStateInPandas(Indicators(), Indicators.OUT, "Append", "None")
 
