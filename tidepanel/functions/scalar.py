@@ -12,10 +12,10 @@ def minute_of_day(ts: Column) -> Column:
 
 
 def trading_minutes_elapsed(ts: Column) -> Column:
-    """Minutes of the session gone by, 0 to 240; 240 for a null time."""
-    m = minute_of_day(ts)
-    gone = F.when(m < MORNING, 0).when(m <= NOON, m - MORNING).when(m < AFTERNOON, 120).when(m <= CLOSE, m - AFTERNOON + 120).otherwise(240)
-    return F.coalesce(F.when(ts.isNotNull(), gone), F.lit(240)).cast("int")
+    """Minutes of the session gone by, 0 to 240, seconds as their part of a minute; 240 for a null time."""
+    m, part = minute_of_day(ts), F.second(ts) / F.lit(60.0)
+    gone = F.when(m < MORNING, 0.0).when(m < NOON, m - MORNING + part).when(m < AFTERNOON, 120.0).when(m < CLOSE, m - AFTERNOON + 120 + part).otherwise(240.0)
+    return F.coalesce(F.when(ts.isNotNull(), gone), F.lit(240.0))
 
 
 def session_phase(ts: Column) -> Column:
@@ -31,7 +31,7 @@ def continuous_trading(ts: Column) -> Column:
 
 def intraday_volume_ratio(ratio: Column, ts: Column) -> Column:
     """A partial day's volume ratio scaled to the whole session."""
-    return ratio * F.lit(240.0) / F.greatest(trading_minutes_elapsed(ts), F.lit(1))
+    return ratio * F.lit(240.0) / F.greatest(trading_minutes_elapsed(ts), F.lit(1.0))
 
 
 def clip(c: Column, low: float, high: float) -> Column:

@@ -110,9 +110,8 @@ def limit_tiers(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def trend_counts(df: DataFrame) -> DataFrame:
-    """Per date: shares above moving averages, and new highs and lows."""
-    n = lambda c: F.count(c)
-    above = lambda m: ratio(count_if(F.col("close") > F.col(m)), n(m)).alias(f"above_{m}")
+    """Per date: the shares of all rows that are at or above moving averages, and new highs and lows."""
+    above = lambda m: ratio(count_if(F.col("close") >= F.col(m)), F.count(F.lit(1))).alias(f"above_{m}")
     return df.groupBy("date").agg(
         *[above(f"ma{k}") for k in (5, 20, 60)],
         count_if(F.col("signal_n_day_high")).alias("new_highs"),
@@ -121,12 +120,13 @@ def trend_counts(df: DataFrame) -> DataFrame:
 
 
 def activity_stats(df: DataFrame) -> DataFrame:
+    """Per date: mean turnover (0 if none is known) and volume ratio (1 if none), and of all rows the share with a ratio of 1.5 or more."""
     t, v = F.col("turnover_rate"), F.col("vol_ratio_5d")
     return df.groupBy("date").agg(
-        F.avg(t).alias("avg_turnover"),
+        F.coalesce(F.avg(t), F.lit(0.0)).alias("avg_turnover"),
         count_if(t >= 5).alias("high_turnover"),
-        F.avg(v).alias("avg_vol_ratio"),
-        ratio(count_if(v >= 1.5), F.count(v)).alias("active_share")
+        F.coalesce(F.avg(v), F.lit(1.0)).alias("avg_vol_ratio"),
+        ratio(count_if(v >= 1.5), F.count(F.lit(1))).alias("active_share")
     )
 
 

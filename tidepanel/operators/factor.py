@@ -87,7 +87,10 @@ def group_nav(rows: DataFrame, n: int = 5, factor: str = "factor", keys: tuple[s
 
 
 def curve_figures(curve: DataFrame, keys: list[str], value: str, freq: str) -> DataFrame:
-    """Total and annual return, worst drawdown, Sharpe (population deviation), win rate of a value series that starts from 1."""
+    """Total and annual return, worst drawdown, Sharpe (population deviation, 0 without any) and win rate of a value series.
+
+    Total and drawdown count from 1; the steps of Sharpe and win rate are those between values.
+    """
     w = Window.partitionBy(*keys).orderBy("date")
     peak = F.greatest(F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
     steps = curve.select(
@@ -95,7 +98,7 @@ def curve_figures(curve: DataFrame, keys: list[str], value: str, freq: str) -> D
         "date",
         F.col(value).alias("v"),
         (F.col(value) / peak - 1).alias("dd"),
-        (F.try_divide(F.col(value), F.coalesce(F.lag(value).over(w), F.lit(1.0))) - 1).alias("r")
+        (F.try_divide(F.col(value), F.lag(value).over(w)) - 1).alias("r")
     )
     years = F.greatest(F.datediff(F.max("date"), F.min("date")) / F.lit(365.25), F.lit(1 / 365.25))
     total = F.max_by("v", "date") - 1
@@ -103,8 +106,8 @@ def curve_figures(curve: DataFrame, keys: list[str], value: str, freq: str) -> D
         total.alias("total_return"),
         (F.pow(F.greatest(1 + total, F.lit(1e-9)), 1 / years) - 1).alias("annual_return"),
         F.min("dd").alias("max_drawdown"),
-        (F.try_divide(F.avg("r"), F.stddev_pop("r")) * math.sqrt(PERIODS[freq])).alias("sharpe"),
-        (F.count_if(F.col("r") > 0) / F.count(F.lit(1))).alias("win_rate"),
+        F.coalesce(F.try_divide(F.avg("r"), F.stddev_pop("r")) * math.sqrt(PERIODS[freq]), F.lit(0.0)).alias("sharpe"),
+        F.coalesce(F.try_divide(F.count_if(F.col("r") > 0).cast("double"), F.count("r").cast("double")), F.lit(0.0)).alias("win_rate"),
     )
 
 

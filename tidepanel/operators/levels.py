@@ -17,14 +17,16 @@ def _symbol():
     return Window.partitionBy("symbol")
 
 
-def _rows(df: DataFrame, kind: str, values: dict[str, Column], strength: str = "medium") -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("double").alias("value")) for k, v in values.items()])
+def _rows(df: DataFrame, kind: str, values: dict[str, Column], strength: str | dict[str, str] = "medium") -> DataFrame:
+    """The values as rows; ``strength`` of all, or by label."""
+    of = lambda k: strength if isinstance(strength, str) else strength[k]
+    pairs = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("double").alias("value"), F.lit(of(k)).alias("strength")) for k, v in values.items()])
     return df.select("symbol", F.lit(kind).alias("type"), F.explode(pairs).alias("p")).select(
         "symbol",
         "type",
         "p.label",
         "p.value",
-        F.lit(strength).alias("strength")
+        "p.strength"
     ).filter("value IS NOT NULL")
 
 
@@ -50,14 +52,17 @@ def pivots(bars: DataFrame) -> DataFrame:
     return _rows(
         last_bars(bars),
         "pivot",
-        {"P": p, "R1": 2 * p - low, "S1": 2 * p - h, "R2": p + (h - low), "S2": p - (h - low), "R3": h + 2 * (p - low), "S3": low - 2 * (h - p)}
+        {"P": p, "R1": 2 * p - low, "S1": 2 * p - h, "R2": p + (h - low), "S2": p - (h - low), "R3": h + 2 * (p - low), "S3": low - 2 * (h - p)},
+        {"P": "strong", "R1": "medium", "R2": "medium", "R3": "weak", "S1": "medium", "S2": "medium", "S3": "weak"}
     )
 
 
 def extremes(bars: DataFrame) -> DataFrame:
+    """Highest and lowest of the last 60 and 250 bars, of symbols that have so many."""
     tail = from_end(bars, 250)
     within = lambda n, c: F.when(F.col("back") <= n, F.col(c))
-    out = tail.groupBy("symbol").agg(*[f(within(n, c)).alias(f"{c}_{n}") for n in (60, 250) for c, f in (("high", F.max), ("low", F.min))])
+    whole = lambda n, x: F.when(F.count(F.lit(1)) >= n, x)
+    out = tail.groupBy("symbol").agg(*[whole(n, f(within(n, c))).alias(f"{c}_{n}") for n in (60, 250) for c, f in (("high", F.max), ("low", F.min))])
     return _rows(out, "extreme", {f"{c}_{n}": F.col(f"{c}_{n}") for n in (60, 250) for c in ("high", "low")}, "strong")
 
 
@@ -91,15 +96,20 @@ def merge_close(levels: DataFrame, tolerance: float) -> DataFrame:
     ).drop("_run")
 
 
-def nearest(levels: DataFrame, bars: DataFrame, k: int) -> DataFrame:
-    """The ``k`` levels of each symbol, type and side that are nearest to the close."""
+def nearest(levels: DataFrame, bars: DataFrame, k: int, by: str = "side") -> DataFrame:
+    """The ``k`` levels of each symbol and type that are nearest to the close, for each side, or each label, or (``type``) in all."""
     rows = sided(levels, bars)
-    w = Window.partitionBy("symbol", "type", "side").orderBy(F.abs(F.col("value") - F.col("close")), "label", "value")
+    w = Window.partitionBy(*dict.fromkeys(("symbol", "type", by))).orderBy(F.abs(F.col("value") - F.col("close")), "label", "value")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def swings(bars: DataFrame, k: int = 2) -> DataFrame:
-    return nearest(merge_close(swing_points(bars), 0.01), bars, k)
+    """The ``k`` tops above the close and the ``k`` bottoms below it that are nearest to it, those close to one another as one."""
+    merged = merge_close(swing_points(bars), 0.01)
+    close = last_bars(bars).select("symbol", "close")
+    v, c, top = F.col("value"), F.col("close"), F.col("label") == "top"
+    outside = merged.join(close, "symbol").filter((top & (v > c * 1.001)) | (~top & (v < c * 0.999))).drop("close")
+    return nearest(outside, bars, k, "label")
 
 
 def bands(df: DataFrame) -> DataFrame:
@@ -125,12 +135,13 @@ def keltner(df: DataFrame) -> DataFrame:
 
 def atr_bands(df: DataFrame) -> DataFrame:
     c, a = F.col("close"), F.col("atr_14")
-    return _rows(last_bars(df), "atr", {f"{side}{k}": c + sign * k * a for k in (1.5, 2.0) for side, sign in (("+", 1), ("-", -1))})
+    values = {f"{side}{k}": c + sign * k * a for k in (1.5, 2.0) for side, sign in (("+", 1), ("-", -1))}
+    return _rows(last_bars(df), "atr", values, {k: "weak" if "1.5" in k else "medium" for k in values})
 
 
 def open_gaps(bars: DataFrame, most: int = 120) -> DataFrame:
-    """Gaps of the last ``most`` bars that no later bar overlaps; the join's fan-out is bounded by ``most``."""
-    rows = from_end(bars.withColumns({"_high": lag("high"), "_low": lag("low")}), most)
+    """Gaps between two of the last ``most`` bars that no later bar overlaps; the join's fan-out is bounded by ``most``."""
+    rows = from_end(bars.withColumns({"_high": lag("high"), "_low": lag("low")}), most - 1)
     up, down = F.col("low") > F.col("_high"), F.col("high") < F.col("_low")
     low, high = F.when(up, F.col("_high")).when(down, F.col("high")), F.when(up, F.col("low")).when(down, F.col("_low"))
     rows = rows.select(
@@ -154,7 +165,8 @@ def open_gaps(bars: DataFrame, most: int = 120) -> DataFrame:
 
 
 def gaps(bars: DataFrame, k: int = 3) -> DataFrame:
-    return nearest(merge_close(open_gaps(bars), 0.005), bars, k)
+    """The ``k`` gaps up and the ``k`` gaps down that are nearest to the close."""
+    return nearest(merge_close(open_gaps(bars), 0.005), bars, k, "label")
 
 
 def fibonacci(bars: DataFrame, most: int = 120) -> DataFrame:
@@ -172,7 +184,7 @@ def fibonacci(bars: DataFrame, most: int = 120) -> DataFrame:
 
 
 def round_step(price: Column) -> Column:
-    return F.when(price < 10, 0.5).when(price < 50, 1.0).when(price < 100, 5.0).when(price < 500, 10.0).otherwise(50.0)
+    return F.when(price < 10, 0.5).when(price < 20, 1.0).when(price < 100, 5.0).when(price < 500, 10.0).otherwise(50.0)
 
 
 def round_numbers(bars: DataFrame, k: int = 8) -> DataFrame:
@@ -182,7 +194,7 @@ def round_numbers(bars: DataFrame, k: int = 8) -> DataFrame:
     rows = last.filter(first <= end).withColumn("m", F.explode(F.sequence(first, end))).withColumn("value", F.col("m") * F.col("step"))
     away = F.abs(F.col("value") - F.col("close"))
     near = rows.withColumn("rank", F.row_number().over(_symbol().orderBy(away, "value"))).filter(F.col("rank") <= k)
-    return near.filter(away / F.col("close") > 0.01).select(
+    return near.filter(away / F.col("close") >= 0.01).select(
         "symbol",
         F.lit("round").alias("type"),
         F.format_number("value", 2).alias("label"),
@@ -246,5 +258,5 @@ def all_levels(df: DataFrame) -> DataFrame:
 
 
 def nearest_summary(levels: DataFrame, bars: DataFrame) -> DataFrame:
-    """The two nearest levels of each type and side."""
-    return nearest(levels, bars, 2)
+    """The two nearest levels of each type."""
+    return nearest(levels, bars, 2, "type")

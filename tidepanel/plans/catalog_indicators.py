@@ -459,12 +459,14 @@ STRATEGY_SQL = {
 }
 #: The panel's prices and amounts lie outside the default bounds, so queries give bounds of its own size, by strategy.
 PANEL_BASIC = {
-    "trend_breakout": {"price_min": 1100, "price_max": 2000, "market_cap_min": 20e8, "amount_min": 2e4, "exclude_st": True, "exclude_new_days": 60}
+    "trend_breakout": {"price_min": 1100, "price_max": 60000, "market_cap_min": 20e8, "amount_min": 2e4, "exclude_st": True, "exclude_new_days": 60}
 }
 _BASIC_SQL = {
-    "trend_breakout": f"close >= 1100 AND close <= 2000 AND close * total_shares >= 2e9 AND amount >= 20000 AND NOT regexp_matches(name, '(?i)ST|退') "
+    "trend_breakout": f"close >= 1100 AND close <= 60000 AND close * total_shares >= 2e9 AND amount >= 20000 AND NOT regexp_matches(name, '(?i)ST|退') "
     f"AND row_number() OVER ({W}) > 60"
 }
+#: Its volatility is a hundred times that of shares, so the default bound would leave no row.
+PANEL_PARAMS = {"low_volatility_leader": {"vol_max": 30.0}}
 
 
 def entry_sql(id_: str, params: dict | None = None) -> str:
@@ -530,7 +532,7 @@ def other_params(s: K.Strategy) -> dict:
 
 
 for _k, _s in enumerate(K.REGISTRY.values(), 1):
-    _register(f"k{_k:02d}_{_s.id}", _s, None)
+    _register(f"k{_k:02d}_{_s.id}", _s, PANEL_PARAMS.get(_s.id))
     _register(f"k{_k:02d}_{_s.id}_params", _s, other_params(_s))
 
 _EACH = " UNION ALL ".join(

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import udf as V
 from ..operators import recursive, windows
@@ -117,22 +118,25 @@ query(
 
 @query("s06_csv_any_encoding", B.with_("instruments") + "SELECT symbol, '名称' || name AS name FROM instruments")
 def _s06(s, d):
-    path = scratch(s, "csv")
+    """Half of the table in one encoding and half in another, in one folder each of one parent."""
+    path, half = scratch(s, "csv"), F.abs(F.xxhash64("symbol")) % 2
+    rows = B.instruments(s, d)
     before = s.conf.get("spark.sql.legacy.javaCharsets")
     s.conf.set("spark.sql.legacy.javaCharsets", "true")  # the writer knows GB18030 under this setting alone
     try:
-        B.instruments(s, d).select(
-            F.col("symbol").alias("股票代码"),
-            F.concat(F.lit("名称"), "name").alias("name(x)")
-        ).coalesce(1).write.csv(path, header=True, encoding="GB18030")
+        for k, encoding in enumerate(("GB18030", "UTF-8")):
+            own = rows.filter(half == k).select(F.col("symbol").alias("股票代码"), F.concat(F.lit("名称"), "name").alias("name(x)"))
+            own.write.csv(f"{path}/{encoding}", header=True, encoding=encoding)
     finally:
         s.conf.set("spark.sql.legacy.javaCharsets", before)
-    return S.read_csv_any_encoding(s, path + "/*.csv").select("symbol", "name")
+    return S.read_csv_any_encoding(s, path + "/*/*.csv").select("symbol", "name")
 
 
 @query("s07_json_rows", B.with_("instruments") + "SELECT symbol, balance FROM instruments")
 def _s07(s, d):
-    rows = B.instruments(s, d).groupBy("type", "industry").agg(F.collect_list(F.struct("symbol", "balance")).alias("list"))
+    """Payloads of about twenty rows each."""
+    block = F.floor(F.row_number().over(Window.partitionBy("industry").orderBy("symbol")) / 20)
+    rows = B.instruments(s, d).withColumn("block", block).groupBy("industry", "block").agg(F.collect_list(F.struct("symbol", "balance")).alias("list"))
     return S.read_json_rows(
         rows.select(F.to_json(F.struct(F.array(F.struct("list")).alias("data"))).alias("payload")),
         "payload",
@@ -423,8 +427,8 @@ def _z02(s, d):
 
 query(
     "z03_volume_scaling",
-    "SELECT event_id, value * 240.0::DOUBLE / greatest(CASE WHEN m < 570 THEN 0 WHEN m <= 690 THEN m - 570 WHEN m < 780 THEN "
-    "120 WHEN m <= 900 THEN m - 660 ELSE 240 END, 1) AS vol_ratio FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM events) e"
+    "SELECT event_id, value * 240.0::DOUBLE / greatest(CASE WHEN m < 570 THEN 0 WHEN m < 690 THEN m - 570 + second(ts) / 60 WHEN m < 780 THEN "
+    "120 WHEN m < 900 THEN m - 660 + second(ts) / 60 ELSE 240 END, 1) AS vol_ratio FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM events) e"
 )(
     lambda s, d: run(
         s,
@@ -481,7 +485,7 @@ SELECT strategy, symbol, change FROM n WHERE n <= 5 UNION ALL SELECT DISTINCT st
 
 @query("z08_pool_changes", _POOLS)
 def _z08(s, d):
-    """Two runs of three strategies follow each other as files of a stream; a pool without symbols is a pool too."""
+    """Two runs of three strategies, each all files that a trigger of one stream finds; a pool without symbols is a pool too."""
     b, day = eb(s, d), F.dayofmonth("date")
     picks = b.filter("volume > 3").select(F.lit("busy").alias("strategy"), (day % 2).alias("k"), "symbol")
     picks = picks.unionByName(b.filter((day == 3) & (F.col("high") > 150)).select(F.lit("gone").alias("strategy"), F.lit(1).alias("k"), "symbol"))
@@ -489,10 +493,13 @@ def _z08(s, d):
         b.filter(day.isin(4, 5) & F.col("symbol").isin("1", "2", "3", "4")).select(F.lit("few").alias("strategy"), (day % 2).alias("k"), "symbol")
     )
     strategies, path = s.createDataFrame([("busy",), ("gone",), ("few",)], "strategy string"), scratch(s, "pools")
+    out, query_path = scratch(s, "result"), scratch(s, "query")
     for n, k in enumerate((1, 0)):
-        Z.pool_rows(picks.filter(F.col("k") == k), strategies, n).coalesce(1).write.mode("append").parquet(path)
-    files = s.readStream.schema("strategy string, symbol string, run int").option("maxFilesPerTrigger", 1).parquet(path)
-    return run(s, Z.pool_changes(files)).select("strategy", "symbol", "change")
+        Z.pool_rows(picks.filter(F.col("k") == k), strategies, n).write.mode("append").parquet(path)
+        files = s.readStream.schema("strategy string, symbol string, run int").parquet(path)
+        with Z.rocksdb(s):
+            changes = Z.run_to_table(s, Z.pool_changes(files), out, query_path)
+    return changes.select("strategy", "symbol", "change")
 
 
 _BID1 = "CASE (total_shares / 1e6)::BIGINT % 4 WHEN 0 THEN 9 ELSE (total_shares / 1e6)::BIGINT % 4 * 4 END"

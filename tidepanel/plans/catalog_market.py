@@ -326,8 +326,9 @@ query(
     B.with_(
         "bars",
         more=f"n AS (SELECT *, row_number() OVER ({W}) AS n FROM bars)"
-    ) + "SELECT e.symbol, e.n AS entry_n, b.n, b.close FROM n e CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(step) JOIN n b ON "
-    "b.symbol = e.symbol AND b.n = e.n + v.step WHERE e.amount > 100000"
+    ) + "SELECT symbol, entry_n, n, close FROM (SELECT symbol, amount, n AS entry_n, unnest([1, 2, 3, 4, 5]) + n AS n, unnest([c1, c2, c3, c4, c5]) AS close, last FROM (SELECT *, "
+    + ", ".join(f"lead(close, {k}) OVER ({W}) AS c{k}" for k in range(1, 6))
+    + ", count(*) OVER (PARTITION BY symbol) AS last FROM n) l) u WHERE amount > 100000 AND n <= last"
 )(
     lambda s, d: (
         lambda nb: J.entry_exit_range_join(
@@ -375,8 +376,8 @@ query(
 # Breadth.
 query(
     "a01_symbols_lagging",
-    B.with_("bars") + "SELECT symbol, max(date) AS last_date FROM bars GROUP BY symbol HAVING max(date) < DATE '2001-10-01'"
-)(lambda s, d: A.symbols_lagging(bars(s, d), "2001-10-01"))
+    B.with_("bars") + "SELECT symbol, max(date) AS last_date FROM bars GROUP BY symbol HAVING max(date) < DATE '2001-10-29'"
+)(lambda s, d: A.symbols_lagging(bars(s, d), "2001-10-29"))
 query(
     "a02_latest_two_quotes",
     B.with_(
@@ -415,7 +416,7 @@ query(
     "WHERE consecutive_limit_ups >= 1)\nSELECT consecutive_limit_ups, count(*) AS n, list(symbol ORDER BY rank) FILTER (rank "
     "<= 5) AS symbols FROM t GROUP BY 1"
 )(lambda s, d: A.limit_tiers(limit_frame(s, d)))
-_ABOVE = lambda m: f"{_RATIO(f'count_if(close > {m})', f'count({m})')} AS above_{m}"
+_ABOVE = lambda m: f"{_RATIO(f'count_if(close >= {m})', 'count(*)')} AS above_{m}"
 TREND = (
     f"tr AS (SELECT date, {', '.join(_ABOVE(f'ma{k}') for k in (5, 20, 60))}, count_if(close >= high_60d) AS new_highs, "
     f"count_if(close <= low_60d) AS new_lows FROM $T GROUP BY date)"
@@ -426,8 +427,8 @@ query(
     B.with_("bars", more=f"{IND},\n{TREND.replace('$T', 'ind')}") + "SELECT * FROM tr"
 )(lambda s, d: A.trend_counts(indicator_frame(s, d, _TREND_COLS)))
 ACTIVE = (
-    f"ac AS (SELECT date, avg(turnover_rate) AS avg_turnover, count_if(turnover_rate >= 5) AS high_turnover, avg(vol_ratio_5d) "
-    f"AS avg_vol_ratio, {_RATIO('count_if(vol_ratio_5d >= 1.5)', 'count(vol_ratio_5d)')} AS active_share FROM wide GROUP BY date)"
+    f"ac AS (SELECT date, coalesce(avg(turnover_rate), 0.0) AS avg_turnover, count_if(turnover_rate >= 5) AS high_turnover, coalesce(avg(vol_ratio_5d), 1.0) "
+    f"AS avg_vol_ratio, {_RATIO('count_if(vol_ratio_5d >= 1.5)', 'count(*)')} AS active_share FROM wide GROUP BY date)"
 )
 _OVER_COLS = _TREND_COLS | {"vol_ratio_5d", "change_pct", "symbol", "date"}
 query("a09_activity_stats", WIDE_ALL.rstrip() + f",\n{ACTIVE}\nSELECT * FROM ac")(lambda s, d: A.activity_stats(strategy_frame(s, d, _OVER_COLS)))
@@ -624,19 +625,38 @@ query(
     "a15_rotation_matrix",
     _CM + "SELECT date, list(label ORDER BY rank) AS labels FROM rk GROUP BY date"
 )(lambda s, d: R.rotation_matrix(means(s, d), 10, B.bar_dates(s, d)))
-query("a16_rotation_signals", _CM.rstrip() + """,
-sp AS (SELECT date, label, coalesce(rank, 999) AS rank, coalesce(avg_pct, 0.0) AS avg_pct FROM (SELECT DISTINCT date FROM rk) a CROSS JOIN (SELECT DISTINCT label FROM rk) b LEFT JOIN rk USING (date, label)),
-g AS (SELECT label, avg(rank) AS mean_rank, arg_min(rank, date) AS first_rank, arg_max(rank, date) AS last_rank, stddev_pop(rank) AS rank_std, count_if(rank <= 3) AS top_days, avg(avg_pct) AS mean_pct, count(*) AS days FROM sp GROUP BY label)
-SELECT *, first_rank - last_rank AS gain, CASE WHEN top_days * 2 >= days THEN 'persistent' WHEN first_rank - last_rank >= 3 THEN 'rising' WHEN first_rank - last_rank <= -3 THEN 'fading' WHEN rank_std <= 1.5 THEN 'stable' ELSE 'volatile' END AS signal FROM g""")(
-    lambda s, d: R.rotation_signals(means(s, d), 10, dates=B.bar_dates(s, d))
-)
+_VECTORS = _CM.rstrip() + """,
+sz AS (SELECT count(*) AS days FROM ld),
+vr AS (SELECT label, list(rank ORDER BY date) AS ra, list(round_even(avg_pct, 4) ORDER BY date) AS pa, count(*) AS k FROM rk GROUP BY label),
+vx AS (SELECT label, days, list_concat(ra, list_transform(range(days - k), lambda i: 999)) AS ranks, list_concat(pa, list_transform(range(days - k), lambda i: 0.0::DOUBLE)) AS pcts FROM vr, sz),
+vy AS (SELECT *, list_avg(ranks) AS mean, list_avg(ranks[-least(3, days):]) AS recent, ranks[1] AS first, ranks[-1] AS latest FROM vx),
+vz AS (SELECT *, round_even(mean, 1) AS avg_rank, round_even(sqrt(list_sum(list_transform(ranks, lambda x: (x - mean) * (x - mean))) / days), 1) AS rank_std FROM vy)"""
+_CLASS = f"""{_VECTORS},
+cl AS (SELECT 'persistent_leaders' AS class, label, ranks, pcts, avg_rank, rank_std, avg_rank AS a, 0.0 AS b FROM vz WHERE recent <= 10 AND latest <= 10
+  UNION ALL SELECT 'rising', label, ranks, pcts, avg_rank, rank_std, latest - first, 0.0 FROM vz WHERE first > 30 AND latest <= 20 AND first - latest >= 20
+  UNION ALL SELECT 'fading', label, ranks, pcts, avg_rank, rank_std, first - latest, 0.0 FROM vz WHERE first <= 10 AND latest > 30 AND latest - first >= 20
+  UNION ALL SELECT 'institutional', label, ranks, pcts, avg_rank, rank_std, rank_std, avg_rank FROM vz WHERE rank_std <= 5 AND avg_rank <= 20
+  UNION ALL SELECT 'hot_money', label, ranks, pcts, avg_rank, rank_std, -rank_std, 0.0 FROM vz WHERE rank_std >= 20)
+SELECT * EXCLUDE (a, b), row_number() OVER (PARTITION BY class ORDER BY a, b, label)::INTEGER AS place FROM cl QUALIFY place <= 8"""
+query("a16_rotation_signals", _CLASS)(lambda s, d: R.rotation_signals(means(s, d), 10, B.bar_dates(s, d)))
+query("a16_rank_vectors", _VECTORS + " SELECT label, days::INTEGER AS days, ranks, pcts, avg_rank, rank_std, recent, first, latest FROM vz")(lambda s, d: R.rank_vectors(means(s, d), 10, B.bar_dates(s, d)))
+_C01 = lambda x: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))"
+_LOGP = lambda x, most: _C01(f"ln(1 + greatest({x}, 0.0)) / ln(1 + {most}::DOUBLE)")
+_HEAT_COLS = {"symbol", "date", "amount", "change_pct", "turnover_rate", "vol_ratio_5d", "consecutive_limit_ups", "float_shares"}
 query("a17_concept_heat", WIDE_ALL.rstrip() + f""",
-day AS (SELECT * FROM wide WHERE date = (SELECT max(date) FROM wide WHERE date <= DATE '1998-06-30')), {EXPLODED},
-h AS (SELECT label, symbol, change_pct * 100 AS p, turnover_rate, {_CL('change_pct * 100 * 5')} * 0.6::DOUBLE + {_CL('ln(1 + greatest(amount, 0.0)) * 4')} * 0.4::DOUBLE AS leader_score FROM day JOIN lab USING (symbol) WHERE change_pct IS NOT NULL),
-g AS (SELECT label, count(*) AS n, avg(p) AS avg_pct, median(p) AS median_pct, count_if(p >= 3) AS strong, count_if(p <= -3) AS weak, arg_max(symbol, (leader_score, symbol)) AS leader, max(leader_score) AS leader_score, avg(turnover_rate) AS avg_turnover FROM h GROUP BY label)
-SELECT *, {_CL('50 + avg_pct * 8 + (strong - weak) / n * 30')} AS heat, {_CL('weak / n * 70 + greatest(-median_pct, 0.0) * 6')} AS risk FROM g""", 5)(
+day AS (SELECT *, close * float_shares AS market_cap FROM wide WHERE date = (SELECT max(date) FROM wide WHERE date <= DATE '1998-06-30')), {EXPLODED},
+h AS (SELECT label, symbol, change_pct AS p, turnover_rate, vol_ratio_5d, amount,
+  100 * ({_C01('(coalesce(change_pct, 0.0) + 0.02::DOUBLE) / 0.12::DOUBLE')} * 0.35::DOUBLE + {_LOGP('coalesce(turnover_rate, 0.0)', 30)} * 0.22::DOUBLE + {_LOGP('coalesce(amount, 0.0)', 20_000_000_000)} * 0.18::DOUBLE
+   + {_LOGP('coalesce(market_cap, 0.0)', 300_000_000_000)} * 0.15::DOUBLE + {_C01('(coalesce(vol_ratio_5d, 1.0) - 1) / 4')} * 0.07::DOUBLE + {_C01('coalesce(consecutive_limit_ups, 0) / 5')} * 0.03::DOUBLE) AS leader_score
+  FROM day JOIN lab USING (symbol)),
+g AS (SELECT label, count(*) AS n, avg(p) AS avg_pct, median(p) AS median_pct, count_if(p > 0) AS up, count_if(p < 0) AS down, count(p) AS known, count_if(p >= 0.05::DOUBLE) AS strong, count_if(p <= -0.05::DOUBLE) AS weak,
+  coalesce(sum(amount), 0.0) AS amount, avg(turnover_rate) AS avg_turnover, avg(vol_ratio_5d) AS avg_vol_ratio, arg_max(symbol, (leader_score, symbol)) AS leader, max(leader_score) AS leader_score FROM h GROUP BY label),
+u AS (SELECT *, CASE WHEN known > 0 THEN up / known ELSE 0.0 END AS up_rate, greatest(1.0, n * 0.18::DOUBLE) AS many, coalesce(avg_pct, 0.0) AS mean FROM g)
+SELECT label, n, avg_pct, median_pct, up, down, strong, weak, amount, avg_turnover, avg_vol_ratio, leader, leader_score, greatest(n - up - down, 0) AS flat, up_rate,
+  100 * ({_C01('(mean + 0.02::DOUBLE) / 0.09::DOUBLE')} * 0.38::DOUBLE + {_C01('(up_rate - 0.35::DOUBLE) / 0.55::DOUBLE')} * 0.2::DOUBLE + {_C01('strong / many')} * 0.16::DOUBLE + {_LOGP('amount', 80_000_000_000)} * 0.12::DOUBLE + {_C01('leader_score / 100')} * 0.14::DOUBLE) AS heat,
+  100 * ({_C01('(0.01::DOUBLE - mean) / 0.08::DOUBLE')} * 0.55::DOUBLE + {_C01('weak / many')} * 0.45::DOUBLE) AS risk FROM u""", 5)(
     lambda s, d: R.concept_heat(
-        J.explode_dimension_join(one_day(strategy_frame(s, d, {"symbol", "date", "amount", "change_pct", "turnover_rate"})), dims(s, d), "labels")
+        J.explode_dimension_join(one_day(strategy_frame(s, d, _HEAT_COLS | {"close"})).withColumn("market_cap", F.col("close") * F.col("float_shares")), dims(s, d), "labels")
     )
 )
 query(
@@ -813,8 +833,8 @@ query(
     ).distinct()
 )
 _M = "(hour(ts) * 60 + minute(ts))"
-_GONE = f"CASE WHEN {_M} < 570 THEN 0 WHEN {_M} <= 690 THEN {_M} - 570 WHEN {_M} < 780 THEN 120 WHEN {_M} <= 900 THEN {_M} - 660 ELSE 240 END"
-query("c04_trading_minutes", f"SELECT event_id, ({_GONE})::INTEGER AS elapsed FROM events")(
+_GONE = f"CASE WHEN {_M} < 570 THEN 0 WHEN {_M} < 690 THEN {_M} - 570 + second(ts) / 60 WHEN {_M} < 780 THEN 120 WHEN {_M} < 900 THEN {_M} - 660 + second(ts) / 60 ELSE 240 END"
+query("c04_trading_minutes", f"SELECT event_id, ({_GONE})::DOUBLE AS elapsed FROM events")(
     lambda s, d: B.table(s, d, "events").select("event_id", C.trading_minutes_elapsed(F.col("ts").cast("timestamp")).alias("elapsed"))
 )
 query(

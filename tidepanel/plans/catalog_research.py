@@ -80,14 +80,14 @@ def navs(s, d):
 
 
 query("q05_group_nav", _NAVQ + 'SELECT date, grp AS "group", ret, nav FROM nav')(navs)
-_FIG = lambda v, keys, start="1.0": f"""st AS (SELECT {keys}, date, {v} AS v, {v} / greatest(max({v}) OVER (PARTITION BY {keys} ORDER BY date), 1.0) - 1 AS dd, {v} / nullif(coalesce(lag({v}) OVER (PARTITION BY {keys} ORDER BY date), 1.0), 0) - 1 AS r FROM $T)"""
+_FIG = lambda v, keys, start=", 1.0": f"""st AS (SELECT {keys}, date, {v} AS v, {v} / greatest(max({v}) OVER (PARTITION BY {keys} ORDER BY date), 1.0) - 1 AS dd, {v} / nullif(coalesce(lag({v}) OVER (PARTITION BY {keys} ORDER BY date){start}), 0) - 1 AS r FROM $T)"""
 _YEARS = "greatest((max(date) - min(date)) / 365.25::DOUBLE, 1 / 365.25::DOUBLE)"
 query(
     "q06_group_stats",
-    _NAVQ.rstrip() + ", " + _FIG("nav", "grp").replace("$T", "nav") +
+    _NAVQ.rstrip() + ", " + _FIG("nav", "grp", "").replace("$T", "nav") +
     f'\nSELECT grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / {_YEARS}) - 1 AS '
-    f'annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, count_if(r > 0) / '
-    f'count(*)::DOUBLE AS win_rate FROM st GROUP BY grp',
+    f'annual_return, min(dd) AS max_drawdown, coalesce(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252), 0.0) AS sharpe, coalesce(count_if(r > 0) / '
+    f'nullif(count(r), 0)::DOUBLE, 0.0) AS win_rate FROM st GROUP BY grp',
     2
 )(lambda s, d: Q.group_stats(navs(s, d), "daily"))
 query(
@@ -129,10 +129,10 @@ _FNAV = f"""bk AS (SELECT factor_name, date, ret / 10000 AS ret, {_BUCKET.replac
 nav AS (SELECT factor_name, date, grp, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY factor_name, grp ORDER BY date)), 4) AS nav FROM gm)"""
 query(
     "q08_factor_groups",
-    f"{_FQ},\n{_FNAV}, " + _FIG("nav", "factor_name, grp").replace("$T", "nav") +
+    f"{_FQ},\n{_FNAV}, " + _FIG("nav", "factor_name, grp", "").replace("$T", "nav") +
     f'\nSELECT factor_name, grp AS "group", arg_max(v, date) - 1 AS total_return, pow(greatest(arg_max(v, date), 1e-9), 1 / '
-    f'{_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, avg(r) / nullif(stddev_pop(r), 0) * sqrt(52) AS sharpe, count_if(r '
-    f'> 0) / count(*)::DOUBLE AS win_rate FROM st GROUP BY ALL',
+    f'{_YEARS}) - 1 AS annual_return, min(dd) AS max_drawdown, coalesce(avg(r) / nullif(stddev_pop(r), 0) * sqrt(52), 0.0) AS sharpe, coalesce(count_if(r '
+    f'> 0) / nullif(count(r), 0)::DOUBLE, 0.0) AS win_rate FROM st GROUP BY ALL',
     2
 )(
     lambda s, d: Q.factor_groups(factor_panel(s, d), freq="weekly", scale=1e-4)
@@ -142,9 +142,10 @@ query(
 _LAST = "lastb AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"
 
 
-def level_sql(kind: str, values: dict[str, str], source: str, strength: str = "medium") -> str:
+def level_sql(kind: str, values: dict[str, str], source: str, strength: str | dict[str, str] = "medium") -> str:
+    of = lambda k: strength if isinstance(strength, str) else strength[k]
     return " UNION ALL ".join(
-        f"SELECT symbol, '{kind}' AS type, '{k}' AS label, ({v})::DOUBLE AS value, '{strength}' AS strength FROM {source} WHERE ({v}) IS NOT NULL" for k,
+        f"SELECT symbol, '{kind}' AS type, '{k}' AS label, ({v})::DOUBLE AS value, '{of(k)}' AS strength FROM {source} WHERE ({v}) IS NOT NULL" for k,
         v in values.items()
     )
 
@@ -159,14 +160,15 @@ _PIV = {
     "R3": f"high + 2 * ({_P} - low)",
     "S3": f"low - 2 * (high - {_P})"
 }
-query("l02_pivots", B.with_("bars", more=_LAST) + level_sql("pivot", _PIV, "lastb"))(lambda s, d: L.pivots(bars(s, d)))
+_PIV_STRENGTH = {"P": "strong", "R1": "medium", "S1": "medium", "R2": "medium", "S2": "medium", "R3": "weak", "S3": "weak"}
+query("l02_pivots", B.with_("bars", more=_LAST) + level_sql("pivot", _PIV, "lastb", _PIV_STRENGTH))(lambda s, d: L.pivots(bars(s, d)))
 _BACK = "bk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars)"
 query(
     "l03_extremes",
     B.with_(
         "bars",
-        more=f"{_BACK}, ex AS (SELECT symbol, max(CASE WHEN back <= 60 THEN high END) AS high_60, min(CASE WHEN back <= 60 THEN low END) "
-        f"AS low_60, max(CASE WHEN back <= 250 THEN high END) AS high_250, min(CASE WHEN back <= 250 THEN low END) AS low_250 FROM bk GROUP BY symbol)"
+        more=f"{_BACK}, ex AS (SELECT symbol, CASE WHEN count(*) >= 60 THEN max(high) FILTER (back <= 60) END AS high_60, CASE WHEN count(*) >= 60 THEN min(low) FILTER (back <= 60) END "
+        f"AS low_60, CASE WHEN count(*) >= 250 THEN max(high) FILTER (back <= 250) END AS high_250, CASE WHEN count(*) >= 250 THEN min(low) FILTER (back <= 250) END AS low_250 FROM bk GROUP BY symbol)"
     ) + level_sql("extreme", {c: c for c in ("high_60", "low_60", "high_250", "low_250")}, "ex", "strong")
 )(lambda s, d: L.extremes(bars(s, d)))
 _AROUND = f"OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
@@ -178,18 +180,19 @@ _SWING = (
 )
 
 
-def near_sql(source: str, tolerance: float, k: int) -> str:
+def near_sql(source: str, tolerance: float, k: int, where: str = "true") -> str:
+    """Chains of close levels as one, and the nearest ``k`` of each label."""
     w = "PARTITION BY symbol, type, label ORDER BY value"
     return f"""m0 AS (SELECT *, CASE WHEN value > lag(value) OVER ({w}) * {1 + tolerance!r}::DOUBLE OR lag(value) OVER ({w}) IS NULL THEN 1 ELSE 0 END AS st FROM {source}),
 m1 AS (SELECT *, sum(st) OVER ({w}) AS run FROM m0), m2 AS (SELECT symbol, type, label, max(value) AS value, max(strength) AS strength FROM m1 GROUP BY symbol, type, label, run),
 m3 AS (SELECT m2.*, l.close, CASE WHEN value > l.close * 1.001 THEN 'resistance' WHEN value < l.close * 0.999 THEN 'support' ELSE 'near' END AS side FROM m2 JOIN lastb l USING (symbol)),
-m4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, type, side ORDER BY abs(value - close), label, value)::INTEGER AS rank FROM m3)
+m4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, type, label ORDER BY abs(value - close), value)::INTEGER AS rank FROM m3 WHERE {where})
 SELECT symbol, type, label, value, strength, side, rank FROM m4 WHERE rank <= {k}"""
 
 
 _NEAR_COLS = ("symbol", "type", "label", "value", "strength", "side", "rank")
 query("l04_swing_points", B.with_("bars", more=_SWING) + "SELECT * FROM sw")(lambda s, d: L.swing_points(bars(s, d)))
-query("l04_swings", B.with_("bars", more=f"{_LAST}, {_SWING}, " + near_sql("sw", 0.01, 2)))(lambda s, d: L.swings(bars(s, d)).select(*_NEAR_COLS))
+query("l04_swings", B.with_("bars", more=f"{_LAST}, {_SWING}, " + near_sql("sw", 0.01, 2, "(label = 'top' AND side = 'resistance') OR (label = 'bottom' AND side = 'support')")))(lambda s, d: L.swings(bars(s, d)).select(*_NEAR_COLS))
 query(
     "l05_bollinger",
     B.with_(
@@ -213,11 +216,12 @@ query(
     B.with_("bars", more=_ATR, recursive=True) + level_sql(
         "atr",
         {f"{side}{k}": f"close {side} {k} * atr_14" for k in (1.5, 2.0) for side in ("+", "-")},
-        "la"
+        "la",
+        {"+1.5": "weak", "-1.5": "weak", "+2.0": "medium", "-2.0": "medium"}
     )
 )(lambda s, d: L.atr_bands(indicator_frame(s, d, {"atr_14"} | set(bars(s, d).columns))))
 _GAP = f"""gb AS (SELECT *, {lag_sql('high')} AS ph, {lag_sql('low')} AS pl, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars),
-gg AS (SELECT symbol, date, back, CASE WHEN low > ph THEN 'up' WHEN high < pl THEN 'down' END AS label, CASE WHEN low > ph THEN ph ELSE high END AS lo, CASE WHEN low > ph THEN low ELSE pl END AS hi FROM gb WHERE back <= 120 AND (low > ph OR high < pl)),
+gg AS (SELECT symbol, date, back, CASE WHEN low > ph THEN 'up' WHEN high < pl THEN 'down' END AS label, CASE WHEN low > ph THEN ph ELSE high END AS lo, CASE WHEN low > ph THEN low ELSE pl END AS hi FROM gb WHERE back < 120 AND (low > ph OR high < pl)),
 gp AS (SELECT symbol, 'gap' AS type, label, (lo + hi) / 2 AS value, 'medium' AS strength, date FROM gg g WHERE NOT EXISTS (SELECT 1 FROM gb x WHERE x.symbol = g.symbol AND x.back < g.back AND x.low <= g.hi AND x.high >= g.lo))"""
 query(
     "l08_open_gaps",
@@ -237,22 +241,22 @@ query(
     )
 )(lambda s, d: L.fibonacci(bars(s, d)))
 _ROUND = (
-    "rs AS (SELECT symbol, close, CASE WHEN close < 10 THEN 0.5 WHEN close < 50 THEN 1 WHEN close < 100 THEN 5 WHEN close < 500 "
+    "rs AS (SELECT symbol, close, CASE WHEN close < 10 THEN 0.5 WHEN close < 20 THEN 1 WHEN close < 100 THEN 5 WHEN close < 500 "
     "THEN 10 ELSE 50 END::DOUBLE AS step FROM lastb WHERE close > 0), rm AS (SELECT *, m * step AS value FROM (SELECT *, "
     "unnest(generate_series(ceil(close * 0.9::DOUBLE / step)::BIGINT, floor(close * 1.1::DOUBLE / step)::BIGINT)) AS m FROM rs) "
     "q), rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(value - close), value) AS rank FROM rm)"
 )
 query(
     "l10_round_numbers",
-    B.with_("bars", more=f"{_LAST}, {_ROUND}") + "SELECT symbol, 'round' AS type, value, 'weak' AS strength FROM rn WHERE rank <= 8 AND abs(value - close) / close > 0.01"
+    B.with_("bars", more=f"{_LAST}, {_ROUND}") + "SELECT symbol, 'round' AS type, value, 'weak' AS strength FROM rn WHERE rank <= 8 AND abs(value - close) / close >= 0.01"
 )(lambda s, d: L.round_numbers(bars(s, d)).drop("label"))
 query(
     "l11_nearest_summary",
     B.with_(
         "bars",
-        more=f"{_LAST}, pv AS ({level_sql('pivot', _PIV, 'lastb')}), ns AS (SELECT p.*, CASE WHEN value > close * 1.001 THEN 'resistance' "
+        more=f"{_LAST}, pv AS ({level_sql('pivot', _PIV, 'lastb', _PIV_STRENGTH)}), ns AS (SELECT p.*, CASE WHEN value > close * 1.001 THEN 'resistance' "
         f"WHEN value < close * 0.999 THEN 'support' ELSE 'near' END AS side, abs(value - close) AS away FROM pv p JOIN lastb USING (symbol))"
-    ) + "SELECT symbol, type, label, value, strength, side, row_number() OVER (PARTITION BY symbol, type, side ORDER BY away, label, "
+    ) + "SELECT symbol, type, label, value, strength, side, row_number() OVER (PARTITION BY symbol, type ORDER BY away, label, "
     "value)::INTEGER AS rank FROM ns QUALIFY rank <= 2"
 )(
     lambda s, d: L.nearest_summary(L.pivots(bars(s, d)), bars(s, d)).select(*_NEAR_COLS)

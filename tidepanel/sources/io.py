@@ -4,9 +4,12 @@ Schemas are explicit and only grow: a missing column reads as null, an extra one
 ignored, whole numbers become doubles.
 """
 
+import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,7 @@ from ..operators.filters import filter_halt_days
 from ..operators.joins import dedup_last
 
 _D, _S = T.DoubleType(), T.StringType()
+# The tables' columns.
 DAILY = T.StructType(
     [
         T.StructField("symbol", _S),
@@ -56,10 +60,86 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+#: Where a table keeps its manifest of layouts; readers skip names that begin so. And how many footers are asked for at once.
+_MANIFEST, _FOOTERS = "_layouts.json", 16
+
+
+def layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """File schemas (JSON) of a table partitioned by date, each with its dates; empty if it has no such partitions.
+
+    The schema of a date is that of one of its files. A manifest beside the partitions
+    remembers them with their times of change, so that only new and changed partitions
+    have a footer read; where it can't be written, each call asks anew.
+    """
+    fs, place = hadoop(spark, path)
+    found = {}
+    for status in fs.listStatus(place):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("date="):
+            found[name[5:]] = (int(status.getModificationTime()), status.getPath().toString())
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(place, _MANIFEST)
+    known = {}
+    if found and fs.exists(manifest):
+        stream = fs.open(manifest)
+        known = json.loads(bytes(stream.readAllBytes()).decode())
+        stream.close()
+    new = [d for d, (changed, _) in found.items() if d not in known or known[d][0] != changed]
+
+    def schema_of(day: str) -> str:
+        return spark.read.parquet(found[day][1]).schema.json()
+
+    if new:
+        with ThreadPoolExecutor(_FOOTERS) as pool:
+            known = {d: x for d, x in known.items() if d in found} | {d: [found[d][0], x] for d, x in zip(new, pool.map(schema_of, new))}
+        try:
+            out = fs.create(manifest, True)
+            out.write(bytearray(json.dumps(known).encode()))
+            out.close()
+        except Py4JJavaError:
+            pass
+    by_schema: dict[str, list[str]] = {}
+    for day in sorted(found):
+        by_schema.setdefault(known[day][1], []).append(day)
+    return by_schema
+
+
+def _ranges(days: list[str], all_days: list[str]) -> Column:
+    """Whether a row's date is among ``days``, as ranges of ``all_days`` that follow one another."""
+    place = {d: k for k, d in enumerate(all_days)}
+    runs: list[list[str]] = []
+    for d in days:
+        if runs and place[d] == place[runs[-1][1]] + 1:
+            runs[-1][1] = d
+        else:
+            runs.append([d, d])
+    return reduce(lambda a, b: a | b, [F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")) for a, b in runs])
+
+
 def _scan(spark: SparkSession, path: str, schema: T.StructType, start=None, end=None, symbols=None) -> DataFrame:
-    df = conform(spark.read.option("mergeSchema", True).parquet(path), schema)
-    df = df if start is None else df.filter(F.col("date") >= F.lit(start).cast("date"))
-    df = df if end is None else df.filter(F.col("date") <= F.lit(end).cast("date"))
+    """The table in the schema's columns and types: each layout is read by its own explicit schema, so that no footer is opened but those of the files that are read."""
+    of_dates = layouts(spark, path)
+    days = sorted(d for own in of_dates.values() for d in own)
+    inside = lambda d: (start is None or d >= str(start)) and (end is None or d <= str(end))
+    parts = []
+    for own, held in of_dates.items():
+        if wanted := [d for d in held if inside(d)]:
+            fields = [f for f in T.StructType.fromJson(json.loads(own)).fields if f.name != "date"]
+            layout = T.StructType([*fields, T.StructField("date", T.DateType())])
+            parts.append(conform(spark.read.schema(layout).parquet(path).filter(_ranges(wanted, days)), schema))
+    if parts:
+        df = reduce(lambda a, b: a.unionByName(b), parts)
+    elif of_dates:
+        df = spark.createDataFrame([], schema)
+    else:  # files without date partitions
+        df = conform(spark.read.option("mergeSchema", True).parquet(path), schema)
+        df = df if start is None else df.filter(F.col("date") >= F.lit(start).cast("date"))
+        df = df if end is None else df.filter(F.col("date") <= F.lit(end).cast("date"))
     return df if symbols is None else df.filter(F.col("symbol").isin(list(symbols)))
 
 
@@ -90,9 +170,8 @@ def scan_all_assets(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("asset_type", F.lit(k)) for k, df in frames.items()])
 
 
-def sniff_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str:
-    """The first of ``ENCODINGS`` that decodes the file's first bytes."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample)).first()[0])
+def encoding_of(head: bytes) -> str:
+    """The first of ``ENCODINGS`` that decodes a file's first bytes."""
     for name in ENCODINGS:
         for cut in range(4):  # the sample may end inside a character
             try:
@@ -103,12 +182,41 @@ def sniff_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str
     return "utf-8"
 
 
+def sniff_encodings(spark: SparkSession, path: str, sample: int = 1 << 16) -> dict[str, list[str]]:
+    """The files of a path (a file, a folder or a pattern) by encoding; of each file ``sample`` bytes are read, whatever its size."""
+    fs, place = hadoop(spark, path)
+    files = []
+    for status in fs.globStatus(place) or []:
+        files += list(fs.listStatus(status.getPath())) if status.isDirectory() else [status]
+    names = sorted(f.getPath().toString() for f in files if f.isFile() and f.getPath().getName()[0] not in "._" and f.getLen())
+
+    def head(name: str) -> str:
+        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(name))
+        try:
+            return encoding_of(bytes(stream.readNBytes(sample)))
+        finally:
+            stream.close()
+
+    out: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(_FOOTERS) as pool:
+        for name, encoding in zip(names, pool.map(head, names)):
+            out.setdefault(encoding, []).append(name)
+    return out
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str, symbol_names: tuple[str, ...] = ("symbol", "code", "ts_code", "代码", "股票代码")) -> DataFrame:
-    """A CSV file in any of the known encodings; the column that names symbols becomes ``symbol``."""
-    encoding = sniff_encoding(spark, path)
-    if encoding != "utf-8":  # Spark reads other character sets only with this setting
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = clean_column_names(spark.read.csv(path, header=True, encoding=encoding))
+    """CSV files, each in any of the known encodings; the column that names symbols becomes ``symbol``.
+
+    There is one reader for each encoding; the files of one have their columns in one order.
+    """
+    parts = []
+    for encoding, files in sniff_encodings(spark, path).items():
+        if encoding != "utf-8":  # Spark reads other character sets only with this setting, which it looks up when the plan runs
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        parts.append(clean_column_names(spark.read.csv(files, header=True, encoding=encoding)))
+    if not parts:
+        raise FileNotFoundError(path)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     hit = next(
         (c for c in df.columns for s in symbol_names if c.strip().lower() == s),
         None
