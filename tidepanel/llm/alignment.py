@@ -42,14 +42,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .common import cut, shared_folder, text_batches
-from .tokens import _LETTERS, tokenizer_path
+from .tokens import _LETTERS, by_rank, tokenizer_path
 
 #: Bytes of a range of a long document, and how many fragments compose at once.
 CHUNK, FAN = 1 << 16, 16
@@ -63,8 +62,6 @@ _ODD = re.compile(r"[^\S \n]")
 _PLAIN_CUT, _SAFE_CUT = re.compile(r"(?<=[^ \n])[ \n]"), re.compile(r"(?<=\S) (?=\S)")
 _PLAIN_UNIT = re.compile(r"[ \n]+[^ \n]*")
 _SPACE = "▁"
-# Fixed value: how byte-level BPE parts a text before it merges.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class _Units(dict):
@@ -107,31 +104,14 @@ class Aligner:
             kind = json.load(f)
         before = kind.get("pre_tokenizer") or {}
         self.by_unit = before.get("type") == "ByteLevel" and before.get("use_regex") and b"".join(map(self.bytes_b.__getitem__, self.head)) == b" \n" and not any("\n" in p or _SPACE in p.lstrip(_SPACE) for p in pieces)
-        self.encode_a = self._by_rank(kind["model"], kind.get("normalizer")) if self.by_unit else None
+        ranked = by_rank(self.a, kind) if self.by_unit else None
+        self.encode_a: Callable[[str], list[int]] = ranked.encode_ordinary if ranked else lambda text: self.a.encode(text, add_special_tokens=False).ids
         self.array_a, self.array_b = np.array(self.lengths_a), np.array(self.lengths_b)
         self.line_a = self.a.encode("\n", add_special_tokens=False).ids[0]
         #: Ids as text, with what stands behind them inside a group and at its end: first those of A, then those of B.
         self.words = [f"{k}{c}".encode() for size, end in ((self.size_a, "|"), (len(pieces), ";")) for k in range(size) for c in (",", end)]
         self.units = _Units(self._record)
 
-    def _by_rank(self, model: dict, normalizer) -> Callable[[str], list[int]]:
-        """A faster encoder of the same vocabulary, for units in lines; ``encode`` itself where that isn't certain.
-
-        Merging by rank of the merged token is the same as merging by order of the rules if
-        the ids rise with the rules, and every token is what its own rules make of it.
-        """
-        plain = lambda text: self.a.encode(text, add_special_tokens=False).ids
-        vocabulary = model.get("vocab")
-        if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout") or normalizer is not None or not isinstance(vocabulary, dict):
-            return plain
-        made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["merges"]]
-        special = {k for k, t in self.a.get_added_tokens_decoder().items() if t.special}
-        own = {t: k for t, k in vocabulary.items() if k not in special}
-        if any(x >= y for x, y in zip(made, made[1:])) or any([x.id for x in self.a.model.tokenize(t)] != [k] for t, k in own.items()):
-            return plain
-        ranks = {self.bytes_a[k]: k for k in own.values()}
-        return tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
     def plain(self, text: str) -> bool:
         return not _ODD.search(text)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,15 +28,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Texts that go to a Python worker at once; a batch stands in memory several times on its way.
-TEXT_ROWS = 1000
+#: Rows and bytes that go to a Python worker at once, about; a batch stands in memory several times on its way.
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Lets Python operators on whole texts take them in batches of at most ``TEXT_ROWS``; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
-        spark.conf.set(name, TEXT_ROWS)
+    """Bounds the batches in which Python operators take whole texts, by rows and bytes; a smaller setting stays.
+
+    Spark reads both settings when a plan runs, so they stay set for the session.
+    """
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(name).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".find(unit[:1] if unit[:1] in "kmgt" else " ") <= most:
+            spark.conf.set(name, str(most))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -49,6 +49,8 @@ CHUNK = 1 << 16
 END_ID = 0
 MAGIC = b"TPMPH01\n"
 _GAMMA = 2.0
+#: Bits of a level that share a whole rank; inside, 16 bits count on.
+_RANKED = 512
 _U = np.uint64
 
 
@@ -73,8 +75,9 @@ class PerfectHash:
     def __init__(self, levels: list[np.ndarray], seed: int):
         self.levels, self.seed, self.ranks, at = levels, seed, [], 0
         for bits in levels:
-            rank = np.cumsum(bits, dtype=np.int64) - bits + at
-            self.ranks.append(rank)
+            whole = np.cumsum(bits, dtype=np.int64) - bits
+            blocks = whole[::_RANKED]
+            self.ranks.append((blocks + at, (whole - np.repeat(blocks, _RANKED)[: len(bits)]).astype(np.uint16)))
             at += int(bits.sum())
         self.n = at
 
@@ -100,7 +103,8 @@ class PerfectHash:
                 break
             at = (_mix(keys[open_], 16 + self.seed * 64 + k) % _U(len(bits))).astype(np.int64)
             hit = bits[at] == 1
-            out[open_[hit]] = self.ranks[k][at[hit]]
+            blocks, inside = self.ranks[k]
+            out[open_[hit]] = blocks[at[hit] // _RANKED] + inside[at[hit]]
             open_ = open_[~hit]
         return out
 
@@ -240,7 +244,8 @@ def write_store(
 
     by_id = F.col("id").asc_nulls_first()
     salted = rows.withColumn("start", F.substring("text", 1, 32)).withColumn("salt", F.rand(5))
-    dealt = salted.repartitionByRange(shards, by_id, "start", "salt").select("id", "text").sortWithinPartitions(by_id, "text")
+    # Whole texts are no sort keys: their first characters and a hash are.
+    dealt = salted.repartitionByRange(shards, by_id, "start", "salt").sortWithinPartitions(by_id, "start", F.xxhash64("text")).select("id", "text")
     manifest = cut(dealt.mapInArrow(of, ", ".join(_MANIFEST)))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return cut(manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long"))))
