@@ -1,6 +1,9 @@
 """Every registered panel query against its SQL on the smallest tables, where they are there."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -34,7 +37,7 @@ def con():
 CHOSEN = [
     "e02_ma", "e06_kdj", "e15_rsi", "e25_cross_signals", "e36_minmax_score", "j01_adjust_prices", "e18_e24_limits", "k08_ma_golden_cross", "k09_macd_golden", "k19_run_all", "f03_basic_filter", "f05_custom_signal", "j05_explode_dimension", "j14_range_join",
     "a07_limit_tiers", "a16_rotation_signals", "d01_market_overview", "q03_rank_ic", "q06_group_stats", "l01_chip_distribution", "l08_gaps", "l10_round_numbers", "b04_b05_trades", "b09_curve_stats", "b18_walkforward", "s19_upsert_by_date", "s27_incremental_enrich", "z02_stateful_indicators", "z04_tumbling_bars", "v04_sql_aggregates",
-    "k11_near_limit_up", "k14_pullback_ma20_bounce_params", "d01_overview_lists", "d03_limit_down_ladder", "q08_factor_catalog", "b12_bootstrap_drawdown", "z07_cooldown_stream", "z08_pool_changes", "z13_alert_enrichment", "s23_lost_dates", "r2_recursive_fold",
+    "k11_near_limit_up", "k14_pullback_ma20_bounce_params", "d01_overview_lists", "d03_limit_down_ladder", "q08_factor_catalog", "b12_bootstrap_drawdown", "z07_cooldown_stream", "z08_pool_changes", "z13_alert_enrichment", "s23_lost_dates", "r2_recursive_fold", "a17_concept_heat", "b13_forward_stats", "b14_signal_trades", "b16_sweep_trades", "b16_sweep_by_drawdown", "b18_out_of_sample", "l04_swings", "s06_csv_any_encoding", "s27_resumed_recursion",
 ]
 
 
@@ -56,9 +59,14 @@ def test_entry_gives_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_entry_works_without_the_corpus_subpackage(monkeypatch, spark):
-    import __spark_entry__
-
-    monkeypatch.setattr(__spark_entry__, "_corpus", lambda: None)
-    assert "e02_ma" in __spark_entry__.queries() and not [q for q in __spark_entry__.queries() if q.startswith("op") or q == "pipeline"]
-    assert "e02_ma" in __spark_entry__.oracle_sql()
+@pytest.mark.parametrize("pipeline_left", [False, True])
+def test_entry_works_without_the_corpus_subpackage(tmp_path, pipeline_left):
+    """In a copy without the corpus folders, with or without the pipeline's file, the other queries are there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/tidepanel", tmp_path / "tidepanel", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline_left and os.path.exists(f"{root}/corpus_pipeline.py") else [])):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); print(len(q), 'e02_ma' in q and 'e02_ma' in s, [n for n in q if n.startswith('op') or n == 'pipeline'])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    n, there, corpus = out.stdout.split(maxsplit=2)
+    assert int(n) > 250 and there == "True" and corpus.strip() == "[]", out.stderr

@@ -392,24 +392,23 @@ def market_overview(df: DataFrame) -> DataFrame:
     """Every date's breadth, amounts, limits, bands, trend, activity, radar and mood in one row.
 
     ``df`` has a row a symbol and date, its ``type`` (``index`` rows count for the index
-    score alone) and ``concepts`` (array) and ``industry`` of the symbol. One pass: a row
-    counts for the market, for its industry and for each of its concepts, and the
-    leading labels of a date reach the market's row by a window over the few sums.
+    score alone) and ``concepts`` (array) and ``industry`` of the symbol. Everything but
+    the labels is summed over the rows as they are; for the labels, of which count and
+    mean alone are asked, (date, change) pairs are multiplied and summed.
     """
     p, n, c = F.col("change_pct"), F.count(F.lit(1)), F.col
     live = (F.coalesce("volume", F.lit(0)) > 0) | (F.coalesce(p, F.lit(0.0)) != 0)
     key = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("label"))
     labels = F.concat(
-        F.array(key("market", F.lit(""))),
         F.when(c("industry").isNotNull(), F.array(key("industry", c("industry")))).otherwise(F.array()),
         F.transform(F.coalesce("concepts", F.array().cast("array<string>")), lambda x: key("concept", x)),
     )
-    keys = F.when(F.coalesce(c("type") == "index", F.lit(False)), F.array(key("index", F.lit("")))).when(live, labels)
-    rows = df.withColumn("_key", F.explode(keys)).select("*", "_key.*")
+    is_index = F.coalesce(c("type") == "index", F.lit(False))
+    keys = F.when(is_index, F.array(key("index", F.lit("")))).when(live, labels)
     up, broken = count_if(F.coalesce("signal_limit_up", F.lit(False)) | (c("consecutive_limit_ups") > 0)), count_if(c("signal_broken_limit_up"))
     percent = lambda a, b: F.coalesce(F.try_divide(a * 100.0, b.cast("double")), F.lit(0.0))
     above = {f"above_ma{k}": count_if(c("close") >= c(f"ma{k}")) for k in (5, 20, 60)}
-    sums = rows.groupBy("date", "kind", "label").agg(
+    market = df.filter(~is_index & live).groupBy("date").agg(
         n.alias("total"),
         count_if(p > 0).alias("up"),
         count_if(p < 0).alias("down"),
@@ -435,15 +434,15 @@ def market_overview(df: DataFrame) -> DataFrame:
         percent(count_if(c("vol_ratio_5d") >= 1.5), n).alias("high_vol_pct"),
         *[count_if(band_of(p) == k).alias(f"band{k}") for k in range(len(BANDS))],
     )
-    order = F.row_number().over(Window.partitionBy("date", "kind").orderBy(F.round("avg_pct", 9).desc_nulls_last(), "label"))
-    leading = c("kind").isin("concept", "industry") & c("avg_pct").isNotNull() & (c("_order") <= 3)
-    day = by_date()
-    found = {
-        "mainline_avg": F.max(F.when(leading, c("avg_pct"))).over(day),
-        "mainline_n": F.max(F.when(leading, c("total"))).over(day),
-        "avg_index_pct": F.coalesce(F.max(F.when(c("kind") == "index", c("avg_pct"))).over(day) * 100, F.lit(0.0)),
-    }
-    market = sums.withColumn("_order", order).withColumns(found).filter("kind = 'market'").drop("kind", "label", "_order")
+    labelled = df.select("date", "change_pct", F.explode(keys).alias("_key")).groupBy("date", "_key.kind", "_key.label").agg(n.alias("n"), F.avg(p).alias("avg"))
+    order = F.row_number().over(Window.partitionBy("date", "kind").orderBy(F.round("avg", 9).desc_nulls_last(), "label"))
+    leading = c("kind").isin("concept", "industry") & c("avg").isNotNull() & (c("_order") <= 3)
+    found = labelled.withColumn("_order", order).groupBy("date").agg(
+        F.max(F.when(leading, c("avg"))).alias("mainline_avg"),
+        F.max(F.when(leading, c("n"))).alias("mainline_n"),
+        F.max(F.when(c("kind") == "index", c("avg"))).alias("_index")
+    )
+    market = market.join(found, "date", "left").withColumn("avg_index_pct", F.coalesce(c("_index") * 100, F.lit(0.0))).drop("_index")
     market = market.withColumns(
         {
             "flat": c("total") - c("up") - c("down"),

@@ -127,18 +127,22 @@ def long_short(nav: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("drawdown", F.col("nav") / F.greatest(F.max("nav").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1)
 
 
-def factor_rows(df: DataFrame, factors: tuple[str, ...], freq: str) -> DataFrame:
-    """``factor_name, symbol, date, factor, ret``: factors become rows and a grouping key."""
-    returns = period_return(df.select("symbol", "date", "close"), freq).select("symbol", "date", "ret")
+def factor_rows(df: DataFrame, factors: tuple[str, ...], freq: str, bars: DataFrame | None = None) -> DataFrame:
+    """``factor_name, symbol, date, factor, ret``: factors become rows and a grouping key.
+
+    ``bars`` (``symbol, date, close``) are what returns are made of; without them it is ``df``,
+    whose factors are then worked out several times.
+    """
+    returns = period_return((df if bars is None else bars).select("symbol", "date", "close"), freq).select("symbol", "date", "ret")
     return df.select("symbol", "date", *factors).unpivot(["symbol", "date"], list(factors), "factor_name", "factor").join(returns, ["symbol", "date"])
 
 
-def factor_catalog(df: DataFrame, factors: tuple[str, ...] = FACTORS, freq: str = "daily") -> DataFrame:
+def factor_catalog(df: DataFrame, factors: tuple[str, ...] = FACTORS, freq: str = "daily", bars: DataFrame | None = None) -> DataFrame:
     """IC summary of all factors in one job."""
-    return ic_summary(rank_ic(factor_rows(df, factors, freq), keys=("factor_name", "date")), ("factor_name",))
+    return ic_summary(rank_ic(factor_rows(df, factors, freq, bars), keys=("factor_name", "date")), ("factor_name",))
 
 
-def factor_groups(df: DataFrame, factors: tuple[str, ...] = FACTORS, freq: str = "daily", n: int = 5, scale: float = 1.0) -> DataFrame:
+def factor_groups(df: DataFrame, factors: tuple[str, ...] = FACTORS, freq: str = "daily", n: int = 5, scale: float = 1.0, bars: DataFrame | None = None) -> DataFrame:
     """Figures of the ``n`` groups of all factors in one job; returns are multiplied by ``scale``."""
-    rows = factor_rows(df, factors, freq).withColumn("ret", F.col("ret") * scale)
+    rows = factor_rows(df, factors, freq, bars).withColumn("ret", F.col("ret") * scale)
     return group_stats(group_nav(rows, n, keys=("factor_name",)), freq, ("factor_name",))

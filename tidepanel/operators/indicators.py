@@ -117,9 +117,9 @@ def closure(needed: set[str] | None) -> set[str]:
 def with_indicators(df: DataFrame, needed: set[str] | None = None) -> DataFrame:
     """``df`` (symbol, date, open, high, low, close, volume) with the ``needed`` columns, all of them if None."""
     want, given = closure(needed), df.columns
-    out = df.withColumns({k: v for k, v in _window_columns().items() if k in want})
-    if want & set(RECURSIVE):
-        out = with_recursive(out, sorted(want & set(RECURSIVE), key=RECURSIVE.index))
+    # Recursion comes first: behind its pass rows are dealt by symbol anew, once for all windows, and before it they are narrow.
+    out = with_recursive(df, sorted(want & set(RECURSIVE), key=RECURSIVE.index)) if want & set(RECURSIVE) else df
+    out = out.withColumns({k: v for k, v in _window_columns().items() if k in want})
     out = out.withColumns({k: v for k, (_, v) in _derived_columns().items() if k in want})
     out = finite_or_null(out, want)
     out = out.withColumns({k: v for k, (_, v) in _signals().items() if k in want})

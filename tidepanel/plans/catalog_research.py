@@ -124,7 +124,7 @@ query(
     "q08_factor_catalog",
     f"{_FQ},\n{_FIC}\nSELECT factor_name, {_SUMMARY} FROM ic WHERE ic IS NOT NULL GROUP BY factor_name",
     3
-)(lambda s, d: Q.factor_catalog(factor_panel(s, d), freq="weekly"))
+)(lambda s, d: Q.factor_catalog(factor_panel(s, d), freq="weekly", bars=B.brand_bars(s, d)))
 _FNAV = f"""bk AS (SELECT factor_name, date, ret / 10000 AS ret, {_BUCKET.replace("PARTITION BY date", "PARTITION BY factor_name, date")} AS grp FROM fr), gm AS (SELECT factor_name, date, grp, avg(ret) AS ret FROM bk GROUP BY ALL),
 nav AS (SELECT factor_name, date, grp, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY factor_name, grp ORDER BY date)), 4) AS nav FROM gm)"""
 query(
@@ -135,7 +135,7 @@ query(
     f'> 0) / nullif(count(r), 0)::DOUBLE, 0.0) AS win_rate FROM st GROUP BY ALL',
     2
 )(
-    lambda s, d: Q.factor_groups(factor_panel(s, d), freq="weekly", scale=1e-4)
+    lambda s, d: Q.factor_groups(factor_panel(s, d), freq="weekly", scale=1e-4, bars=B.brand_bars(s, d))
 )
 
 # Levels.
