@@ -53,7 +53,7 @@ from .tokens import _LETTERS, by_rank, tokenizer_path
 #: Bytes of a range of a long document, and how many fragments compose at once.
 CHUNK, FAN = 1 << 16, 16
 #: Rows of the pair table (about 24 bytes each) up to which it is broadcast.
-PAIRS = 8_000_000
+PAIRS = 2_000_000
 #: Units kept by one worker, in each of two generations, and the longest kept.
 TABLE, KEPT_CHARS = 200_000, 64
 
