@@ -97,9 +97,9 @@ def merge_close(levels: DataFrame, tolerance: float) -> DataFrame:
 
 
 def nearest(levels: DataFrame, bars: DataFrame, k: int, by: str = "side") -> DataFrame:
-    """The ``k`` levels of each symbol and type that are nearest to the close, for each side, or each label, or (``type``) in all."""
+    """The ``k`` levels of each symbol and type that are nearest to the close (to six digits), for each side, or each label, or (``type``) in all."""
     rows = sided(levels, bars)
-    w = Window.partitionBy(*dict.fromkeys(("symbol", "type", by))).orderBy(F.abs(F.col("value") - F.col("close")), "label", "value")
+    w = Window.partitionBy(*dict.fromkeys(("symbol", "type", by))).orderBy(F.round(F.abs(F.col("value") - F.col("close")), 6), "label", "value")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

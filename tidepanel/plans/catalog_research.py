@@ -186,13 +186,15 @@ def near_sql(source: str, tolerance: float, k: int, where: str = "true") -> str:
     return f"""m0 AS (SELECT *, CASE WHEN value > lag(value) OVER ({w}) * {1 + tolerance!r}::DOUBLE OR lag(value) OVER ({w}) IS NULL THEN 1 ELSE 0 END AS st FROM {source}),
 m1 AS (SELECT *, sum(st) OVER ({w}) AS run FROM m0), m2 AS (SELECT symbol, type, label, max(value) AS value, max(strength) AS strength FROM m1 GROUP BY symbol, type, label, run),
 m3 AS (SELECT m2.*, l.close, CASE WHEN value > l.close * 1.001 THEN 'resistance' WHEN value < l.close * 0.999 THEN 'support' ELSE 'near' END AS side FROM m2 JOIN lastb l USING (symbol)),
-m4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, type, label ORDER BY abs(value - close), value)::INTEGER AS rank FROM m3 WHERE {where})
+m4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, type, label ORDER BY round(abs(value - close), 6), value)::INTEGER AS rank FROM m3 WHERE {where})
 SELECT symbol, type, label, value, strength, side, rank FROM m4 WHERE rank <= {k}"""
 
 
+#: Tops above the close and bottoms below it.
+_OUTSIDE = "(label = 'top' AND side = 'resistance') OR (label = 'bottom' AND side = 'support')"
 _NEAR_COLS = ("symbol", "type", "label", "value", "strength", "side", "rank")
 query("l04_swing_points", B.with_("bars", more=_SWING) + "SELECT * FROM sw")(lambda s, d: L.swing_points(bars(s, d)))
-query("l04_swings", B.with_("bars", more=f"{_LAST}, {_SWING}, " + near_sql("sw", 0.01, 2, "(label = 'top' AND side = 'resistance') OR (label = 'bottom' AND side = 'support')")))(lambda s, d: L.swings(bars(s, d)).select(*_NEAR_COLS))
+query("l04_swings", B.with_("bars", more=f"{_LAST}, {_SWING}, " + near_sql("sw", 0.01, 2, _OUTSIDE)))(lambda s, d: L.swings(bars(s, d)).select(*_NEAR_COLS))
 query(
     "l05_bollinger",
     B.with_(
@@ -255,7 +257,7 @@ query(
     B.with_(
         "bars",
         more=f"{_LAST}, pv AS ({level_sql('pivot', _PIV, 'lastb', _PIV_STRENGTH)}), ns AS (SELECT p.*, CASE WHEN value > close * 1.001 THEN 'resistance' "
-        f"WHEN value < close * 0.999 THEN 'support' ELSE 'near' END AS side, abs(value - close) AS away FROM pv p JOIN lastb USING (symbol))"
+        f"WHEN value < close * 0.999 THEN 'support' ELSE 'near' END AS side, round(abs(value - close), 6) AS away FROM pv p JOIN lastb USING (symbol))"
     ) + "SELECT symbol, type, label, value, strength, side, row_number() OVER (PARTITION BY symbol, type ORDER BY away, label, "
     "value)::INTEGER AS rank FROM ns QUALIFY rank <= 2"
 )(
@@ -313,6 +315,44 @@ def _profile(spark, sf_dir):
     return L.last_bars(df).select("symbol", "date", "close", "change_pct").join(summary, "symbol", "left")
 
 
+def _of(sql: str) -> str:
+    """A family's SQL over the profile's frame in place of the bars."""
+    return sql.replace("FROM bars b ", "FROM pb b ").replace("FROM bars", "FROM pb")
+
+
+_PROFILE_SQL = {
+    "pivot": level_sql("pivot", _PIV, "lastb", _PIV_STRENGTH),
+    "extreme": "SELECT * FROM (" + level_sql("extreme", {c: c for c in ("high_60", "low_60", "high_250", "low_250")}, "pex", "strong") + ")",
+    "bollinger": level_sql("bollinger", {"upper": "boll_upper", "mid": "ma20", "lower": "boll_lower"}, "lastb"),
+    "keltner": level_sql("keltner", _KEL, "lastb"),
+    "atr": level_sql("atr", {f"{side}{k}": f"close {side} {k} * atr_14" for k in (1.5, 2.0) for side in ("+", "-")}, "lastb", {"+1.5": "weak", "-1.5": "weak", "+2.0": "medium", "-2.0": "medium"}),
+    "fibonacci": level_sql("fibonacci", {str(r): f"CASE WHEN hb < lb THEN h - (h - l) * {r}::DOUBLE ELSE l + (h - l) * {r}::DOUBLE END" for r in L.FIBONACCI}, "fb"),
+    "round": "SELECT symbol, 'round' AS type, printf('%,.2f', value) AS label, value, 'weak' AS strength FROM rn WHERE rank <= 8 AND abs(value - close) / close >= 0.01",
+    "chips": "SELECT symbol, 'chips' AS type, CASE WHEN rank = 1 THEN 'POC' ELSE 'dense' END AS label, round(mid, 2) AS value, CASE WHEN rank = 1 THEN 'strong' ELSE 'medium' END AS strength FROM cr WHERE rank = 1 OR (rank <= 3 AND chips > mean)",
+    "swing": f"SELECT symbol, type, label, value, strength FROM (WITH {near_sql('sw', 0.01, 2, _OUTSIDE)})",
+    "gap": f"SELECT symbol, type, label, value, strength FROM (WITH {near_sql('gp', 0.005, 3)})",
+}
+_PROFILE_CTES = f"""{WIDE},
+{REC.replace("FROM bars)", "FROM adj)")},
+pb AS (SELECT w.*, r.atr_14, {', '.join(full_sql(n, 'avg', 'w.close').replace('PARTITION BY symbol ORDER BY date', 'PARTITION BY w.symbol ORDER BY w.date') + f' AS m{n}' for n in (20, 60, 120))} FROM wide w JOIN recind r USING (symbol, date)),
+{_of(_LAST)}, {_of(_BACK)},
+pex AS (SELECT symbol, CASE WHEN count(*) >= 60 THEN max(high) FILTER (back <= 60) END AS high_60, CASE WHEN count(*) >= 60 THEN min(low) FILTER (back <= 60) END AS low_60,
+  CASE WHEN count(*) >= 250 THEN max(high) FILTER (back <= 250) END AS high_250, CASE WHEN count(*) >= 250 THEN min(low) FILTER (back <= 250) END AS low_250 FROM bk GROUP BY symbol),
+{_of(_SWING)}, {_of(_GAP)},
+fb AS (SELECT symbol, max(high) AS h, min(low) AS l, arg_max(back, (high, back)) AS hb, arg_min(back, (low, -back)) AS lb FROM bk WHERE back <= 120 GROUP BY symbol HAVING max(high) > min(low)),
+{_ROUND},
+{CHIP.replace(CHIP[: CHIP.index("c0 AS")], "tb AS (SELECT symbol, date, high, low, close, volume, turnover_rate FROM pb)," + chr(10))},
+cr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chips DESC, bin) AS rank, avg(chips) OVER (PARTITION BY symbol) AS mean FROM ch),
+lv AS ({' UNION ALL '.join(f'SELECT symbol, type, label, value, strength FROM ({q})' for q in _PROFILE_SQL.values())}),
+nr AS (SELECT v.symbol, v.type, v.value, CASE WHEN v.value > close * 1.001 THEN 'resistance' WHEN v.value < close * 0.999 THEN 'support' ELSE 'near' END AS side,
+  row_number() OVER (PARTITION BY v.symbol, v.type ORDER BY round(abs(v.value - close), 6), v.label, v.value)::INTEGER AS rank FROM lv v JOIN lastb USING (symbol))"""
+query(
+    "d05_profile_levels",
+    B.with_("bars", "factors", "instruments", more=_PROFILE_CTES, recursive=True) + "SELECT l.symbol, l.date, l.close, l.change_pct, nr.type, nr.side, nr.rank, round(nr.value, 4) AS value FROM lastb l LEFT JOIN nr ON nr.symbol = l.symbol AND nr.rank <= 2",
+    3
+)(lambda s, d: _profile(s, d).select("symbol", "date", "close", "change_pct", F.explode_outer("levels").alias("l")).select("symbol", "date", "close", "change_pct", "l.*"))
+
+
 _LAST20 = "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 20"
 query(
     "d05_profile_bars",
