@@ -350,14 +350,14 @@ def draws(n: int, simulation: int, seed: int = 42) -> np.ndarray:
 
 def worst_drawdowns(pnls: np.ndarray, simulations: int = SIMULATIONS, seed: int = 42) -> tuple[float | None, float | None]:
     """Median and 95th percentile of the worst drawdown of trades drawn with replacement; none for fewer than three."""
-    pnls = np.maximum(pnls[np.isfinite(pnls)], -0.9999)
-    n = len(pnls)
+    logs = np.log1p(np.maximum(pnls[np.isfinite(pnls)], -0.9999))  # sums of logarithms don't overflow
+    n = len(logs)
     if n < 3:
         return None, None
     worst = []
     for k in range(1, min(simulations, max(LEAST_SIMULATIONS, DRAWS // n)) + 1):
-        equity = np.cumprod(1 + pnls[draws(n, k, seed)])
-        worst.append(float((equity / np.maximum.accumulate(equity) - 1).min()))
+        equity = np.cumsum(logs[draws(n, k, seed)])
+        worst.append(float(np.expm1((equity - np.maximum.accumulate(equity)).min())))
     return float(np.percentile(worst, 50)), float(np.percentile(worst, 5))
 
 
@@ -614,9 +614,9 @@ def trial_stats(trades: DataFrame, objective: str, keys: tuple[str, ...], dates:
 
 
 def goodness(objective: str, direction: str | None = None) -> Column:
-    """The objective so that more is better, to nine digits, so that sums in another order don't part equal trials; null and infinite ones are worst."""
+    """The objective so that more is better, to six digits, so that sums in another order don't part equal trials; null and infinite ones are worst."""
     low = (direction or ("min" if objective in MINIMISED else "max")) == "min"
-    value = F.round(F.col(objective).cast("double"), 9)
+    value = F.round(F.col(objective).cast("double"), 6)
     return F.when(F.abs(value) < float("inf"), -value if low else value)
 
 

@@ -583,8 +583,8 @@ def boot_sql(trades: str = "tr", key: str = "0") -> str:
 s0 AS (SELECT key, n, k, sim, (k * 7919 + sim * 104729 + 42) % 2147483647 * 48271 % 2147483647 AS x FROM tk, range(1, 1001) s(sim) WHERE n >= 3 AND sim <= greatest(200, 2000000 // n)),
 s1 AS (SELECT key, n, k, sim, xor(x, x >> 15) * 69621 % 2147483647 AS x FROM s0),
 s2 AS (SELECT key, k, sim, xor(x, x >> 12) * 16807 % 2147483647 % n + 1 AS pick FROM s1),
-nv AS (SELECT s2.key, sim, s2.k, exp(sum(ln(1 + r)) OVER (PARTITION BY s2.key, sim ORDER BY s2.k)) AS nav FROM s2 JOIN tk ON tk.key = s2.key AND tk.k = pick),
-wd AS (SELECT key, sim, min(dd) AS dd FROM (SELECT key, sim, nav / max(nav) OVER (PARTITION BY key, sim ORDER BY k) - 1 AS dd FROM nv) AS x GROUP BY ALL),
+nv AS (SELECT s2.key, sim, s2.k, sum(ln(1 + r)) OVER (PARTITION BY s2.key, sim ORDER BY s2.k) AS nav FROM s2 JOIN tk ON tk.key = s2.key AND tk.k = pick),
+wd AS (SELECT key, sim, min(dd) AS dd FROM (SELECT key, sim, exp(nav - max(nav) OVER (PARTITION BY key, sim ORDER BY k)) - 1 AS dd FROM nv) AS x GROUP BY ALL),
 mc AS (SELECT key, quantile_cont(dd, 0.5) AS mc_maxdd_p50, quantile_cont(dd, 0.05) AS mc_maxdd_p95 FROM wd GROUP BY key)"""
 
 
@@ -685,13 +685,13 @@ query(
 )
 query(
     "b16_sweep_ranked",
-    _SW + "SELECT trial_id, n_trades, avg_pnl, row_number() OVER (ORDER BY round(avg_pnl, 9) DESC NULLS LAST, trial_id)::INTEGER AS "
+    _SW + "SELECT trial_id, n_trades, avg_pnl, row_number() OVER (ORDER BY round(avg_pnl, 6) DESC NULLS LAST, trial_id)::INTEGER AS "
     "rank FROM (SELECT trial_id, count(*) AS n_trades, avg(pnl_pct) AS avg_pnl FROM tr GROUP BY 1) q",
     5
 )(lambda s, d: T.rank_trials(swept(s, d), B.bar_dates(s, d)).select("trial_id", "n_trades", "avg_pnl", "rank"))
 query(
     "b16_sweep_by_holding",
-    _SW + "SELECT trial_id, avg_holding_days, row_number() OVER (ORDER BY round(avg_holding_days, 9), trial_id)::INTEGER AS rank FROM (SELECT trial_id, avg(duration) AS avg_holding_days FROM tr GROUP BY 1) q"
+    _SW + "SELECT trial_id, avg_holding_days, row_number() OVER (ORDER BY round(avg_holding_days, 6), trial_id)::INTEGER AS rank FROM (SELECT trial_id, avg(duration) AS avg_holding_days FROM tr GROUP BY 1) q"
 )(lambda s, d: T.rank_trials(swept(s, d), B.bar_dates(s, d), "avg_holding_days").select("trial_id", "avg_holding_days", "rank"))
 #: Few trials, and small returns, where every trade is drawn hundreds of times.
 FEW = [t for t in TRIALS if t["hold"] == 9 and t["take"] is None and t["variant"] == 1 and t["trail"] is None]
@@ -708,7 +708,7 @@ def few_swept(s, d):
 query(
     "b16_sweep_by_drawdown",
     _SW_FEW.rstrip() + f",\nsm AS (SELECT * REPLACE (pnl_pct / 100 AS pnl_pct) FROM tr),\n{boot_sql('sm', 'trial_id')}\n"
-    "SELECT key AS trial_id, mc_maxdd_p95, row_number() OVER (ORDER BY round(mc_maxdd_p95, 9) DESC, key)::INTEGER AS rank FROM mc",
+    "SELECT key AS trial_id, mc_maxdd_p95, row_number() OVER (ORDER BY round(mc_maxdd_p95, 6) DESC, key)::INTEGER AS rank FROM mc",
     5
 )(lambda s, d: T.rank_trials(few_swept(s, d).withColumn("pnl_pct", F.col("pnl_pct") / 100), B.bar_dates(s, d), "mc_maxdd_p95").select("trial_id", "mc_maxdd_p95", "rank"))
 query(
@@ -754,8 +754,8 @@ wq AS (SELECT fold, tested, trial_id, date, exp(sum(ln(1 + greatest(ret, -0.9999
 wx AS (SELECT fold, tested, trial_id, date, v, v / coalesce(lag(v) OVER (PARTITION BY fold, tested, trial_id ORDER BY date), 1.0) - 1 AS r FROM wq),
 wv AS (SELECT fold, tested, trial_id, arg_max(v, date) - 1 AS total_return, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252) AS sortino FROM wx GROUP BY ALL),
 wg AS (SELECT v.*, n_trades FROM wv v JOIN (SELECT fold, tested, trial_id, count(*) AS n_trades FROM ws GROUP BY ALL) USING (fold, tested, trial_id)),
-bt AS (SELECT fold, trial_id, sortino FROM wg WHERE NOT tested QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(sortino, 9) DESC NULLS LAST, trial_id) = 1),
-wf AS (SELECT b.fold, b.trial_id, b.sortino AS train_value, g.n_trades, g.sortino, g.total_return, round(b.sortino, 9) - round(g.sortino, 9) AS degradation FROM bt b JOIN wg g ON g.tested AND g.fold = b.fold AND g.trial_id = b.trial_id)
+bt AS (SELECT fold, trial_id, sortino FROM wg WHERE NOT tested QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(sortino, 6) DESC NULLS LAST, trial_id) = 1),
+wf AS (SELECT b.fold, b.trial_id, b.sortino AS train_value, g.n_trades, g.sortino, g.total_return, round(b.sortino, 6) - round(g.sortino, 6) AS degradation FROM bt b JOIN wg g ON g.tested AND g.fold = b.fold AND g.trial_id = b.trial_id)
 """
 query("b18_walkforward", _WALK + "SELECT * FROM wf", 4)(
     lambda s, d: walked(s, d).select("fold", "trial_id", "train_value", "n_trades", "sortino", "total_return", "degradation")
