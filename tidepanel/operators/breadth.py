@@ -168,6 +168,7 @@ def emotion_radar(day: DataFrame) -> DataFrame:
     """``day`` with six scores from 0 to 100 of each date's figures, their mean and its label."""
     f = lambda name, none=0.0: F.coalesce(F.col(name).cast("double"), F.lit(none))
     of_all = lambda c: F.when(f("total") > 0, c / f("total") * 100).otherwise(0.0)
+    # Bounds and weights of the scores.
     profit = mixed(
         (scored(f("up_pct"), 20, 80), 0.45),
         (scored(f("avg_pct"), -0.02, 0.02), 0.25),

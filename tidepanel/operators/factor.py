@@ -10,6 +10,7 @@ from .joins import next_rebalance_price
 
 #: Rebalancing periods of a year.
 PERIODS = {"daily": 252, "weekly": 52, "monthly": 12}
+# The factors of the catalog.
 FACTORS = (
     "momentum_5d", "momentum_10d", "momentum_20d", "momentum_30d", "momentum_60d", "rsi_6", "rsi_14", "rsi_24",
     "annual_vol_20d", "atr_14", "vol_ratio_5d", "turnover_rate", "macd_hist", "kdj_k", "change_pct", "amplitude",
