@@ -408,3 +408,11 @@ def test_cooldown_carries_its_last_firing_from_batch_to_batch(spark):
                 last = k * 60
                 want.append((rule, last))
     assert got == sorted(want)
+
+
+def test_ranks_by_amount_do_not_hang_on_the_order_of_sums(spark):
+    from tidepanel.plans.catalog_indicators import settled
+
+    rows = spark.createDataFrame([("b", D0, 0.1 + (0.2 + 0.3)), ("a", D0, (0.1 + 0.2) + 0.3 - 2**-52), ("c", D0, (0.1 + 0.2) + 0.3)], "symbol string, date date, amount double")
+    got = settled(rows).select("symbol", filters.rank_of("amount").alias("pos"), factor.bucket_in_date("amount", 3, ["date"]).alias("bucket")).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3)]
