@@ -70,3 +70,21 @@ def test_entry_works_without_the_corpus_subpackage(tmp_path, pipeline_left):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     n, there, corpus = out.stdout.split(maxsplit=2)
     assert int(n) > 250 and there == "True" and corpus.strip() == "[]", out.stderr
+
+
+@pytest.mark.parametrize("name", ["d01_market_overview"])
+def test_the_overview_works_its_windows_out_once(spark, name):
+    """The frame is written before it is summed in several ways: no bars are made in the plan of the result."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan
+
+
+def test_bars_are_dealt_by_symbol_once(spark):
+    """Making bars, adjusting them and the windows behind take one exchange of the lines."""
+    from tidepanel.operators.windows import lag
+    from tidepanel.plans.catalog_indicators import adjusted
+
+    df = adjusted(spark, SF)
+    plan = df.select("symbol", "date", lag("close").alias("before"))._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "s_suppkey" not in x]
+    assert sum("REPARTITION_BY_COL" in x for x in lines) == 1 and "Union" not in plan

@@ -1,7 +1,5 @@
 """Queries: scans, normalisers, sinks, streams and registered functions."""
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +14,11 @@ from ..operators.windows import full
 from ..sources import io as S
 from ..streaming import stream as Z
 from . import bindings as B
-from .catalog import query
+from .catalog import query, scratch
 from .catalog_indicators import IND, LIMITS, REC, SIG, W, full_sql, indicator_frame, limit_frame
 from .catalog_market import depth
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one where that isn't set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-tidepanel-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of users' events: many symbols, one month."""
     e = B.table(spark, sf_dir, "events").select(

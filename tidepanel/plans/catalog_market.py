@@ -11,7 +11,7 @@ from ..operators import rotation as R
 from ..operators.limits import classify_board, limit_pct
 from ..operators.windows import finite_or_null, lag
 from . import bindings as B
-from .catalog import query
+from .catalog import query, written
 from .catalog_indicators import ADJ, IND, LIM, LIMITS, SIG, WIDE, W, indicator_frame, lag_sql, limit_frame, strategy_frame
 
 BOARD = (
@@ -493,6 +493,12 @@ ov AS (SELECT *, CASE WHEN emotion >= 70 THEN 'strong' WHEN emotion >= 55 THEN '
 _OVER = B.with_("bars", "factors", "instruments", more=OVERVIEW)
 
 
+_OVER_READS = (
+    "symbol", "date", "close", "volume", "amount", "change_pct", "turnover_rate", "vol_ratio_5d", "ma5", "ma20", "ma60", "signal_n_day_high", "signal_n_day_low",
+    "signal_limit_up", "signal_limit_down", "signal_broken_limit_up", "consecutive_limit_ups", "type", "concepts", "industry",
+)
+
+
 def overview_frame(s, d):
     """The wide frame with each symbol's concepts and second-level industry."""
     own = dims(s, d).select(
@@ -504,7 +510,7 @@ def overview_frame(s, d):
 
 
 def overview(s, d):
-    return A.market_overview(overview_frame(s, d))
+    return A.market_overview(written(overview_frame(s, d).select(*_OVER_READS), "overview"))
 
 
 query(
