@@ -72,7 +72,7 @@ def test_entry_works_without_the_corpus_subpackage(tmp_path, pipeline_left):
     assert int(n) > 250 and there == "True" and corpus.strip() == "[]", out.stderr
 
 
-@pytest.mark.parametrize("name", ["d01_market_overview"])
+@pytest.mark.parametrize("name", ["d01_market_overview", "d01_overview_lists"])
 def test_the_overview_works_its_windows_out_once(spark, name):
     """The frame is written before it is summed in several ways: no bars are made in the plan of the result."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

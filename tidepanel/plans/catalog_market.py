@@ -523,6 +523,14 @@ query(
     "d04_recap_blocks",
     _OVER + "SELECT date, total, up, down, up_pct, avg_pct, total_amount, limit_up, broken, limit_down, max_boards, seal_rate, emotion, mood FROM ov"
 )(lambda s, d: A.recap_blocks(overview(s, d)))
+
+
+def overview_day(s, d, at):
+    """The rows of the last date up to ``at``, written once."""
+    rows = strategy_frame(s, d, _OVER_COLS | {"type"}).filter("type <> 'index'")
+    return written(one_day(rows, at).select("symbol", "date", "amount", "change_pct", "turnover_rate", "consecutive_limit_ups"), "overview_day")
+
+
 _TOPS = {
     "top_gainers": ("change_pct", "DESC"),
     "top_losers": ("change_pct", "ASC"),
@@ -554,7 +562,7 @@ SELECT 'boards' AS block, row_number() OVER (ORDER BY value DESC, name)::INTEGER
             ).unionByName(own.select(F.lit("industry").alias("kind"), "symbol", A.industry_level(F.col("industry"), 2).alias("label")))
         )
     )(
-        one_day(strategy_frame(s, d, _OVER_COLS | {"type"}).filter("type <> 'index'"), "1998-06-30"), dims(s, d)
+        overview_day(s, d, "1998-06-30"), dims(s, d)
     )
 )
 query(
