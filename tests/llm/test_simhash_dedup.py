@@ -161,3 +161,34 @@ def test_stage_drops_a_large_group_and_its_bridges(spark):
         texts.append(" ".join(step))
     kept = S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+def test_parity_sketches_differ_in_no_more_slots_than_sets_in_elements():
+    rng = random.Random(8)
+    for n in (0, 1, 30, 900):
+        one = {rng.getrandbits(64) for _ in range(n)}
+        two = {x for x in one if rng.random() > 0.1} | {rng.getrandbits(64) for _ in range(n // 9)}
+        a, b = (S.parity(S.np.array(sorted(x), dtype=S.np.uint64)) for x in (one, two))
+        slots = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in a ^ b)
+        assert slots <= len(one ^ two) <= (slots * 1.7 if n < 900 else 10**6)
+
+
+def test_stage_verifies_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies edited in two or three places each are similar to hardly any other; they meet in buckets, but only pairs that may be similar are measured."""
+    rng, words = random.Random(4), [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(400):
+        other = list(words)
+        for i in rng.sample(range(5, 145), rng.randint(2, 3)):
+            other[i] = f"v{k}x{i}"
+        texts.append(" ".join(other))
+    measured, common = [], S.common
+    monkeypatch.setattr(S, "common", lambda pairs, sets: measured.append(pairs.count()) or common(pairs, sets))
+    kept = {r["doc_id"] for r in S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    root, prints = list(range(len(texts))), [S.fingerprint(t, 5) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 2 or jaccard(texts[i], texts[j]) >= 0.8):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert kept == set(root) and len(measured) == 2
+    assert measured[1] < 5 * len(texts), measured

@@ -232,12 +232,26 @@ def sketches(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return rows.mapInArrow(of, schema)
 
 
+#: Longs of a set's parity sketch.
+PARITY = 16
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``PARITY`` slots whether an odd number of the hashes falls into it; two sketches differ in no more slots than the sets in elements."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def set_udf(shingle: int):
+    """``grams, parity`` of a text."""
+    longs = pa.list_(pa.int64())
+
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([shingle_set(x.as_py(), shingle).view(np.int64) for x in batch], pa.list_(pa.int64()))
+            sets = [shingle_set(x.as_py(), shingle) for x in batch]
+            yield pa.StructArray.from_arrays([pa.array([x.view(np.int64) for x in sets], longs), pa.array([parity(x) for x in sets], longs)], names=["grams", "parity"])
 
-    return F.arrow_udf(of, T.ArrayType(T.LongType()))
+    return F.arrow_udf(of, "grams array<long>, parity array<long>")
 
 
 def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -258,6 +272,8 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
 SIMILAR = "9 * common >= 4 * (n + n_v)"
 #: What two sets can have in common at most: within the leader, and among what neither has alone. Below it the pair isn't similar.
 POSSIBLE = "9 * (least(held, held_v) + least(extra, extra_v)) >= 4 * (n + n_v)"
+#: Similar sets differ in at most a ninth of their sizes' sum, and so do their parity sketches.
+ALIKE = f"9 * ({' + '.join(f'bit_count(parity[{k}] ^ parity_v[{k}])' for k in range(PARITY))}) <= n + n_v"
 
 
 def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], edges: DataFrame) -> DataFrame:
@@ -268,8 +284,9 @@ def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], edge
     copies were made of. Every text is measured exactly against its leaders; most are
     connected by that. What remains are texts apart from their leader. Such a text
     and another of its bucket share at most what both share with the leader and what
-    both have besides, shingles of one text alone left out; pairs that could still be
-    similar by that bound, few even in a large group of near copies, are verified.
+    both have besides, shingles of one text alone left out. Their parity sketches count
+    from below in how many shingles the two differ, wherever the texts were edited; pairs
+    that could be similar by both bounds, few even in a large group, are verified.
     """
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("last")).filter("least <> last").select("bucket")
@@ -302,10 +319,10 @@ def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], edge
     )
     placed = cut(placed.select("bucket", "node", "root", "main", "n", "held", (F.col("n") - F.col("lone") - F.col("held")).alias("extra")))
     strays = placed.filter("root <> main AND 5 * (held + extra) >= 4 * n").drop("main")
-    others = placed.join(strays.select("bucket").distinct(), "bucket", "left_semi").select(
-        *[F.col(c).alias(f"{c}_v") for c in ("bucket", "node", "root", "n", "held", "extra")]
-    )
-    rest = strays.join(others, F.expr(f"bucket = bucket_v AND root <> root_v AND {POSSIBLE}"))
+    parities = sets.select("node", "parity")
+    others = placed.drop("main").join(strays.select("bucket").distinct(), "bucket", "left_semi").join(parities, "node")
+    others = others.select(*[F.col(c).alias(f"{c}_v") for c in others.columns])
+    rest = strays.join(parities, "node").join(others, F.expr(f"bucket = bucket_v AND root <> root_v AND {POSSIBLE} AND {ALIKE}"))
     rest = cut(rest.select(F.least("node", "node_v").alias("u"), F.greatest("node", "node_v").alias("v")).distinct())
     counted = common(rest, sets).join(sizes.select(F.col("node").alias("u"), "n"), "u").join(
         sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")),
@@ -353,8 +370,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     def sets_of(wanted: DataFrame) -> DataFrame:
         return texts.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select(
             "node",
-            set_udf(shingle)("text").alias("grams")
-        )
+            set_udf(shingle)("text").alias("of")
+        ).select("node", "of.grams", "of.parity")
 
     roots = components(near_links(nodes.select("node", "bands"), sets_of, cut(same.union(near))))
     node, root, component = free_names(df, "node", "root", "component")
