@@ -88,3 +88,20 @@ def test_bars_are_dealt_by_symbol_once(spark):
     plan = df.select("symbol", "date", lag("close").alias("before"))._jdf.queryExecution().executedPlan().toString()
     lines = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "s_suppkey" not in x]
     assert sum("REPARTITION_BY_COL" in x for x in lines) == 1 and "Union" not in plan
+
+
+def test_profile_bars_are_counted_from_the_end_once(spark):
+    """With ``back`` in the frame the families don't order all bars again for the last ones, and find the same."""
+    from tidepanel.operators import levels as L
+    from tidepanel.plans import catalog_research as R
+
+    df = R.profile_frame(spark, SF).localCheckpoint()
+    counted = L.counted_back(df).localCheckpoint()
+    windows = lambda x: sum("Window [" in line for line in L.all_levels(x)._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert windows(counted) <= windows(df) - 8, (windows(counted), windows(df))
+    rows = lambda x: sorted("|".join(map(plain, r)) for r in L.nearest_summary(L.all_levels(x), x).select("symbol", "type", "side", "rank", "value").collect())
+    assert rows(counted) == rows(df)
+
+
+def test_profile_levels_equal_their_sql(spark, con):
+    test_equals_its_sql(spark, con, "d05_profile_levels")

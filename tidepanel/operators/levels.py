@@ -31,11 +31,16 @@ def _rows(df: DataFrame, kind: str, values: dict[str, Column], strength: str | d
 
 
 def from_end(bars: DataFrame, most: int | None = None) -> DataFrame:
-    """Bars with ``back``, 1 on the symbol's last one."""
-    out = bars.withColumn("back", F.row_number().over(_symbol().orderBy(F.col("date").desc())))
+    """Bars with ``back``, 1 on the symbol's last one; bars that have it already aren't ordered again."""
+    out = bars if "back" in bars.columns else bars.withColumn("back", F.row_number().over(_symbol().orderBy(F.col("date").desc())))
     return out if most is None else out.filter(F.col("back") <= most)
 
 
+def counted_back(bars: DataFrame) -> DataFrame:
+    """Bars with ``back``, counted in the order of dates, in which other windows of the frame have sorted them."""
+    return bars.withColumn("back", F.count(F.lit(1)).over(_symbol()).cast("int") - F.row_number().over(_symbol().orderBy("date")) + 1)
+
+
 def last_bars(bars: DataFrame) -> DataFrame:
     return from_end(bars, 1).drop("back")
 
@@ -119,7 +124,7 @@ def bands(df: DataFrame) -> DataFrame:
 
 def keltner(df: DataFrame) -> DataFrame:
     """Three Keltner channels; needs ``atr_14``."""
-    out = last_bars(df.withColumns({f"_ma{n}": full(n, F.avg, "close") for n in (20, 60, 120)}))
+    out = last_bars(from_end(df, 120).withColumns({f"_ma{n}": full(n, F.avg, "close") for n in (20, 60, 120)}))
     a = F.col("atr_14")
     return _rows(
         out,
@@ -141,7 +146,8 @@ def atr_bands(df: DataFrame) -> DataFrame:
 
 def open_gaps(bars: DataFrame, most: int = 120) -> DataFrame:
     """Gaps between two of the last ``most`` bars that no later bar overlaps; the join's fan-out is bounded by ``most``."""
-    rows = from_end(bars.withColumns({"_high": lag("high"), "_low": lag("low")}), most - 1)
+    tail = from_end(bars, most)
+    rows = tail.withColumns({"_high": lag("high"), "_low": lag("low")}).filter(F.col("back") < most)
     up, down = F.col("low") > F.col("_high"), F.col("high") < F.col("_low")
     low, high = F.when(up, F.col("_high")).when(down, F.col("high")), F.when(up, F.col("low")).when(down, F.col("_low"))
     rows = rows.select(
@@ -152,7 +158,7 @@ def open_gaps(bars: DataFrame, most: int = 120) -> DataFrame:
         low.alias("lo"),
         high.alias("hi")
     ).filter("label IS NOT NULL")
-    after = from_end(bars, most).select("symbol", F.col("back").alias("b"), F.col("low").alias("l"), F.col("high").alias("h"))
+    after = tail.select("symbol", F.col("back").alias("b"), F.col("low").alias("l"), F.col("high").alias("h"))
     filled = rows.join(after, "symbol").filter("b < back AND l <= hi AND h >= lo").select("symbol", "date").distinct()
     return rows.join(filled, ["symbol", "date"], "left_anti").select(
         "symbol",
