@@ -114,3 +114,22 @@ def test_trailing_windows(kind):
                 own = values[max(0, at - n + 1) : at + 1]
                 want = f(own) if len(own) == n and not np.isnan(own).any() else np.nan
                 assert np.isclose(got[k], want, equal_nan=True)
+
+
+def test_streamed_indicator_bars_are_written_by_all_tasks(spark, monkeypatch):
+    """The stream's bars lie in as many parts as the session deals rows into, not in two."""
+    from tidepanel.plans import catalog_io as C
+
+    class Seen(Exception):
+        pass
+
+    def written(s, df, **options):
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(C, "streamed", written)
+    try:
+        C._z02(spark, "/root/testdata/sf0.001")
+    except Seen as seen:
+        assert "REPARTITION_BY_NUM" not in str(seen)
+    else:
+        raise AssertionError("nothing was written")

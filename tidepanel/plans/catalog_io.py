@@ -408,7 +408,7 @@ def _z02(s, d):
     """Bars written and streamed by file, each symbol's bars in order; equal to the batch indicators."""
     move = windows.safe_divide(F.col("close"), windows.lag("close")) - 1
     flagged = eb(s, d).withColumns({"signal_limit_up": move > 0, "signal_limit_down": move < 0})
-    return run(s, Z.streaming_indicators(streamed(s, flagged.repartition(2, "symbol"))))
+    return run(s, Z.streaming_indicators(streamed(s, flagged)))
 
 
 query(
