@@ -1,6 +1,7 @@
 """State that a later run, or a later trigger, starts from."""
 
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -49,6 +50,35 @@ def test_increments_equal_one_run_to_the_last_bit(spark):
         assert a == b
 
 
+def test_states_come_to_first_bars_alone(spark):
+    """Bars are dealt and sorted once, before the states are joined to them."""
+    df = spark.createDataFrame(bars_of(1), SCHEMA)
+    early = df.filter(F.col("date") < F.lit(D0 + timedelta(days=20)))
+    states = recursive.states_of(recursive.with_recursive(early, ("ema5",), state="state"))
+    states = spark.createDataFrame(states.collect(), states.schema)
+    text = recursive.resumed(df.repartition("symbol"), states)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(symbol#", text)) == 1 and len(re.findall(r"Sort \[symbol#", text)) == 1
+
+
+def test_only_prices_go_through_the_recursion(spark):
+    """All other columns stay in Spark, whatever their type; a filter behind it takes no bar out of it."""
+    df = spark.createDataFrame(bars_of(1), SCHEMA).withColumn("span", F.make_interval(days=F.lit(1)))
+    rows = recursive.with_recursive(df, ["rsi_14"])
+    assert rows.columns == [*df.columns, "rsi_14"] and rows.filter(F.col("span").isNotNull()).count() == df.count()
+    whole = {(r["symbol"], r["date"]): r["rsi_14"] for r in rows.drop("span").collect()}
+    late = rows.filter(F.col("date") >= F.lit(D0 + timedelta(days=40))).drop("span").collect()
+    assert late and all(whole[r["symbol"], r["date"]] == r["rsi_14"] for r in late)
+
+
+@pytest.mark.parametrize("wanted", [["rsi_14"], ["macd_dea", "rsi_6"], ["kdj_j"], ["atr_14", "ema60"], ["macd_hist", "kdj_d"]])
+def test_some_recursive_columns_equal_those_of_all(wanted):
+    rng, starts = np.random.default_rng(5), np.array([0, 1, 41, 60])
+    close = rng.random(100) * 9 + 1
+    prices = close, close + rng.random(100), close - rng.random(100)
+    all_, some = recursive.lockstep(*prices, starts)[0], recursive.lockstep(*prices, starts, wanted=wanted)[0]
+    assert all(np.array_equal(all_[c], some[c], equal_nan=True) for c in wanted)
+
+
 def test_lockstep_takes_no_bars():
     out, states = recursive.lockstep(*(np.zeros(0) for _ in range(3)), np.zeros(0, dtype=np.int64))
     assert len(out["ema5"]) == 0 and states.shape == (0, recursive.STATE)
