@@ -230,3 +230,17 @@ def test_signal_backtest_acts_on_the_next_open(spark, rows):
     df = spark.createDataFrame(rows, PANEL).withColumns({"buy": F.col("entry"), "sell": F.col("exit"), "rsi_14": F.lit(50.0)}).drop("entry", "exit")
     got = plain(T.signal_backtest(df, ["buy"], ["sell"], D0, END, 8, (20.0, 80.0), stop=0.1))
     assert got == walk(rows, 8, 0.1, None, None, None, None, "next_open", "next_open")
+
+
+def test_labelling_deals_bars_out_once(panel, spark):
+    """An entry's next bars come by a window over its symbol: no join, no exchange but the windows' own, no frame up to a series' end that is gone through for every bar."""
+    text = T.label_trades(T.prepared(spark.createDataFrame(bars_of(1), PANEL)), D0, END, 6, 0.08, "next_open")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange") == 1
+    assert "1, unboundedfollowing" not in text
+
+
+def test_a_last_bar_has_no_exit(spark):
+    """An entry on a symbol's last bar has no bar to leave on; one bar before it leaves at the end of data."""
+    rows = T.prepared(spark.createDataFrame(bars_of(1), PANEL)).withColumns({"entry": F.col("n") >= F.col("last_n") - 1, "exit": F.lit(False), "_tradable": F.lit(True), "_stuck_up": F.lit(False)})
+    got = T.label_trades(rows, D0, END, 6, None).collect()
+    assert len(got) == rows.select("symbol").distinct().count() and {(r["reason"], r["duration"]) for r in got} == {("end", 1)}

@@ -1,7 +1,8 @@
 """Backtests as relational trade labelling.
 
-Every candidate entry is labelled by itself: its later bars are joined, the first
-exit is picked by (bar, priority), a blocked exit moves to the first bar that sells.
+Every candidate entry is labelled by itself: its later bars come to it as an array by a
+window over its symbol, the first exit is picked by (bar, priority) in one fold, a
+blocked exit moves to the first bar that sells. No bar is dealt out for it again.
 Trials and folds are grouping keys, so a parameter sweep is one job: bars are joined
 to entries once, and of an entry's bars only those stay on which some line, target,
 signal or hold of the whole grid is reached for the first time; each trial then finds
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 from .factor import compound
 from .filters import in_window, one_price_limit_flag, tradable_flag
 from .joins import delay_signal, entry_exit_range_join, forward_return, numbered
+from .windows import by_symbol, lag, valid_shift
 
 MOST_COMBINATIONS = 2000
 # The objectives of a sweep, and those of which less is better.
@@ -53,8 +55,8 @@ def prepared(panel: DataFrame) -> DataFrame:
     return numbered(out).withColumn("last_n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
 
 
-def candidate_entries(panel: DataFrame, start, end, fill: str = "close", delay: int = 0) -> DataFrame:
-    """Entry bars in the formal window, after the delay; filled at the close, or at the next bar's open."""
+def _moved(panel: DataFrame, fill: str, delay: int) -> DataFrame:
+    """All bars with ``entry_delayed``, whether an entry fills on them, and its price."""
     moved = delay_signal(panel, "entry", delay) if delay else panel.withColumns({"entry_delayed": F.col("entry"), "entry_source_date": F.col("date")})
     w = Window.partitionBy("symbol").orderBy("date")
     if fill == "next_open":
@@ -63,8 +65,12 @@ def candidate_entries(panel: DataFrame, start, end, fill: str = "close", delay:
         )
     if (shift := delay + (fill == "next_open")) and "variants" in panel.columns:
         moved = moved.withColumn("variants", F.lag("variants", shift).over(w))
-    price = F.col("open") if fill == "next_open" else F.col("close")
-    return moved.filter(F.col("entry_delayed") & in_window(start, end)).withColumn("entry_price", price)
+    return moved.withColumn("entry_price", F.col("open") if fill == "next_open" else F.col("close"))
+
+
+def candidate_entries(panel: DataFrame, start, end, fill: str = "close", delay: int = 0) -> DataFrame:
+    """Entry bars in the formal window, after the delay; filled at the close, or at the next bar's open."""
+    return _moved(panel, fill, delay).filter(F.col("entry_delayed") & in_window(start, end))
 
 
 def guard_reason(score_min: float | None = None, score_max: float | None = None) -> Column:
@@ -84,21 +90,31 @@ def entry_guards(entries: DataFrame, score_min=None, score_max=None) -> tuple[Da
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _exit_columns(panel: DataFrame, fill: str) -> DataFrame:
+    """``panel`` with what an exit on a bar needs: ``_exit``, the order price ``at``, ``sellable`` and ``later``, the next bar that sells."""
+    opened = fill == "next_open"
+    flag = F.coalesce(lag("exit"), F.lit(False)) if opened else F.coalesce("exit", F.lit(False))
+    bars = panel.withColumns(
+        {"_exit": flag, "at": F.col("open" if opened else "close"), "sellable": F.col("_tradable") & ~F.col("_stuck_down")}
+    )
+    bars = bars.withColumn("_sells", F.when(F.col("sellable"), F.struct("n", "date", F.col("at").alias("price"))))
+    # The next value that isn't null is kept along; a frame up to the end would be gone through again for every bar.
+    return bars.withColumn("later", valid_shift("_sells", -1)).drop("_sells")
+
+
 def exit_bars(panel: DataFrame, fill: str = "close") -> DataFrame:
     """The bars an exit can fall on: prices, the order price ``at``, whether they sell, and ``later``, the next bar that does.
 
     Orders (signal, longest hold, end of data, deferred exits) fill at the close; with
     ``fill="next_open"`` at the open, and a signal on the bar after its own.
     """
-    series = Window.partitionBy("symbol").orderBy("n")
-    opened = fill == "next_open"
-    flag = F.coalesce(F.lag("exit").over(series), F.lit(False)) if opened else F.coalesce("exit", F.lit(False))
-    bars = panel.select(
-        "symbol", "n", "date", "open", "high", "low", "close", flag.alias("exit"), "last_n",
-        F.col("open" if opened else "close").alias("at"), (F.col("_tradable") & ~F.col("_stuck_down")).alias("sellable")
-    )
-    sells = F.when(F.col("sellable"), F.struct("n", "date", F.col("at").alias("price")))
-    return bars.withColumn("later", F.first(sells, ignorenulls=True).over(series.rowsBetween(1, Window.unboundedFollowing)))
+    return _exit_columns(panel, fill).select("symbol", "n", "date", "open", "high", "low", "close", F.col("_exit").alias("exit"), "last_n", "at", "sellable", "later")
+
+
+def _with_next(panel: DataFrame, hold: int, fill: str) -> DataFrame:
+    """``panel`` with ``_next``: of every bar the next ``hold`` ones, as :func:`exit_bars` has them, in order."""
+    bar = F.struct("n", "date", "open", "high", "low", F.col("_exit").alias("exit"), "last_n", "at", "sellable", "later")
+    return _exit_columns(panel, fill).withColumn("_next", F.collect_list(bar).over(by_symbol().rowsBetween(1, hold))).drop("_exit", "at", "sellable", "later")
 
 
 def highest_line(price: Column, peak: Column, stop: Column, trail: Column, start: Column, drop: Column) -> Column:
@@ -161,14 +177,38 @@ def label_exits(
 
     The bar on which an order fills may not sell; ``later`` is the next one that does.
     """
-    rows = _held_bars(entries, panel, hold, exit_fill)
+    own = _with_next(panel, hold, exit_fill).select("symbol", F.col("n"), "_next")
+    return _first_exits(entries.join(own, ["symbol", "n"]), hold, stop, take, trail, profit_start, profit_trail)
+
+
+def _first_exits(
+    entries: DataFrame,
+    hold: int,
+    stop: float | None = 0.06,
+    take: float | None = None,
+    trail: float | None = None,
+    profit_start: float | None = None,
+    profit_trail: float | None = None,
+) -> DataFrame:
+    """The exits of entries that have their ``_next`` bars: one fold along them, which carries the highest price before a bar."""
     start, drop = (profit_start, profit_trail) if profit_start is not None and profit_trail is not None else (None, None)
     p = F.col("entry_price")
-    rows = rows.withColumn("line", highest_line(p, F.col("peak"), *map(_positive, (stop, trail, start, drop))))
-    reason, price = judged(F.col, p, F.col("line"), _positive(take), F.lit(hold), F.col("n") - F.col("entry_n"))
-    rows = rows.withColumns({"reason": reason, "price": price}).filter("reason IS NOT NULL")
-    picked = F.min_by(F.struct("entry_date", "entry_price", "reason", "price", F.col("date").alias("exit_date"), F.col("n").alias("exit_n"), "sellable", "later"), "n")
-    return rows.groupBy("symbol", "entry_n").agg(picked.alias("x")).select("symbol", "entry_n", "x.*")
+
+    def left(bar: Column, peak: Column) -> Column:
+        """The bar's reason and price, or null where the position stays."""
+        line = highest_line(p, peak, *map(_positive, (stop, trail, start, drop)))
+        reason, price = judged(lambda c: bar[c], p, line, _positive(take), F.lit(hold), bar["n"] - F.col("n"))
+        return F.when(reason.isNotNull(), F.struct(reason.alias("reason"), price.alias("price"), bar.alias("bar")))
+
+    first, peak = F.get("_next", F.lit(0)), F.greatest("entry_price", "high")
+    none = F.when(F.lit(False), left(first, peak))
+    step = lambda a, bar: F.when(a["x"].isNotNull(), a).otherwise(F.struct(F.greatest(a["peak"], bar["high"]).alias("peak"), left(bar, a["peak"]).alias("x")))
+    found = F.aggregate("_next", F.struct(peak.alias("peak"), none.alias("x")), step, lambda a: a["x"])
+    # Where there are next bars, the last of them ends the hold or the data; a filter on the result would work out the fold twice.
+    rows = entries.filter(F.size("_next") > 0).select("symbol", F.col("n").alias("entry_n"), F.col("date").alias("entry_date"), "entry_price", found.alias("x"))
+    return rows.select(
+        "symbol", "entry_n", "entry_date", "entry_price", "x.reason", "x.price", F.col("x.bar.date").alias("exit_date"), F.col("x.bar.n").alias("exit_n"), "x.bar.sellable", "x.bar.later"
+    )
 
 
 def defer_blocked(exits: DataFrame) -> DataFrame:
@@ -206,8 +246,9 @@ def label_trades(
 
     Entries fill as ``fill`` says, exits as ``exit_fill``, or as the entries do.
     """
-    entries, _ = entry_guards(candidate_entries(panel, start, end, fill, delay))
-    return trade_costs(defer_blocked(label_exits(entries, panel, hold, stop, exit_fill=exit_fill or fill, **rules)))
+    bars = _with_next(_moved(panel, fill, delay), hold, exit_fill or fill)
+    entries, _ = entry_guards(bars.filter(F.col("entry_delayed") & in_window(start, end)))
+    return trade_costs(defer_blocked(_first_exits(entries, hold, stop, **rules)))
 
 
 def minute_fill_price(orders: DataFrame, minutes: DataFrame) -> DataFrame:
