@@ -416,3 +416,13 @@ def test_ranks_by_amount_do_not_hang_on_the_order_of_sums(spark):
     rows = spark.createDataFrame([("b", D0, 0.1 + (0.2 + 0.3)), ("a", D0, (0.1 + 0.2) + 0.3 - 2**-52), ("c", D0, (0.1 + 0.2) + 0.3)], "symbol string, date date, amount double")
     got = settled(rows).select("symbol", filters.rank_of("amount").alias("pos"), factor.bucket_in_date("amount", 3, ["date"]).alias("bucket")).collect()
     assert sorted(map(tuple, got)) == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3)]
+
+
+def test_strategies_are_compiled_together(spark):
+    """No condition stands in a higher-order function, where it would be interpreted row by row."""
+    from tidepanel.plans import strategies as K
+
+    row = spark.createDataFrame([("600001.SH", D0, "stock", 2.0, 1.0, 3.0), ("600001.SH", D0 + timedelta(days=1), "etf", 2.0, 1.0, 1.0)], "symbol string, date date, type string, close double, boll_upper double, vol_ratio_5d double")
+    out = K.run_all(row, ["boll_breakout"], {})
+    assert [tuple(r) for r in out.collect()] == [("600001.SH", D0, "boll_breakout")]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
