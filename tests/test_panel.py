@@ -418,6 +418,13 @@ def test_ranks_by_amount_do_not_hang_on_the_order_of_sums(spark):
     assert sorted(map(tuple, got)) == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3)]
 
 
+def test_nulls_rank_behind_all_values(spark):
+    rows = spark.createDataFrame([("a", D0, None, None), ("b", D0, 1.0, 5.0), ("c", D0, 2.0, 5.0), (None, D0, 2.0, 4.0)], "symbol string, date date, amount double, volume double")
+    ranks = filters.rank_of("amount"), factor.average_rank("volume", ["date"]), factor.bucket_in_date("amount", 4, ["date"])
+    got = rows.select("symbol", *[c.alias(f"c{k}") for k, c in enumerate(ranks)]).collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 4, 4.0, 4), ("b", 3, 2.5, 1), ("c", 1, 2.5, 2), (None, 2, 1.0, 3)]
+
+
 def test_strategies_are_compiled_together(spark):
     """No condition stands in a higher-order function, where it would be interpreted row by row."""
     from tidepanel.plans import strategies as K
